@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import tiff
+from tessera.llm import bpe, tiff
 from tessera.llm.common import table
 
+#: The tokenizer file that the encoding queries use.
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as TIFF payloads, stored, read back and described."""
     return tiff.text_media(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to ids of a public vocabulary and back."""
+    return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_VOCABULARY)
+
+
 def queries() -> dict:
-    return {"op2_tiff_media": op2_tiff_media}
+    return {f.__name__: f for f in (op2_tiff_media, op4_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
