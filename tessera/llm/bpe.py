@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import map_rows
 
-WORD_END = ""  # stands for the word-end mark inside the transducer
+WORD_END = chr(0xE000)  # stands for the word-end mark inside the transducer
 CACHED_WORDS = 500_000  # pre-tokens remembered by a worker
 CACHED_PAIRS = 200_000  # token pairs whose verdict a worker remembers
 LONG_WORD = 64  # longer pre-tokens are not remembered
 
 #: Characters with the Unicode property White_Space.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def byte_letters() -> dict[int, str]:
