@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, tiff, toxicity
+from tessera.llm import bpe, fingerprint, tiff, toxicity
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
@@ -23,6 +23,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_VOCABULARY)
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and of their edited forms."""
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; rows whose checksum mod 3 is 1 are held out from fitting."""
     docs = table(spark, sf_dir, "documents")
@@ -32,7 +37,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_tiff_media, op4_bpe, op9_toxicity)}
+    return {f.__name__: f for f in (op2_tiff_media, op4_bpe, op7_syncmers, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
