@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, tiff, toxicity
+from tessera.llm import bpe, fingerprint, html, tiff, toxicity
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"), html.model(), ["page_id", "url"])
+
+
 def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as TIFF payloads, stored, read back and described."""
     return tiff.text_media(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -37,7 +42,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_tiff_media, op4_bpe, op7_syncmers, op9_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_tiff_media, op4_bpe, op7_syncmers, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
