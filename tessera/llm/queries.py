@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, html, tiff, toxicity
+from tessera.llm import bpe, fingerprint, html, tiff, toxicity, warc
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
@@ -23,6 +23,29 @@ def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, then read back through the index."""
+    pages = table(spark, sf_dir, "pages")
+    volumes = warc.write_archive(pages, "page_id", "url", "html")
+    index = warc.write_index(volumes)
+    return warc.read_back(volumes, index, warc.index_keys(pages, "page_id", "url")).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: SHA-1 in base 32 from its hexadecimal form, five bits a letter.
+_BASE32 = """list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + list_sum(list_transform(range(5), lambda b: (((('0x' || substr(hex, 1 + (i * 5 + b) // 4, 1))::INTEGER >> (3 - (i * 5 + b) % 4)) & 1) << (4 - b))))::INTEGER, 1)), lambda x, y: x || y)"""
+
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+m AS (SELECT hex, min(page_id) AS first FROM h GROUP BY hex)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM h JOIN m USING (hex)
+"""
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to ids of a public vocabulary and back."""
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_VOCABULARY)
@@ -42,8 +65,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_tiff_media, op4_bpe, op7_syncmers, op9_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op7_syncmers, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
