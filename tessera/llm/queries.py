@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, html, tiff, toxicity, warc
+from tessera.llm import bpe, fingerprint, html, neardup, tiff, toxicity, warc
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
@@ -51,6 +51,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), "doc_id", "text", WORD_VOCABULARY)
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates: three-word shingles, similarity of 0.85 or more."""
+    return neardup.link(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=85)
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of texts and of their edited forms."""
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -65,7 +70,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op7_syncmers, op9_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op7_syncmers, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
