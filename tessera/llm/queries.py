@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, html, neardup, tiff, toxicity, warc
+from tessera.llm import bpe, fingerprint, html, mixing, neardup, quality, tiff, toxicity, warc
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
@@ -56,11 +56,25 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=85)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document: sources are its hosts, their languages the paths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, F.col("source"), F.col("lang"))
+    return scored.select("doc_id", "evidence", "site_rate", "posterior", (F.col("posterior") >= quality.THRESHOLD).alias("kept"))
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of texts and of their edited forms."""
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix: weights in proportion to the root of a source's documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; rows whose checksum mod 3 is 1 are held out from fitting."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op7_syncmers, op9_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op6_quality, op7_syncmers, op8_mixing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
