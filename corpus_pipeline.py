@@ -1,8 +1,61 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline over documents: toxicity, quality, near duplicates, mixing, encoding.
 
-STAGES: list = []
+Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
+``documents``; their decisions are the rows that stay and, in mixing, the order of the rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, mixing, neardup, quality, toxicity
+from tessera.llm.common import stored, table
+from tessera.llm.queries import WORD_VOCABULARY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity model rejects. Rows held out of the toxicity query are held out here too."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return toxicity.reject(docs, toxicity.fit(docs, labels))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose posterior quality is low."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, model, F.col("source"), F.col("lang"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return neardup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix."""
+    mixed = mixing.mix(docs, prefix="_mix_")
+    return mixing.in_order(mixed, "_mix_position").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts."""
+    return bpe.encode_column(docs, "doc_id", "text", WORD_VOCABULARY)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near_duplicates", drop_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL expresses none of the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -126,9 +126,9 @@ def root_weights(counts: dict) -> dict:
     return {s: n**0.5 for s, n in counts.items()}
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights=root_weights, block: int = BLOCK) -> DataFrame:
+def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights=root_weights, block: int = BLOCK, prefix: str = "") -> DataFrame:
     """All columns of ``df`` with ``block`` (of the source), ``slot`` (of the block) and ``position`` (of the row,
-    0 on, without gaps). ``weights``: of each source, or a function of their row counts."""
+    0 on, without gaps), which replace columns of these names; ``prefix`` goes before theirs. ``weights``: of each source, or a function of their row counts."""
     ranked, counts = numbered(df, source, key)
     schedule = plan(counts, weights(counts) if callable(weights) else weights, block)
     number = {s: i for i, s in enumerate(schedule.names)}
@@ -146,10 +146,10 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights=root
         return pd.DataFrame(out, columns=["block", "slot", "position"])
 
     placed = ranked.withColumn("_at", place(F.col(source).cast("string"), F.col("_rank")))
-    clash = [c for c in ("block", "slot", "position") if c in df.columns]
-    return placed.select(*(c for c in df.columns if c not in clash), F.col("_at.block").alias("block"), F.col("_at.slot").alias("slot"), F.col("_at.position").alias("position"))
+    made = {f"{prefix}{c}": c for c in ("block", "slot", "position")}
+    return placed.select(*(c for c in df.columns if c not in made), *(F.col(f"_at.{c}").alias(name) for name, c in made.items()))
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
+def in_order(mixed: DataFrame, position: str = "position") -> DataFrame:
     """Rows laid out by position: partitions are ranges of it, sorted within."""
-    return mixed.repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    return mixed.repartitionByRange(F.col(position)).sortWithinPartitions(position)

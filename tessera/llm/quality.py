@@ -134,25 +134,26 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return mean, min(1e4, max(2.0, mean * (1 - mean) / variance - 1)) if variance > 1e-9 else 1e4
 
 
-def score(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", prefix: str = "") -> DataFrame:
     """All columns of ``docs`` with ``evidence`` (log-odds from the text), ``site_rate`` (posterior of its path) and
-    ``posterior``. Sums by path are taken before the shuffle, so one large host costs no more than others."""
+    ``posterior``, which replace columns of these names; ``prefix`` goes before theirs. Sums by path are taken before the shuffle, so one large host costs no more than others."""
     marked = docs.withColumn("_host", host.cast("string")).withColumn("_path", path.cast("string"))
     narrow = stored(marked.select("_host", "_path", evidence(marked, model, text).alias("z")).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(1 / (1 + F.exp(-F.col("z")))).alias("good")), "quality-sites")
     hosts = narrow.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     rate, strength = _strength(hosts)
     _, inner = _strength(narrow)
     host_rate = hosts.select(F.col("_host").alias("_h"), ((F.col("good") + strength * rate) / (F.col("n") + strength)).alias("_host_rate"))
-    sites = narrow.join(host_rate, F.col("_host").eqNullSafe(F.col("_h"))).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), ((F.col("good") + inner * F.col("_host_rate")) / (F.col("n") + inner)).alias("site_rate"))
+    sites = narrow.join(host_rate, F.col("_host").eqNullSafe(F.col("_h"))).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), ((F.col("good") + inner * F.col("_host_rate")) / (F.col("n") + inner)).alias("_site_rate"))
     few = narrow.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
     joined = marked.join(F.broadcast(sites) if few else sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p", "_host", "_path")
-    odds = F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - math.log(rate / (1 - rate))
+    odds = F.log(F.col("_site_rate") / (1 - F.col("_site_rate"))) - math.log(rate / (1 - rate))
     moved = F.greatest(F.lit(-MOST), F.least(F.lit(MOST), TRUST * odds))
-    out = joined.withColumn("evidence", evidence(joined, model, text))
-    return out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("evidence") + F.coalesce(moved, F.lit(0.0))))))
+    out = joined.withColumn("_z", evidence(joined, model, text)).withColumn("_p", 1 / (1 + F.exp(-(F.col("_z") + F.coalesce(moved, F.lit(0.0))))))
+    made = {f"{prefix}evidence": "_z", f"{prefix}site_rate": "_site_rate", f"{prefix}posterior": "_p"}
+    return out.select(*(c for c in docs.columns if c not in made), *(F.col(c).alias(name) for name, c in made.items()))
 
 
 def keep_good(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches the threshold, with their own columns only."""
     columns = docs.columns
-    return score(docs, model, host, path, text).where(F.col("posterior") >= threshold).select(*columns)
+    return score(docs, model, host, path, text, "_quality_").where(F.col("_quality_posterior") >= threshold).select(*columns)

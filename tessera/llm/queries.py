@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprint, html, mixing, neardup, quality, tiff, toxicity, warc
+from tessera.llm import bpe, chat, fingerprint, html, mixing, neardup, quality, tiff, toxicity, warc
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
@@ -83,8 +83,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without quotes, linked to what they answer and in reply order."""
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op6_quality, op7_syncmers, op8_mixing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op6_quality, op7_syncmers, op8_mixing, op9_toxicity, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
