@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -34,6 +35,17 @@ LONG_WORD = 64  # longer pre-tokens are not remembered
 #: Characters with the Unicode property White_Space.
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
+# Letters, numbers and capitals (first, last, first small letter) that are younger than the tables of one
+# of the two sides, which the tokenizers library reads as neither letters nor numbers, or lower-cases.
+YOUNG_LETTERS = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+YOUNG_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+YOUNG_CAPITALS = ((0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB))
+
+
+def _class(ranges: str) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    return "".join("-".join(f"\\U{x:0>8}" for x in r.split("-")) for r in ranges.split())
+
 
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte: itself where printable, else the next letter from 256 on."""
@@ -202,6 +214,11 @@ class Tokenizer:
     def __init__(self, data: bytes):
         self.v = Vocabulary(data)
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
+        # The same with young characters as the library takes them, for the few texts that hold one.
+        letter, number = rf"[\p{{L}}--[{_class(YOUNG_LETTERS)}]]", rf"[\p{{N}}--[{_class(YOUNG_NUMBERS)}]]"
+        self.careful = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACES}{letter}{number}]+")
+        self.capitals = {a + i: c + i for a, b, c in YOUNG_CAPITALS for i in range(b - a + 1)}
+        self.young = re.compile(f"[{_class(YOUNG_LETTERS)}{_class(YOUNG_NUMBERS)}{re.escape(''.join(map(chr, self.capitals)))}]")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.added)) + ")") if self.v.added else None
         self.words: dict[str, bytes] = {}
 
@@ -209,6 +226,8 @@ class Tokenizer:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # letters are lower-cased one by one, so a final one is no exception
             text = text.replace("Σ", "σ")
+        if not text.isascii() and self.young.search(text):
+            return self.careful.findall(text.lower().translate(self.capitals))
         return self.pattern.findall(text.lower())
 
     def word(self, word: str) -> bytes:

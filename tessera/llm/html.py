@@ -298,6 +298,7 @@ OTHERS = {
     "comment": "section class=comments;div id=comments;div class=comment-list;ol class=commentlist;div class=comment;div class=discussion;div class=responses;div id=disqus_thread;section class=reader-comments;div class=replies",
     "share": "div class=share;div class=social;ul class=share-buttons;div class=toolbar;div class=meta-links",
 }
+WRAPPERS = "div;div;div;div class=wrapper;div class=container;div class=row;div id=page;section;div class=inner;div class=layout"
 ARTICLES = "article;article class=post;div class=article-body;main;div class=entry-content;div id=content;div class=post-content;section class=story;div class=main;div role=main;div class=text;article class=h-entry;div class=content;div class=page-content"
 
 
@@ -383,7 +384,12 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
             body = f'<div data-y="1">{body}</div>'
         if rng.random() < 0.3:
             body = f"<div class=wrapper>{body}{other('side') if rng.random() < 0.5 else ''}</div>"
-        out.append(f"<html><body>{before}{body}{after}</body></html>")
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 4])):
+            body = tagged(rng.choice(WRAPPERS.split(";")), body, None)
+        whole = f"{before}{body}{after}"
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            whole = tagged(rng.choice(WRAPPERS.split(";")), whole, None)
+        out.append(f"<html><body>{whole}</body></html>")
     return out
 
 

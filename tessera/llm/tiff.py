@@ -190,7 +190,8 @@ def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
     if predictor == 1:
         return block
     if predictor == 2:
-        return np.add.accumulate(block, axis=1, dtype=block.dtype)
+        native = block.astype(block.dtype.newbyteorder("="))
+        return np.add.accumulate(native, axis=1, dtype=native.dtype).astype(block.dtype)
     if predictor == 3:  # bytes of a row: differences over planes, most significant byte first
         rows, columns, samples = block.shape
         size = block.dtype.itemsize
