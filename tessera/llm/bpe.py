@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_rows
 
 WORD_END = chr(0xE000)  # stands for the word-end mark inside the transducer
-CACHED_WORDS = 500_000  # pre-tokens remembered by a worker
+CACHED_WORDS = 300_000  # pre-tokens, and stretches without white space, remembered by a worker
 CACHED_PAIRS = 200_000  # token pairs whose verdict a worker remembers
 LONG_WORD = 64  # longer pre-tokens are not remembered
 
 #: Characters with the Unicode property White_Space.
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Characters that Python takes for white space and Unicode doesn't.
+SEPARATORS = "".join(map(chr, range(28, 32)))
 
 # Letters, numbers and capitals (first, last, first small letter) that are younger than the tables of one
 # of the two sides, which the tokenizers library reads as neither letters nor numbers, or lower-cases.
@@ -220,29 +222,58 @@ class Tokenizer:
         self.capitals = {a + i: c + i for a, b, c in YOUNG_CAPITALS for i in range(b - a + 1)}
         self.young = re.compile(f"[{_class(YOUNG_LETTERS)}{_class(YOUNG_NUMBERS)}{re.escape(''.join(map(chr, self.capitals)))}]")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.v.added)) + ")") if self.v.added else None
+        self.late = re.compile(r"[\u0558-\U0010FFFF]")  # no young character comes before
+        self.spaces = re.compile(f"[{SPACES}]+")
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
-    def words_of(self, text: str) -> list[str]:
+    def is_young(self, text: str) -> bool:
+        """Whether a text holds a young character: rare, and cheap to rule out."""
+        return not text.isascii() and self.late.search(text) is not None and self.young.search(text) is not None
+
+    def chunks_of(self, text: str) -> list[str]:
+        """The normalised text between white space; no pre-token reaches across it."""
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # letters are lower-cased one by one, so a final one is no exception
             text = text.replace("Σ", "σ")
-        if not text.isascii() and self.young.search(text):
-            return self.careful.findall(text.lower().translate(self.capitals))
-        return self.pattern.findall(text.lower())
+        if self.is_young(text):
+            return self.spaces.split(text.lower().translate(self.capitals))
+        if any(c in text for c in SEPARATORS):
+            return self.spaces.split(text.lower())
+        return text.lower().split()
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a stretch without white space."""
+        packed = self.old_chunks.get(chunk)
+        if packed is None:
+            found = (self.careful if self.is_young(chunk) else self.pattern).findall(chunk)
+            packed = b"".join(self.words.get(w) or self.word(w) for w in found)
+        if len(chunk) <= LONG_WORD:
+            if len(self.chunks) >= CACHED_WORDS:  # two generations: what is used again is kept
+                self.old_chunks, self.chunks = self.chunks, {}
+            self.chunks[chunk] = packed
+        return packed
 
     def word(self, word: str) -> bytes:
         """The ids of one pre-token, packed."""
+        packed = self.old_words.get(word)
+        if packed is None:
+            packed = self.transduce(word)
+        if len(word) <= LONG_WORD:
+            if len(self.words) >= CACHED_WORDS:
+                self.old_words, self.words = self.words, {}
+            self.words[word] = packed
+        return packed
+
+    def transduce(self, word: str) -> bytes:
         symbols = [self.v.letters[b] for b in word.encode("utf-8")]
         run, out = Encoder(self.v), []
         for s in symbols[:-1]:
             out += run.push(s)
         out += run.finish(symbols[-1])
-        packed = array("I", out).tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[word] = packed
-        return packed
+        return array("I", out).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as packed unsigned 32-bit integers, little-endian."""
@@ -252,8 +283,8 @@ class Tokenizer:
             if k % 2:
                 out.append(array("I", [self.v.added[part]]).tobytes())
             elif part:
-                words, get, miss = self.words_of(part), self.words.get, self.word
-                out += [get(w) or miss(w) for w in words]
+                get, miss = self.chunks.get, self.chunk
+                out += [get(c) or miss(c) for c in self.chunks_of(part) if c]
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
