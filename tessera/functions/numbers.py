@@ -24,8 +24,9 @@ def iso_week(c: Column) -> Column:
 
 
 def recency(last: Column, now: Column, half_life: float = 90.0) -> Column:
-    """Halves every ``half_life`` days; a date ahead counts as today. Rounded to 2."""
-    return F.round(F.pow(F.lit(0.5), F.greatest(F.datediff(now, last), F.lit(0)) / half_life), 2)
+    """Halves every ``half_life`` days; a date ahead counts as today; null without a date. Rounded to 2."""
+    age = F.datediff(now, last)
+    return F.round(F.pow(F.lit(0.5), F.when(age < 0, 0).otherwise(age) / half_life), 2)
 
 
 def edge_decay(last: Column, now: Column, year: float = 365.0) -> Column:

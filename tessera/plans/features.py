@@ -30,7 +30,7 @@ def contribution_features(contributions: DataFrame, projects: DataFrame, now: Co
     return rows.groupBy("person_id").agg(
         log_mass(F.sum(F.col("stars") * F.col("contribution_share"))).alias("stars_weighted"),
         F.sum(F.when(inside & F.col("commit_count").isNotNull(), F.col("commit_count").cast("double"))).alias("commits_12mo"),
-        F.least(F.max(F.when(inside & F.col("first_commit_at").isNotNull(), weeks)), F.lit(MOST_WEEKS)).alias("active_weeks_12mo"),
+        F.max(F.when(inside & F.col("first_commit_at").isNotNull(), F.when(weeks > MOST_WEEKS, MOST_WEEKS).otherwise(weeks))).alias("active_weeks_12mo"),
         F.max((F.col("stars") > HIT_STARS) & (F.col("contribution_share") >= HIT_SHARE)).alias("_hit"),
         F.max("last_commit_at").alias("_last"),
     )

@@ -57,12 +57,12 @@ class TokenBucket:
 
     rate: float
     size: float
-    held: float = -1.0
+    held: float | None = None
     at: float = 0.0
 
     def wait(self, now: float) -> float:
         """Seconds to wait before the next request."""
-        self.held = min(self.size, (self.size if self.held < 0 else self.held) + (now - self.at) * self.rate)
+        self.held = min(self.size, (self.size if self.held is None else self.held) + (now - self.at) * self.rate)
         self.at = now
         self.held -= 1
         return max(0.0, -self.held / self.rate)
