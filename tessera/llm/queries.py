@@ -56,6 +56,20 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=85)
 
 
+OP5_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 100 * shared >= 85 * (n + m - shared)),
+t AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT t.y, r.low FROM r JOIN t ON t.x = r.id WHERE r.low < t.y),
+c AS (SELECT id, min(low) AS component_id FROM r GROUP BY id)
+SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON id = doc_id
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior quality of every document: sources are its hosts, their languages the paths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -93,4 +107,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op5_neardup": OP5_SQL}
