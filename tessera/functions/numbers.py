@@ -56,8 +56,8 @@ def unit(v: Column) -> Column:
 
 
 def closeness(observed: Column, target: Column) -> Column:
-    """How much of a target is reached: 1 at or above it."""
-    return F.when(target > 0, F.least(F.lit(1.0), observed / target))
+    """How much of a target is reached: 1 at or above it; null where the value is unknown or the target is not above 0."""
+    return F.when((target > 0) & observed.isNotNull(), F.least(F.lit(1.0), observed / target))
 
 
 def mean_and_best(mean: Column, best: Column, mean_weight: float = 0.6) -> Column:

@@ -69,7 +69,7 @@ def prior_collaboration(members: DataFrame, facts: DataFrame) -> DataFrame:
 def ideal_match(members: DataFrame, features: DataFrame, targets: dict[str, float], weights: dict[str, float], vectors: DataFrame | None = None, ideal: Sequence[float] | None = None) -> DataFrame:
     """How near the team comes to an ideal profile: shares of targets reached, and the cosine of profile vectors."""
     scaled = {k: (_value(k) / 10 if k == "stars_weighted" else _value(k)) for k in targets}
-    scores = [closeness(F.least(F.lit(1.0), scaled[k]), F.lit(float(t))) for k, t in targets.items()]
+    scores = [closeness(F.when(scaled[k] > 1, 1.0).otherwise(scaled[k]), F.lit(float(t))) for k, t in targets.items()]
     ws = [F.lit(float(weights.get(k, 1.0))) for k in targets]
     rows = features
     if vectors is not None and ideal is not None:
