@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -15,6 +16,15 @@ TITLES = ("dr", "prof", "professor", "phd", "md", "msc", "bsc", "ing", "mr", "mr
 GENERIC_INBOXES = ("admin", "contact", "hello", "info", "mail", "no-reply", "noreply", "office", "sales", "support", "team", "webmaster")
 LEGAL_FORMS = ("ag", "gmbh", "sa", "sarl", "inc", "llc", "ltd", "se", "kg", "co", "corp", "plc")
 ALIAS_DOMAIN = "users.noreply.github.com"
+# Hosts of repositories (and what may stand before the owner), names of repositories that are no products, hints
+# of research, and what a readme says of funding.
+CODE_HOSTS = (("github.com", ""), ("gitlab.com", ""), ("huggingface.co", "(?:spaces/)?"))
+REPO_NOISE = r"(?i)awesome-|course|tutorial|exercise|dotfiles|\bbook\b|\bdemo\b|\bmeme\b"
+RESEARCH_HINT = "(?i)arxiv|paper"
+FUNDED = {
+    "backed_by": r"(?i)\bbacked by\b", "funded_by": r"(?i)\bfunded by\b", "series_round": r"(?i)\bseries [a-c]\b", "preseed": r"(?i)\bpre-?seed\b", "seed_round": r"(?i)\bseed round\b", "yc_batch": r"\bYC [SW]\d{2}\b",
+    "a16z": r"(?i)\ba16z\b", "sequoia": r"(?i)\bsequoia\b", "accel": r"(?i)\baccel\b", "index_ventures": r"(?i)\bindex ventures\b", "lightspeed": r"(?i)\blightspeed\b",
+}
 PUNCTUATION = r"""[.,;:!?'"()\[\]]"""
 
 
@@ -84,8 +94,10 @@ def profile_url_key(c: Column) -> Column:
 
 
 def url_domain(c: Column) -> Column:
-    """Lower-cased host of a URL with scheme, without ``www.``."""
-    return F.regexp_replace(F.lower(F.try_parse_url(F.trim(c), F.lit("HOST"))), r"^www\.", "")
+    """Lower-cased host of a URL, with or without scheme, without ``www.``; null for an empty one."""
+    whole = F.when(F.contains(c, F.lit("//")), c).otherwise(F.concat(F.lit("https://"), c))
+    host = F.regexp_replace(F.lower(F.regexp_extract(whole, r"//([^/?#]*)", 1)), r"^www\.", "")
+    return F.when(host != "", host)
 
 
 def login_is_name(login: Column, name: Column) -> Column:
@@ -160,16 +172,17 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def paper_id(c: Column) -> Column:
-    """``2101.00001v3`` as (id, version); no suffix is version 1."""
-    v = F.regexp_extract(c, r"v(\d+)$", 1)
-    return F.struct(F.regexp_replace(c, r"v\d+$", "").alias("id"), F.when(v == "", 1).otherwise(v.cast("int")).alias("version"))
+    """``2101.00001v3``, or a URL that ends in it, as (id, version); no suffix is version 1."""
+    tail = F.trim(F.element_at(F.split(c, "/abs/"), -1))
+    v = F.regexp_extract(tail, r"v(\d+)$", 1)
+    return F.struct(F.regexp_replace(tail, r"v\d+$", "").alias("id"), F.when(v == "", 1).otherwise(v.try_cast("int")).alias("version"))
 
 
 def paper_id_of_work(doi: Column, urls: Column) -> Column:
-    """The preprint id from a registry DOI, else from the first landing URL that has one."""
+    """The preprint id from a registry DOI, else from the first landing URL that has one, without version."""
     from_doi = F.regexp_extract(F.lower(doi), r"^(?:https?://doi\.org/)?10\.48550/arxiv\.(.+)$", 1)
-    ids = F.filter(F.transform(urls, lambda u: F.regexp_extract(u, r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})", 1)), lambda x: x != "")
-    return F.coalesce(F.when(from_doi != "", from_doi), F.get(ids, F.lit(0)))
+    ids = F.filter(F.transform(urls, lambda u: F.regexp_extract(u, r"(?i)arxiv\.org/abs/([^\s?#]+)", 1)), lambda x: x != "")
+    return F.coalesce(paper_id(F.when(from_doi != "", from_doi))["id"], paper_id(F.get(ids, F.lit(0)))["id"])
 
 
 def lookup_doi(doi: Column, paper: Column) -> Column:
@@ -178,10 +191,16 @@ def lookup_doi(doi: Column, paper: Column) -> Column:
 
 
 def code_links(c: Column) -> Column:
-    """Repository links in order of first sight, compared without case, ``.git`` and closing dots cut."""
-    found = F.regexp_extract_all(c, F.lit(r"(?i)((?:https?://)?(?:www\.)?(?:github\.com|gitlab\.com|huggingface\.co)/[\w.-]+/[\w.-]+)"), F.lit(1))
-    bare = F.transform(found, lambda u: F.regexp_replace(F.regexp_replace(u, r"\.+$", ""), r"(?i)\.git$", ""))
-    return distinct_by(bare, F.lower)
+    """Repository URLs of a text, host by host in order of sight, each once whatever its case; ``.git`` and closing dots cut."""
+    return distinct_by(F.concat(*(_links_of(c, host, between) for host, between in CODE_HOSTS)), F.lower)
+
+
+def _links_of(c: Column, host: str, between: str) -> Column:
+    pattern = F.lit(rf"(?i){re.escape(host)}/{between}([\w.-]+)/([\w.-]+)(?=[\s).,;\]'\"]|$)")
+    owners, repos = (F.regexp_extract_all(c, pattern, F.lit(i)) for i in (1, 2))
+    bare = F.transform(repos, lambda r: F.regexp_replace(F.regexp_replace(F.regexp_replace(r, r"\.+$", ""), r"\.git$", ""), r"\.+$", ""))
+    urls = F.zip_with(owners, bare, lambda o, r: F.when(r != "", F.concat(F.lit(f"https://{host}/"), o, F.lit("/"), r)))
+    return F.filter(urls, lambda u: u.isNotNull())
 
 
 def distinct_by(a: Column, key) -> Column:
@@ -263,11 +282,18 @@ def prefix_match(a: Column, b: Column) -> Column:
     return (a == b) | (long & (a.startswith(b) | b.startswith(a)))
 
 
-def repo_likeness(name: Column, topics: Column, homepage: Column, description: Column) -> Column:
-    """0.2 for coursework and the like; else 0.5, with bonuses for a homepage and for topics."""
-    noise = F.coalesce(F.concat_ws(" ", name, description).rlike(r"(?i)\b(awesome|dotfiles|homework|tutorial|course|interview|leetcode|cheatsheet|mirror|fork)\b"), F.lit(False))
-    bonus = F.when(F.coalesce(homepage, F.lit("")) != "", 0.15).otherwise(0.0) + F.when(F.size(F.coalesce(topics, F.array())) > 0, 0.1).otherwise(0.0)
-    return F.when(noise, F.lit(0.2)).otherwise(F.least(F.lit(1.0), F.lit(0.5) + bonus))
+def repo_likeness(name: Column, description: Column, readme: Column) -> Column:
+    """0.2 for courses, lists and the like; else 0.5, with bonuses for a description and for papers in the readme."""
+    noise = F.concat_ws(" ", name, F.nullif(description, F.lit(""))).rlike(REPO_NOISE)
+    bonus = F.when(F.coalesce(description, F.lit("")) != "", 0.1).otherwise(0.0) + F.when(F.coalesce(readme.rlike(RESEARCH_HINT), F.lit(False)), 0.15).otherwise(0.0)
+    return F.when(noise, F.lit(0.2)).otherwise(F.round(F.least(F.lit(1.0), F.lit(0.5) + bonus), 2))
+
+
+def owner_signals(verified: Column, funding_links: Column, owner_url: Column, homepage: Column) -> Column:
+    """Signals of a repository's owner: verified, asks for funds, homepage on the owner's own domain."""
+    same = F.coalesce(url_domain(owner_url) == url_domain(homepage), F.lit(False))
+    fired = F.array(F.when(F.coalesce(verified, F.lit(False)), "org_verified"), F.when(F.size(F.coalesce(funding_links, F.array().cast("array<string>"))) > 0, "funding_links"), F.when(same, "org_domain_matches_homepage"))
+    return F.filter(fired, lambda x: x.isNotNull())
 
 
 def any_of(conditions: list[Column]) -> Column:

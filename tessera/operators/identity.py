@@ -34,7 +34,9 @@ EMAIL_LEVEL = 0.88
 # Names count as one person's from these similarities on.
 CROSSLINK_NAME, TEAM_NAME = 0.92, 0.90
 # Sources by precedence.
-PRECEDENCE = ("interview", "github", "openalex", "arxiv", "enrichment", "zefix", "showcase")
+PRECEDENCE = ("interview", "github", "openalex_author", "arxiv_author", "enrichment", "zefix_officer", "showcase")
+# Sources that never corroborate, and sources that vouch for an identity by themselves.
+DEPENDENT, CURATED = ("enrichment",), ("openalex_author",)
 
 
 def _table(values: dict, default=None) -> Column:
@@ -277,7 +279,7 @@ def rank_of(source: Column, precedence: tuple = PRECEDENCE) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, precedence)), source).cast("int"), F.lit(0)) + F.when(source.isin(*precedence), 0).otherwise(len(precedence) + 1)
 
 
-def golden_persons(records: DataFrame, links: DataFrame, dependent: tuple = ("enrichment",), curated: tuple = ("zefix",), precedence: tuple = PRECEDENCE) -> DataFrame:
+def golden_persons(records: DataFrame, links: DataFrame, dependent: tuple = DEPENDENT, curated: tuple = CURATED, precedence: tuple = PRECEDENCE) -> DataFrame:
     """One row a person from its records: first known values by source precedence, the most complete and longest
     name, the latest affiliation, all addresses in order, and a quality from independent sources."""
     r = records.join(links.where("status = 'active'").select("record_id", "person_id"), "record_id").withColumn("_o", F.struct(rank_of(F.col("source"), precedence).alias("r"), F.col("record_id").alias("i")))

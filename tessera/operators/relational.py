@@ -29,8 +29,13 @@ def reasons(checks: Sequence[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*(F.when(failed, F.lit(name)) for name, failed in checks)), lambda x: x.isNotNull())
 
 
-def bots(login: Column, kind: Column, denied: Sequence[str] = ()) -> Column:
-    return F.coalesce(kind == "Bot", F.lit(False)) | F.lower(login).endswith("[bot]") | F.lower(login).isin(*denied or [""])
+# Accounts that are programs.
+BOTS = "dependabot renovate github-actions greenkeeper snyk-bot imgbot allcontributors codecov pre-commit-ci web-flow weblate".split()
+
+
+def bots(login: Column, kind: Column, denied: Sequence[str] = BOTS) -> Column:
+    """Of kind Bot, marked ``[bot]``, or on the list."""
+    return F.coalesce(kind == "Bot", F.lit(False)) | login.endswith("[bot]") | F.regexp_replace(F.lower(login), r"\[bot\]$", "").isin(*denied)
 
 
 def row_contains(df: DataFrame, needle: str) -> DataFrame:

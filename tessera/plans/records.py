@@ -80,7 +80,7 @@ def catalogue_authors(works: DataFrame) -> DataFrame:
     entry = "array<struct<author:struct<id:string,display_name:string,orcid:string>,institutions:array<struct<display_name:string>>>>"
     rows = works.select("openalex_id", "scraped_at", "ingested_at", F.posexplode(path("payload", "$.authorships", entry)).alias("p", "a")).where("a.author.id is not null")
     first = rows.groupBy(F.col("a.author.id").alias("source_key")).agg(F.min_by(F.struct("a", "scraped_at", "ingested_at"), F.struct("openalex_id", "p")).alias("r")).select("source_key", "r.*")
-    return observed(first, source=F.lit("openalex"), source_key=F.col("source_key"), full_name=F.col("a.author.display_name"), orcid=text.bare_orcid(F.col("a.author.orcid")), affiliation_raw=F.get("a.institutions", F.lit(0))["display_name"])
+    return observed(first, source=F.lit("openalex_author"), source_key=F.col("source_key"), full_name=F.col("a.author.display_name"), orcid=text.bare_orcid(F.col("a.author.orcid")), affiliation_raw=F.get("a.institutions", F.lit(0))["display_name"])
 
 
 def preprint_authors(papers: DataFrame, works: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def preprint_authors(papers: DataFrame, works: DataFrame) -> DataFrame:
     each = rows.select("*", F.posexplode("_all").alias("p", "author"))
     contact = F.nullif(F.regexp_extract(path("payload", "$.comment"), CONTACT, 0), F.lit(""))
     single = (F.size("_all") == 1) & contact.isNotNull()
-    return observed(each, source=F.lit("arxiv"), source_key=F.concat_ws(":", "arxiv_id", (F.col("p") + 1).cast("string")), full_name=F.col("author"), emails=F.when(single, F.array(contact)))
+    return observed(each, source=F.lit("arxiv_author"), source_key=F.concat_ws(":", "arxiv_id", (F.col("p") + 1).cast("string")), full_name=F.col("author"), emails=F.when(single, F.array(contact)))
 
 
 def register_officers(notices: DataFrame, companies: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def register_officers(notices: DataFrame, companies: DataFrame) -> DataFrame:
     last, first, town = (F.trim(F.get("m", F.lit(i))) for i in range(3))
     named = rows.join(companies.select("uid", F.col("name").alias("_company")), "uid", "left").select("*", last.alias("_last"), first.alias("_first"), town.alias("_town"), F.trim(F.get("m", F.lit(3))).alias("role"))
     key = F.concat_ws(":", "uid", text.name_key(F.concat_ws(", ", "_last", "_first")))
-    return observed(named, source=F.lit("zefix"), source_key=key, full_name=F.concat_ws(" ", "_first", "_last"), affiliation_raw=F.col("_company"), location_raw=F.col("_town"), country_code=F.lit("CH"))
+    return observed(named, source=F.lit("zefix_officer"), source_key=key, full_name=F.concat_ws(" ", "_first", "_last"), affiliation_raw=F.col("_company"), location_raw=F.col("_town"), country_code=F.lit("CH"))
 
 
 def showcase(people: DataFrame, projects: DataFrame, cvs: DataFrame) -> DataFrame:

@@ -23,8 +23,11 @@ REQUIRED = {"individual_experience": ("stars_weighted", "commits_12mo", "zero_to
 GATE = 0.5
 # Members of the European Union.
 EU = "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE".split()
-FUNDING_WORDS = [r"(?i)\b(?:pre-?seed|seed|series [a-e])\b[^.]{0,40}\b(?:round|funding|raised?)\b", r"(?i)\braised\b[^.]{0,40}\b(?:chf|eur|usd|million|mio)\b", r"(?i)\bbacked by\b[^.]{0,60}\b(?:ventures?|capital|vc)\b"]
-CAPITAL_WORDS = r"(?i)\b(?:kapitalerh(?:ö|oe)hung|augmentation (?:de|du) capital|capital increase|aumento (?:di|del) capitale)\b"
+# Words of funding in texts and of capital in filings, the rubric of capital filings, the gate of companies, open questions.
+FUNDING_WORDS = [r"(?i)\bseed\b|\bseries [a-c]\b|\braised\b|\bbacked by\b|\binvestors\b"]
+CAPITAL_WORDS, CAPITAL_RUBRICS = r"(?i)kapitalerh(?:ö|oe?)hung|augmentation du capital", ("HR02",)
+STARTUP = "tech_startup_candidate"
+QUESTIONS = (("traction.revenue", "traction", "Do you have paying pilots or revenue today?", 0.9), ("market.tam", "market", "Which customer segment do you serve first, and how large is it?", 0.7))
 
 
 def _value(name: str) -> Column:
@@ -129,8 +132,8 @@ def pool(candidates: DataFrame, sectors: Sequence[str], regions: Sequence[str],
 
 def funding_signal(probes: DataFrame, filings: DataFrame, known_funded: DataFrame, verdicts: DataFrame) -> DataFrame:
     """confirmed_funded by a filing or the list of funded names; else what a verdict says of a text with funding words
-    (``suspected`` without verdict); else none_found. ``probes``: venture_id, uid, company_name, text."""
-    filed = filings.where(F.col("is_increase") | F.coalesce(F.col("text").rlike(CAPITAL_WORDS), F.lit(False))).select("uid").distinct().withColumn("_filed", F.lit(True))
+    (``suspected`` without verdict); else none_found. ``filings``: uid, sub_rubric, text. ``probes``: venture_id, uid, company_name, text."""
+    filed = filings.where(F.coalesce(F.col("sub_rubric").isin(*CAPITAL_RUBRICS), F.lit(False)) | F.coalesce(F.col("text").rlike(CAPITAL_WORDS), F.lit(False))).select("uid").distinct().withColumn("_filed", F.lit(True))
     listed = known_funded.select(F.col("org_key").alias("_k")).distinct().withColumn("_listed", F.lit(True))
     rows = probes.withColumn("_k", org_key(F.col("company_name"))).join(filed, "uid", "left").join(listed, "_k", "left").join(verdicts.select("venture_id", "verdict"), "venture_id", "left")
     hit = snippet(F.col("text"), FUNDING_WORDS)
@@ -140,7 +143,7 @@ def funding_signal(probes: DataFrame, filings: DataFrame, known_funded: DataFram
 
 
 def gaps(ventures: DataFrame, catalog: DataFrame, answered: DataFrame, weights: dict[str, float], most: int = 8) -> DataFrame:
-    """Open questions of each venture by weight of the category times importance. ``catalog``: field, category, importance, position."""
+    """Open questions of each venture by weight of the category times importance. ``catalog``: field, category, importance, position (such as QUESTIONS)."""
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     asked = ventures.select("venture_id").crossJoin(F.broadcast(catalog))  # a fixed list of questions
     left = asked.join(answered.select("venture_id", "field").distinct(), ["venture_id", "field"], "left_anti")
@@ -186,5 +189,5 @@ def anchors(projects: DataFrame, companies: DataFrame, matched: DataFrame) -> Da
     no repository took. ``matched``: project_id, company_id."""
     named = projects.where((F.coalesce("venture_likeness", F.lit(0.0)) >= 0.6) & ~F.coalesce("is_corporate_oss", F.lit(False))).join(matched, "project_id", "left").join(companies.select("company_id", F.col("name").alias("_c")), "company_id", "left")
     repos = named.select(F.lit("github_repo").alias("anchor_type"), F.col("project_id").alias("anchor_id"), F.coalesce("_c", "name").alias("name"))
-    free = companies.where(F.coalesce("startup_likeness", F.lit(0.0)) >= 0.6).join(matched.select("company_id"), "company_id", "left_anti")
+    free = companies.where(F.col("startup_likeness") == STARTUP).join(matched.select("company_id"), "company_id", "left_anti")
     return repos.unionByName(free.select(F.lit("company").alias("anchor_type"), F.col("company_id").alias("anchor_id"), "name"))

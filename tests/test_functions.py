@@ -42,7 +42,7 @@ def test_small_text_functions(spark):
     assert one(spark, text.paper_id_of_work(F.col("a"), F.col("b")), a="10.48550/arXiv.2101.00001", b=[]) == "2101.00001"
     assert one(spark, text.paper_id_of_work(F.col("a"), F.col("b")), a="10.1/x", b=["http://x", "https://arxiv.org/abs/2202.12345v2"]) == "2202.12345"
     assert one(spark, text.lookup_doi(F.col("a"), F.col("b")), a=None, b="2101.1") == "10.48550/arxiv.2101.1"
-    assert one(spark, text.code_links(F.col("a")), a="see https://github.com/A/b.git and github.com/a/B. Or gitlab.com/c/d!") == ["https://github.com/A/b", "github.com/a/B", "gitlab.com/c/d"]
+    assert one(spark, text.code_links(F.col("a")), a="see https://github.com/A/b.git and github.com/a/B. Or gitlab.com/c/d.") == ["https://github.com/A/b", "https://gitlab.com/c/d"]
     assert one(spark, text.bare_orcid(F.col("a")), a="https://orcid.org/0000-1") == "0000-1"
     assert one(spark, text.first_email(F.col("a")), a="mail me: x.y@z.org, or a@b.c") == "x.y@z.org"
     assert one(spark, text.first_email(F.col("a")), a="none") is None
@@ -57,8 +57,11 @@ def test_small_text_functions(spark):
     assert one(spark, text.prefix_match(F.col("a"), F.col("b")), a="tacti", b="tactile") and not one(spark, text.prefix_match(F.col("a"), F.col("b")), a="tac", b="tactile")
     assert one(spark, text.login_is_name(F.col("a"), F.col("b")), a="AnnLee", b="ann lee") is True and one(spark, text.login_is_name(F.col("a"), F.col("b")), a=None, b="x") is False
     assert one(spark, text.first_matches(F.col("a"), {"yc": r"(?i)y combinator", "seed": "seed"}), a="seed by Y Combinator") == ["yc", "seed"]
-    assert one(spark, text.repo_likeness(F.col("a"), F.array(F.lit("t")), F.lit("http://x"), F.lit("a tool")), a="x") == 0.75
-    assert one(spark, text.repo_likeness(F.col("a"), F.array(F.lit("t")), F.lit("http://x"), F.lit("a tutorial")), a="x") == 0.2
+    likeness = lambda n, d, r: one(spark, text.repo_likeness(F.col("a"), F.col("b"), F.col("c")), a=n, b=d, c=r)
+    assert [likeness("x", "a tool", "see arXiv"), likeness("x", None, None), likeness("awesome-x", "a tool", None), likeness("x", "my demo", "paper")] == [0.75, 0.5, 0.2, 0.2]
+    assert one(spark, text.first_matches(F.col("a"), text.FUNDED), a="Backed by Sequoia, YC W21; Series B") == ["backed_by", "series_round", "yc_batch", "sequoia"]
+    assert one(spark, text.owner_signals(F.lit(True), F.array(F.lit("u")), F.col("a"), F.col("b")), a="https://www.x.org", b="x.org/app") == ["org_verified", "funding_links", "org_domain_matches_homepage"]
+    assert one(spark, text.url_domain(F.col("a")), a="") is None
 
 
 @settings(max_examples=200, deadline=None)

@@ -22,12 +22,12 @@ def people(spark):
     return spark.createDataFrame(
         [
             record("a1", "github", "Mara Vogt", email_norms=["mara@vogt.ch"], email_domain="vogt.ch", github_login="maravogt", keywords=["robots", "slam", "grasp"], country_code="CH"),
-            record("a2", "openalex", "Mara Lena Vogt", email_norms=["m@uni.ch", "mara@vogt.ch"], orcid="0001", org_norm="uni", affiliation_raw="Uni"),
-            record("a3", "zefix", "M. Vogt", orcid="0001", country_code="CH", affiliation_raw="Vogt AG", last_seen_at=dt.datetime(2024, 5, 1)),
+            record("a2", "openalex_author", "Mara Lena Vogt", email_norms=["m@uni.ch", "mara@vogt.ch"], orcid="0001", org_norm="uni", affiliation_raw="Uni"),
+            record("a3", "zefix_officer", "M. Vogt", orcid="0001", country_code="CH", affiliation_raw="Vogt AG", last_seen_at=dt.datetime(2024, 5, 1)),
             record("a4", "showcase", "Mara Vogt", website_url_norm="github.com/maravogt"),
-            record("b1", "github", "Jan Frei", org_norm="x", github_login="jf"), record("b2", "arxiv", "Jan Frei", org_norm="y"),
-            record("c1", "github", "Eva One", linkedin_url="https://www.LinkedIn.com/in/eva/"), record("c2", "github", "Eva Two", linkedin_url="linkedin.com/in/eva"), record("d1", "arxiv", "Lone Wolf"),
-            record("e1", "github", "Tim Roth", org_norm="z"), record("e2", "openalex", "Tim Roth", org_norm="z"),
+            record("b1", "github", "Jan Frei", org_norm="x", github_login="jf"), record("b2", "arxiv_author", "Jan Frei", org_norm="y"),
+            record("c1", "github", "Eva One", linkedin_url="https://www.LinkedIn.com/in/eva/"), record("c2", "github", "Eva Two", linkedin_url="linkedin.com/in/eva"), record("d1", "arxiv_author", "Lone Wolf"),
+            record("e1", "github", "Tim Roth", org_norm="z"), record("e2", "openalex_author", "Tim Roth", org_norm="z"),
         ],
         RECORDS,
     )
@@ -150,12 +150,12 @@ def test_pool_reasons_one_by_one(spark):
 
 
 def test_funding_and_gaps_and_members(spark):
-    probes = spark.createDataFrame([("v1", "u1", "A AG", ""), ("v2", "u2", "Big Robot GmbH", ""), ("v3", None, "C", "We raised CHF 2 million last year"), ("v4", None, "D", "raised beds, backed by soil"), ("v5", None, "E", "a seed funding round was announced")], "venture_id string, uid string, company_name string, text string")
-    filings = spark.createDataFrame([("u1", False, "Kapitalerhöhung vom 3. Mai")], "uid string, is_increase boolean, text string")
+    probes = spark.createDataFrame([("v1", "u1", "A AG", ""), ("v2", "u2", "Big Robot GmbH", ""), ("v3", None, "C", "We raised CHF 2 million last year"), ("v4", None, "D", "raised beds in the garden"), ("v6", "u9", "F", None), ("v7", None, "G", "seeds only"), ("v5", None, "E", "a seed funding round was announced")], "venture_id string, uid string, company_name string, text string")
+    filings = spark.createDataFrame([("u1", None, "Kapitalerhöhung vom 3. Mai"), ("u9", "HR02", None)], "uid string, sub_rubric string, text string")
     listed = spark.createDataFrame([("big robot",)], "org_key string")
     said = spark.createDataFrame([("v5", "none_found")], "venture_id string, verdict string")
     got = {r["venture_id"]: r["funding_signal"] for r in scoring.funding_signal(probes, filings, listed, said).collect()}
-    assert got == {"v1": "confirmed_funded", "v2": "confirmed_funded", "v3": "suspected", "v4": "none_found", "v5": "none_found"}
+    assert got == {"v1": "confirmed_funded", "v2": "confirmed_funded", "v3": "suspected", "v4": "suspected", "v5": "none_found", "v6": "confirmed_funded", "v7": "none_found"}
     catalog = spark.createDataFrame([("f1", "market", 0.9, 1), ("f2", "traction", 0.5, 2), ("f3", "schools", 1.0, 3)], "field string, category string, importance double, position int")
     asked = scoring.gaps(probes.select("venture_id").limit(1), catalog, spark.createDataFrame([("v1", "f3")], "venture_id string, field string"), {"market": 1.0, "traction": 3.0}).orderBy("rank").collect()
     assert [r["field"] for r in asked] == ["f2", "f1"]
@@ -166,6 +166,6 @@ def test_funding_and_gaps_and_members(spark):
     team = {r["person_id"]: r for r in scoring.merged_members(repo, officers.withColumnRenamed("company_id", "project_id"), "project_id").collect()}
     assert team["p"]["is_founder_guess"] and team["p"]["role_hint"] == "founder" and team["z"]["weight"] == round(0.5 / 1.5, 4) and set(team) == {"p", "q", "z"}
     projects = spark.createDataFrame([("p1", "repo", 0.7, None), ("p2", "corp", 0.9, True), ("p3", "low", None, False)], "project_id string, name string, venture_likeness double, is_corporate_oss boolean")
-    firms = spark.createDataFrame([("c1", "Firm", 0.9), ("c2", "Free", 0.8), ("c3", "Old", 0.1)], "company_id string, name string, startup_likeness double")
+    firms = spark.createDataFrame([("c1", "Firm", scoring.STARTUP), ("c2", "Free", scoring.STARTUP), ("c3", "Old", None)], "company_id string, name string, startup_likeness string")
     found = scoring.anchors(projects, firms, spark.createDataFrame([("p1", "c1")], "project_id string, company_id string"))
     assert {tuple(r) for r in found.collect()} == {("github_repo", "p1", "Firm"), ("company", "c2", "Free")}
