@@ -33,6 +33,7 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"
 SHAPE = 0.6
 
 _MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAMED = re.compile(r"(?:class|id|role)\s*=", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -92,9 +93,13 @@ def parse(page: str) -> list[Node]:
                 return
 
     at, size = 0, len(page)
+    last = page.rfind(">")  # no tag is complete beyond
     search = _MARKUP.search
     while at < size:
-        m = search(page, at)
+        m = search(page, at) if at <= last else None
+        if at > last:  # what opens here never closes
+            cut = _OPENS.search(page, at)
+            size = cut.start() if cut else size
         end = m.start() if m else size
         if end > at:
             piece = page[at:end]

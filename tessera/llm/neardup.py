@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, shared_dir, stored
+from tessera.llm.common import drop_stored, map_rows, shared_dir, stored
 
 SYMBOLS, BITS = 6, 16  # values in a chunk, bits of a value
 MISS = 1e-6
@@ -257,6 +257,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     edges = first.union(second)
     apart = components(reps.select(F.col("rep").alias("id")).distinct(), edges)
     final = stored(_with_members(apart, member), "neardup-components")
+    for done in (reps, met, pairs, sets, first, labels, role, prefix):
+        drop_stored(done)
     out = signed.join(final, "id", "left")
     label = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, stored
+from tessera.llm.common import drop_stored, map_rows, stored
 
 VOLUME_BYTES = 1 << 20  # a volume is closed beyond this size
 BLOCK_LINES = 1000  # lines of an index block
@@ -152,7 +152,9 @@ def write_archive(pages: DataFrame, key: str, url: str, page: str, min_bytes: in
             yield volume()
 
     kind = pages.schema[key].dataType.simpleString()
-    return stored(map_rows(rows_in, f"volume string, data binary, entries array<struct<key string, id {kind}, offset long, length long>>", rows), "warc-volumes")
+    volumes = stored(map_rows(rows_in, f"volume string, data binary, entries array<struct<key string, id {kind}, offset long, length long>>", rows), "warc-volumes")
+    drop_stored(again)
+    return volumes
 
 
 # ---- index ------------------------------------------------------------------------------------
