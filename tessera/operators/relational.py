@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import ensure_checkpoint_folder
+
 # ---- projections and filters --------------------------------------------------------------------
 
 
@@ -139,12 +142,16 @@ def conflicts(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return sets.select(key, F.explode(fields).alias("x")).select(key, "x.field", "x.values").where(F.size("values") > 1)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One hash of all rows, whatever their order. Row hashes are gathered by leading byte, so no task sees more than
-    its share before the last 256 hashes are joined."""
+def fingerprint(df: DataFrame, most: int = 1000) -> DataFrame:
+    """One hash of all rows, whatever their order: a tree over the row hashes. Its depth follows the number of rows, so that
+    a node gathers about ``most`` row hashes, or 256 hashes of nodes below."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    buckets = df.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    depth = max(1, math.ceil(math.log(max(1, df.count()) / most, 256)))
+    nodes = df.select(row.alias("h")).groupBy(F.substring("h", 1, 2 * depth).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256)
+    for level in range(depth - 1, 0, -1):
+        nodes = nodes.groupBy(F.substring("b", 1, 2 * level).alias("p")).agg(joined.alias("h")).withColumnRenamed("p", "b")
+    return nodes.agg(joined.alias("fingerprint"))
 
 
 def profile(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -155,10 +162,41 @@ def profile(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
 # ---- windows and order ------------------------------------------------------------------------
 
 
-def share_of_population(value: str, within: Sequence[str] = ()) -> Column:
-    """Share of known values at or below the row's own; null stays null."""
-    w = Window.partitionBy(*within, F.col(value).isNull()).orderBy(value)
-    return F.when(F.col(value).isNotNull(), F.cume_dist().over(w))
+def running_total(df: DataFrame, order: Sequence[Column], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` up to each row in ``order``, over the whole table and without one task that sees it all:
+    ranges of the order are summed by themselves and then offset by the sums before them, one row a range. The ranges are
+    checkpointed, so a lost executor cannot draw them anew between the two steps."""
+    ensure_checkpoint_folder(df)
+    ranged = df.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_amount").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # One row a range: as many as there are partitions.
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_amount", "_inside", "_before")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` with its place in ``order``, from 1 on; the order should be total."""
+    return running_total(df, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
+
+
+def with_share(df: DataFrame, value: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the share of known values (of the groups ``within``) at or below the row's own; null stays null.
+    Rows are counted by value first, so the running sum is over distinct values only."""
+    keys = list(within)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    order = [*(F.col(k) for k in keys), F.col(value)]
+    running = running_total(counts, order, F.col("_n"), "_upto")
+    if keys:
+        groups = running.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.max("_upto").alias("_end"))
+        both = groups.select(*(F.col(k).alias(f"_{k}") for k in keys), "_start", "_end")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        shares = running.join(both, same)
+    else:
+        shares = running.crossJoin(F.broadcast(running.agg(F.lit(0).alias("_start"), F.max("_upto").alias("_end"))))  # one row
+    shares = shares.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(value).alias("_value"), ((F.col("_upto") - F.col("_start")) / (F.col("_end") - F.col("_start"))).alias(name))
+    on = [*(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col(value) == F.col("_value")]
+    return df.join(shares, on, "left").drop("_value", *(f"_k_{k}" for k in keys))
 
 
 def keep_first_per(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +233,8 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int =
 
 def rank_changes(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """Ranks by two scores and the places gained."""
-    a = Window.orderBy(F.desc_nulls_last(before), key)
-    b = Window.orderBy(F.desc_nulls_last(after), key)
-    return df.withColumn("rank_before", F.row_number().over(a)).withColumn("rank_after", F.row_number().over(b)).withColumn("gained", F.col("rank_before") - F.col("rank_after"))
+    first = global_rank(df, [F.desc_nulls_last(before), F.col(key)], "rank_before")
+    return global_rank(first, [F.desc_nulls_last(after), F.col(key)], "rank_after").withColumn("gained", F.col("rank_before") - F.col("rank_after"))
 
 
 # ---- sets -------------------------------------------------------------------------------------

@@ -457,7 +457,7 @@ def a28_ratios(t: Tables) -> DataFrame:
 def q11_share_of_population(t: Tables) -> DataFrame:
     """Share of known values at or below one's own."""
     rows = t.customer.select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
-    return rows.select("c_custkey", "c_mktsegment", F.round(relational.share_of_population("v", ["c_mktsegment"]), 6).alias("share"))
+    return relational.with_share(rows, "v", "share", ["c_mktsegment"]).select("c_custkey", "c_mktsegment", F.round("share", 6).alias("share"))
 
 
 @query("SELECT c_custkey, c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) = 1 AS kept FROM customer")

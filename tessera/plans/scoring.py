@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import closeness, collaboration_score, confidence, diversity, dot, in_regions, mean_and_best, weighted_mean
 from tessera.functions.text import org_key, snippet
-from tessera.operators.relational import reasons, share_of_population
+from tessera.operators.relational import global_rank, reasons, with_share
 
 # Categories in order; parts of experience; weight of the best school; features that each category needs; the gate.
 CATEGORIES = ("individual_experience", "schools", "network_ties", "prior_collaboration", "problem_realness", "product_defensibility", "market", "traction", "ideal_match")
@@ -38,7 +38,9 @@ def experience(members: DataFrame, features: DataFrame) -> DataFrame:
     """Parts of a person's experience, percentiles over all persons, by the weights of the parts that are known; then
     0.6 times the mean and 0.4 times the best of the team."""
     flat = features.select("person_id", *(_value(k).alias(k) for k in ("stars_weighted", "commits_12mo", "commit_quality", "citations_total", "zero_to_one_flag", "experience_problem_fit", "top_co_flag")))
-    ranks = flat.select("*", *(share_of_population(k).alias(f"p_{k}") for k in ("stars_weighted", "commits_12mo", "citations_total")))
+    ranks = flat
+    for k in ("stars_weighted", "commits_12mo", "citations_total"):
+        ranks = with_share(ranks, k, f"p_{k}")
     github = weighted_mean([F.col("p_stars_weighted"), F.col("p_commits_12mo"), F.col("commit_quality") / 100], [F.lit(1.0)] * 3)
     parts = {"top_company": F.col("top_co_flag"), "github": github, "zero_to_one": F.col("zero_to_one_flag"), "papers": F.col("p_citations_total"), "fit": F.col("experience_problem_fit") / 100}
     person = ranks.select("person_id", (100 * weighted_mean(list(parts.values()), [F.lit(EXPERIENCE[k]) for k in parts])).alias("s"))
@@ -107,7 +109,7 @@ def stage_a(ventures: DataFrame, scores: DataFrame, covered: DataFrame, weights:
 def rerank(df: DataFrame, scores: Sequence[str], weights: dict[str, float], key: str) -> DataFrame:
     """Final scores by other weights, and the new order."""
     value = weighted_mean([F.col(c) for c in scores], [F.lit(float(weights.get(c, 0.0))) for c in scores])
-    return df.withColumn("final_score", F.round(value, 1)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("final_score"), key)))
+    return df.withColumn("final_score", F.round(value, 1)).transform(global_rank, [F.desc_nulls_last("final_score"), F.col(key)])
 
 
 def pool(candidates: DataFrame, sectors: Sequence[str], regions: Sequence[str], min_team: float | None, max_team: float | None, no_corporate: bool, no_funded: bool) -> DataFrame:

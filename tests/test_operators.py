@@ -77,6 +77,24 @@ def test_fingerprint_ignores_order(spark):
     assert relational.fingerprint(a).first() != relational.fingerprint(a.where("id > 0")).first()
 
 
+def test_fingerprint_of_any_depth(spark):
+    a = spark.range(3000)
+    assert relational.fingerprint(a, most=1).first() == relational.fingerprint(a.orderBy(F.desc("id")), most=1).first() != relational.fingerprint(a.where("id <> 7"), most=1).first()
+    assert relational.fingerprint(a.limit(0)).count() == 1
+
+
+def test_ranks_and_shares_over_ranges(spark):
+    values = [(i, "ab"[i % 2] if i % 7 else None, None if i % 5 == 0 else float(i * 37 % 100)) for i in range(500)]
+    df = spark.createDataFrame(values, "id long, g string, v double").repartition(7)
+    ranked = relational.global_rank(df, [F.desc_nulls_last("v"), F.col("id")]).collect()
+    want = sorted(values, key=lambda x: (x[2] is None, -(x[2] or 0), x[0]))
+    assert [r["id"] for r in sorted(ranked, key=lambda r: r["rank"])] == [x[0] for x in want] and {r["rank"] for r in ranked} == set(range(1, 501))
+    for within in ((), ("g",)):
+        for r in relational.with_share(df, "v", "s", within).collect():
+            peers = [v for _, g, v in values if v is not None and (not within or g == r["g"])]
+            assert r["s"] == (None if r["v"] is None else sum(p <= r["v"] for p in peers) / len(peers))
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("r", "a", 50), ("r", "b", 30), ("r", "c", 2), ("s", "a", 3)], "repo string, login string, n long")
     assert rows(relational.core_contributors(df, "repo", "n", "login").select("repo", "login")) == [("r", "a"), ("r", "b"), ("s", "a")]
