@@ -88,8 +88,10 @@ def links(messages: DataFrame) -> DataFrame:
     wanted = quoted.select("hash").distinct()
     held = messages.where("conv is not null").select("conv", "turn", F.explode("hashes").alias("hash")).join(wanted, "hash", "left_semi")
     first = held.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("f"))
-    near = quoted.join(held.select("hash", "conv", F.col("turn").alias("to_turn")).distinct(), ["hash", "conv"]).where("to_turn < turn").groupBy("conv", "turn", "level", "hash").agg(F.max("to_turn").alias("to_turn"))
-    placed = quoted.join(near, ["conv", "turn", "level", "hash"], "left").join(first, "hash", "left")
+    # The latest earlier turn that holds a passage is a running maximum, so a passage that recurs makes no pairs.
+    events = held.select("conv", "hash", "turn", F.lit(True).alias("holds")).unionByName(quoted.select("conv", "hash", "turn", F.lit(False).alias("holds")))
+    near = _running(events.groupBy("conv", "hash", "turn").agg(F.max("holds").alias("holds")), F.when(F.col("holds"), F.col("turn")), "to_turn", strict=True, keys=("conv", "hash")).where("to_turn is not null").select("conv", "hash", "turn", "to_turn")
+    placed = quoted.join(near, ["conv", "hash", "turn"], "left").join(first, "hash", "left")
     own = F.col("to_turn").isNotNull()
     elsewhere = (F.col("f.conv") != F.col("conv"))
     found = placed.where(own | elsewhere).select("conv", "turn", "level", own.alias("own"), F.when(own, F.col("conv")).otherwise(F.col("f.conv")).alias("to_conv"), F.when(own, F.col("to_turn")).otherwise(F.col("f.turn")).alias("to_turn"))
@@ -98,13 +100,14 @@ def links(messages: DataFrame) -> DataFrame:
     return best.select("conv", "turn", F.col("b.to_conv").alias("to_conv"), (-F.col("b.minus")).alias("to_turn"), F.col("b.level").alias("level"))
 
 
-def _running(df: DataFrame, value: Column, name: str, strict: bool) -> DataFrame:
-    """``df`` (conv, turn, unique) with the running maximum of ``value`` up to the row, or before it where ``strict``."""
+def _running(df: DataFrame, value: Column, name: str, strict: bool, keys: tuple[str, ...] = ("conv",)) -> DataFrame:
+    """``df`` (keys and turn, unique) with the running maximum of ``value`` over the turns of its keys, up to the row, or
+    before it where ``strict``."""
     cut = df.withColumn("_v", value).withColumn("_c", F.floor(F.col("turn") / TURNS))
-    tops = cut.groupBy("conv", "_c").agg(F.max("_v").alias("_m"))
-    carried = tops.withColumn("_carry", F.max("_m").over(Window.partitionBy("conv").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))).select("conv", "_c", "_carry")
-    inside = F.max("_v").over(Window.partitionBy("conv", "_c").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
-    return cut.withColumn("_in", inside).join(carried, ["conv", "_c"]).withColumn(name, F.greatest("_in", "_carry")).drop("_v", "_c", "_in", "_carry")
+    tops = cut.groupBy(*keys, "_c").agg(F.max("_v").alias("_m"))
+    carried = tops.withColumn("_carry", F.max("_m").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "_c", "_carry")
+    inside = F.max("_v").over(Window.partitionBy(*keys, "_c").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1 if strict else 0))
+    return cut.withColumn("_in", inside).join(carried, [*keys, "_c"]).withColumn(name, F.greatest("_in", "_carry")).drop("_v", "_c", "_in", "_carry")
 
 
 def conversations(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -198,6 +198,16 @@ def test_conversations(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_recurring_passage_answers_the_latest_turn(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 4)
+    line = "the very same passage again"
+    rows = [(1, i, "user", line if i % 3 == 0 else f"> {line}\n{line}" if i % 3 == 1 else f"> {line}\nreply {i}") for i in range(15)]
+    got = {r["turn"]: r["reply_to"] for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    holders = [i for i in range(15) if i % 3 != 2]
+    for i in range(1, 15):
+        assert got[i] == (i - 1 if i % 3 == 0 else max(h for h in holders if h < i))
+
+
 def test_long_conversation_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(chat, "TURNS", 3)
     rows = [(1, i, "user", f"message number {i} with words" if i != 8 else "> message number 2 with words\nback to that") for i in range(12)]
