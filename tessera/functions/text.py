@@ -163,6 +163,12 @@ def partial_ratio_of(a: str, b: str) -> float:
     return max(_ratio(short, x) for x in dict.fromkeys(stretches))
 
 
+def register(spark) -> None:
+    """Make the similarities known to SQL texts."""
+    spark.udf.register("jaro_winkler", jaro_winkler)
+    spark.udf.register("partial_ratio", partial_ratio)
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else partial_ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -244,6 +244,50 @@ def broken_links(records: DataFrame, links: DataFrame) -> DataFrame:
     return records.select("record_id").join(n, "record_id", "left").select("record_id", F.coalesce("links", F.lit(0)).alias("links")).where("links <> 1")
 
 
+def undecided(pairs: DataFrame, records: DataFrame, linked: DataFrame, active: DataFrame) -> DataFrame:
+    """Scored pairs that rules have not settled: not in one component of matched records, and not both linked already."""
+    label = components(records, linked.select(F.col("left").alias("a"), F.col("right").alias("b")), "record_id")
+    held = active.select("record_id").distinct().withColumn("_held", F.lit(True))
+    side = label.join(held, "record_id", "left")
+    a, b = (side.select(F.col("record_id").alias(k), F.col("component").alias(f"_{k}"), F.coalesce("_held", F.lit(False)).alias(f"_held_{k}")) for k in ("left", "right"))
+    joined = pairs.join(a, "left").join(b, "right").where((F.col("_left") != F.col("_right")) & ~(F.col("_held_left") & F.col("_held_right")))
+    return joined.select(*pairs.columns)
+
+
+def ejections(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """A review at 0.5 of each record that its source's first record kept out, against the person of what remains."""
+    person = placed.where("kept").join(links.select("record_id", "person_id"), "record_id").groupBy("component").agg(F.min_by("person_id", "record_id").alias("candidate_person_id"))
+    out = placed.where("not kept").join(person, "component").join(links.select("record_id", F.col("person_id").alias("_own")), "record_id").where("_own <> candidate_person_id")
+    return _pending(out.select("record_id", "candidate_person_id", F.lit(0.5).alias("score"), F.lit("same_source").alias("method")))
+
+
+def best_reviews(found: DataFrame) -> DataFrame:
+    """One review per record and candidate: the best score."""
+    w = Window.partitionBy("record_id", "candidate_person_id").orderBy(F.desc("score"), "method")
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def _pending(df: DataFrame) -> DataFrame:
+    return df.withColumn("review_id", uuid5(F.concat_ws(":", "record_id", "candidate_person_id", "method"))).withColumn("status", F.lit("pending"))
+
+
+def linked_twins(records: DataFrame, links: DataFrame) -> DataFrame:
+    """(record_id, person_id) of unlinked records whose profile URL a linked record of another source has."""
+    r = records.select("record_id", "source", profile_url_key(F.col("linkedin_url")).alias("u")).where("u is not null")
+    held = links.where("status = 'active'").select("record_id", "person_id")
+    free = r.join(held, "record_id", "left_anti")
+    twins = r.join(held, "record_id").select("u", F.col("source").alias("_s"), "person_id")
+    return free.join(twins, "u").where("source <> _s").groupBy("record_id").agg(F.min("person_id").alias("person_id"))
+
+
+def first_by_rank(records: DataFrame, values: list[Column], name: str, precedence: tuple = PRECEDENCE) -> DataFrame:
+    """(person_id, name): the first known of several columns or lookups, source by source in precedence, such as a picture
+    or a CV. ``records`` with person_id."""
+    value = F.coalesce(*values)
+    order = F.struct(rank_of(F.col("source"), precedence), F.col("record_id"))
+    return records.groupBy("person_id").agg(F.min_by(value, F.when(value.isNotNull(), order)).alias(name))
+
+
 def reviews(pairs: DataFrame, person_of: DataFrame, anchored: DataFrame) -> DataFrame:
     """One pending review per (record, candidate person), the best score first. ``pairs``: left, right, score, method. The
     subject is the newcomer of the pair; pairs already on one person need none."""
@@ -255,7 +299,7 @@ def reviews(pairs: DataFrame, person_of: DataFrame, anchored: DataFrame) -> Data
     subject = F.when(F.col("a_left").isNull(), first).when(F.col("a_right").isNull(), second).otherwise(F.least(first, second))
     got = x.withColumn("_x", subject).select(F.col("_x.s").alias("record_id"), F.col("_x.c").alias("candidate_person_id"), "score", "method")
     best = got.groupBy("record_id", "candidate_person_id").agg(F.max("score").alias("score"), F.min_by("method", F.struct(-F.col("score"), F.col("method"))).alias("method"))
-    return best.withColumn("review_id", uuid5(F.concat_ws(":", "record_id", "candidate_person_id", "method"))).withColumn("status", F.lit("pending"))
+    return _pending(best)
 
 
 def adjudicate(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -122,6 +122,31 @@ def showcase(people: DataFrame, projects: DataFrame, cvs: DataFrame) -> DataFram
     return observed(folded, source=F.lit("showcase"), source_key=F.col("k"), full_name=F.col("full_name"), emails=F.col("emails"), github_login=F.col("github_login"), linkedin_url=F.col("linkedin_url"), location_raw=where["city"], country_code=where["country"], keywords=F.col("keywords"), source_url=F.col("source_url"))
 
 
+def commit_authors(repos: DataFrame) -> DataFrame:
+    """(login, commits): addresses that users committed with, aliases left out, as a list sorted by address and commit. repos: repo_id,
+    payload with a history of commits."""
+    history = path("payload", "$.history.nodes", "array<struct<oid:string,author:struct<email:string,user:struct<login:string>>>>")
+    rows = repos.select(F.explode(history).alias("c")).select(F.col("c.author.user.login").alias("login"), F.lower("c.author.email").alias("email"), F.col("c.oid").alias("sha"))
+    kept = rows.where(F.col("login").isNotNull() & F.col("email").isNotNull() & ~F.col("email").endswith(text.ALIAS_DOMAIN))
+    return kept.groupBy("login").agg(F.sort_array(F.collect_set(F.struct("email", "sha"))).alias("commits"))
+
+
+def repositories_of(df: DataFrame, payload: str, where: str) -> DataFrame:
+    """Distinct owner/name of the repository URLs at a path."""
+    found = F.regexp_extract(path(payload, where), r"(?i)github\.com/([\w.-]+/[\w.-]+)", 1)
+    return df.select(F.regexp_replace(found, r"(?i)\.git$", "").alias("full_name")).where("full_name <> ''").distinct()
+
+
+def registered_schools(dump: DataFrame) -> DataFrame:
+    """(id, name, aliases, country) of the institutions of education in a registry dump (payload), aliases distinct and sorted."""
+    kinds = path("payload", "$.types", "array<string>")
+    names = path("payload", "$.names", "array<struct<value:string,types:array<string>>>")
+    shown = F.get(F.filter(names, lambda n: F.array_contains(n["types"], "ror_display")), F.lit(0))["value"]
+    rest = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: n["value"]), lambda v: v != shown)))
+    country = path("payload", "$.locations[0].geonames_details.country_code")
+    return dump.where(F.array_contains(kinds, "education") & shown.isNotNull()).select(path("payload", "$.id").alias("id"), shown.alias("name"), rest.alias("aliases"), country.alias("country"))
+
+
 def cv_targets(projects: DataFrame) -> DataFrame:
     """(user_id, cv_url), each pair once, by first sight."""
     member = "struct<userId:string,cvUrl:string>"

@@ -24,6 +24,7 @@ class Resolution:
 def resolve(records: DataFrame, active: DataFrame, candidates: DataFrame, teams: DataFrame | None = None, verdicts: DataFrame | None = None) -> Resolution:
     """``records`` as in operators.identity, with full_name, affiliation_raw, location_raw, last_seen_at. ``active``: links
     that hold (record_id, person_id). ``candidates``: left, right, evidence from linked artifacts. ``verdicts``: left, right, verdict."""
+    ensure_checkpoint_folder(records)
     rules = identity.identifier_rules(records).unionByName(identity.crosslink_matches(candidates, records))
     if teams is not None:
         rules = rules.unionByName(teams)
@@ -31,13 +32,12 @@ def resolve(records: DataFrame, active: DataFrame, candidates: DataFrame, teams:
     matches = identity.with_methods(rules.unionByName(review_only))
     scored = identity.linkage(records)
     linked = matches.where("auto").select("left", "right")
-    open_pairs = scored.join(linked, ["left", "right"], "left_anti")
+    open_pairs = identity.undecided(scored, records, linked, active)
     likely = open_pairs.where("band = 'auto'").select("left", "right", F.lit("linkage").alias("rule"), F.round("probability", 4).cast("string").alias("evidence"), F.lit("linkage").alias("method"), F.col("probability").alias("confidence"), F.lit(True).alias("auto"))
     matches = matches.unionByName(likely.select(*matches.columns))
     if verdicts is not None:
         said = identity.adjudicate(open_pairs.where("band = 'adjudicate'"), verdicts).where("verdict = 'match'")
         matches = matches.unionByName(said.select("left", "right", F.lit("adjudicated").alias("rule"), F.lit("adjudicated").alias("evidence"), F.lit("adjudicated").alias("method"), F.lit(0.90).alias("confidence"), F.lit(True).alias("auto")).select(*matches.columns))
-    ensure_checkpoint_folder(records)
     matches = matches.checkpoint()
     placed = identity.clusters(records, matches).checkpoint()
     fresh = identity.new_links(placed, matches, active)
@@ -45,7 +45,8 @@ def resolve(records: DataFrame, active: DataFrame, candidates: DataFrame, teams:
     doubtful = review_only.select("left", "right", F.lit(0.85).alias("score"), F.lit("det_name_org").alias("method")).unionByName(open_pairs.where("band in ('adjudicate', 'review')").select("left", "right", F.round("probability", 4).alias("score"), F.lit("linkage").alias("method")))
     matched = matches.where("auto").select(F.explode(F.array("left", "right")).alias("record_id"))
     anchored = active.select("record_id").union(matched).distinct()
-    return Resolution(matches, placed, fresh, identity.reviews(doubtful, links, anchored), identity.golden_persons(records, links))
+    ejected = identity.ejections(placed, links)
+    return Resolution(matches, placed, fresh, identity.best_reviews(identity.reviews(doubtful, links, anchored).unionByName(ejected)), identity.golden_persons(records, links))
 
 
 def connections(facts: dict[str, DataFrame], now: Column) -> DataFrame:

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ids import uuid5
 from tessera.functions.numbers import closeness, collaboration_score, confidence, diversity, dot, in_regions, mean_and_best, weighted_mean
-from tessera.functions.text import org_key, snippet
+from tessera.functions.text import org_key, partial_ratio, snippet, strip_legal_form, url_key
 from tessera.operators.relational import global_rank, reasons, with_share
 
 # Categories in order; parts of experience; weight of the best school; features that each category needs; the gate.
@@ -186,6 +187,31 @@ def merged_members(repo: DataFrame, officers: DataFrame, key: str, most: int = 8
     return scaled.withColumn("_n", F.row_number().over(w.orderBy(F.desc("weight"), "person_id"))).where(F.col("_n") <= most).drop("w", "added", "_n")
 
 
+def matching_companies(repo: DataFrame, officers: DataFrame, projects: DataFrame, companies: DataFrame) -> DataFrame:
+    """(project_id, company_id): the first company (by id) that shares two members with a repository, or one where the
+    two refer to each other: same site, the company's name in the description, or the repository's name in the purpose. Members are joined
+    first, so texts are compared for pairs with a common member only."""
+    shared = repo.select("project_id", "person_id").distinct().join(officers.select("company_id", "person_id").distinct(), "person_id").groupBy("project_id", "company_id").agg(F.count("*").alias("n"))
+    p = projects.select("project_id", F.col("name").alias("_repo"), url_key(F.col("homepage_url")).alias("_home"), F.lower(F.coalesce("description", F.lit(""))).alias("_text"))
+    c = companies.select("company_id", F.col("name").alias("_firm"), url_key(F.col("website_url")).alias("_site"), F.col("purpose").alias("_purpose"))
+    both = shared.join(p, "project_id").join(c, "company_id")
+    named = F.coalesce(F.contains(F.col("_text"), F.lower(strip_legal_form(F.col("_firm")))), F.lit(False))
+    meant = F.coalesce(partial_ratio(F.lower("_purpose"), F.lower("_repo")) >= 0.85, F.lit(False))
+    site = F.coalesce(F.col("_home") == F.col("_site"), F.lit(False))
+    return both.where((F.col("n") >= 2) | site | named | meant).groupBy("project_id").agg(F.min("company_id").alias("company_id"))
+
+
+def ventures(found: DataFrame, prior: DataFrame) -> DataFrame:
+    """Anchors as ventures: ids by anchor, and the status that a venture had before, else ``sourced``."""
+    made = found.withColumn("venture_id", uuid5(F.concat_ws(":", "anchor_type", "anchor_id")))
+    return made.join(prior.select("venture_id", F.col("status").alias("_was"), F.col("quality_tier").alias("quality_tier")), "venture_id", "left").withColumn("status", F.coalesce("_was", F.lit("sourced"))).drop("_was")
+
+
+def first_active(df: DataFrame, order: str) -> DataFrame:
+    """The first row that is not switched off; unknown counts as on."""
+    return df.where(~F.col("is_active").eqNullSafe(False)).orderBy(order).limit(1)
+
+
 def anchors(projects: DataFrame, companies: DataFrame, matched: DataFrame) -> DataFrame:
     """(anchor_type, anchor_id, name): gated repositories (under their company's name where matched), then start-up companies that
     no repository took. ``matched``: project_id, company_id."""

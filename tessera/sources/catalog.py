@@ -87,6 +87,14 @@ def parse(ddl: str, **values: str) -> dict[str, Table]:
     return tables
 
 
+def apply(spark: SparkSession, text: str, **values: str) -> int:
+    """Run the statements of a DDL text in order; how many ran."""
+    statements = render(text, **values)
+    for s in statements:
+        spark.sql(s)
+    return len(statements)
+
+
 @dataclass
 class Catalog:
     """Tables that may be read, by name, from files or from the session's catalog."""

@@ -169,3 +169,26 @@ def test_funding_and_gaps_and_members(spark):
     firms = spark.createDataFrame([("c1", "Firm", scoring.STARTUP), ("c2", "Free", scoring.STARTUP), ("c3", "Old", None)], "company_id string, name string, startup_likeness string")
     found = scoring.anchors(projects, firms, spark.createDataFrame([("p1", "c1")], "project_id string, company_id string"))
     assert {tuple(r) for r in found.collect()} == {("github_repo", "p1", "Firm"), ("company", "c2", "Free")}
+
+
+def test_twins_and_fallbacks(spark, people):
+    links = spark.createDataFrame([("c1", "person-eva", "active")], "record_id string, person_id string, status string")
+    other = people.withColumn("source", F.when(F.col("record_id") == "c2", "showcase").otherwise(F.col("source")))
+    assert [tuple(r) for r in identity.linked_twins(other, links).collect()] == [("c2", "person-eva")] and identity.linked_twins(people, links).count() == 0
+    rows = people.where("record_id like 'a%'").withColumn("person_id", F.lit("m"))
+    assert identity.first_by_rank(rows, [F.col("orcid"), F.col("website_url_norm")], "x").first()["x"] == "0001"
+
+
+def test_company_matches(spark):
+    repo = spark.createDataFrame([("g1", "p"), ("g1", "q"), ("g2", "p"), ("g3", "p"), ("g4", "p")], "project_id string, person_id string")
+    officers = spark.createDataFrame([("c1", "p"), ("c1", "q"), ("c2", "p")], "company_id string, person_id string")
+    projects = spark.createDataFrame([("g1", "x", None, None), ("g2", "y", "https://www.two.ch/", None), ("g3", "z", None, "Tools of Two Robotics for all"), ("g4", "w", None, None)], "project_id string, name string, homepage_url string, description string")
+    companies = spark.createDataFrame([("c1", "One AG", None, None), ("c2", "Two Robotics GmbH", "two.ch", "selling shoes")], "company_id string, name string, website_url string, purpose string")
+    assert {tuple(r) for r in scoring.matching_companies(repo, officers, projects, companies).collect()} == {("g1", "c1"), ("g2", "c2"), ("g3", "c2"), ("g4", "c2")} - {("g4", "c2")}
+    found = spark.createDataFrame([("company", "c1", "One")], "anchor_type string, anchor_id string, name string")
+    first = scoring.ventures(found, spark.createDataFrame([], "venture_id string, status string, quality_tier string"))
+    assert first.first()["status"] == "sourced"
+    again = scoring.ventures(found, first.select("venture_id", F.lit("contacted").alias("status"), F.lit("scored").alias("quality_tier")))
+    assert again.first()["status"] == "contacted"
+    profiles = spark.createDataFrame([(1, False), (2, None), (3, True)], "k long, is_active boolean")
+    assert scoring.first_active(profiles, "k").first()["k"] == 2

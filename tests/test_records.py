@@ -63,3 +63,13 @@ def test_contracts(spark):
     assert said[0]["v"]["confidence"] == 0.6 and len(said[0]["v"]["evidence"]) == 1 and said[1]["v"]["confidence"] == 0.3
     vec = spark.createDataFrame([("Robots in Bern",), ("",)], "t string").select(documents.hashed_embedding(F.col("t"), 64).alias("v")).collect()
     assert sum(x * x for x in vec[0]["v"]) == pytest.approx(1, abs=1e-5) and set(vec[1]["v"]) == {0.0}
+
+
+def test_commits_repositories_and_schools(spark):
+    repos = raw(spark, "repo_id long", [(1, {"history": {"nodes": [{"oid": "b", "author": {"email": "A@x.org", "user": {"login": "ann"}}}, {"oid": "a", "author": {"email": "a@x.org", "user": {"login": "ann"}}}, {"oid": "c", "author": {"email": "1+ann@users.noreply.github.com", "user": {"login": "ann"}}}, {"oid": "d", "author": {"email": "z@z.org", "user": None}}]}})])
+    got = records.commit_authors(repos).collect()
+    assert [(r["login"], [(c["email"], c["sha"]) for c in r["commits"]]) for r in got] == [("ann", [("a@x.org", "a"), ("a@x.org", "b")])]
+    pitched = raw(spark, "id long", [(1, {"githubUrl": "https://github.com/a/b.git"}), (2, {"githubUrl": "http://GitHub.com/a/b/tree/main"}), (3, {})])
+    assert [r["full_name"] for r in records.repositories_of(pitched, "payload", "$.githubUrl").collect()] == ["a/b"]
+    dump = raw(spark, "id long", [(1, {"id": "ror1", "types": ["education", "funder"], "names": [{"value": "ETH Zurich", "types": ["ror_display", "label"]}, {"value": "ETHZ", "types": ["acronym"]}], "locations": [{"geonames_details": {"country_code": "CH"}}]}), (2, {"id": "ror2", "types": ["company"], "names": []})])
+    assert [tuple(r) for r in records.registered_schools(dump).collect()] == [("ror1", "ETH Zurich", ["ETHZ"], "CH")]

@@ -149,3 +149,30 @@ def test_stream_equals_batch(spark, tmp_path):
     rounded = lambda df: {(r["start"], r["event_type"], r["n"], round(r["total"], 6)) for r in df.collect()}
     assert rounded(spark.table("daily")) == rounded(upserts.tumbling(events, "1 day", ["event_type"]))
     assert upserts.sessions(events, "1 hour", "user_id").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_ingestion(spark, tmp_path):
+    from tessera.functions import text
+    from tessera.sources import ingest
+
+    wanted = spark.createDataFrame([(f"d{i}",) for i in range(10)] + [(None,), ("d1",)], "doi string")
+    queue = ingest.pending(wanted, spark.createDataFrame([("d0",)], "doi string"), "doi")
+    assert queue.count() == 9 and ingest.pending(wanted, queue.limit(0), "doi", 3).count() == 3
+    got = ingest.batched_lookup(queue, "doi", lambda ks: {k: f"p{k}" for k in ks if k not in ("d3", "d4")}, 4, lambda k: "single" if k == "d3" else None)
+    assert {r["doi"]: r["payload"] for r in got.collect()}["d3"] == "single" and tuple(ingest.match_rate(got).first()) == (9, 8, 0.8889)
+    table = catalog.parse("CREATE TABLE t (id BIGINT, v STRING, PRIMARY KEY (id))")["t"]
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys)
+    saved = {}
+    rows = {"t": spark.createDataFrame([(1, "a")], table.schema)}
+    done = ingest.drain("s", lambda c: rows, {"t": t}, lambda s: saved.get(s, (None,))[0], lambda s, c, st, e: saved.__setitem__(s, (c, st, e)), lambda r: "7")
+    assert done["t"].inserted == 1 and saved["s"] == ("7", "ok", None)
+
+    def broken(_):
+        raise RuntimeError("no answer")
+
+    with pytest.raises(RuntimeError):
+        ingest.drain("s", broken, {"t": t}, lambda s: saved[s][0], lambda s, c, st, e: saved.__setitem__(s, (c, st, e)), lambda r: "9")
+    assert saved["s"] == ("7", "error", "no answer")
+    assert catalog.apply(spark, "CREATE OR REPLACE TEMP VIEW ${v} AS SELECT 1 AS x; CREATE OR REPLACE TEMP VIEW w AS SELECT 2 AS y", v="u1") == 2 and spark.table("u1").first()["x"] == 1
+    text.register(spark)
+    assert spark.sql("SELECT jaro_winkler('abc', 'abd') AS s").first()["s"] > 0.8
