@@ -68,10 +68,10 @@ def ring(near: DataFrame) -> DataFrame:
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
-    """Share of the other nodes within two hops, rounded to 4; 0.0 (not null) for a node without edges."""
+    """Share of the other nodes of the graph within two hops, rounded to 4; 0.0 (not null) for a node without edges."""
     near = neighbours(edges, a, b)
     reach = near.union(ring(near)).groupBy(F.col("node").alias(node)).agg(F.count("*").alias("reached"))
-    size = nodes.agg(F.count("*").alias("n"))
+    size = near.agg(F.count_distinct("node").alias("n"))
     joined = nodes.select(node).join(reach, node, "left").crossJoin(F.broadcast(size))  # one row
     return joined.select(node, F.round(F.when(F.col("n") > 1, F.coalesce("reached", F.lit(0)) / (F.col("n") - 1)).otherwise(0.0), 4).alias("centrality"))
 

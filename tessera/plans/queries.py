@@ -593,7 +593,7 @@ def _edges(t: Tables) -> DataFrame:
     return relational.equal_pairs(rows, "c_custkey", ["c_nationkey", "c_mktsegment", "k"]).select(F.col("left").alias("a"), F.col("right").alias("b"))
 
 
-@query(_EDGES + ", n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), t AS (SELECT p.x, q.y FROM n p JOIN n q ON p.y = q.x WHERE p.x <> q.y UNION SELECT x, y FROM n) SELECT c_custkey, round(coalesce(count(t.y), 0) / ((SELECT count(*) FROM customer) - 1.0), 4) AS centrality FROM customer LEFT JOIN t ON t.x = c_custkey GROUP BY c_custkey")
+@query(_EDGES + ", n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), t AS (SELECT p.x, q.y FROM n p JOIN n q ON p.y = q.x WHERE p.x <> q.y UNION SELECT x, y FROM n) SELECT c_custkey, round(coalesce(count(t.y), 0) / ((SELECT count(DISTINCT x) FROM n) - 1.0), 4) AS centrality FROM customer LEFT JOIN t ON t.x = c_custkey GROUP BY c_custkey")
 def q22_centrality(t: Tables) -> DataFrame:
     """Share of the others within two hops."""
     return graph.centrality(t.customer.select("c_custkey"), _edges(t), "c_custkey", "a", "b")

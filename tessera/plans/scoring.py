@@ -108,9 +108,9 @@ def stage_a(ventures: DataFrame, scores: DataFrame, covered: DataFrame, weights:
 
 
 def rerank(df: DataFrame, scores: Sequence[str], weights: dict[str, float], key: str) -> DataFrame:
-    """Final scores by other weights, and the new order."""
-    value = weighted_mean([F.col(c) for c in scores], [F.lit(float(weights.get(c, 0.0))) for c in scores])
-    return df.withColumn("final_score", F.round(value, 1)).transform(global_rank, [F.desc_nulls_last("final_score"), F.col(key)])
+    """Final scores by other weights, and the new order. Weights of 0 or less count for nothing; without any score left it is 0."""
+    value = weighted_mean([F.col(c) for c in scores], [F.lit(max(0.0, float(weights.get(c, 0.0)))) for c in scores])
+    return df.withColumn("final_score", F.coalesce(F.round(value, 1), F.lit(0.0))).transform(global_rank, [F.desc_nulls_last("final_score"), F.col(key)])
 
 
 def pool(candidates: DataFrame, sectors: Sequence[str], regions: Sequence[str], min_team: float | None, max_team: float | None, no_corporate: bool, no_funded: bool) -> DataFrame:

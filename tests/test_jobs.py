@@ -116,8 +116,8 @@ def bag(spark):
 
 def test_features(bag):
     got = {r["person_id"]: r["features"] for r in bag.collect()}
-    assert got["p"] == {"stars_weighted": 6.4, "commits_12mo": 100.0, "active_weeks_12mo": 10.0, "zero_to_one_flag": 1.0, "school_tier": 0.95, "recency_score": 0.53, "graph_centrality": 0.5}
-    assert got["q"] == {"stars_weighted": 4.62, "citations_total": 7.0, "recency_score": 0.79, "graph_centrality": 0.5}
+    assert got["p"] == {"stars_weighted": 6.4, "commits_12mo": 100.0, "active_weeks_12mo": 10.0, "zero_to_one_flag": 1.0, "school_tier": 0.95, "recency_score": 0.53, "graph_centrality": 1.0}
+    assert got["q"] == {"stars_weighted": 4.62, "citations_total": 7.0, "recency_score": 0.79, "graph_centrality": 1.0}
     assert got["r"] == {"school_tier": 0.5, "graph_centrality": 0.0}
 
 

@@ -116,7 +116,7 @@ def test_components_of_paths_and_rings(spark):
 def test_reach(spark):
     nodes = spark.createDataFrame([(i,) for i in range(5)], "id long")
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
-    assert dict(rows(graph.centrality(nodes, edges, "id", "a", "b"))) == {0: 0.5, 1: 0.75, 2: 0.75, 3: 0.5, 4: 0.0}
+    assert dict(rows(graph.centrality(nodes, edges, "id", "a", "b"))) == {0: 0.6667, 1: 1.0, 2: 1.0, 3: 0.6667, 4: 0.0}
     near = graph.neighbours(edges, "a", "b")
     assert dict(rows(graph.hops(near, spark.createDataFrame([(0,)], "node long")))) == {0: 0, 1: 1, 2: 2}
     assert dict(rows(graph.degrees(nodes, edges, "id", "a", "b"))) == {0: 1, 1: 2, 2: 2, 3: 1, 4: 0}
