@@ -80,6 +80,9 @@ class Vocabulary:
         # A token that no merges make can only be a single symbol; others never come out of an encoding.
         self.tokens = {t: i for t, i in self.ids.items() if i in self.parts or len(t.rstrip(WORD_END)) == 1}
         self.longest = max(len(t) for t in self.tokens)
+        # Every ending of a token, with the token that it is itself: walked backwards from a position, they give the
+        # tokens that end there.
+        self.endings: dict[str, int] = {t[k:]: -1 for t in self.tokens for k in range(len(t))} | self.tokens
         self.lookahead = self._lookahead()
         self.text = {i: t.replace(WORD_END, self.suffix).encode() for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.letters = byte_letters()
@@ -135,6 +138,44 @@ class Vocabulary:
         return got
 
 
+    def tokens_of(self, symbols: list[str]) -> list[int]:
+        """The transducer's steps for a short pre-token that is all there: nothing has to go out early."""
+        text, count = "".join(symbols), len(symbols)
+        if self.suffix:
+            text += WORD_END
+        endings, pairs = self.endings.get, self._pairs
+        token_at, start_of = [-1], [0]  # of each position: the last token (-2: none) and where it starts
+        for n in range(1, count + 1):
+            end, start = (len(text), count - 1) if n == count else (n, n - 1)
+            if n == count and self.suffix and text[start:] not in self.endings:
+                start = -1
+            found, at = -2, 0
+            while start >= 0:
+                token = endings(text[start:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    left = token_at[start]
+                    if left == -1:
+                        found, at = token, start
+                        break
+                    if left >= 0:
+                        verdict = pairs.get((left, token))
+                        if self.apart(left, token) if verdict is None else verdict:
+                            found, at = token, start
+                            break  # only one token can stand here
+                start -= 1
+            token_at.append(found)
+            start_of.append(at)
+        out, n = [], count
+        while n:
+            if token_at[n] < 0:
+                raise ValueError("a symbol is not in the vocabulary")
+            out.append(token_at[n])
+            n = start_of[n]
+        return out[::-1]
+
+
 class Encoder:
     """The transducer for one pre-token: ``push`` its symbols, then ``finish``."""
 
@@ -149,10 +190,14 @@ class Encoder:
         n = len(text)
         while len(last) <= n:
             last.append((-2, 0))
-        for start in range(max(0, n - v.longest), n - least + 1):
-            token = v.tokens.get(text[start:])
+        ends = []
+        for start in range(n - 1, -1, -1):
+            token = v.endings.get(text[start:])
             if token is None:
-                continue
+                break
+            if token >= 0 and n - start >= least:
+                ends.append((start, token))
+        for start, token in reversed(ends):
             left = last[start][0] if start else self.before
             if left == -2:
                 continue
@@ -269,6 +314,8 @@ class Tokenizer:
 
     def transduce(self, word: str) -> bytes:
         symbols = [self.v.letters[b] for b in word.encode("utf-8")]
+        if len(symbols) <= LONG_WORD:
+            return array("I", self.v.tokens_of(symbols)).tobytes()
         run, out = Encoder(self.v), []
         for s in symbols[:-1]:
             out += run.push(s)

@@ -53,6 +53,16 @@ def test_long_words_emit_early_and_stay_small(own, library):
     same(own, library, word)
 
 
+def test_short_words_take_the_same_steps(own):
+    rng = random.Random(6)
+    for _ in range(3000):
+        symbols = [own.v.letters[b] for b in "".join(rng.choice("antheirosdgé'.-") for _ in range(rng.randrange(1, 40))).encode()]
+        run, out = bpe.Encoder(own.v), []
+        for s in symbols[:-1]:
+            out += run.push(s)
+        assert out + run.finish(symbols[-1]) == own.v.tokens_of(symbols)
+
+
 def test_text_machine():
     data = "aé中💩z".encode()
     for size in (1, 2, 3):
