@@ -31,6 +31,7 @@ from tessera.llm.common import drop_stored, map_rows, shared_dir, stored
 
 SYMBOLS, BITS = 6, 16  # values in a chunk, bits of a value
 MISS = 1e-6
+SALTS = 32  # parts that the members of a class are dealt into
 BROADCAST_IDS = 500_000  # ids sent to all workers up to here, else joined by a shuffle
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -220,7 +221,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     """One row per row of ``docs``: ``key``, n_shingles, component_id, kept."""
     chunks = chunks_for(percent)
     signed = stored(signatures(docs, key, text, words, chunks), "neardup-signatures")
-    classes = signed.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    classes = signed.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
     reps = stored(classes, "neardup-classes")
 
     # Buckets with more than one member, and what their members meet.
@@ -252,11 +253,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n and 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {need}"))
     second = confirm(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sets, percent)
 
-    # Members of a class are linked with its representative; with them, components of all ids.
-    member = signed.where("class is not null and id is not null").join(reps.select("class", "rep"), "class").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    edges = first.union(second)
-    apart = components(reps.select(F.col("rep").alias("id")).distinct(), edges)
-    final = stored(_with_members(apart, member), "neardup-components")
+    # Components of representatives, then of all ids.
+    apart = components(reps.select(F.col("rep").alias("id")).distinct(), first.union(second))
+    final = stored(_with_members(apart, reps, signed), "neardup-components")
     for done in (reps, met, pairs, sets, first, labels, role, prefix):
         drop_stored(done)
     out = signed.join(final, "id", "left")
@@ -264,9 +263,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
 
 
-def _with_members(labels: DataFrame, member: DataFrame) -> DataFrame:
-    """Labels of class members from their representatives. An id in several classes joins their components."""
-    spread = member.join(labels.select(F.col("id").alias("a"), "label"), "a").select(F.col("b").alias("id"), "label")
+def _with_members(labels: DataFrame, reps: DataFrame, signed: DataFrame) -> DataFrame:
+    """Labels of class members from their representatives. An id in several classes joins their components. The join is
+    salted, since one class may hold a third of all rows; only classes with copies take part."""
+    classes = reps.where("copies > 1").select("class", F.col("rep").alias("id")).join(labels, "id").select("class", "label", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    members = signed.where("class is not null and id is not null").select("id", "class", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = members.join(classes, ["class", "salt"]).select("id", "label")
     everyone = labels.unionByName(spread)
     twice = everyone.groupBy("id").agg(F.min("label").alias("a"), F.max("label").alias("b"))
     joined = twice.where("a <> b").select("a", "b")
