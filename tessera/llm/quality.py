@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic model on the shape of a text (fitted on a bounded sample of labelled rows) gives each document its
-evidence. Soft counts of good documents, summed by host and by path, give posteriors: a path is shrunk toward its host and a host toward
+A logistic model on the shape of a text (fitted on a bounded sample of labelled rows of each class, with its intercept
+set to the shares of the classes among all labels) gives each document its evidence. Soft counts of good documents, summed by host and by path, give posteriors: a path is shrunk toward its host and a host toward
 the global rate, the more the fewer documents it has, with prior strengths from the spread between groups. A
 document's evidence is then combined with the posterior odds of its path.
 
@@ -62,7 +62,6 @@ def expanded(x: list[float]) -> list[float]:
 @dataclass
 class Model:
     coefficients: list[float]  # intercept first
-    rate: float  # share of good rows in the sample
 
     def logit(self, x: list[float]) -> float:
         z = self.coefficients[0] + sum(a * b for a, b in zip(self.coefficients[1:], expanded(x)))
@@ -70,7 +69,7 @@ class Model:
 
 
 #: Where there is nothing to fit: texts of symbols, capitals, bars or repetition score low.
-UNFITTED = Model([4.0, *(-6.0 if n in ("upper", "runs", "pipes", "repeats", "same_lines") else 0.0 for n in NAMES), *[0.0] * (2 * len(NAMES))], 0.85)
+UNFITTED = Model([4.0, *(-6.0 if n in ("upper", "runs", "pipes", "repeats", "same_lines") else 0.0 for n in NAMES), *[0.0] * (2 * len(NAMES))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> list[float]:
@@ -90,8 +89,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
-    """Fit on labelled rows, at most SAMPLE a class; only texts and labels are used."""
+    """Fit on labelled rows, at most SAMPLE a class; only texts and labels are used. The sample has other shares of the
+    classes than all labels, so the intercept is moved by the difference of log-odds."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).groupBy("k").agg(F.min("y").alias("y"))
+    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.crc32(F.col("k").cast("string"))
     # Two times SAMPLE ids at most are sent to the workers.
     picked = None
@@ -108,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         return UNFITTED
-    return Model(_logistic(np.array([r["x"] for r in got]), y), float(np.clip(y.mean(), 0.02, 0.98)))
+    coefficients = _logistic(np.array([r["x"] for r in got]), y)
+    coefficients[0] += math.log(counts[1] / min(SAMPLE, counts[1])) - math.log(counts[0] / min(SAMPLE, counts[0]))
+    return Model(coefficients)
 
 
 def evidence(docs: DataFrame, model: Model, text: str = "text") -> Column:

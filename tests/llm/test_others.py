@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -167,6 +168,18 @@ def test_small_sites_shrink(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels), F.col("source"), F.lit("p")).count() == 0
 
 
+def test_quality_does_not_depend_on_the_cap(spark, monkeypatch):
+    plain, marked = "Plain words in a sentence, one after another, that say this and that. " * 3, "$$$ *** ### %%% BUY!!! NOW!!! $$$ " * 9
+    kinds = [(plain, 1)] * 800 + [(marked, 1)] * 100 + [(plain, 0)] * 50 + [(marked, 0)] * 50
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(kinds)], "doc_id long, quality int")
+    likely = lambda model: [1 / (1 + math.exp(-model.logit(quality.shape(t)))) for t in (plain, marked)]
+    whole = likely(quality.fit(docs, labels))
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    capped = likely(quality.fit(docs, labels))
+    assert whole == pytest.approx([800 / 850, 100 / 150], abs=0.02) and capped == pytest.approx(whole, abs=0.08)
+
+
 # ---- chat ---------------------------------------------------------------------------------------
 
 
