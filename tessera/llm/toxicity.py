@@ -4,7 +4,8 @@ A lexicon of words and stems is learned from labelled texts (log-odds of documen
 sample) beside a short list of known insults. Its trie is intersected with the Levenshtein automaton of
 distance 1, made deterministic while it runs, so misspelled terms are found as well. Each hit is weighed by a window
 of words around it: inside quotation marks or beside words of reporting it counts less, beside words of address
-more. A logistic model over a text's hits, fitted on hits of the fold that its lexicon did not see, gives the score.
+more. A logistic model over a text's hits, fitted on hits of the fold that its lexicon did not see, gives the score; its
+intercept is set to the shares of the classes among all labelled texts, not those of the sample.
 
 Defined results: a null or empty text has no hits and gets the score of a text without hits; without labelled
 rows of both kinds the known insults alone decide, with fixed coefficients; repeated rows are scored alike; other columns,
@@ -259,22 +260,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 300
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Fit on labelled rows: at most SAMPLE a class, by the checksum of the id. Only texts and labels are used."""
+    """Fit on labelled rows: at most SAMPLE a class, by the checksum of the id. Only texts and labels are used. All labelled
+    texts are counted, so that scores do not depend on whether SAMPLE was reached."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).groupBy("k").agg(F.max("y").alias("y"))
     order = F.crc32(F.col("k").cast("string"))
     picked = None
     for y in (0, 1):
         part = marked.where(F.col("y") == y).orderBy(order, "k").limit(SAMPLE)
         picked = part if picked is None else picked.unionByName(part)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    every = texts.select("k", F.xxhash64("t").alias("h")).join(marked, "k").groupBy("y").agg(F.countDistinct("h").alias("n"))
     # Two times SAMPLE ids at most are sent to the workers; equal texts count once.
-    sample = stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked), "k").groupBy(F.xxhash64("t").alias("h"), "y").agg(F.min("t").alias("t"), F.min("k").alias("k")).select("t", "y", F.expr("cast(crc32(cast(k as string)) div 3 % 2 as int)").alias("fold")), "toxicity-sample")
+    sample = stored(texts.join(F.broadcast(picked), "k").groupBy(F.xxhash64("t").alias("h"), "y").agg(F.min("t").alias("t"), F.min("k").alias("k")).select("t", "y", F.expr("cast(crc32(cast(k as string)) div 3 % 2 as int)").alias("fold")), "toxicity-sample")
     try:
-        return _fit(sample)
+        return _fit(sample, {r["y"]: r["n"] for r in every.collect()})
     finally:
         drop_stored(sample)
 
 
-def _fit(sample: DataFrame) -> Model:
+def _fit(sample: DataFrame, every: dict[int, int]) -> Model:
+    """``every``: texts of each class among all labelled rows."""
     sizes = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
 
     def terms(parts):
@@ -329,7 +334,9 @@ def _fit(sample: DataFrame) -> Model:
         for form in r["forms"]:
             seen[form][r["y"]] += 1
     full.forms = {form: max(0.0, min(4.0, math.log((t + 0.25) / n[1]) - math.log((c + 0.25) / n[0]))) for form, (c, t) in seen.items()}
-    return Model(full, _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)))
+    coefficients = _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
+    coefficients[0] += math.log(every[1] / n[1]) - math.log(every[0] / n[0])
+    return Model(full, coefficients)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -151,6 +151,20 @@ def test_learns_from_labels_only(spark):
     assert bare.coefficients == toxicity.UNFITTED and toxicity.score(d.limit(0), bare).count() == 0
 
 
+def test_toxicity_does_not_depend_on_the_cap(spark, monkeypatch):
+    kinds = [("idiot", 1)] * 60 + [("stone", 1)] * 40 + [("idiot", 0)] * 90 + [("stone", 0)] * 810
+    docs = spark.createDataFrame([(i, f"n{i} some {w} there") for i, (w, _) in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(kinds)], "doc_id long, toxic int")
+
+    def likely():
+        model = toxicity.fit(docs, labels)
+        return model.score(toxicity.features(model.lexicon, *toxicity.Automaton(model.lexicon).hits("n some idiot there")))
+
+    whole = likely()
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    assert whole == pytest.approx(60 / 150, abs=0.05) and likely() == pytest.approx(whole, abs=0.15)
+
+
 # ---- quality ------------------------------------------------------------------------------------
 
 
