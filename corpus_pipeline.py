@@ -2,6 +2,7 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
 ``documents``; their decisions are the rows that stay and, in mixing, the order of the rows.
+Spark does not read part files in the order of their rows, so the last stage gives each row its place in the mix.
 """
 
 from __future__ import annotations
@@ -31,15 +32,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one(docs)
 
 
+def place(docs: DataFrame) -> DataFrame:
+    """``docs`` with their positions in the mix. These follow from the ids and sources alone, not from the order of the rows."""
+    return mixing.mix(docs, prefix="_mix_")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix."""
-    mixed = mixing.mix(docs, prefix="_mix_")
+    mixed = place(docs)
     return mixing.in_order(mixed, "_mix_position").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
-    return bpe.encode_column(docs, "doc_id", "text", WORD_VOCABULARY)
+    """Token counts and digests of ids and decoded texts, with ``position`` in the mix, laid out by it."""
+    keyed = docs.select(F.struct("doc_id", "source").alias("_row"), "text")
+    encoded = stored(bpe.encode_column(keyed, "_row", "text", WORD_VOCABULARY).select("_row.*", "n_tokens", "ids_sha256", "decoded_sha256"), "pipeline-encoded")
+    placed = place(encoded).withColumnRenamed("_mix_position", "position")
+    return mixing.in_order(placed).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position")
 
 
 STAGES = [
@@ -58,4 +67,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return mixing.in_order(docs)

@@ -23,6 +23,24 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()) == sorted(seen)
 
 
+def test_run_follows_the_mix(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, FOLDER)
+    due = [(r["doc_id"], r["position"]) for r in mixing.mix(docs).orderBy("position").collect()]
+    assert [p for _, p in due] == list(range(len(due))) and len(due) > 1
+    rows = corpus_pipeline.run(spark, FOLDER).collect()
+    assert [(r["doc_id"], r["position"]) for r in rows] == due
+
+
+def test_positions_do_not_depend_on_part_files(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "abc"[i % 7 % 3]) for i in range(500)], "doc_id long, text string, source string")
+    due = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    shuffled = corpus_pipeline.mix_sources(spark, docs, FOLDER).repartition(5)
+    rows = corpus_pipeline.encode(spark, shuffled, FOLDER).collect()
+    assert [r["position"] for r in rows] == list(range(500)) and all(due[r["doc_id"]] == r["position"] for r in rows)
+
+
 def test_empty_table_passes_all_stages(spark, tmp_path):
     for n in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
