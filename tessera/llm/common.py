@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch. Texts can be long, so batches are kept short.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that are turned into Python values at a time. Spark itself bounds the bytes of the
+#: batches that it sends to a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset
-    (tests on one machine) a temporary folder is made and used from then on."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset on one machine (tests)
+    a temporary folder is made and used from then on; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         got = context._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         context.setCheckpointDir(found)
     elif not context._jsc.sc().getCheckpointDir().isDefined():
@@ -53,15 +56,25 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most BATCH_ROWS rows and, rows being whole, about BATCH_BYTES bytes."""
+    start = 0
+    while start < batch.num_rows:
+        count = min(BATCH_ROWS, batch.num_rows - start)
+        while count > 1 and batch.slice(start, count).nbytes > BATCH_BYTES:
+            count = (count + 1) // 2
+        yield batch.slice(start, count)
+        start += count
+
+
 def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator[dict]], Iterator[tuple]]) -> DataFrame:
     """``mapInArrow`` with plain Python values: ``rows`` gets an iterator of column dicts of lists
-    (one a batch) and yields lists of columns in the order of ``schema``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    (one a slice of a batch) and yields lists of columns in the order of ``schema``."""
     want = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(want)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches)
+        parts = ({n: c.to_pylist() for n, c in zip(p.schema.names, p.columns)} for b in batches for p in pieces(b))
         for columns in rows(parts):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

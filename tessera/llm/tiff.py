@@ -1,9 +1,13 @@
-"""TIFF media columns: write byte payloads as multi-page 8-bit images, walk image directories, decode
-PackBits, LZW and deflate strips or tiles, undo predictors, and give one row per page.
+"""TIFF media columns: write byte payloads as multi-page 8-bit images, walk image directories (classic and big files),
+decode PackBits, LZW and deflate strips or tiles, undo predictors, and give one row per page.
 
-Defined results: a null blob has no pages; a blob that is no TIFF, is cut short, or whose directories
-form a loop gives the pages read so far and one row with ``error`` set; an empty text is stored as one
-row of bytes 255. Rows are independent, so ties, repeated rows and extra columns do not matter.
+Samples of 8 bits and more come out as stored, in the file's byte order; samples of 1, 2 or 4 bits as one byte each.
+
+Defined results: a null blob has no pages; a page that cannot be read (damaged, of an unknown form, or above
+``MOST_BYTES`` decoded, which a binary value could not hold) gives a row with ``error`` set, and reading goes on
+with the next directory; a blob that is no TIFF, or whose chain of directories breaks off or forms a loop, gives the
+pages up to there and one row with ``error`` set; an empty text is stored as one row of bytes 255. Rows are
+independent, so ties, repeated rows and extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import BATCH_BYTES, map_rows
 
 WIDTH = 576  # samples in a row of an image; payloads are padded to a multiple of it
 PAGE_ROWS = 256  # rows of a page; longer payloads get more pages
-LZW_BYTES = 8 * WIDTH  # payloads up to here may be stored as LZW, which is slow to pack in Python
+MOST_BYTES = 1 << 30  # decoded bytes of a page
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
-#: Fixed values of the format: bytes of each field type.
-FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: Fixed values of the format: bytes and form of each field type that is read.
+FIELDS = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1, "B"), 8: (2, "h"), 9: (4, "i"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
+#: The most bytes that a stored byte of each compression can stand for.
+MOST_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
 
@@ -45,6 +51,7 @@ class Page:
     predictor: int
     tiled: bool
     data: bytes
+    error: str | None = None
 
 
 # ---- codecs -----------------------------------------------------------------------------------
@@ -141,6 +148,8 @@ def lzw_unpack(data: bytes, size: int) -> bytes:
             words, width, last = list(base), 9, None
             continue
         if last is None:
+            if code > 255:
+                raise TiffError("LZW code out of range")
             word = words[code]
         else:
             if code < len(words):
@@ -149,9 +158,10 @@ def lzw_unpack(data: bytes, size: int) -> bytes:
                 word = last + last[:1]
             else:
                 raise TiffError("LZW code out of range")
-            words.append(last + word[:1])
-            if len(words) in (511, 1023, 2047):
-                width += 1
+            if len(words) < 4096:
+                words.append(last + word[:1])
+                if len(words) in (511, 1023, 2047):
+                    width += 1
         out += word
         last = word
         if len(out) >= size:
@@ -160,6 +170,8 @@ def lzw_unpack(data: bytes, size: int) -> bytes:
 
 
 def _unpack(kind: int, data: bytes, size: int) -> bytes:
+    if not size:
+        return b""
     if kind == NONE:
         got = data
     elif kind == LZW:
@@ -205,70 +217,133 @@ def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
 
 # ---- reading ----------------------------------------------------------------------------------
 
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
 
 def _directories(blob: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
+    """Byte order and fields of each directory, along the chain."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(blob[:2]))
-    if order is None or len(blob) < 8 or struct.unpack_from(order + "H", blob, 2)[0] != 42:
+    if order is None or len(blob) < 8:
+        raise TiffError("not a TIFF")
+    (version,) = struct.unpack_from(order + "H", blob, 2)
+    big = version == 43
+    if version not in (42, 43) or big and (len(blob) < 16 or struct.unpack_from(order + "HH", blob, 4) != (8, 0)):
         raise TiffError("not a TIFF")
-    (at,) = struct.unpack_from(order + "I", blob, 4)
+    # Forms of an offset, of the number of fields and of a field's head; bytes of a field and of the value in it.
+    place, number, head, entry, room = ("Q", "Q", "HHQ", 20, 8) if big else ("I", "H", "HHI", 12, 4)
+    (at,) = struct.unpack_from(order + place, blob, 8 if big else 4)
     seen = set()
-    kinds = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d"}
     while at:
         if at in seen:
             raise TiffError("directories form a loop")
         seen.add(at)
+        tags: dict[int, tuple] = {}
         try:
-            (count,) = struct.unpack_from(order + "H", blob, at)
-            tags: dict[int, tuple] = {}
+            (count,) = struct.unpack_from(order + number, blob, at)
+            start = at + struct.calcsize(order + number)
+            (following,) = struct.unpack_from(order + place, blob, start + entry * count)
             for i in range(count):
-                tag, kind, n = struct.unpack_from(order + "HHI", blob, at + 2 + 12 * i)
-                if kind not in kinds:
+                tag, kind, n = struct.unpack_from(order + head, blob, start + entry * i)
+                if kind not in FIELDS:
                     continue
-                where = at + 10 + 12 * i
-                if FIELD_BYTES[kind] * n > 4:
-                    (where,) = struct.unpack_from(order + "I", blob, where)
-                tags[tag] = struct.unpack_from(f"{order}{n}{kinds[kind]}", blob, where)
-            (following,) = struct.unpack_from(order + "I", blob, at + 2 + 12 * count)
-        except struct.error as e:
+                size, form = FIELDS[kind]
+                where = start + entry * (i + 1) - room
+                if size * n > room:
+                    (where,) = struct.unpack_from(order + place, blob, where)
+                # A field beyond the end of the file is as good as missing: its page says so.
+                tags[tag] = struct.unpack_from(f"{order}{n}{form}", blob, where) if 0 <= where <= len(blob) - size * n else ()
+        except (struct.error, OverflowError) as e:
             raise TiffError("directory is cut short") from e
         yield order, tags
         at = following
 
 
-def read_pages(blob: bytes) -> Iterator[Page]:
-    """The pages of a TIFF in directory order, decoded to interleaved samples."""
-    for index, (order, tags) in enumerate(_directories(blob)):
-        try:
-            width, height = tags[256][0], tags[257][0]
-        except (KeyError, IndexError) as e:
-            raise TiffError("size is missing") from e
-        samples, bits = tags.get(277, (1,))[0], tags.get(258, (1,))[0]
-        kind, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
-        planar = tags.get(284, (1,))[0] == 2
-        if bits not in (8, 16, 32, 64):
-            raise TiffError(f"{bits} bits a sample are not read")
-        dtype = np.dtype(f"{order}u{bits // 8}") if bits > 8 else np.dtype(np.uint8)
-        tiled = 322 in tags
-        if tiled:
-            block_w, block_h, starts, sizes = tags[322][0], tags[323][0], tags[324], tags[325]
+def _one(tags: dict[int, tuple], tag: int, name: str, default: int | None = None, least: int = 1) -> int:
+    """The value of a field that has one."""
+    found = tags.get(tag)
+    if found is None and default is not None:
+        return default
+    if not found:
+        raise TiffError(f"{name} is missing")
+    if found[0] < least:
+        raise TiffError(f"{name} is {found[0]}")
+    return found[0]
+
+
+def _page(blob: bytes, index: int, order: str, tags: dict[int, tuple]) -> Page:
+    width, height = _one(tags, 256, "width"), _one(tags, 257, "height")
+    samples, kind, predictor = _one(tags, 277, "number of samples", 1), _one(tags, 259, "compression", 1), _one(tags, 317, "predictor", 1)
+    depths = tags.get(258, (1,))
+    if not depths or len(set(depths[:samples])) > 1:
+        raise TiffError("samples of several depths are not read")
+    bits, planar, tiled = depths[0], tags.get(284, (1,))[:1] == (2,), 322 in tags
+    if bits not in (1, 2, 4, 8, 16, 32, 64):
+        raise TiffError(f"{bits} bits a sample are not read")
+    if bits < 8 and predictor != 1 or predictor == 3 and bits == 8:
+        raise TiffError(f"predictor {predictor} of {bits} bits is not read")
+    if kind not in MOST_GROWTH:
+        raise TiffError(f"compression {kind} is not known")
+    if tags.get(262, (1,))[:1] == (6,) and tags.get(530, (2, 2)) != (1, 1):
+        raise TiffError("subsampled colours are not read")
+    if tiled:
+        block_w, block_h = _one(tags, 322, "tile width"), _one(tags, 323, "tile height")
+        starts, sizes = tags.get(324, ()), tags.get(325, ())
+    else:
+        block_w, block_h = width, min(_one(tags, 278, "rows of a strip", height), height)
+        starts, sizes = tags.get(273, ()), tags.get(279, ())
+    across, down = -(-width // block_w), -(-height // block_h)
+    per, planes = (1, samples) if planar else (samples, 1)
+    blocks = across * down * planes
+    if len(starts) < blocks or len(sizes) < blocks:
+        raise TiffError("strips or tiles are missing")
+    line = -(-block_w * per * bits // 8)  # bytes of a block's row
+    held = [max(0, min(sizes[k], len(blob) - starts[k])) for k in range(blocks)]
+    whole = height * width * samples * max(1, bits // 8)
+    if whole > MOST_BYTES or line * block_h > MOST_BYTES:
+        raise TiffError("page is too large")
+    if line * (block_h * blocks if tiled else height * planes) > MOST_GROWTH[kind] * sum(held):
+        raise TiffError("page is larger than its strips or tiles can hold")
+    dtype = np.dtype(f"{order}u{bits // 8}") if bits > 8 else np.dtype(np.uint8)
+    image = np.zeros((height, width, samples), dtype)
+    for k in range(blocks):
+        plane, cell = divmod(k, across * down)
+        y, x = cell // across * block_h, cell % across * block_w
+        rows = block_h if tiled else min(block_h, height - y)
+        data = blob[starts[k] : starts[k] + sizes[k]]
+        if tags.get(266, (1,))[:1] == (2,):
+            data = data.translate(_REVERSED)
+        raw = np.frombuffer(_unpack(kind, data, rows * line), np.uint8)
+        if bits < 8:
+            shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+            split = (raw.reshape(rows, line, 1) >> shifts) & np.uint8((1 << bits) - 1)
+            block = split.reshape(rows, -1)[:, : block_w * per].reshape(rows, block_w, per)
         else:
-            if 273 not in tags:
-                raise TiffError("strips are missing")
-            block_w, block_h, starts, sizes = width, min(tags.get(278, (height,))[0], height) or 1, tags[273], tags.get(279, ())
-        across, down = -(-width // block_w) if width else 0, -(-height // block_h)
-        per, planes = (1, samples) if planar else (samples, 1)
-        if len(starts) < across * down * planes or len(sizes) < len(starts):
-            raise TiffError("strips or tiles are missing")
-        image = np.zeros((height, width, samples), dtype)
-        for k in range(across * down * planes):
-            plane, cell = divmod(k, across * down)
-            y, x = cell // across * block_h, cell % across * block_w
-            rows = block_h if tiled else min(block_h, height - y)
-            raw = _unpack(kind, blob[starts[k] : starts[k] + sizes[k]], rows * block_w * per * dtype.itemsize)
-            block = _undo(np.frombuffer(raw, dtype).reshape(rows, block_w, per), predictor, order)
-            h, w = min(rows, height - y), min(block_w, width - x)
-            image[y : y + h, x : x + w, plane : plane + per if planar else samples] = block[:h, :w]
-        yield Page(index, width, height, samples, bits, kind, predictor, tiled, image.tobytes())
+            block = _undo(raw.view(dtype).reshape(rows, block_w, per), predictor, order)
+        h, w = min(rows, height - y), min(block_w, width - x)
+        image[y : y + h, x : x + w, plane : plane + per if planar else samples] = block[:h, :w]
+    return Page(index, width, height, samples, bits, kind, predictor, tiled, image.tobytes())
+
+
+def pages_of(blob: bytes) -> Iterator[Page]:
+    """The pages of a TIFF in directory order, decoded to interleaved samples; what cannot be read has ``error`` set."""
+    index = 0
+    try:
+        for order, tags in _directories(blob):
+            try:
+                yield _page(blob, index, order, tags)
+            except (TiffError, zlib.error) as e:
+                yield Page(index, 0, 0, 0, 0, 0, 0, False, b"", str(e))
+            index += 1
+    except TiffError as e:
+        yield Page(index, 0, 0, 0, 0, 0, 0, False, b"", str(e))
+
+
+def read_pages(blob: bytes) -> Iterator[Page]:
+    """The pages of a TIFF that must be whole."""
+    for p in pages_of(blob):
+        if p.error:
+            raise TiffError(p.error)
+        yield p
 
 
 # ---- writing ----------------------------------------------------------------------------------
@@ -334,7 +409,7 @@ def store(payload: bytes) -> bytes:
         return write_pages(payload, DEFLATE, 1, tile=(192, 32))
     if pick == 2:
         return write_pages(payload, PACKBITS)
-    return write_pages(payload, LZW if len(payload) <= LZW_BYTES else DEFLATE, 1)
+    return write_pages(payload, LZW)
 
 
 def feature(pages: list[Page]) -> str:
@@ -359,18 +434,16 @@ def tiff_pages(df: DataFrame, key: str, blob: str) -> DataFrame:
 
     def rows(parts):
         for part in parts:
-            out = []
+            out, size = [], 0
             for k, b in zip(part["k"], part["b"]):
-                if b is None:
-                    continue
-                n = 0
-                try:
-                    for p in read_pages(b):
-                        out.append((k, p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None))
-                        n = p.index + 1
-                except (TiffError, zlib.error, struct.error) as e:
-                    out.append((k, n, None, None, None, None, None, None, None, None, str(e)))
-            yield list(zip(*out)) if out else [[] for _ in range(11)]
+                for p in pages_of(bytes(b)) if b is not None else ():
+                    out.append((k, p.index, *[None] * 8, p.error) if p.error else (k, p.index, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None))
+                    size += len(p.data)
+                    if size > BATCH_BYTES:
+                        yield list(zip(*out))
+                        out, size = [], 0
+            if out:
+                yield list(zip(*out))
 
     return map_rows(keyed, f"{key} {keyed.schema['k'].dataType.simpleString()}, {PAGES}", rows)
 

@@ -70,6 +70,71 @@ def test_other_layouts():
     assert page.data == real.tobytes()
 
 
+def _little(fields, data, big=False):
+    """A hand-made little-endian file of one page whose strip or tile is ``data``; classic or big."""
+    at = 16 if big else 8
+    out = bytearray((b"II+\0\x08\0\0\0" + struct.pack("<Q", at + len(data)) if big else b"II*\0" + struct.pack("<I", at + len(data))) + data)
+    rows = sorted([*fields, (273, 4, at), (279, 4, len(data))])
+    out += struct.pack("<Q" if big else "<H", len(rows))
+    for tag, form, value in rows:
+        out += struct.pack("<HHQ" if big else "<HHI", tag, form, 1) + struct.pack("<H" if form == 3 else "<I", value).ljust(8 if big else 4, b"\0")
+    return bytes(out + b"\0" * (8 if big else 4))
+
+
+def test_few_bits_and_big_files():
+    rng = np.random.default_rng(5)
+    for bits in (1, 2, 4):
+        want = rng.integers(0, 1 << bits, (5, 11, 1), dtype=np.uint8)
+        lines = b"".join(int("".join(f"{v:0{bits}b}" for v in row.ravel()).ljust(-(-11 * bits // 8) * 8, "0"), 2).to_bytes(-(-11 * bits // 8), "big") for row in want)
+        for kind, packed in ((tiff.NONE, lines), (tiff.LZW, tiff.lzw_pack(lines)), (tiff.PACKBITS, tiff.packbits_pack(lines))):
+            fields = [(256, 3, 11), (257, 3, 5), (258, 3, bits), (259, 3, kind), (262, 3, 1)]
+            for big in (False, True):
+                (page,) = tiff.read_pages(_little(fields, packed, big))
+                assert page.data == want.tobytes() and page.bits == bits
+        (page,) = tiff.read_pages(_little([(256, 3, 11), (257, 3, 5), (258, 3, bits), (259, 3, 1), (262, 3, 1), (266, 3, 2)], lines.translate(tiff._REVERSED)))
+        assert page.data == want.tobytes()
+
+
+def test_lzw_whatever_the_length():
+    kinds = set()
+    for n in range(40):
+        payload = tiff.pad(bytes([n]) * 9000 + bytes(range(n)))
+        pages = list(tiff.read_pages(tiff.store(payload)))
+        kinds.add(pages[0].compression)
+        assert b"".join(p.data for p in pages) == payload
+    assert kinds == {tiff.DEFLATE, tiff.PACKBITS, tiff.LZW}
+
+
+def test_bad_page_among_good_ones(spark):
+    blob = bytearray(tiff.write_pages(tiff.pad(b"z" * 3000), page_rows=2))
+    first = struct.unpack_from("<I", blob, 4)[0]
+    for i in range(struct.unpack_from("<H", blob, first)[0]):
+        if struct.unpack_from("<H", blob, first + 2 + 12 * i)[0] == 259:
+            struct.pack_into("<H", blob, first + 2 + 12 * i + 8, 777)
+    pages = list(tiff.pages_of(bytes(blob)))
+    assert [bool(p.error) for p in pages] == [True, False, False] and [p.index for p in pages] == [0, 1, 2]
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, bytes(blob))], "id long, blob binary"), "id", "blob").collect()
+    assert sorted((r["page"], r["error"] is None, r["width"]) for r in rows) == [(0, False, None), (1, True, 576), (2, True, 576)]
+
+
+def test_damaged_files_never_raise():
+    """4,000 files with bytes changed, cut or repeated."""
+    rng = np.random.default_rng(11)
+    payload = tiff.pad(bytes(rng.integers(0, 60, 4000, dtype=np.uint8)))
+    whole = [tiff.write_pages(payload, kind, predictor, tile, page_rows=3) for kind in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS) for predictor, tile in ((1, None), (2, (192, 32)))]
+    whole += [_little([(256, 3, 40), (257, 3, 20), (258, 3, 4), (259, 3, 5), (262, 3, 1)], tiff.lzw_pack(bytes(400)), big) for big in (False, True)]
+    for n in range(4000):
+        blob = bytearray(whole[n % len(whole)])
+        for _ in range(rng.integers(1, 9)):
+            # Half of the changes go to the last directory, where they hurt most.
+            at = int(rng.integers(0, len(blob)) if rng.random() < 0.5 else len(blob) - 1 - rng.integers(0, min(150, len(blob))))
+            blob[at] = int(rng.choice([0, 1, 255, rng.integers(0, 256)]))
+        if n % 7 == 0:
+            del blob[int(rng.integers(0, len(blob))) :]
+        for p in tiff.pages_of(bytes(blob)):
+            assert p.error or len(p.data) == p.width * p.height * p.samples * max(1, p.bits // 8)
+
+
 def test_broken_files_give_an_error_row(spark):
     good = tiff.write_pages(tiff.pad(b"x" * 3000), page_rows=2)
     loop = bytearray(good)
