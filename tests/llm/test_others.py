@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -213,7 +214,7 @@ def test_conversations(spark):
     got = chat.conversations(df).collect()
     assert len(got) == len(rows)
     one = {r["turn"]: r for r in got if r["conv_id"] == 1}
-    assert one[3]["reply_to"] == 0 and one[3]["text"] == "As said before: Paris." and one[3]["thread"] == "0/3"
+    assert one[3]["reply_to"] == 0 and one[3]["text"] == "As said before: Paris." and one[3]["branch"] == 3
     assert one[5]["reply_to"] == 2 and one[5]["text"] == "Still open." and one[5]["linked_level"] == 1
     assert one[1]["reply_to"] == 0 and one[0]["reply_to"] is None and one[4]["reply_to"] == 3
     order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["place"])]
@@ -240,4 +241,89 @@ def test_long_conversation_in_stretches(spark, monkeypatch):
     rows = [(1, i, "user", f"message number {i} with words" if i != 8 else "> message number 2 with words\nback to that") for i in range(12)]
     got = {r["turn"]: r for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [got[i]["reply_to"] for i in range(12)] == [None, 0, 1, 2, 3, 4, 5, 6, 2, 8, 9, 10]
-    assert got[11]["thread"] == "2/8" and got[7]["thread"] == ""
+    assert got[11]["branch"] == 8 and got[7]["branch"] is None
+    assert [got[i]["place"] for i in range(12)] == [0, 1, 2, 7, 8, 9, 10, 11, 3, 4, 5, 6]
+
+
+def brute_conversations(rows):
+    """(conv, turn) -> (reply_to_conv, reply_to, place), one message at a time."""
+    texts = {}
+    for conv, turn, text in rows:
+        found = chat.levels(text or "")
+        held, quotes = texts.setdefault((conv, turn), (set(), []))
+        held.update(n for level, x in found if level == 0 for part in (x, *re.split(r"\n\s*\n", x), *x.split("\n")) if (n := chat.normal(part)))
+        quotes += [(level, n) for level, x in found if level for part in (x, *re.split(r"\n\s*\n", x), *x.split("\n")) if (n := chat.normal(part))]
+    out, after = {}, {}
+    turns = {}
+    for conv, turn in texts:
+        turns.setdefault(conv, []).append(turn)
+    for conv, own in turns.items():
+        own.sort()
+        line = None  # the message before, and the branch it is in
+        for k, turn in enumerate(own):
+            options = []
+            for level, n in texts[conv, turn][1]:
+                near = [t for t in own if t < turn and n in texts[conv, t][0]]
+                if near:
+                    options.append((False, level, -max(near), conv))
+                elif len(n) >= chat.LEAST_CHARS:
+                    others = sorted((c, t) for (c, t), (held, _) in texts.items() if c != conv and n in held)
+                    # Conversations are compared as text.
+                    options += [(True, level, -t, c) for c, t in sorted(others, key=lambda x: (str(x[0]), x[1]))[:1]]
+            best = min(options) if options else None
+            line = own[k - 1] if k else None
+            to = (best[3], -best[2]) if best else (conv, line) if k else (None, None)
+            opens = best is not None and not best[0] and -best[2] < (line if k else -(10**30))
+            out[conv, turn] = to
+            after.setdefault((conv, -best[2]) if opens else None, []).append((conv, turn)) if opens else None
+        opened = {t for key, found in after.items() if key and key[0] == conv for _, t in found}
+        order = []
+
+        def walk(at):  # a segment from its first message to the next opener
+            while True:
+                order.append(own[at])
+                for _, b in sorted(after.get((conv, own[at]), [])):
+                    walk(own.index(b))
+                at += 1
+                if at == len(own) or own[at] in opened:
+                    return
+
+        walk(0)
+        for place, t in enumerate(order):
+            out[conv, t] = (*out[conv, t], place)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_conversations_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(chat, "TURNS", 5)
+    rng = random.Random(seed)
+    rows = []
+    for conv in range(1, 9):
+        scale = rng.choice([1, 1, 10**12 + 7])
+        said = []
+        for k in range(rng.choice([1, 5, 30])):
+            own = rng.choice(["yes", "agreed then", f"a passage of its own, number {rng.randrange(40)}", f"message {conv} {k} with words"])
+            quote = "\n".join("> " + x for x in (rng.choice(said) if said and rng.random() < 0.6 else f"a passage of its own, number {rng.randrange(40)}").split("\n")) if rng.random() < 0.6 else None
+            rows.append((conv, (k - 3) * scale, f"{quote}\n{own}" if quote else own))
+            said.append(own)
+    want = brute_conversations(rows)
+    got = chat.conversations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["reply_to_conv"], r["reply_to"], r["place"]) for r in got} == want
+
+
+def test_short_quotes_and_long_numbers(spark):
+    base = 1_700_000_000_000
+    rows = [(1, base, "Shall we go?"), (1, base + 1, "Yes, agreed"), (1, base + 2, "Where to?"), (1, base + 3, "> Yes, agreed\nGood."), (2, 5, "> Yes, agreed\nWhat?"), (2, 6, "a passage that only others hold, too"), (3, 7, "> a passage that only others hold, too\nno"), (2, -4, "> a passage that only others hold, too\nhm"), (3, 9, "a passage that only others hold, too")]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.conversations(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, base + k]["place"] for k in range(4)] == [0, 1, 3, 2] and got[1, base + 3]["reply_to"] == base + 1
+    assert got[2, 5]["reply_to"] == -4 and got[2, 5]["reply_to_conv"] == 2  # short: not looked up elsewhere
+    assert (got[2, -4]["reply_to_conv"], got[2, -4]["reply_to"]) == (3, 9)  # the only holder before is itself, later
+
+
+def test_deep_answers_in_few_rounds(spark):
+    """Each message answers the second last: 200 branches, each within the one before it."""
+    n = 200
+    rows = [(1, i, "user", f"message number {i}" if i < 2 else f"> message number {i - 2}\nmessage number {i}") for i in range(n)]
+    got = {r["turn"]: r for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {(1, i): (1 if i else None, i - 2 if i > 1 else 0 if i else None, got[i]["place"]) for i in range(n)} == brute_conversations([(c, t, x) for c, t, _, x in rows])
