@@ -1,12 +1,17 @@
 """Quality by hierarchical empirical Bayes.
 
 A logistic model on the shape of a text (fitted on a bounded sample of labelled rows of each class, with its intercept
-set to the shares of the classes among all labels) gives each document its evidence. Soft counts of good documents, summed by host and by path, give posteriors: a path is shrunk toward its host and a host toward
-the global rate, the more the fewer documents it has, with prior strengths from the spread between groups. A
-document's evidence is then combined with the posterior odds of its path.
+set to the shares of the classes among all labels) gives each document its evidence. Soft counts of good documents,
+summed by host and by path, give posteriors: a path is shrunk toward its host and a host toward the global rate, the
+more the fewer documents it has, with prior strengths from the spread between groups. The posterior of a document is
+its evidence with the global rate replaced by the rate of its path, in which the document itself is not counted, so
+nothing is used twice.
+
+Texts are read once: their log-odds are written beside the other columns before sums are taken.
 
 Defined results: a null text counts as empty and has the features of an empty text; a null host or path is a group of its own;
-without labelled rows of both kinds, or for an empty table, fixed coefficients are used; all rows get a score, repeated rows the same.
+labels that are null or neither 0 nor 1 are not used; without labelled rows of both kinds, or for an empty table,
+fixed coefficients are used; all rows get a score, repeated rows the same.
 """
 
 from __future__ import annotations
@@ -24,8 +29,6 @@ from tessera.llm.common import map_rows, stored
 
 #: Labelled rows of each class that the model is fitted on, at most: those with the smallest checksums of their ids.
 SAMPLE = 4000
-#: Posteriors of sites move the log-odds of a document by this share of their own, and by MOST at most.
-TRUST, MOST = 0.5, 1.5
 #: Documents whose posterior is at least this stay.
 THRESHOLD = 0.35
 GROUPS_BROADCAST = 200_000  # groups sent to all workers up to here, else joined by a shuffle
@@ -137,26 +140,31 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return mean, min(1e4, max(2.0, mean * (1 - mean) / variance - 1)) if variance > 1e-9 else 1e4
 
 
-def score(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", prefix: str = "") -> DataFrame:
-    """All columns of ``docs`` with ``evidence`` (log-odds from the text), ``site_rate`` (posterior of its path) and
-    ``posterior``, which replace columns of these names; ``prefix`` goes before theirs. Sums by path are taken before the shuffle, so one large host costs no more than others."""
-    marked = docs.withColumn("_host", host.cast("string")).withColumn("_path", path.cast("string"))
-    narrow = stored(marked.select("_host", "_path", evidence(marked, model, text).alias("z")).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(1 / (1 + F.exp(-F.col("z")))).alias("good")), "quality-sites")
+def score(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if None) of ``docs`` with ``evidence`` (log-odds from the text), ``site_rate`` (posterior of
+    its path without the document) and ``posterior``, which replace columns of these names; ``prefix`` goes before
+    theirs. Sums by path are taken before the shuffle, so one large host costs no more than others."""
+    names = docs.columns if keep is None else keep
+    read = docs.select(*(F.col(f"`{c}`") for c in names), host.cast("string").alias("_host"), path.cast("string").alias("_path"), evidence(docs, model, text).alias("_z"))
+    marked = stored(read, "quality-evidence").withColumn("_soft", 1 / (1 + F.exp(-F.col("_z"))))
+    narrow = stored(marked.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_soft").alias("good")), "quality-sites")
     hosts = narrow.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     rate, strength = _strength(hosts)
     _, inner = _strength(narrow)
-    host_rate = hosts.select(F.col("_host").alias("_h"), ((F.col("good") + strength * rate) / (F.col("n") + strength)).alias("_host_rate"))
-    sites = narrow.join(host_rate, F.col("_host").eqNullSafe(F.col("_h"))).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), ((F.col("good") + inner * F.col("_host_rate")) / (F.col("n") + inner)).alias("_site_rate"))
+    above = hosts.select(F.col("_host").alias("_h"), F.col("n").alias("_host_n"), F.col("good").alias("_host_good"))
+    sites = narrow.join(above, F.col("_host").eqNullSafe(F.col("_h"))).select("_h", F.col("_path").alias("_p"), F.col("n").alias("_n"), F.col("good").alias("_good"), "_host_n", "_host_good")
     few = narrow.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
-    joined = marked.join(F.broadcast(sites) if few else sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p", "_host", "_path")
-    odds = F.log(F.col("_site_rate") / (1 - F.col("_site_rate"))) - math.log(rate / (1 - rate))
-    moved = F.greatest(F.lit(-MOST), F.least(F.lit(MOST), TRUST * odds))
-    out = joined.withColumn("_z", evidence(joined, model, text)).withColumn("_p", 1 / (1 + F.exp(-(F.col("_z") + F.coalesce(moved, F.lit(0.0))))))
-    made = {f"{prefix}evidence": "_z", f"{prefix}site_rate": "_site_rate", f"{prefix}posterior": "_p"}
-    return out.select(*(c for c in docs.columns if c not in made), *(F.col(c).alias(name) for name, c in made.items()))
+    joined = marked.join(F.broadcast(sites) if few else sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    # Sums without the document itself; rounding must not take them below 0.
+    without = lambda total: F.greatest(F.lit(0.0), F.col(total) - F.col("_soft"))
+    of_host = (without("_host_good") + strength * rate) / (F.col("_host_n") - 1 + strength)
+    out = joined.withColumn("_rate", (without("_good") + inner * of_host) / (F.col("_n") - 1 + inner))
+    odds = F.log(F.col("_rate") / (1 - F.col("_rate"))) - math.log(rate / (1 - rate))
+    made = {f"{prefix}evidence": F.col("_z"), f"{prefix}site_rate": F.col("_rate"), f"{prefix}posterior": 1 / (1 + F.exp(-(F.col("_z") + odds)))}
+    return out.select(*(F.col(f"`{c}`") for c in names if c not in made), *(c.alias(name) for name, c in made.items()))
 
 
 def keep_good(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches the threshold, with their own columns only."""
     columns = docs.columns
-    return score(docs, model, host, path, text, "_quality_").where(F.col("_quality_posterior") >= threshold).select(*columns)
+    return score(docs, model, host, path, text, "_quality_").where(F.col("_quality_posterior") >= threshold).select(*(F.col(f"`{c}`") for c in columns))

@@ -74,7 +74,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior quality of every document: sources are its hosts, their languages the paths."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, F.col("source"), F.col("lang"))
+    scored = quality.score(docs, model, F.col("source"), F.col("lang"), keep=["doc_id"])
     return scored.select("doc_id", "evidence", "site_rate", "posterior", (F.col("posterior") >= quality.THRESHOLD).alias("kept"))
 
 

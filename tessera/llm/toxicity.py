@@ -2,7 +2,9 @@
 
 A lexicon of words and stems is learned from labelled texts (log-odds of document counts, on a bounded
 sample) beside a short list of known insults. Its trie is intersected with the Levenshtein automaton of
-distance 1, made deterministic while it runs, so misspelled terms are found as well. Each hit is weighed by a window
+distance 1, where two neighbouring letters that change places are one edit too; it is made deterministic while it
+runs, so misspelled terms are found as well. Words of five letters or more may be misspelled in any of these ways,
+words of four letters by changed places only; stems may not. Each hit is weighed by a window
 of words around it: inside quotation marks or beside words of reporting it counts less, beside words of address
 more. A logistic model over a text's hits, fitted on hits of the fold that its lexicon did not see, gives the score; its
 intercept is set to the shares of the classes among all labelled texts, not those of the sample.
@@ -20,16 +22,19 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_stored, map_rows, stored
 
 #: Labelled rows of each class that the model is fitted on, at most: those with the smallest checksums of their ids.
 SAMPLE = 4000
-#: Terms kept, by significance. Misspellings are looked for of words of FUZZY_LETTERS or more that are known
-#: insults or occur in FUZZY_SHARE of the toxic texts.
-TERMS, FUZZY_LETTERS, FUZZY_SHARE = 400, 5, 0.05
+#: A term must occur in LEAST_TEXTS toxic texts and in LEAST_SHARE of them, with log-odds of LEAST_ODDS and a deviation of
+#: LEAST_SIGMAS from its expected number. No other bound is set to their number.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, LEAST_SIGMAS = 4, 0.008, 2.5, 4.0
+#: Misspellings are looked for of words of FUZZY_LETTERS or more (of SWAP_LETTERS or more by changed places only)
+#: that are known insults or occur in FUZZY_SHARE of the toxic texts.
+SWAP_LETTERS, FUZZY_LETTERS, FUZZY_SHARE = 4, 5, 0.05
 #: Lengths of stems that are tried besides whole words.
 STEMS = range(4, 9)
 WINDOW = 6  # words on either side of a hit
@@ -54,24 +59,28 @@ class Lexicon:
     """Words (True) and stems (False) with their weights; the words that may be misspelled."""
 
     weights: dict[tuple[str, bool], float]
-    fuzzy: frozenset[str] = frozenset(w for w in INSULTS if len(w) >= FUZZY_LETTERS)
+    fuzzy: frozenset[str] = frozenset(w for w in INSULTS if len(w) >= SWAP_LETTERS)
     forms: dict[str, float] = field(default_factory=dict)  # misspellings whose weight is known
     max_edits: int = 1
 
 
 class Automaton:
-    """The trie of a lexicon walked by Levenshtein automata. A state is the set of (node, edits) alive; its
-    followers are made when first needed. ``find`` gives the best term of a word, or None."""
+    """The trie of a lexicon walked by Levenshtein automata. A state is the set of (node, edits, awaited) alive, where
+    awaited is the letter that must follow when two have changed places, or empty; its followers are made when first
+    needed. ``find`` gives the best term of a word, or None."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.next: list[dict[str, int]] = [{}]
         self.word_end: list[tuple[str, bool] | None] = [None]
         self.stem_end: list[tuple[str, bool] | None] = [None]
-        self.fuzzy: list[bool] = [False]  # whether a term that may be misspelled lies below
+        self.fuzzy: list[bool] = [False]  # whether a term that may be misspelled in any way lies below
+        self.swaps: list[bool] = [False]  # the same for changed places
         for term, whole in lexicon.weights:
-            at, may = 0, whole and term in lexicon.fuzzy
+            at, swap = 0, whole and term in lexicon.fuzzy
+            may = swap and len(term) >= FUZZY_LETTERS
             self.fuzzy[0] |= may
+            self.swaps[0] |= swap
             for letter in term:
                 if letter not in self.next[at]:
                     self.next[at][letter] = len(self.next)
@@ -79,27 +88,29 @@ class Automaton:
                     self.word_end.append(None)
                     self.stem_end.append(None)
                     self.fuzzy.append(False)
+                    self.swaps.append(False)
                 at = self.next[at][letter]
                 self.fuzzy[at] |= may
+                self.swaps[at] |= swap
             (self.word_end if whole else self.stem_end)[at] = (term, whole)
         self.states: dict[frozenset, int] = {}
         self.alive: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.letters = set().union(*self.next) if self.next else set()
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
         self.words: dict[str, tuple | None] = {}
 
-    def _state(self, alive: set[tuple[int, int]]) -> int:
-        best: dict[int, int] = {}
+    def _state(self, alive: set[tuple[int, int, str]]) -> int:
+        best: dict[tuple[int, str], int] = {}
         todo = list(alive)
         while todo:  # a letter of the term left out: go on without reading
-            node, edits = todo.pop()
-            if best.get(node, 9) <= edits:
+            node, edits, awaited = todo.pop()
+            if best.get((node, awaited), 9) <= edits:
                 continue
-            best[node] = edits
-            if edits < self.lexicon.max_edits:
-                todo += [(n, edits + 1) for n in self.next[node].values() if self.fuzzy[n]]
-        key = frozenset(best.items())
+            best[node, awaited] = edits
+            if edits < self.lexicon.max_edits and not awaited:
+                todo += [(n, edits + 1, "") for n in self.next[node].values() if self.fuzzy[n]]
+        key = frozenset((node, edits, awaited) for (node, awaited), edits in best.items())
         if key not in self.states:
             self.states[key] = len(self.alive)
             self.alive.append(key)
@@ -111,13 +122,22 @@ class Automaton:
         got = self.moves[state].get(letter)
         if got is None:
             following = set()
-            for node, edits in self.alive[state]:
+            for node, edits, awaited in self.alive[state]:
+                if awaited:
+                    if letter == awaited:
+                        following.add((node, edits, ""))
+                    continue
                 same = self.next[node].get(letter)
                 if same is not None:
-                    following.add((same, edits))
-                if edits < self.lexicon.max_edits and self.fuzzy[node]:
-                    following.add((node, edits + 1))  # a letter too many
-                    following.update((n, edits + 1) for n in self.next[node].values() if self.fuzzy[n])  # another letter
+                    following.add((same, edits, ""))
+                if edits < self.lexicon.max_edits:
+                    if self.fuzzy[node]:
+                        following.add((node, edits + 1, ""))  # a letter too many
+                        following.update((n, edits + 1, "") for n in self.next[node].values() if self.fuzzy[n])  # another letter
+                    for first, n in self.next[node].items():  # the letter after next comes first
+                        beyond = self.next[n].get(letter) if first != letter else None
+                        if beyond is not None and self.swaps[beyond]:
+                            following.add((beyond, edits + 1, first))
             got = self.moves[state][letter] = self._state(following)
         return got
 
@@ -130,11 +150,11 @@ class Automaton:
             state = self._step(state, letter)
             if not self.alive[state]:
                 break
-            for node, edits in self.alive[state]:
+            for node, edits, _ in self.alive[state]:
                 if edits == 0 and self.stem_end[node]:
                     stem = self.stem_end[node]
         else:
-            ends = sorted((edits, self.word_end[node]) for node, edits in self.alive[state] if self.word_end[node] and (edits == 0 or self.word_end[node][0] in self.lexicon.fuzzy))
+            ends = sorted((edits, self.word_end[node]) for node, edits, awaited in self.alive[state] if self.word_end[node] and not awaited and (edits == 0 or self.word_end[node][0] in self.lexicon.fuzzy))
             if ends and (ends[0][0] == 0 or not stem):
                 stem = None
                 return self._remember(word, (ends[0][1], ends[0][0]))
@@ -175,7 +195,7 @@ class Automaton:
 
 
 def features(lexicon: Lexicon, hits: list[tuple], n_words: int) -> list[float]:
-    """Evidence of distinct terms, hits, their density, and the share of the strongest term."""
+    """Evidence of distinct terms (which levels off), hits, their density, and the strongest term."""
     by_term: dict[tuple, float] = {}
     total = 0.0
     for form, term, edits, context in hits:
@@ -185,8 +205,8 @@ def features(lexicon: Lexicon, hits: list[tuple], n_words: int) -> list[float]:
         weight *= context
         by_term[term] = max(by_term.get(term, 0.0), weight)
         total += max(0.0, weight)
-    top = sorted(by_term.values(), reverse=True)
-    return [min(12.0, sum(top[:6])), math.log1p(total), min(3.0, math.sqrt(100.0 * total / max(20, n_words))), top[0] if top else 0.0]
+    distinct = sum(max(0.0, w) for w in by_term.values())
+    return [12.0 * math.tanh(distinct / 12.0), math.log1p(total), min(3.0, math.sqrt(100.0 * total / max(20, n_words))), max(by_term.values(), default=0.0)]
 
 
 @dataclass
@@ -208,12 +228,12 @@ def _select(counts: dict[tuple[str, bool], list[int]], n_toxic: int, n_clean: in
     words, and a longer stem goes where a shorter one is as pure."""
     found = []
     for key, (t, c) in counts.items():
-        if t < max(4, 0.008 * n_toxic):
+        if t < max(LEAST_TEXTS, LEAST_SHARE * n_toxic):
             continue
         odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
         share = n_toxic / (n_toxic + n_clean)
         expected = (t + c) * share
-        if odds >= 2.5 and (t - expected) / math.sqrt(expected * (1 - share) + 1e-9) >= 4:
+        if odds >= LEAST_ODDS and (t - expected) / math.sqrt(expected * (1 - share) + 1e-9) >= LEAST_SIGMAS:
             found.append((t * odds, odds, key, t, c))
     found.sort(key=lambda x: (-x[0], x[2]))
     words = {k[0]: (t, c) for _, _, k, t, c in found if k[1]}
@@ -227,11 +247,15 @@ def _select(counts: dict[tuple[str, bool], list[int]], n_toxic: int, n_clean: in
             if any(term[:k] in stems and stems[term[:k]][1] <= c and stems[term[:k]][0] >= t for k in range(STEMS[0], len(term))):
                 continue
         out[term, whole] = min(6.0, odds)
-        if len(out) == TERMS:
-            break
     return out
 
 
+def _supported(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
+    """Whether ``_select`` may take a term by its counts alone, checked before terms leave the executors."""
+    odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    return (t >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)) & (odds >= LEAST_ODDS - 1e-9)
+
+
 def _with_insults(weights: dict, counts: dict, n_toxic: int, n_clean: int) -> Lexicon:
     out = dict(weights)
     for w in INSULTS:
@@ -240,7 +264,7 @@ def _with_insults(weights: dict, counts: dict, n_toxic: int, n_clean: int) -> Le
             odds = math.log((t + 1.0) / (n_toxic + 2)) - math.log((c + 0.1) / (n_clean + 2)) if n_toxic and n_clean else 4.0
             if odds > 1.0:
                 out[w, True] = min(4.0, odds)
-    usual = {w for w, whole in out if whole and len(w) >= FUZZY_LETTERS and (w in INSULTS or counts[w, True][0] >= max(5, FUZZY_SHARE * n_toxic))}
+    usual = {w for w, whole in out if whole and len(w) >= SWAP_LETTERS and (w in INSULTS or counts[w, True][0] >= max(5, FUZZY_SHARE * n_toxic))}
     return Lexicon(out, frozenset(usual))
 
 
@@ -296,17 +320,14 @@ def _fit(sample: DataFrame, every: dict[int, int]) -> Model:
     n = {y: sizes.get((0, y), 0) + sizes.get((1, y), 0) for y in (0, 1)}
     if not n[0] or not n[1]:
         return Model(_with_insults({}, {}, 0, 0), UNFITTED)
-    least = max(2, int(0.004 * min(sizes.get((0, 1), 0), sizes.get((1, 1), 0))))
     known = [*INSULTS]
     rows = (
         map_rows(sample, "term string, whole boolean, fold int, y int, n long", terms)
         .groupBy("term", "whole")
         .agg(*(F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)))
-        .where((F.col("n01") + F.col("n11") >= least) & ((F.col("n01") + F.col("n11")) * (2.0 * n[0] / n[1]) > 8 * (F.col("n00") + F.col("n10"))) | F.col("term").isin(known))
-        .orderBy(F.desc(F.col("n01") + F.col("n11")), "term", "whole")
-        .limit(50_000)
+        .where(F.greatest(*(_supported(*(sum((F.col(f"n{f}{y}") for f in folds), F.lit(0)) for y in (1, 0)), *(sum(sizes.get((f, y), 0) for f in folds) for y in (1, 0))) for folds in ((0,), (1,), (0, 1)))) | F.col("term").isin(known))
         .collect()
-    )
+    )  # the terms of a bounded sample of texts that occur in a share of them
 
     def lexicon(folds: tuple[int, ...]) -> Lexicon:
         counts = {(r["term"], r["whole"]): [sum(r[f"n{f}1"] for f in folds), sum(r[f"n{f}0"] for f in folds)] for r in rows}

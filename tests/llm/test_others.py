@@ -92,12 +92,14 @@ def test_mix_is_a_permutation_by_the_schedule(spark):
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+    """Edits between two words; neighbouring letters that change places are one."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
 
 
 def test_automaton_equals_edit_distance():
@@ -109,7 +111,10 @@ def test_automaton_equals_edit_distance():
         word = list(rng.choice([*terms, "loweis"]))
         for _ in range(rng.randrange(3)):
             k = rng.randrange(len(word) + 1)
-            word[k : k + rng.randrange(2)] = rng.choice(["", "x", "o", "i"])
+            if rng.random() < 0.3:
+                word[k : k + 2] = word[k : k + 2][::-1]
+            else:
+                word[k : k + rng.randrange(2)] = rng.choice(["", "x", "o", "i"])
         word = "".join(word)
         got = a.find(word)
         exact = word in terms
@@ -120,6 +125,60 @@ def test_automaton_equals_edit_distance():
             assert got == ((word, True), 0)
 
 
+def test_short_words_by_changed_places_only():
+    a = toxicity.Automaton(toxicity.Lexicon({("scum", True): 3.0, ("idiot", True): 3.0}, frozenset({"scum", "idiot"})))
+    assert [a.find(w) for w in ("scum", "scmu", "csum", "scam", "sum", "idoit")] == [(("scum", True), 0), (("scum", True), 1), (("scum", True), 1), None, None, (("idiot", True), 1)]
+
+
+def brute_score(model, text):
+    """Score of a text with every word compared with every term."""
+    words = re.findall(rf"[\w]+|[{toxicity.QUOTES}]", (text or "").lower())
+    best, total = {}, 0.0
+    for i, w in enumerate(words):
+        if w in toxicity.QUOTES:
+            continue
+        terms = [(t, whole) for t, whole in model.lexicon.weights]
+        stems = [t for t in terms if not t[1] and w.startswith(t[0])]
+        near = [t for t in terms if t[1] and t[0] in model.lexicon.fuzzy and distance(w, t[0]) == 1 and (len(t[0]) >= 5 or len(t[0]) == len(w) and sorted(t[0]) == sorted(w))]
+        term = (w, True) if (w, True) in terms else max(stems, key=lambda t: len(t[0]), default=None) or min(near, default=None)
+        if term is None:
+            continue
+        weight = model.lexicon.weights[term]
+        if term[1] and term[0] != w:
+            weight = model.lexicon.forms.get(w, 0.5 * weight)
+        around = words[max(0, i - 6) : i], words[i + 1 : i + 7]
+        weight *= 0.35 if all(any(x in toxicity.QUOTES for x in side) for side in around) else 1.0
+        weight *= 0.6 if set(around[0]) & toxicity.REPORTING else 1.0
+        weight *= 1.25 if set(around[0] + around[1]) & toxicity.ADDRESS else 1.0
+        best[term] = max(best.get(term, 0.0), weight)
+        total += weight
+    x = [12 * math.tanh(sum(best.values()) / 12), math.log1p(total), min(3.0, math.sqrt(100 * total / max(20, len(words)))), max(best.values(), default=0.0)]
+    return 1 / (1 + math.exp(-(model.coefficients[0] + sum(a * b for a, b in zip(model.coefficients[1:], x)))))
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    lexicon = toxicity.Lexicon({("idiot", True): 4.0, ("moron", True): 3.0, ("scum", True): 2.5, ("zorb", False): 3.5, ("zorbels", False): 1.0}, frozenset({"idiot", "moron", "scum"}), {"idiat": 0.1})
+    model = toxicity.Model(lexicon, [-3.0, 0.4, 0.5, 0.3, 0.2])
+    bag = 'you said "word" the idiot idoit idiat idiots moron mroon scum scmu scam zorbling zorbelsy stone tree house he it and '.split() + ['"', "„"]
+    texts = [None, "", *(" ".join(rng.choice(bag) for _ in range(rng.randrange(60))) for _ in range(150)), "tree and " * 100_000 + "idiot"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for i, t in enumerate(texts[:-1]):
+        assert got[i] == pytest.approx(brute_score(model, t), rel=1e-9)
+    assert got[len(texts) - 1] == pytest.approx(model.score(toxicity.features(lexicon, [("idiot", ("idiot", True), 0, 1.0)], 200_001)))
+
+
+def test_terms_have_no_cap(spark):
+    """More learned terms than any round number: each marks its own toxic texts."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("bcdfghklmnprstvz") for _ in range(n))
+    terms = [letters(7) for _ in range(600)]
+    docs = [(i, " ".join(rng.sample(terms, 40)) if i % 6 == 0 else " ".join(letters(7) for _ in range(40))) for i in range(900)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    assert sum((t, True) in model.lexicon.weights or any((t[:k], False) in model.lexicon.weights for k in toxicity.STEMS) for t in terms) > 500
+
+
 def test_context_weighs_hits():
     lexicon = toxicity.Lexicon({("idiot", True): 4.0})
     a = toxicity.Automaton(lexicon)
@@ -183,6 +242,50 @@ def test_small_sites_shrink(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels), F.col("source"), F.lit("p")).count() == 0
 
 
+def brute_quality(rows, model):
+    """Posteriors from the definition, group by group; rows: (text, host, path)."""
+    z = [model.logit(quality.shape(t)) for t, _, _ in rows]
+    soft = [1 / (1 + math.exp(-x)) for x in z]
+
+    def strength(keys):
+        groups = {}
+        for k, s in zip(keys, soft):
+            n, good = groups.get(k, (0, 0.0))
+            groups[k] = n + 1, good + s
+        total, good = sum(n for n, _ in groups.values()), sum(g for _, g in groups.values())
+        mean = min(0.999, max(0.001, good / total))
+        between = sum(n * (g / n - mean) ** 2 for n, g in groups.values()) - total * (good / total - mean) ** 2 * (good / total != mean)
+        scale = total - sum(n * n for n, _ in groups.values()) / total
+        variance = max(0.0, (between - mean * (1 - mean) * (len(groups) - 1)) / scale) if scale else 0.0
+        return mean, min(1e4, max(2.0, mean * (1 - mean) / variance - 1)) if variance > 1e-9 else 1e4
+
+    rate, outer = strength([h for _, h, _ in rows])
+    _, inner = strength([(h, p) for _, h, p in rows])
+    out = []
+    for i, (_, h, p) in enumerate(rows):
+        at_host = [s for k, s in enumerate(soft) if k != i and rows[k][1] == h]
+        at_path = [s for k, s in enumerate(soft) if k != i and rows[k][1:] == (h, p)]
+        host = (sum(at_host) + outer * rate) / (len(at_host) + outer)
+        site = (sum(at_path) + inner * host) / (len(at_path) + inner)
+        out.append((z[i], site, 1 / (1 + math.exp(-(z[i] + math.log(site / (1 - site)) - math.log(rate / (1 - rate)))))))
+    return out
+
+
+@pytest.mark.parametrize("groups", [200_000, 0])
+def test_quality_equals_brute_force(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality, "GROUPS_BROADCAST", groups)
+    rng = random.Random(6)
+    good, bad = "Plain words in a sentence, one after another, that say this. ", "$$$ *** BUY!!! NOW!!! $$$ "
+    texts = [None, "", *((good * rng.randrange(1, 6) + bad * rng.randrange(0, 4) * (rng.random() < 0.4)) for _ in range(150)), good * 20_000]
+    rows = [(t, rng.choice([None, "a", "b", "c"]), rng.choice([None, "x", "y"])) for t in texts]
+    docs = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "doc_id long, text string, source string, part string, posterior int")
+    labels = spark.createDataFrame([(i, None if i % 5 == 0 else int("$" not in (r[0] or ""))) for i, r in enumerate(rows[:100])], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.score(docs, model, F.col("source"), F.col("part")).collect()}
+    for i, want in enumerate(brute_quality(rows, model)):
+        assert [got[i]["evidence"], got[i]["site_rate"], got[i]["posterior"]] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
 def test_quality_does_not_depend_on_the_cap(spark, monkeypatch):
     plain, marked = "Plain words in a sentence, one after another, that say this and that. " * 3, "$$$ *** ### %%% BUY!!! NOW!!! $$$ " * 9
     kinds = [(plain, 1)] * 800 + [(marked, 1)] * 100 + [(plain, 0)] * 50 + [(marked, 0)] * 50
