@@ -1,12 +1,16 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer (over UTF-8 bytes) is chosen when its smallest inner s-mer lies at its first or last position. The
-choice depends on the k-mer alone, so a passage gets the same anchors wherever it stands. A fingerprint keeps the smallest
-anchor hash of each of ``BINS`` bins; the share of equal bins estimates the likeness of two anchor sets.
+choice depends on the k-mer alone, so a passage gets the same anchors wherever it stands.
+
+Two texts are alike by positional matching of all their anchors: an anchor of one matches the anchor of the other
+with its hash (repeated ones in order), and counts if the anchor before or after it matches at the same shift of
+positions. The likeness is the share of counted matches in the anchors of both. What is written as a fingerprint is a
+sketch of fixed size: the smallest anchor hash of each of ``BINS`` bins.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, and two empty ones are alike (1.0);
-a text shorter than a k-mer is one anchor; equal texts have equal fingerprints. Rows with equal ids follow
-each other in order of their texts; a null id comes first.
+a text shorter than a k-mer is one anchor; a lone anchor needs no neighbour; equal texts have equal fingerprints
+and a likeness of 1.0. Rows with equal ids follow each other in order of their texts; a null id comes first.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from tessera.llm.common import map_rows
 
 K, S = 12, 5
 BINS, HEX = 64, 6
-ROWS_A_PART = 4000  # rows of a stretch of neighbouring ids
+ROWS_A_PART = 4000  # least rows of a stretch of neighbouring ids
+PARTS_A_PARTITION = 8  # stretches for each shuffle partition, at most: they are read one row after another, so they may be long
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -57,9 +62,9 @@ def syncmers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed * _ODD[0]
 
 
-def bins_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def bins_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bins that hold anchors, and the smallest hash of each."""
-    hashes = np.sort(syncmers(data)[1])
+    hashes = np.sort(hashes)
     where, first = np.unique(hashes >> np.uint64(64 - 6), return_index=True)
     return where.astype(np.int64), (hashes[first] >> np.uint64(34)) & np.uint64(0xFFFFFF)
 
@@ -74,12 +79,30 @@ def write(bins: tuple[np.ndarray, np.ndarray]) -> str:
     return "".join(out)
 
 
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Keys of anchors: their hashes mixed with how often they came before."""
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    at = np.arange(len(ordered))
+    begins = np.ones(len(ordered), bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    times = np.empty(len(ordered), np.uint64)
+    times[order] = (at - np.maximum.accumulate(np.where(begins, at, 0))).astype(np.uint64)
+    return hashes + times * _ODD[0]
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Equal bins as a share of the bins that either fills."""
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    return float(np.count_nonzero(a[1][i] == b[1][j])) / (len(a[0]) + len(b[0]) - len(both))
+    """Positional likeness of two sets of anchors, (positions, hashes) each."""
+    n, m = len(a[0]), len(b[0])
+    if not n or not m:
+        return float(n == m)
+    _, i, j = np.intersect1d(_numbered(a[1]), _numbered(b[1]), assume_unique=True, return_indices=True)
+    shift = np.full(n + 2, np.iinfo(np.int64).max)
+    shift[i + 1] = b[0][j] - a[0][i]
+    own = shift[1:-1]
+    counted = (own != np.iinfo(np.int64).max) & ((own == shift[:-2]) | (own == shift[2:]) | (min(n, m) == 1))
+    both = int(np.count_nonzero(counted))
+    return both / (n + m - both)
 
 
 def anchors(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,17 +120,15 @@ def anchors(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def by_neighbour(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows dealt into stretches of ascending ids, each followed by the first row of the next stretch (``halo``),
-    the last by the very first: every row then stands beside its successor, with one shuffle of the texts.
-    The borders are ids of the table, one for ROWS_A_PART rows, found by an approximate percentile."""
+    the last by the very first: every row then stands beside its successor, with one shuffle of the texts. The borders
+    are the least ids of range partitions of the ids alone; the driver holds some for each shuffle partition."""
     order = F.coalesce(df[key].cast("long"), F.lit(-(2**63)))
     keyed = df.select(order.alias("o"), df[key].alias("k"), df[text].alias("t"))
     ids = df.select(order.alias("o"))
-    n = ids.count()
-    parts = max(1, min(10_000, n // ROWS_A_PART))
-    fractions = [(i + 1) / parts for i in range(parts - 1)]
-    got = ids.agg(F.min("o").alias("first"), *([F.percentile_approx("o", fractions, 100_000).alias("cuts")] if fractions else [F.array().cast("array<long>").alias("cuts")])).first()
-    first = got["first"] if got["first"] is not None else 0
-    cuts = sorted({c for c in got["cuts"] or [] if c > first})
+    count = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(1, min(PARTS_A_PARTITION * count, ids.count() // ROWS_A_PART))
+    tops = ids.repartitionByRange(parts, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("o")).collect()
+    first, *cuts = sorted(r["o"] for r in tops) or [0]
 
     part, is_cut = _part(F.col("o"), cuts)
     here = F.struct(part.alias("part"), F.lit(False).alias("halo"))
@@ -115,17 +136,20 @@ def by_neighbour(df: DataFrame, key: str, text: str) -> DataFrame:
     around = F.when(F.col("o") == first, F.struct(F.lit(len(cuts)).alias("part"), F.lit(True).alias("halo")))
     places = F.filter(F.array(here, before, around), lambda x: x.isNotNull())
     dealt = keyed.withColumn("p", F.explode(places)).select("p.part", "p.halo", "o", "k", "t")
-    count = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return dealt.repartition(count, "part").sortWithinPartitions("part", "halo", "o", "t")
 
 
 def _part(o: Column, cuts: list[int]) -> tuple[Column, Column]:
-    """The number of cuts at or below ``o``, by a balanced tree of comparisons, and whether ``o`` is a cut."""
+    """The number of cuts at or below ``o`` and whether ``o`` is a cut: first every n-th cut is compared, then those
+    between two of them, n being the root of their number."""
     if not cuts:
         return F.lit(0), F.lit(False)
-    borders = F.lit(cuts).cast("array<long>") if len(cuts) > 1 else F.array(F.lit(cuts[0]).cast("long"))
-    below = F.size(F.filter(borders, lambda c: c <= o))
-    return below, F.array_contains(borders, o)
+    step = max(1, int(len(cuts) ** 0.5))
+    borders = F.array(F.lit(cuts[0]).cast("long")) if len(cuts) == 1 else F.lit(cuts).cast("array<long>")
+    tops = cuts[step - 1 :: step]
+    coarse = F.size(F.filter(F.array(F.lit(tops[0]).cast("long")) if len(tops) == 1 else F.lit(tops).cast("array<long>"), lambda c: c <= o)) * step
+    below = coarse + F.size(F.filter(F.slice(borders, coarse + 1, F.lit(step)), lambda c: c <= o))
+    return below, (below > 0) & (F.element_at(borders, F.greatest(below, F.lit(1))) == o)
 
 
 def edited_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,21 +157,20 @@ def edited_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     down) is replaced by the start of the next text."""
     dealt = by_neighbour(df, key, text)
 
-    def describe(k, t: str, following: str) -> tuple:
-        q = len(t) // 4
-        edited = (t[: len(t) - q] + following[:q]).encode("utf-8")
-        own, changed, after = bins_of(t.encode("utf-8")), bins_of(edited), bins_of(following.encode("utf-8"))
-        return k, len(t), hashlib.sha256(edited).hexdigest(), write(own), write(changed), likeness(own, changed), likeness(own, after)
-
     def rows(parts):
         held = None
         for batch in parts:
             out = []
             for part, halo, k, t in zip(batch["part"], batch["halo"], batch["k"], batch["t"]):
                 t = t or ""
+                found = syncmers(t.encode("utf-8"))
                 if held is not None:
-                    out.append(describe(held[1], held[2], t))
-                held = None if halo else (part, k, t)
+                    before, own, sketch = held[1:]
+                    q = len(before) // 4
+                    edited = (before[: len(before) - q] + t[:q]).encode("utf-8")
+                    changed = syncmers(edited)
+                    out.append((held[0], len(before), hashlib.sha256(edited).hexdigest(), sketch, write(bins_of(changed[1])), likeness(own, changed), likeness(own, found)))
+                held = None if halo else (k, t, found, write(bins_of(found[1])))
             yield list(zip(*out)) if out else [[] for _ in range(7)]
 
     return map_rows(dealt, f"{key} {df.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", rows)

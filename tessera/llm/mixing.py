@@ -1,73 +1,93 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's rows, in a fixed pseudo-random order, form blocks. With integer weights w of sum W, block j of a source
-is released at slot floor(j W / w) and due by slot ceil((j + 1) W / w); taking the earliest deadline among the
-released blocks fills every slot and keeps each source within less than one block of its share. The schedule
-repeats after W slots; when a source runs out, the rest go on with their weights from there (a phase). The driver
-plans one cycle per phase, so its work depends on the sources and weights, not on the rows.
+Each source's rows, in a fixed pseudo-random order, form blocks. The fluid schedule gives every source that has blocks
+left a share of each slot in proportion to its weight; when a source runs out, the others go on with their weights
+from there. At virtual time v source i has had min(w_i v, blocks of i) blocks, and the slot at v is the sum of these:
+all exact, in whole numbers, for any weights. Block j is released at the slot in which the fluid schedule begins it and
+due by the slot in which it ends it; taking the earliest deadline among the released blocks fills every slot and keeps
+each source within less than one block of its fluid share at every slot.
+
+A block is a fixed part of the table (one BLOCKS-th), so the schedule that the driver plans has about BLOCKS entries,
+and one for each source, whatever the rows: its work is in O(n log n) of these.
 
 Defined results: rows without source are a source of their own; rows that repeat share the order of their
-hashes and each keep a position; every row is kept; an empty table gives an empty result.
+hashes and each keep a position; every row is kept; a weight that is missing or not above 0 counts as the least
+there is; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from fractions import Fraction
+from functools import cmp_to_key
+from math import lcm
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 64  # rows of a block
-RESOLUTION = 1000  # slots of a cycle, about
-ROWS_A_BUCKET = 1000  # rows that are ordered together; a source has as many buckets as it needs
-
-
-def cycle(weights: list[int]) -> list[int]:
-    """Source of each slot of one cycle, earliest deadline first among released blocks."""
-    total = sum(weights)
-    waiting = [(0, i, 0) for i in range(len(weights))]  # release, source, block
+BLOCKS = 1 << 18  # blocks of a table, about
+BROADCAST_SOURCES = 200_000  # sources whose sizes are sent to all workers up to here, else joined by a shuffle
+ROWS_A_BUCKET = 1000  # rows that are ordered together, about; a source has as many buckets as it needs
+
+
+class Fluid:
+    """The fluid schedule of whole-number weights and blocks: when each source has had how much."""
+
+    def __init__(self, weights: list[int], blocks: list[int]):
+        self.weights, self.blocks = weights, blocks
+        order = sorted((i for i, n in enumerate(blocks) if n), key=cmp_to_key(lambda a, b: blocks[a] * weights[b] - blocks[b] * weights[a]))
+        self.ends = order  # sources in the order in which they run out
+        self.over, self.rate = [0], [sum(weights[i] for i in order)]  # blocks of those gone, weight of those left
+        for i in order:
+            self.over.append(self.over[-1] + blocks[i])
+            self.rate.append(self.rate[-1] - weights[i])
+
+    def slot(self, source: int, count: int) -> tuple[int, int]:
+        """The slot, as numerator and denominator, at which the source has had ``count`` blocks."""
+        w = self.weights[source]
+        low, high = 0, len(self.ends)
+        while low < high:  # sources that run out before: blocks / weight below count / w
+            k = (low + high) // 2
+            i = self.ends[k]
+            if self.blocks[i] * w < count * self.weights[i]:
+                low = k + 1
+            else:
+                high = k
+        return self.over[low] * w + count * self.rate[low], w
+
+
+def schedule(weights: list[int], blocks: list[int]) -> list[np.ndarray]:
+    """The slots of the blocks of each source: earliest deadline first among released blocks."""
+    fluid = Fluid(weights, blocks)
+    out = [np.zeros(n, np.int64) for n in blocks]
+    waiting = [(0, i, 0) for i, n in enumerate(blocks) if n]  # release, source, block
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
-    for slot in range(total):
+    ready: list[tuple[int, int, int, int]] = []  # deadline, source, block, release of the next
+    for slot in range(sum(blocks)):
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // weights[i]), i, j))
-        _, i, j = heapq.heappop(ready)
-        out.append(i)
-        if j + 1 < weights[i]:
-            heapq.heappush(waiting, ((j + 1) * total // weights[i], i, j + 1))
+            over, w = fluid.slot(i, j + 1)
+            heapq.heappush(ready, (-(-over // w), i, j, over // w))
+        _, i, j, following = heapq.heappop(ready)
+        out[i][j] = slot
+        if j + 1 < blocks[i]:
+            heapq.heappush(waiting, (following, i, j + 1))
     return out
 
 
-@dataclass
-class Phase:
-    base: int  # first slot
-    length: int  # slots of a cycle
-    starts: dict[int, int]  # source -> its first block here
-    slots: dict[int, np.ndarray]  # source -> its slots in a cycle
-
-
 @dataclass
 class Schedule:
     """Where each block of each source goes."""
 
     names: list
-    phases: list[Phase] = field(default_factory=list)
+    slots: list[np.ndarray]  # of each source
+    block: int
     short: list[int] = field(default_factory=list)  # slots of blocks that are not full, ascending
     missing: list[int] = field(default_factory=list)  # rows missing up to and with each of them
-    block: int = BLOCK
-
-    def slot(self, source: int, block: int) -> int:
-        k = bisect_right([p.starts.get(source, 1 << 62) for p in self.phases], block) - 1
-        p = self.phases[k]
-        j = block - p.starts[source]
-        own = p.slots[source]
-        return p.base + j // len(own) * p.length + int(own[j % len(own)])
 
     def before(self, slot: int) -> int:
         """Rows in the slots before ``slot``."""
@@ -75,45 +95,37 @@ class Schedule:
         return slot * self.block - (self.missing[k - 1] if k else 0)
 
 
-def plan(counts: dict, weights: dict, block: int = BLOCK, resolution: int = RESOLUTION) -> Schedule:
-    """counts: rows of each source; weights: its target weight, 0 or missing counts as the least there is."""
+def whole_numbers(weights: list) -> list[int]:
+    """Weights (integers, fractions, decimals or floats) in exact proportion."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact)) if exact else 1
+    return [int(w * scale) for w in exact]
+
+
+def plan(counts: dict, weights: dict, block: int | None = None) -> Schedule:
+    """counts: rows of each source; weights: its target weight; block: rows of a block, if not a BLOCKS-th of all."""
+    block = block or max(1, -(-sum(counts.values()) // BLOCKS))
     names = sorted(counts, key=lambda s: (s is not None, str(s)))
-    least = min((w for w in weights.values() if w > 0), default=1.0)
-    target = [weights.get(s) or least for s in names]
-    total = sum(target) or 1.0
-    whole = [max(1, round(resolution * w / total)) for w in target]
-    left = [-(-counts[s] // block) for s in names]
-    out = Schedule(names, block=block)
-    done, base = [0] * len(names), 0
-    active = [i for i, n in enumerate(left) if n]
-    while active:
-        order = cycle([whole[i] for i in active])
-        slots = {i: np.flatnonzero(np.array(order) == k) for k, i in enumerate(active)}
-        phase = Phase(base, len(order), {i: done[i] for i in active}, slots)
-        # The first source to run out ends the phase with its last block.
-        end = 1 + min((left[i] - done[i] - 1) // len(slots[i]) * len(order) + int(slots[i][(left[i] - done[i] - 1) % len(slots[i])]) for i in active)
-        for i in active:
-            done[i] += end // len(order) * len(slots[i]) + int(np.searchsorted(slots[i], end % len(order)))
-        out.phases.append(phase)
-        base += end
-        active = [i for i in active if done[i] < left[i]]
-    lacking = sorted((out.slot(i, left[i] - 1), -counts[s] % block) for i, s in enumerate(names) if counts[s] % block)
+    least = min((w for w in weights.values() if w and w > 0), default=1)
+    target = [w if (w := weights.get(s)) and w > 0 else least for s in names]
+    blocks = [-(-counts[s] // block) for s in names]
+    out = Schedule(names, schedule(whole_numbers(target), blocks), block)
+    lacking = sorted((int(out.slots[i][-1]), -counts[s] % block) for i, s in enumerate(names) if counts[s] % block)
     out.short = [s for s, _ in lacking]
     out.missing = np.cumsum([m for _, m in lacking]).tolist() if lacking else []
     return out
 
 
 def numbered(df: DataFrame, source: str, key: str) -> tuple[DataFrame, dict]:
-    """``df`` with ``_rank``, the place of a row in its source by the hash of its key, and the rows of each source. Sources
-    are cut into buckets by hash, numbered by themselves and then offset, so no source is handled whole."""
-    counts = {r["s"]: r["n"] for r in df.groupBy(df[source].alias("s")).agg(F.count("*").alias("n")).collect()}
-    sizes = [(s, -(-n // ROWS_A_BUCKET)) for s, n in counts.items() if s is not None and n > ROWS_A_BUCKET]
-    spread = F.lit(-(-counts.get(None, 1) // ROWS_A_BUCKET))
-    if sizes:
-        by_source = F.create_map(*(F.lit(x) for pair in sizes for x in pair))
-        spread = F.when(df[source].isNull(), spread).otherwise(F.coalesce(by_source[df[source]], F.lit(1)))
+    """``df`` with ``_rank``, the place of a row in its source by the hash of its key, and the rows of each source, of which
+    the driver holds one number each. Sources are cut into buckets by hash, numbered by themselves and then offset, so
+    no source is handled whole."""
+    sizes = df.groupBy(df[source].alias("_s")).agg(F.count("*").alias("_n"))
+    counts = {r["_s"]: r["_n"] for r in sizes.collect()}
     h = F.xxhash64(F.lit("mix"), df[key].cast("string"))
-    marked = df.withColumn("_h", h).withColumn("_bucket", F.pmod(F.xxhash64(F.col("_h")), spread).cast("int"))
+    spread = sizes.select("_s", F.ceil(F.col("_n") / ROWS_A_BUCKET).alias("_spread"))
+    marked = df.join(F.broadcast(spread) if len(counts) <= BROADCAST_SOURCES else spread, df[source].eqNullSafe(F.col("_s"))).drop("_s").withColumn("_h", h)
+    marked = marked.withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.col("_spread")).cast("int")).drop("_spread")
     groups = marked.groupBy(F.col(source).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     offsets = groups.withColumn("_before", F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_s", "_b", F.coalesce("_before", F.lit(0)).alias("_before"))
     within = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(source, "_bucket").orderBy("_h", key)) - 1)
@@ -126,23 +138,20 @@ def root_weights(counts: dict) -> dict:
     return {s: n**0.5 for s, n in counts.items()}
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights=root_weights, block: int = BLOCK, prefix: str = "") -> DataFrame:
+def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights=root_weights, block: int | None = None, prefix: str = "") -> DataFrame:
     """All columns of ``df`` with ``block`` (of the source), ``slot`` (of the block) and ``position`` (of the row,
     0 on, without gaps), which replace columns of these names; ``prefix`` goes before theirs. ``weights``: of each source, or a function of their row counts."""
     ranked, counts = numbered(df, source, key)
-    schedule = plan(counts, weights(counts) if callable(weights) else weights, block)
-    number = {s: i for i, s in enumerate(schedule.names)}
+    planned = plan(counts, weights(counts) if callable(weights) else weights, block)
+    number = {s if s is None else str(s): i for i, s in enumerate(planned.names)}
 
     @F.pandas_udf("struct<block long, slot long, position long>")
     def place(names: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        known: dict = {}
         out = []
         for s, r in zip(names.tolist(), ranks.tolist()):
-            at = (number[s], r // block)
-            slot = known.get(at)
-            if slot is None:
-                slot = known[at] = schedule.slot(*at)
-            out.append((at[1], slot, schedule.before(slot) + r % block))
+            at, rest = divmod(r, planned.block)
+            slot = int(planned.slots[number[s]][at])
+            out.append((at, slot, planned.before(slot) + rest))
         return pd.DataFrame(out, columns=["block", "slot", "position"])
 
     placed = ranked.withColumn("_at", place(F.col(source).cast("string"), F.col("_rank")))

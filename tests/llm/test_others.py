@@ -3,7 +3,9 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,26 +14,80 @@ from tessera.llm import chat, fingerprint, mixing, quality, toxicity
 # ---- fingerprints -------------------------------------------------------------------------------
 
 
-def test_syncmers_by_definition():
-    data = "the quick brown fox jumps over the lazy dog, once more and once more".encode()
-    at, hashes = fingerprint.syncmers(data)
+def brute_syncmers(data):
+    """(position, hash) of each chosen k-mer, one at a time, in whole numbers."""
+    full = (1 << 64) - 1
+    mix, odd = int(fingerprint._MIX), [int(x) for x in fingerprint._ODD]
+    letter = lambda b: ((b + 1) * mix & full) ^ ((b + 1) * odd[1] & full) >> 29
+    if 0 < len(data) < fingerprint.K:
+        return [(0, int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little"))]
 
     def inner(piece):
-        a, _ = fingerprint.syncmers(piece)
-        return len(a) == 1
+        h = 0
+        for b in piece:
+            h = (h * mix + letter(b)) & full
+        h = (h ^ h >> 31) * odd[0] & full
+        return h ^ h >> 27
+
+    out = []
+    for i in range(len(data) - fingerprint.K + 1):
+        span = fingerprint.K - fingerprint.S + 1
+        own = [inner(data[i + j : i + j + fingerprint.S]) for j in range(span)]
+        if min(own) in (own[0], own[-1]):
+            middle = (own[0] * odd[1] + own[fingerprint.S - 1] * odd[2] + own[-1] * mix) & full
+            out.append((i, (middle ^ middle >> 32) * odd[0] & full))
+    return out
+
+
+def brute_likeness(a, b):
+    """Matches one by one: the n-th anchor of a hash with the n-th of that hash."""
+    if not a or not b:
+        return float(a == b)
+    places = {}
+    for p, h in b:
+        places.setdefault(h, []).append(p)
+    seen, shifts = {}, []
+    for p, h in a:
+        k = seen[h] = seen.get(h, -1) + 1
+        shifts.append(places[h][k] - p if k < len(places.get(h, [])) else None)
+    both = sum(s is not None and (min(len(a), len(b)) == 1 or s in shifts[max(0, i - 1) : i] or s in shifts[i + 1 : i + 2]) for i, s in enumerate(shifts))
+    return both / (len(a) + len(b) - both)
+
 
-    want = [i for i in range(len(data) - fingerprint.K + 1) if inner(data[i : i + fingerprint.K])]
-    assert at.tolist() == want  # the choice depends on the k-mer alone
+def brute_sketch(found):
+    if not found:
+        return ""
+    bins = ["-" * 6] * 64
+    for _, h in sorted(found, key=lambda x: -x[1]):
+        bins[h >> 58] = f"{h >> 34 & 0xFFFFFF:06x}"
+    return "".join(bins)
+
+
+def test_syncmers_by_definition():
+    rng = random.Random(5)
+    for data in (b"", b"short", "the quick brown fox jumps over the lazy dog, once more and once more".encode(), bytes(rng.randrange(256) for _ in range(500)), b"again and " * 30):
+        at, hashes = fingerprint.syncmers(data)
+        assert list(zip(at.tolist(), hashes.tolist())) == brute_syncmers(data)
+    at, hashes = fingerprint.syncmers(data)
     shifted, again = fingerprint.syncmers(b"xx" + data)
     known = dict(zip(at.tolist(), hashes.tolist()))
-    assert all(h == known[i - 2] for i, h in zip(shifted.tolist(), again.tolist()) if i >= 2)
+    assert all(h == known[i - 2] for i, h in zip(shifted.tolist(), again.tolist()) if i >= 2)  # the choice depends on the k-mer alone
+
+
+@pytest.mark.parametrize("cuts", [[], [5], [1, 4], list(range(0, 300, 7)), list(range(50))])
+def test_parts_by_bisection(spark, cuts):
+    part, is_cut = fingerprint._part(F.col("id"), cuts)
+    for r in spark.range(-3, 310).select("id", part.alias("p"), is_cut.alias("c")).collect():
+        assert (r["p"], r["c"]) == (sum(c <= r["id"] for c in cuts), r["id"] in cuts)
 
 
 @pytest.mark.parametrize("stretch", [4000, 7])
 def test_next_document(spark, monkeypatch, stretch):
     monkeypatch.setattr(fingerprint, "ROWS_A_PART", stretch)
     rng = random.Random(4)
-    rows = [(i * 3, None if i == 5 else "" if i % 11 == 0 else "é" * (i % 4) + "".join(rng.choice("abcdef ") for _ in range(rng.randrange(400)))) for i in range(100)]
+    rows = [(i * 3, None if i == 5 else "" if i % 11 == 0 else "é" * (i % 4) + "".join(rng.choice("abcdef ") for _ in range(rng.randrange(400)))) for i in range(99)]
+    rows.append((400, "a line that comes again. " * 3000))
+    rows[40] = (120, rows[39][1])
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, part int").repartition(5)
     got = {r["doc_id"]: r for r in fingerprint.edited_pairs(df, "doc_id", "text").collect()}
     assert len(got) == 100
@@ -40,8 +96,10 @@ def test_next_document(spark, monkeypatch, stretch):
         q = len(t) // 4
         edited = t[: len(t) - q] + following[:q]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-        assert got[i]["fingerprint"] == fingerprint.write(fingerprint.bins_of(t.encode()))
+        own, changed, after = (brute_syncmers(x.encode()) for x in (t, edited, following))
+        assert got[i]["near_edited"] == pytest.approx(brute_likeness(own, changed)) and got[i]["near_next"] == pytest.approx(brute_likeness(own, after))
+        assert got[i]["fingerprint"] == brute_sketch(own) and got[i]["edited_fingerprint"] == brute_sketch(changed)
+    assert got[117]["near_next"] == 1.0
 
 
 def test_fingerprint_edges(spark):
@@ -59,14 +117,70 @@ def test_fingerprint_edges(spark):
 
 @pytest.mark.parametrize("weights", [[1], [3, 1], [5, 7, 11, 2], [1, 1, 1, 97], [333, 333, 334]])
 def test_cycle_deviates_by_less_than_one_block(weights):
-    order, total = mixing.cycle(weights), sum(weights)
+    slots, total = mixing.schedule(weights, weights), sum(weights)
+    order = sorted((int(s), i) for i, own in enumerate(slots) for s in own)
+    assert [s for s, _ in order] == list(range(total))
     done = [0] * len(weights)
-    for slot, i in enumerate(order, 1):
+    for slot, i in order:
         done[i] += 1
-        assert all(abs(d * total - w * slot) < total for d, w in zip(done, weights))
+        assert all(abs(d * total - w * (slot + 1)) < total for d, w in zip(done, weights))
     assert done == weights
 
 
+def fluid_share(weights, blocks, slots):
+    """Blocks that each source has had at each slot (an array) of the fluid schedule, from its definition."""
+    ends = sorted((Fraction(n) / w, n, w, i) for i, (w, n) in enumerate(zip(weights, blocks)) if n)
+    at, v, rate = Fraction(0), Fraction(0), sum(w for _, _, w, _ in ends)
+    knots, times = [0.0], [0.0]
+    for end, _, w, _ in ends:
+        at, v, rate = at + (end - v) * rate, end, rate - w
+        knots.append(float(at))
+        times.append(float(v))
+    virtual = np.interp(slots, knots, times)
+    return [np.minimum(float(w) * virtual, n) for w, n in zip(weights, blocks)]
+
+
+@pytest.mark.parametrize("weights,total", [([Fraction(10), Fraction(7123, 1000), Fraction(30005, 10000), Fraction(100049, 100000)], 1_000_000), ([Fraction(k**0.5) for k in range(1, 120)], 60_000)])
+def test_exact_weights_deviate_by_less_than_one_block(weights, total):
+    rng = random.Random(len(weights))
+    blocks = [rng.randrange(total // len(weights) // 2, total // len(weights) * 3 // 2) for _ in weights]
+    slots = mixing.schedule(mixing.whole_numbers(weights), blocks)
+    assert np.array_equal(np.sort(np.concatenate(slots)), np.arange(sum(blocks)))
+    for i in range(len(weights)):
+        before = fluid_share(weights, blocks, slots[i])[i]
+        after = fluid_share(weights, blocks, slots[i] + 1)[i]
+        j = np.arange(blocks[i])
+        assert (before < j + 1 + 1e-6).all() and (after > j - 1e-6).all()
+
+
+def test_schedule_equals_brute_force():
+    """Slot by slot, with all blocks compared."""
+    rng = random.Random(14)
+    for _ in range(30):
+        weights = [Fraction(rng.randrange(1, 50), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 7))]
+        blocks = [rng.randrange(0, 25) for _ in weights]
+        windows = {}
+        for i, (w, n) in enumerate(zip(weights, blocks)):
+            at = [sum(min(Fraction(m), x * Fraction(j) / w) for x, m in zip(weights, blocks)) for j in range(n + 1)]
+            windows |= {(i, j): (at[j].__floor__(), at[j + 1].__ceil__()) for j in range(n)}
+        want = {}
+        for slot in range(sum(blocks)):
+            ready = [(d, i, j) for (i, j), (r, d) in windows.items() if r <= slot and (i, j) not in want and (j == 0 or (i, j - 1) in want)]
+            due, i, j = min(ready)
+            assert due > slot
+            want[i, j] = slot
+        got = mixing.schedule(mixing.whole_numbers(weights), blocks)
+        assert {(i, j): int(s) for i, own in enumerate(got) for j, s in enumerate(own)} == want
+
+
+def test_many_sources_are_planned_quickly():
+    import time
+
+    began = time.perf_counter()
+    got = mixing.plan({f"s{i}": 1 + i % 97 for i in range(10_000)}, {f"s{i}": (i % 97 + 1) ** 0.5 for i in range(10_000)})
+    assert sum(map(len, got.slots)) >= 10_000 and time.perf_counter() - began < 60
+
+
 def test_mix_is_a_permutation_by_the_schedule(spark):
     rows = [(i, s) for s, n in (("a", 3000), ("b", 700), (None, 130), ("c", 5)) for i in range(n)]
     rows = [(k, s) for k, (_, s) in enumerate(rows)] + [(0, "a")]
