@@ -4,10 +4,12 @@ Encoding. Symbols of a pre-token are read one by one. For every position the tra
 token of the encoding of what was read so far: it is the one token ending there whose pair with the last token
 of the remaining prefix is itself left unmerged by the merge list. A token is emitted once every later
 encoding must contain it: when the open positions agree on it, or when it lies further back than the
-merge list's sufficient lookahead (``lookahead``). Memory is therefore bounded by that lookahead, not by the
-text. Pre-tokens that recur are remembered in a bounded cache.
+merge list's sufficient lookahead (``lookahead``). What the transducer holds is therefore bounded by that lookahead,
+not by the text. Every pre-token passes it, whatever its length; short ones that recur are remembered in a bounded
+cache. A text is read in pieces that end at white space, and its ids go out piece by piece.
 
-Decoding. Token ids become bytes and pass a byte-to-text state machine that holds back at most three bytes.
+Decoding. Token ids become bytes and pass a byte-to-text state machine that holds back at most three bytes; it takes
+the ids as they come, so neither all ids nor the decoded text are held.
 
 Defined results: a null text encodes as an empty one (no tokens, empty decoded text); rows are independent,
 so ties, repeated rows and extra columns do not matter.
@@ -31,6 +33,7 @@ WORD_END = chr(0xE000)  # stands for the word-end mark inside the transducer
 CACHED_WORDS = 300_000  # pre-tokens, and stretches without white space, remembered by a worker
 CACHED_PAIRS = 200_000  # token pairs whose verdict a worker remembers
 LONG_WORD = 64  # longer pre-tokens are not remembered
+PIECE = 1 << 16  # characters of a text, or ids, that go out together
 
 #: Characters with the Unicode property White_Space.
 SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -138,94 +141,60 @@ class Vocabulary:
         return got
 
 
-    def tokens_of(self, symbols: list[str]) -> list[int]:
-        """The transducer's steps for a short pre-token that is all there: nothing has to go out early."""
-        text, count = "".join(symbols), len(symbols)
-        if self.suffix:
-            text += WORD_END
-        endings, pairs = self.endings.get, self._pairs
-        token_at, start_of = [-1], [0]  # of each position: the last token (-2: none) and where it starts
-        for n in range(1, count + 1):
-            end, start = (len(text), count - 1) if n == count else (n, n - 1)
-            if n == count and self.suffix and text[start:] not in self.endings:
-                start = -1
-            found, at = -2, 0
-            while start >= 0:
-                token = endings(text[start:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    left = token_at[start]
-                    if left == -1:
-                        found, at = token, start
-                        break
-                    if left >= 0:
-                        verdict = pairs.get((left, token))
-                        if self.apart(left, token) if verdict is None else verdict:
-                            found, at = token, start
-                            break  # only one token can stand here
-                start -= 1
-            token_at.append(found)
-            start_of.append(at)
-        out, n = [], count
-        while n:
-            if token_at[n] < 0:
-                raise ValueError("a symbol is not in the vocabulary")
-            out.append(token_at[n])
-            n = start_of[n]
-        return out[::-1]
-
-
 class Encoder:
     """The transducer for one pre-token: ``push`` its symbols, then ``finish``."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.text = ""  # symbols since the last emitted token
-        self.last: list[tuple[int, int]] = [(-1, 0)]  # for each position: last token, where it starts
+        self.last: list[tuple[int, int]] = [(-1, 0)]  # for each position: last token (-2: none), where it starts
         self.before = -1  # the last emitted token
-
-    def _extend(self, least: int) -> None:
-        text, v, last = self.text, self.v, self.last
-        n = len(text)
-        while len(last) <= n:
-            last.append((-2, 0))
-        ends = []
-        for start in range(n - 1, -1, -1):
-            token = v.endings.get(text[start:])
+        self.window = 2 * vocabulary.longest
+
+    def _extend(self, start: int) -> None:
+        """The token that ends here: of the tokens that do, the one that stays apart from the token before it."""
+        text, last = self.text, self.last
+        endings, pairs, apart = self.v.endings.get, self.v._pairs, self.v.apart
+        while start >= 0:
+            token = endings(text[start:])
             if token is None:
                 break
-            if token >= 0 and n - start >= least:
-                ends.append((start, token))
-        for start, token in reversed(ends):
-            left = last[start][0] if start else self.before
-            if left == -2:
-                continue
-            if left == -1 or v.apart(left, token):
-                last[n] = (token, start)
-                return
-        raise ValueError("a symbol is not in the vocabulary")
+            if token >= 0:
+                left = last[start][0] if start else self.before
+                if left == -1:
+                    last.append((token, start))
+                    return
+                if left >= 0:
+                    verdict = pairs.get((left, token))
+                    if apart(left, token) if verdict is None else verdict:
+                        last.append((token, start))
+                        return
+            start -= 1
+        last.append((-2, 0))
 
     def push(self, symbol: str) -> list[int]:
+        self._extend_by(symbol)
+        return self._settle() if len(self.text) > self.window else []
+
+    def _extend_by(self, symbol: str) -> None:
+        start = len(self.text)
         self.text += symbol
-        self._extend(1)
-        return self._settle() if len(self.text) > 2 * self.v.longest else []
+        self._extend(start)
 
     def finish(self, symbol: str) -> list[int]:
         """The last symbol, with the word-end mark where the vocabulary has one."""
-        self.text += symbol + (WORD_END if self.v.suffix else "")
-        self._extend(2 if self.v.suffix else 1)
-        out, at = [], len(self.text)
-        while at:
-            token, at = self.last[at]
-            out.append(token)
-        return out[::-1]
+        self._extend_by(symbol + WORD_END if self.v.suffix else symbol)
+        if self.v.suffix:  # the mark is a position of its own, which only whole tokens reach
+            self.last.insert(-1, (-2, 0))
+        return [t for t, _ in self._path(len(self.text))]
 
     def _path(self, at: int) -> list[tuple[int, int]]:
         """Tokens and their ends, first to last, of the encoding up to ``at``."""
         out = []
         while at:
             token, start = self.last[at]
+            if token < 0:
+                raise ValueError("a symbol is not in the vocabulary")
             out.append((token, at))
             at = start
         return out[::-1]
@@ -233,6 +202,8 @@ class Encoder:
     def _settle(self) -> list[int]:
         """Emit the tokens that all open positions share, or that lie beyond the lookahead."""
         n = len(self.text)
+        if self.last[n][0] < 0:
+            return []
         agreed = self._path(n)
         for at in range(max(1, n - self.v.longest + 1), n):
             if self.last[at][0] < 0:
@@ -290,65 +261,115 @@ class Tokenizer:
         return text.lower().split()
 
     def chunk(self, chunk: str) -> bytes:
-        """The ids of a stretch without white space."""
+        """The ids of a short stretch without white space."""
         packed = self.old_chunks.get(chunk)
         if packed is None:
-            found = (self.careful if self.is_young(chunk) else self.pattern).findall(chunk)
-            packed = b"".join(self.words.get(w) or self.word(w) for w in found)
-        if len(chunk) <= LONG_WORD:
-            if len(self.chunks) >= CACHED_WORDS:  # two generations: what is used again is kept
-                self.old_chunks, self.chunks = self.chunks, {}
-            self.chunks[chunk] = packed
+            packed = b"".join(self.word(m[0]) for m in self.pattern_for(chunk).finditer(chunk))
+        if len(self.chunks) >= CACHED_WORDS:  # two generations: what is used again is kept
+            self.old_chunks, self.chunks = self.chunks, {}
+        self.chunks[chunk] = packed
         return packed
 
+    def pattern_for(self, chunk: str):
+        return self.careful if self.is_young(chunk) else self.pattern
+
     def word(self, word: str) -> bytes:
-        """The ids of one pre-token, packed."""
-        packed = self.old_words.get(word)
+        """The ids of a short pre-token, packed."""
+        packed = self.words.get(word)
         if packed is None:
-            packed = self.transduce(word)
-        if len(word) <= LONG_WORD:
+            packed = self.old_words.get(word)
+            if packed is None:
+                packed = b"".join(self.transduce(word))
             if len(self.words) >= CACHED_WORDS:
                 self.old_words, self.words = self.words, {}
             self.words[word] = packed
         return packed
 
-    def transduce(self, word: str) -> bytes:
-        symbols = [self.v.letters[b] for b in word.encode("utf-8")]
-        if len(symbols) <= LONG_WORD:
-            return array("I", self.v.tokens_of(symbols)).tobytes()
-        run, out = Encoder(self.v), []
-        for s in symbols[:-1]:
-            out += run.push(s)
-        out += run.finish(symbols[-1])
-        return array("I", out).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as packed unsigned 32-bit integers, little-endian."""
+    def transduce(self, word: str) -> Iterator[bytes]:
+        """The ids of a pre-token, packed, as they come out."""
+        run, letters = Encoder(self.v), self.v.letters
+        data = word.encode("utf-8")
+        held: list[int] = []
+        for b in data[:-1]:
+            out = run.push(letters[b])
+            if out:
+                held += out
+                if len(held) >= PIECE:
+                    yield array("I", held).tobytes()
+                    held = []
+        yield array("I", held + run.finish(letters[data[-1]])).tobytes()
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids as packed unsigned 32-bit integers, little-endian, piece by piece."""
         parts = self.special.split(text) if self.special and "<|" in text else [text]
-        out: list[bytes] = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(array("I", [self.v.added[part]]).tobytes())
-            elif part:
-                get, miss = self.chunks.get, self.chunk
-                out += [get(c) or miss(c) for c in self.chunks_of(part) if c]
-        return b"".join(out)
+                yield array("I", [self.v.added[part]]).tobytes()
+                continue
+            for piece in self.pieces(part):
+                out: list[bytes] = []
+                known = self.chunks.get
+                for c in self.chunks_of(piece):
+                    if len(c) <= LONG_WORD:
+                        if c:
+                            out.append(known(c) or self.chunk(c))
+                            known = self.chunks.get
+                        continue
+                    for m in self.pattern_for(c).finditer(c):
+                        if len(m[0]) <= LONG_WORD:
+                            out.append(self.word(m[0]))
+                        else:
+                            out += self.transduce(m[0])
+                        if len(out) >= PIECE:
+                            yield b"".join(out)
+                            out = []
+                yield b"".join(out)
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text cut before white space, which nothing reaches across, at every PIECE characters or later."""
+        at = 0
+        while len(text) - at > PIECE:
+            m = self.spaces.search(text, at + PIECE)
+            if not m:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        if at < len(text):
+            yield text[at:] if at else text
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.stream(text))
 
     def decode(self, packed: bytes) -> str:
-        return "".join(decode_stream(self.v, array("I", packed)))
+        run = Decoder(self.v)
+        return run.push(array("I", packed)) + run.finish()
 
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of the ids and of the text decoded from them, without holding either."""
+        count, ids, decoded, run = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self.v)
+        for packed in self.stream(text):
+            count += len(packed) // 4
+            ids.update(packed)
+            decoded.update(run.push(array("I", packed)).encode("utf-8"))
+        decoded.update(run.finish().encode("utf-8"))
+        return count, ids.hexdigest(), decoded.hexdigest()
 
-def decode_stream(v: Vocabulary, ids: Iterable[int], piece: int = 65536) -> Iterator[str]:
-    """Text of ids, piece by piece: tokens as written in the vocabulary with one space between them."""
-    machine, held, first = TextMachine(), [], True
-    for i in ids:
-        held.append(v.text[i])
-        if len(held) == piece:
-            yield machine.push((b"" if first else b" ") + b" ".join(held))
-            held, first = [], False
-    if held:
-        yield machine.push((b"" if first else b" ") + b" ".join(held))
-    yield machine.finish()
+
+class Decoder:
+    """Ids in, text out: tokens as written in the vocabulary with one space between them."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.text, self.machine, self.first = vocabulary.text, TextMachine(), True
+
+    def push(self, ids: Iterable[int]) -> str:
+        data = b" ".join(map(self.text.__getitem__, ids))
+        if not data:
+            return ""
+        data, self.first = data if self.first else b" " + data, False
+        return self.machine.push(data)
+
+    def finish(self) -> str:
+        return self.machine.finish()
 
 
 class TextMachine:
@@ -397,10 +418,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFr
     def rows(parts):
         tokenizer = load(shared.value)
         for part in parts:
-            out = []
-            for k, t in zip(part["k"], part["t"]):
-                ids = tokenizer.encode(t or "")
-                out.append((k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tokenizer.decode(ids).encode("utf-8")).hexdigest()))
+            out = [(k, *tokenizer.digests(t or "")) for k, t in zip(part["k"], part["t"])]
             yield list(zip(*out)) if out else [[] for _ in range(4)]
 
     return map_rows(keyed, f"{key} {keyed.schema['k'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
