@@ -8,27 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import edge_decay
+from tessera.operators.skew import heavy_keys, join_dealt, join_split
 
 
 def ensure_checkpoint_folder(df: DataFrame) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; only on one machine does a temporary folder do instead."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+    context.setCheckpointDir(found)
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable. Each round takes the least label around and then the label's
-    label, so rounds grow with the logarithm of the longest path; checkpoints cut the lineage. Nothing is collected."""
+    label, so rounds grow with the logarithm of the longest path; checkpoints cut the lineage. Nothing is collected. Nodes
+    of very many edges, and labels of very many nodes, are split over tasks."""
     ensure_checkpoint_folder(edges)
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     both = both.union(both.select(F.col("y"), F.col("x"))).distinct().checkpoint()
+    hubs = heavy_keys(both, "y").checkpoint()
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("label")).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("m"))
+        near = join_split(both, labels.select(F.col("x").alias("y"), "label"), "y", "x", hubs).groupBy("x").agg(F.min("label").alias("m"))
         stepped = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        over = stepped.select(F.col("x").alias("label"), F.col("label").alias("up"))
-        new = stepped.join(over, "label", "left").select("x", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
+        # Only labels that have a smaller label themselves matter: fewer each round.
+        over = stepped.where("label <> x").select(F.col("x").alias("label"), F.col("label").alias("up")).join(stepped.select("label").distinct(), "label")
+        new = join_dealt(stepped, over, "label", "x", how="left").select("x", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
         settled = new.where("label <> old").limit(1).count() == 0
         labels = new.select("x", "label")
         if settled:
