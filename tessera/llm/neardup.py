@@ -9,10 +9,13 @@
 3. A bucket's pairs are never listed. Its members are compared with its hub, the member that meets most others over all
    buckets. Links are confirmed on full sets.
 4. Buckets that then still hold several components are settled exactly: members outside a bucket's largest
-   component meet those members of other components that share one of their rarest shingles (prefix and position
-   filter), and those pairs are confirmed on full sets.
+   component meet those members of other components that share one of their rarest shingles and are of a like size
+   (prefix, position and length filters), and those pairs are confirmed on full sets.
 5. Components come from repeated minimum labels with pointer jumping, cut by checkpoints.
 
+Buckets, classes, labels and nodes with a large part of all rows are split over tasks. Only the result stays in the
+shared folder.
+
 Defined results: texts without words have empty sets, are linked with nothing and are components of their own;
 fewer words than a shingle make one shingle; rows that share an id are one document, linked by each of its
 texts; a row without id gets no component (null) and is kept; an empty table gives an empty result.
@@ -20,7 +23,7 @@ texts; a row without id gets no component (null) and is kept; an empty table giv
 
 from __future__ import annotations
 
-from math import comb
+from math import log
 
 import numpy as np
 import xxhash
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_stored, map_rows, shared_dir, stored
+from tessera.operators import graph
+from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, join_split
 
 SYMBOLS, BITS = 6, 16  # values in a chunk, bits of a value
 MISS = 1e-6
@@ -180,22 +185,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id reachable. Every round takes the least label of the neighbours and then
-    the label's label; the number of rounds grows with the logarithm of the longest path."""
+    """(id, label): the smallest id reachable."""
     shared_dir(nodes.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct().checkpoint()
-    # Only ids with an edge take part in the rounds.
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        new = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = new.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            break
-    return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return graph.components(nodes, edges).withColumnRenamed("component", "label")
 
 
 def _prefix_rows(sets: DataFrame, df: DataFrame, percent: int) -> DataFrame:
@@ -226,11 +218,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
     # Buckets with more than one member, and what their members meet.
     index = index_rows(reps.select(F.col("rep").alias("id"), "sig"), chunks)
-    shared = index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "size")
-    met = stored(index.join(shared, "key"), "neardup-buckets")
+    shared = stored(index.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "size"), "neardup-shared")
+    # Fewer than HEAVY_KEYS buckets can be so large.
+    total = shared.agg(F.sum("size").alias("n")).first()["n"] or 0
+    heavy = shared.where(F.col("size") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select("key")
+    met = stored(join_split(index, shared, "key", "id", heavy), "neardup-buckets")
     mass = met.groupBy("id").agg(F.sum("size").alias("mass"))
     hubs = met.join(mass, "id").groupBy("key").agg(F.max(F.struct("mass", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    pairs = stored(met.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "neardup-pairs")
+    pairs = stored(join_split(met, hubs, "key", "id", heavy).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "neardup-pairs")
 
     # Full sets of the representatives that met others. An id may stand for several classes (rows that share an id).
     wanted = reps.select(F.col("rep").alias("id"), "class").join(met.select("id").distinct(), "id", "left_semi")
@@ -241,26 +236,29 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     # Buckets that hold several components still: their smaller parts against the rest, by the rarest shingles.
     placed = met.select("key", "id").join(labels, "id")
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    among = placed.join(mixed, "key")
+    among = join_split(placed, mixed, "key", "id", heavy)
     sizes = among.groupBy("key", "label").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
-    role = stored(among.join(largest, "key").groupBy("id", "label").agg(F.max(F.col("label") != F.col("main")).alias("active")), "neardup-rest")
+    role = stored(join_split(among, largest, "key", "id", heavy).groupBy("id", "label").agg(F.max(F.col("label") != F.col("main")).alias("active")), "neardup-rest")
     rest = sets.join(role, "id", "left_semi").dropDuplicates(["id", "class"])
     df = explode_sets(rest).groupBy("s").agg(F.count("*").alias("df"))
     prefix = stored(_prefix_rows(rest, df, percent).join(role, "id"), "neardup-prefixes")
-    x, y = prefix.alias("x"), prefix.where("active").alias("y")
+    # Sets that are alike enough are of one size band or of neighbouring ones.
+    size = F.log(F.col("n").cast("double")) / log(100 / percent)
+    x = prefix.withColumn("band", F.floor(size)).alias("x")
+    y = prefix.where("active").withColumn("band", F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1 + 1e-6)))).alias("y")
     need = f"ceil({percent} * (x.n + y.n) / {100.0 + percent})"
-    more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n and 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {need}"))
+    more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n and 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {need}"))
     second = confirm(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sets, percent)
 
     # Components of representatives, then of all ids.
     apart = components(reps.select(F.col("rep").alias("id")).distinct(), first.union(second))
     final = stored(_with_members(apart, reps, signed), "neardup-components")
-    for done in (reps, met, pairs, sets, first, labels, role, prefix):
-        drop_stored(done)
-    out = signed.join(final, "id", "left")
     label = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
+    out = stored(signed.select("id", "n").join(final, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept")), "neardup-result")
+    for done in (signed, reps, shared, met, pairs, sets, first, labels, role, prefix, final):
+        drop_stored(done)
+    return out
 
 
 def _with_members(labels: DataFrame, reps: DataFrame, signed: DataFrame) -> DataFrame:
