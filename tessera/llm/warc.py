@@ -1,9 +1,10 @@
 """WARC archives with a two-level capture index.
 
 Archives are volumes: whole sequences of gzip members, one a record, kept as rows of a Parquet table in the shared
-folder, which any file system of Spark can hold. The index sorts reversed-host URL keys into compressed blocks; a sparse
-directory has one key a block. A lookup finds its shard, searches the shard's directory and then the
-block by bisection, and reads the range of bytes that it names.
+folder, which any file system of Spark can hold. The table is bucketed by the task that wrote a volume, so that each task
+writes one file. The index sorts reversed-host URL keys into compressed blocks; a sparse directory has one key a block. A
+lookup finds its shard, searches the shard's directory and then the block by bisection; the ranges of bytes that it
+names are shipped to the bucket of their volume, and volumes stay where they are.
 
 Equal payloads are stored once: of records with equal payloads of ``min_bytes`` or more the one with the
 smallest id is the response, the others revisit it.
@@ -28,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_stored, map_rows, stored
+from tessera.llm.common import drop_stored, map_rows, shared_dir, stored
 
 VOLUME_BYTES = 1 << 20  # a volume is closed beyond this size
 BLOCK_LINES = 1000  # lines of an index block
 SHARD_LINES = 100_000  # lines of an index shard, about
 BROADCAST_ROWS = 200_000  # revisits are sent to all workers up to here, else joined by a shuffle
 MIN_BYTES = 0  # shortest payload that is stored once
+MOST_BUCKETS = 100_000  # Spark's own limit
 
 _DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -124,7 +126,7 @@ def revisits(pages: DataFrame, key: str, page: str, min_bytes: int = MIN_BYTES)
 
 
 def write_archive(pages: DataFrame, key: str, url: str, page: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Volumes (volume, data, entries) of all pages; an entry has url key, id, offset and length."""
+    """Volumes (task, volume, data, entries) of all pages; an entry has url key, id, offset and length."""
     again = stored(revisits(pages, key, page, min_bytes), "warc-revisits")
     small = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     body = F.encode(F.coalesce(pages[page], F.lit("")), "UTF-8")
@@ -137,7 +139,7 @@ def write_archive(pages: DataFrame, key: str, url: str, page: str, min_bytes: in
 
         def volume():
             nonlocal n, data, entries
-            out = [[f"{run}-{task:06d}-{n:06d}"], [bytes(data)], [entries]]
+            out = [[task], [f"{run}-{task:06d}-{n:06d}"], [bytes(data)], [entries]]
             n, data, entries = n + 1, bytearray(), []
             return out
 
@@ -152,9 +154,12 @@ def write_archive(pages: DataFrame, key: str, url: str, page: str, min_bytes: in
             yield volume()
 
     kind = pages.schema[key].dataType.simpleString()
-    volumes = stored(map_rows(rows_in, f"volume string, data binary, entries array<struct<key string, id {kind}, offset long, length long>>", rows), "warc-volumes")
+    spark, name = pages.sparkSession, f"warc_volumes_{run}"
+    volumes = map_rows(rows_in, f"task int, volume string, data binary, entries array<struct<key string, id {kind}, offset long, length long>>", rows)
+    buckets = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    volumes.write.bucketBy(buckets, "task").option("path", f"{shared_dir(spark)}/warc-volumes-{run}").saveAsTable(name)
     drop_stored(again)
-    return volumes
+    return spark.table(name)
 
 
 # ---- index ------------------------------------------------------------------------------------
@@ -167,7 +172,7 @@ def line_key(key: str, i) -> str:
 
 def write_index(volumes: DataFrame) -> DataFrame:
     """Blocks (shard, block, first, last, lines, data): sorted index lines, compressed block by block. A shard is a range of keys."""
-    lines = volumes.select("volume", F.explode("entries").alias("e")).select(F.concat_ws(" ", "e.key", F.coalesce(F.col("e.id").cast("string"), F.lit(""))).alias("k"), "volume", "e.offset", "e.length")
+    lines = volumes.select("task", "volume", F.explode("entries").alias("e")).select(F.concat_ws(" ", "e.key", F.coalesce(F.col("e.id").cast("string"), F.lit(""))).alias("k"), "task", "volume", "e.offset", "e.length")
     count = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(count, -(-volumes.select(F.sum(F.size("entries")).alias("n")).first()["n"] // SHARD_LINES) if volumes.head(1) else 1)
     # Lines of one key stay together; ties are put in order of their place.
@@ -183,7 +188,7 @@ def write_index(volumes: DataFrame) -> DataFrame:
             return out
 
         for part in parts:
-            for x in zip(part["k"], part["volume"], part["offset"], part["length"]):
+            for x in zip(part["k"], part["task"], part["volume"], part["offset"], part["length"]):
                 held.append(x)
                 if len(held) == BLOCK_LINES:
                     yield packed()
@@ -194,7 +199,7 @@ def write_index(volumes: DataFrame) -> DataFrame:
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """Places (k, volume, offset, length) of the captures of each distinct key in column ``k``. The driver holds one
+    """Places (k, task, volume, offset, length) of the captures of each distinct key in column ``k``. The driver holds one
     key per shard, which are as many as partitions; directories and blocks are searched where their shard lies."""
     tops = [(r["first"], r["shard"]) for r in index.groupBy("shard").agg(F.min("first").alias("first")).orderBy("first").collect()]
     firsts, shards = [t[0] for t in tops], [t[1] for t in tops]
@@ -221,22 +226,35 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
                         opened, names = b, [x[0] for x in lines]
                     at = bisect_right(names, k) - 1
                     while at >= 0 and names[at] == k:
-                        out.append((k, lines[at][1], int(lines[at][2]), int(lines[at][3])))
+                        out.append((k, int(lines[at][1]), lines[at][2], int(lines[at][3]), int(lines[at][4])))
                         at -= 1
                 b += 1
-        return pd.DataFrame(out, columns=["k", "volume", "offset", "length"])
+        return pd.DataFrame(out, columns=["k", "task", "volume", "offset", "length"])
 
-    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(search, "k string, volume string, offset long, length long")
+    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(search, "k string, task int, volume string, offset long, length long")
+
+
+def ranges(places: DataFrame, volumes: DataFrame) -> DataFrame:
+    """(data, ranges): each volume that is named, with the ranges to cut out of it. The ranges of a task's volumes are
+    gathered, as many as the task wrote records, and shuffled to the bucket; volumes are not."""
+    wanted = places.groupBy("task").agg(F.collect_list(F.struct("volume", "offset", "length")).alias("_ranges")).hint("shuffle_hash")
+    own = volumes.select("task", "volume", "data").join(wanted, "task")
+    return own.select("data", F.filter("_ranges", lambda x: x["volume"] == F.col("volume")).alias("ranges")).where("size(ranges) > 0")
 
 
 def read_ranges(places: DataFrame, volumes: DataFrame) -> DataFrame:
-    """The bytes of each place, cut out of its volume before they leave the JVM."""
-    return places.join(volumes.select("volume", "data"), "volume").select("k", F.expr("substring(data, cast(offset + 1 as int), cast(length as int))").alias("member"))
+    """The bytes of each place."""
+
+    def rows(parts):
+        for part in parts:
+            for data, wanted in zip(part["data"], part["ranges"]):
+                yield [[data[x["offset"] : x["offset"] + x["length"]] for x in wanted]]
+
+    return map_rows(ranges(places, volumes), "member binary", rows)
 
 
 def read_back(volumes: DataFrame, index: DataFrame, keys: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Look every key up, read its records and describe them; ``payload`` is null in revisits."""
-    members = read_ranges(lookup(index, keys), volumes)
+    """Look every key up, read its records range by range and describe them; ``payload`` is null in revisits."""
     number = re.compile(r"urn:x-page:([^>]*)")
     whole = id_type in ("tinyint", "smallint", "int", "bigint")
 
@@ -246,14 +264,14 @@ def read_back(volumes: DataFrame, index: DataFrame, keys: DataFrame, id_type: st
             return None if not found or not found[1] else int(found[1]) if whole else found[1]
 
         for part in parts:
-            out = []
-            for m in part["member"]:
-                r = read_record(bytes(m))
-                h = r.headers
-                out.append((name(h["WARC-Record-ID"]), h["WARC-Target-URI"], int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], name(h.get("WARC-Refers-To"))))
-            yield list(zip(*out)) if out else [[] for _ in range(6)]
-
-    return map_rows(members.select("member"), f"id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}", rows)
+            for data, wanted in zip(part["data"], part["ranges"]):
+                out = []
+                for x in wanted:
+                    h = read_record(data[x["offset"] : x["offset"] + x["length"]]).headers
+                    out.append((name(h["WARC-Record-ID"]), h["WARC-Target-URI"], int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], name(h.get("WARC-Refers-To"))))
+                yield list(zip(*out))
+
+    return map_rows(ranges(lookup(index, keys), volumes), f"id {id_type}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}", rows)
 
 
 def index_keys(pages: DataFrame, key: str, url: str) -> DataFrame:

@@ -50,6 +50,18 @@ def test_lookup_of_some_keys(spark):
     assert sorted(r["id"] for r in got) == [0, 77, 499]
 
 
+def test_ranges_are_shipped_and_volumes_stay(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.example.org/", f"text {i}" * 50) for i in range(300)], "page_id long, url string, html string").repartition(3)
+    volumes = warc.write_archive(pages, "page_id", "url", "html")
+    places = warc.lookup(warc.write_index(volumes), warc.index_keys(pages, "page_id", "url"))
+    got = warc.read_ranges(places, volumes)
+    assert sorted(warc.read_record(r["member"]).headers["WARC-Record-ID"] for r in got.collect()) == sorted(f"<urn:x-page:{i}>" for i in range(300))
+    physical = warc.ranges(places, volumes)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in physical.splitlines() if "FileScan" in line and "warc_volumes" in line)
+    above = physical.splitlines()[physical.splitlines().index(scan) - 1]
+    assert "Bucketed: true" in scan and "Exchange" not in above
+
+
 def test_keys_and_damage():
     assert warc.url_key("http://B.a.org:8080/x?q#f") == "org,a,b:8080)/x?q"
     assert warc.url_key("https://a.org") == "org,a)/" and warc.url_key(None) == ""
