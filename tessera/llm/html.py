@@ -24,8 +24,9 @@ from tessera.llm.common import map_rows
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe noembed noframes xmp title textarea svg math object select button canvas audio video".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+RAW = frozenset("script style noscript template iframe noembed noframes xmp title textarea".split())
+SILENT = frozenset("svg object select button canvas audio video datalist".split())
+BLOCK = frozenset("label legend address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot caption".split()) | {"hr", "table"}
 BARRIER = frozenset("table td th caption html".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"})}
@@ -34,6 +35,8 @@ SHAPE = 0.6
 
 _MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _OPENS = re.compile(r"<[a-zA-Z/!?]")
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/>]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.IGNORECASE)
+_OWNER = re.compile(r"©|\(c\)|\bcopyright\b|all rights reserved|\balle rechte\b|tous droits|todos los derechos", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAMED = re.compile(r"(?:class|id|role)\s*=", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -53,33 +56,36 @@ class Node:
 def parse(page: str) -> list[Node]:
     """Block elements and text blocks in page order; a parent comes before its children."""
     nodes = [Node("body", -1)]
-    stack: list[tuple[str, int]] = [("body", 0)]  # open elements; inline ones carry -1
+    stack: list[tuple[str, int]] = [("body", 0)]  # open elements; inline ones carry -1, silent ones -2
     open_tags: Counter = Counter()
     texts: list[str] = []
     links = 0  # open links
     linked = 0
     owner = 0  # innermost open block
     marks: list[int] = [0]  # open blocks
+    silent = 0  # open inline elements whose text is not shown
+    endless: set[str] = set()  # tags without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
         if texts:
-            text = " ".join(entities.unescape("".join(texts)).split())
+            text = " ".join("".join(texts).split())
             texts.clear()
             if text:
                 nodes.append(Node("#text", owner, "", text, len(text), min(linked, len(text))))
             linked = 0
 
-    def pop() -> None:
-        nonlocal owner, links
-        tag, at = stack.pop()
+    def pop(k: int = -1) -> None:
+        nonlocal owner, links, silent
+        tag, at = stack.pop(k)
         open_tags[tag] -= 1
         if at >= 0:
             flush()
             marks.pop()
             owner = marks[-1]
-        elif tag == "a":
-            links -= 1
+        else:
+            links -= tag == "a"
+            silent -= at == -2
 
     def close(tags: set | frozenset, barrier: set | frozenset) -> None:
         if not any(open_tags[t] > 0 for t in tags):
@@ -103,9 +109,10 @@ def parse(page: str) -> list[Node]:
         end = m.start() if m else size
         if end > at:
             piece = page[at:end]
-            texts.append(piece)
-            if links > 0:
-                linked += len(piece.strip())
+            if not silent:
+                texts.append(entities.unescape(piece) if "&" in piece else piece)
+                if links > 0:
+                    linked += len(piece.strip())
         if not m:
             break
         at = m.end()
@@ -122,18 +129,27 @@ def parse(page: str) -> list[Node]:
             elif open_tags[tag] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
-                        stack.pop(k)
-                        open_tags[tag] -= 1
-                        links -= tag == "a"
+                        pop(k)
                         break
                     if stack[k][1] >= 0:
                         break
             continue
-        if tag in RAW:
-            if not (m.group(3) or m.group(6) or "").rstrip().endswith("/") or tag not in ("svg", "math", "canvas"):
-                stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-                at = stop.end() if stop else size
+        attributes = m.group(3) or m.group(6) or ""
+        if tag in RAW or tag in SILENT:
             texts.append(" ")
+            if tag in SILENT and attributes.rstrip().endswith("/"):
+                continue
+            stop = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
+            if stop:
+                at = stop.end()
+                continue
+            endless.add(tag)
+            if tag in RAW:
+                at = size
+            else:
+                stack.append((tag, -2))
+                open_tags[tag] += 1
+                silent += 1
             continue
         if tag in VOID:
             if tag == "hr":
@@ -146,7 +162,6 @@ def parse(page: str) -> list[Node]:
             close({"p"}, BARRIER)
         if tag in SIBLINGS:
             close(*SIBLINGS[tag])
-        attributes = m.group(3) or m.group(6) or ""
         if tag in BLOCK:
             if tag in ("body", "html"):
                 if tag == "body":
@@ -161,12 +176,12 @@ def parse(page: str) -> list[Node]:
             if tag == "a" and open_tags["a"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "a":
-                        stack.pop(k)
-                        open_tags["a"] -= 1
-                        links -= 1
+                        pop(k)
                         break
+            unseen = bool(attributes) and _HIDDEN.search(attributes) is not None
             links += tag == "a"
-            stack.append((tag, -1))
+            silent += unseen
+            stack.append((tag, -2 if unseen else -1))
         open_tags[tag] += 1
     flush()
     for n in reversed(nodes):
@@ -180,18 +195,29 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(text)} if text else {}
 
 
-def signs(n: Node, parent: Node) -> list[str]:
-    """The observed features of a node."""
+def _links(n: Node) -> str:
+    """The class of a node's link share."""
     share = n.linked / n.chars if n.chars else 0.0
-    link = "0" if share == 0 else "1" if share < 0.34 else "2" if share < 0.8 else "3"
+    return "0" if share == 0 else "1" if share < 0.34 else "2" if share < 0.8 else "3"
+
+
+def signs(n: Node, parent: Node) -> list[str]:
+    """The observed features of a node. Below the top level its tag speaks through the parent-child potential, and that
+    all is linked is a sign of the outermost such block only, so that nothing counts twice."""
+    link = _links(n)
+    below = parent.parent >= 0
+    if link == "3" and n is not parent and _links(parent) == "3":
+        link = ""
     if n.text is not None:
         t = n.text
         size = "0" if n.chars < 12 else "1" if n.chars < 40 else "2" if n.chars < 120 else "3"
-        out = [f"T in {parent.tag}", f"T links {link}", f"T size {size}", f"T stop {t[-1] in '.!?…'}"]
-        if "©" in t or "(c)" in t.lower() and n.chars < 200:
+        out = [*([] if below else [f"T in {parent.tag}"]), *([f"T links {link}"] if link else []), f"T size {size}", f"T stop {t[-1] in '.!?…'}"]
+        if n.chars < 200 and _OWNER.search(t):
             out.append("T owner")
         return out
-    out = [f"E tag {n.tag}", f"E links {link}", f"E size {min(4, len(str(n.chars)))}"]
+    out = [*([] if below else [f"E tag {n.tag}"]), *([f"E links {link}"] if link else []), f"E size {min(4, len(str(n.chars)))}"]
+    if n.attributes and _HIDDEN.search(n.attributes):
+        out.append("E hidden")
     found = _attributes(n.attributes)
     words = {w.lower() for a in ("class", "id", "role") if a in found for w in _WORDS.findall(found[a])}
     return out + [f"E word {w}" for w in sorted(words)]
@@ -283,7 +309,7 @@ def train(pages: list[str], smoothing: float = 0.5) -> Model:
     model = Model(root=root[1] / sum(root))
     for s, (c0, c1) in seen.items():
         t0, t1 = total[s[0]]
-        model.signs[s] = (1.0 if s.startswith(("E tag", "E word")) else SHAPE) * max(-4.0, min(4.0, math.log((c1 + smoothing) / (t1 + 2 * smoothing)) - math.log((c0 + smoothing) / (t0 + 2 * smoothing))))
+        model.signs[s] = (1.0 if s.startswith(("E tag", "E word")) else 2.0 if s == "E hidden" else SHAPE) * max(-4.0, min(4.0, math.log((c1 + smoothing) / (t1 + 2 * smoothing)) - math.log((c0 + smoothing) / (t0 + 2 * smoothing))))
     for key, rows in pairs.items():
         model.pairs[key] = tuple(tuple((rows[p][c] + smoothing) / (sum(rows[p]) + 2 * smoothing) for c in (0, 1)) for p in (0, 1))
     return model
@@ -309,7 +335,8 @@ ARTICLES = "article;article class=post;div class=article-body;main;div class=ent
 
 def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     """Pages made of invented words, whose elements carry their labels: an article of paragraphs, headings, lists,
-    quotes and tables in wrappers, amid menus, notices, adverts, forms, sidebars and comments."""
+    quotes, linked lines and tables in wrappers, amid menus, notices, adverts, forms, sidebars, comments, hidden blocks
+    and lines on rights that nothing names."""
     rng = random.Random(seed)
     syllables = "ba ce di fo gu la me ni po ru sa te vi zo an er in or ut as el il".split()
 
@@ -338,7 +365,11 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
             out.append(f"<header>{title}</header>" if rng.random() < 0.2 else title)
         for _ in range(rng.randint(1, 14)):
             kind = rng.random()
-            if kind < 0.72:
+            if kind < 0.04:
+                out.append(f'<p><a href="/x">{prose()}</a></p>')
+            elif kind < 0.06:
+                out.append("<ul>" + "".join(f'<li><a href="/{i}">{words(rng.randint(2, 8))}</a></li>' for i in range(rng.randint(2, 6))) + "</ul>")
+            elif kind < 0.72:
                 out.append(f"<p>{prose()}</p>")
             elif kind < 0.8:
                 out.append(f"<h{rng.randint(2, 4)}>{words(rng.randint(1, 6))}</h3>")
@@ -353,13 +384,23 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
             else:
                 out.append(f"<figure><figcaption>{prose()}</figcaption></figure>")
             if rng.random() < 0.05:
-                out.append(other(rng.choice(["ad", "share", "notice", "side"])))
+                out.append(other(rng.choice(["ad", "share", "notice", "side", "hidden", "label"])))
         return "".join(out)
 
     def links(n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{words(rng.randint(1, 4))}</a></li>' for i in range(n)) + "</ul>"
 
+    def rights() -> str:
+        return rng.choice([f"&copy; {rng.randint(1990, 2030)} {words(2)}", f"Copyright {rng.randint(1990, 2030)} {words(2)}. All rights reserved.", f"{words(2)} &copy; {words(1)}", f"Copyright &copy; {words(3)}."])
+
     def other(kind: str) -> str:
+        if kind == "rights":
+            return tagged(rng.choice(["div", "div", f"div class={words(1)}"]), rights(), 0)
+        if kind == "label":
+            return tagged("label", words(rng.randint(1, 4)), 0)
+        if kind == "hidden":
+            tag, mark = rng.choice(["div", "div", "section", "ul", "p"]), rng.choice(["hidden", 'style="display:none"', 'aria-hidden="true"', 'style="visibility: hidden"'])
+            return f'<{tag} {mark} data-y="0">{prose()}</{tag}>'
         spec = rng.choice(OTHERS[kind].split(";"))
         if kind in ("nav", "share"):
             inner = links(rng.randint(1, 8)) if rng.random() < 0.7 else " ".join(f'<a href="/{i}">{words(1)}</a>' for i in range(rng.randint(1, 8)))
@@ -382,11 +423,15 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     for _ in range(count):
         before = "".join(other(k) for k in ("header", "nav", "notice", "ad", "form", "side") if rng.random() < 0.45)
         after = "".join(other(k) for k in ("comment", "side", "ad", "share", "notice", "form", "footer") if rng.random() < 0.45)
-        body = article()
-        if rng.random() < 0.92:
+        before += other("hidden") if rng.random() < 0.1 else other("label") if rng.random() < 0.05 else ""
+        after += other("rights") if rng.random() < 0.2 else ""
+        body, root = article(), ""
+        if rng.random() < 0.88:
             body = tagged(rng.choice(ARTICLES.split(";")), body, 1)
-        else:
+        elif rng.random() < 0.5:
             body = f'<div data-y="1">{body}</div>'
+        else:
+            root = ' data-y="1"'  # an article that nothing encloses
         if rng.random() < 0.3:
             body = f"<div class=wrapper>{body}{other('side') if rng.random() < 0.5 else ''}</div>"
         for _ in range(rng.choice([0, 0, 0, 1, 2, 4])):
@@ -394,7 +439,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
         whole = f"{before}{body}{after}"
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             whole = tagged(rng.choice(WRAPPERS.split(";")), whole, None)
-        out.append(f"<html><body>{whole}</body></html>")
+        out.append(f"<html><body{root}>{whole}</body></html>")
     return out
 
 

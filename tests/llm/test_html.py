@@ -27,6 +27,27 @@ def test_markup_of_any_kind_is_read(model):
     assert html.main_text("<article><pre>a\n  b</pre><table><tr><td>c<td>d</table></article>", model) == "a b\nc\nd"
 
 
+def test_what_belongs_and_what_does_not(model):
+    body = "<p>First of some plain sentences here, and it goes on a while.</p><p>A second one that says a little more than that.</p>"
+    want = "First of some plain sentences here, and it goes on a while.\nA second one that says a little more than that."
+    linked = '<p><a href="/x">All of this paragraph is a link to somewhere else on the site.</a></p>'
+    text = lambda inner, after="": html.main_text(f"<html><body><article><h1>Title of it</h1>{inner}</article>{after}</body></html>", model)
+    assert text(body + linked).endswith("\nAll of this paragraph is a link to somewhere else on the site.")
+    assert text("<ul><li><a href=/1>Part one of it</a></li><li><a href=/2>Part two of it</a></li></ul>" + body).startswith("Title of it\nPart one of it\nPart two of it\n")
+    assert text(body, "<div>Copyright 2020 Example Press. All rights reserved.</div>") == f"Title of it\n{want}"
+    assert text(f"<p hidden>Not to be seen by anyone.</p>{body}<div style='display: none'>Nor is this one here.</div>") == f"Title of it\n{want}"
+    assert text(f"<label>Your name</label>{body}") == f"Title of it\n{want}"
+    assert text("<p>Seen <span style='display:none'>unseen </span>again &am<b>p;T</b> and so on, for a while.</p>") == "Title of it\nSeen again &amp;T and so on, for a while."
+
+
+def test_unclosed_elements_end_with_their_parent(model):
+    for tag in ("button", "select", "video", "object"):
+        assert html.main_text(f"<article><p>Some words before it. <{tag}>inside</p><p>And some words after it.</p></article>", model) == "Some words before it.\nAnd some words after it."
+    assert html.main_text("<article><p>The sum <math><mi>x</mi></math> is small, as it were.</p><video/><p>More of the same text.</p></article>", model) == "The sum x is small, as it were.\nMore of the same text."
+    assert html.main_text("<article><p>Kept words, some of them.</p><script>x<p>lost", model) == "Kept words, some of them."
+    assert html.parse("<button>" * 20_000)
+
+
 def test_held_out_pages(model):
     right = total = 0
     for page in html.labelled_pages(80, seed=1234):
