@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, neardup, quality, toxicity
-from tessera.llm.common import stored, table
+from tessera.llm.common import drop_stored, stored, table, temporary
 from tessera.llm.queries import WORD_VOCABULARY
 
 
@@ -59,12 +59,18 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL expresses none of the stages; tests hold them against brute force.
+#: SQL expresses none of the stages; tests hold each against a plain Python version of it on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another. Tables that a stage needed go when its rows are written, and its rows when the next
+    stage's are: the result of the last one stays in the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return mixing.in_order(docs)
