@@ -153,24 +153,26 @@ def test_exact_weights_deviate_by_less_than_one_block(weights, total):
         assert (before < j + 1 + 1e-6).all() and (after > j - 1e-6).all()
 
 
+def brute_schedule(weights, blocks):
+    """Slots of each source, slot by slot, with all blocks compared."""
+    windows = {}
+    for i, (w, n) in enumerate(zip(weights, blocks)):
+        at = [sum(min(Fraction(m), x * Fraction(j) / w) for x, m in zip(weights, blocks)) for j in range(n + 1)]
+        windows |= {(i, j): (at[j].__floor__(), at[j + 1].__ceil__()) for j in range(n)}
+    out = [[] for _ in weights]
+    for slot in range(sum(blocks)):
+        due, i, j = min((windows[i, len(own)][1], i, len(own)) for i, own in enumerate(out) if len(own) < blocks[i] and windows[i, len(own)][0] <= slot)
+        assert due > slot
+        out[i].append(slot)
+    return out
+
+
 def test_schedule_equals_brute_force():
-    """Slot by slot, with all blocks compared."""
     rng = random.Random(14)
     for _ in range(30):
         weights = [Fraction(rng.randrange(1, 50), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 7))]
         blocks = [rng.randrange(0, 25) for _ in weights]
-        windows = {}
-        for i, (w, n) in enumerate(zip(weights, blocks)):
-            at = [sum(min(Fraction(m), x * Fraction(j) / w) for x, m in zip(weights, blocks)) for j in range(n + 1)]
-            windows |= {(i, j): (at[j].__floor__(), at[j + 1].__ceil__()) for j in range(n)}
-        want = {}
-        for slot in range(sum(blocks)):
-            ready = [(d, i, j) for (i, j), (r, d) in windows.items() if r <= slot and (i, j) not in want and (j == 0 or (i, j - 1) in want)]
-            due, i, j = min(ready)
-            assert due > slot
-            want[i, j] = slot
-        got = mixing.schedule(mixing.whole_numbers(weights), blocks)
-        assert {(i, j): int(s) for i, own in enumerate(got) for j, s in enumerate(own)} == want
+        assert [own.tolist() for own in mixing.schedule(mixing.whole_numbers(weights), blocks)] == brute_schedule(weights, blocks)
 
 
 def test_many_sources_are_planned_quickly():
@@ -246,15 +248,20 @@ def test_short_words_by_changed_places_only():
 
 def brute_score(model, text):
     """Score of a text with every word compared with every term."""
+    terms, far = list(model.lexicon.weights), {}
+
+    def near_of(w):
+        if w not in far:
+            far[w] = [t for t in terms if t[1] and t[0] in model.lexicon.fuzzy and abs(len(w) - len(t[0])) < 2 and distance(w, t[0]) == 1 and (len(t[0]) >= 5 or len(t[0]) == len(w) and sorted(t[0]) == sorted(w))]
+        return far[w]
+
     words = re.findall(rf"[\w]+|[{toxicity.QUOTES}]", (text or "").lower())
     best, total = {}, 0.0
     for i, w in enumerate(words):
         if w in toxicity.QUOTES:
             continue
-        terms = [(t, whole) for t, whole in model.lexicon.weights]
         stems = [t for t in terms if not t[1] and w.startswith(t[0])]
-        near = [t for t in terms if t[1] and t[0] in model.lexicon.fuzzy and distance(w, t[0]) == 1 and (len(t[0]) >= 5 or len(t[0]) == len(w) and sorted(t[0]) == sorted(w))]
-        term = (w, True) if (w, True) in terms else max(stems, key=lambda t: len(t[0]), default=None) or min(near, default=None)
+        term = (w, True) if (w, True) in model.lexicon.weights else max(stems, key=lambda t: len(t[0]), default=None) or min(near_of(w), default=None)
         if term is None:
             continue
         weight = model.lexicon.weights[term]

@@ -1,7 +1,17 @@
+import hashlib
+from array import array
+from fractions import Fraction
+
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+import test_neardup
+import test_others
 from tessera.llm import mixing, neardup, quality, toxicity
+from tessera.llm.common import stored
+from tessera.llm.queries import WORD_VOCABULARY
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,7 +22,7 @@ def test_stages(spark):
     seen = {r["doc_id"] for r in docs.select("doc_id").collect()}
     for name, stage in corpus_pipeline.STAGES:
         before = seen
-        out = stage(spark, docs, FOLDER)
+        out = stored(stage(spark, docs, FOLDER), "test-stage")
         if name != "bpe":
             assert out.columns == docs.columns
         rows = out.select("doc_id").collect()
@@ -23,6 +33,46 @@ def test_stages(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()) == sorted(seen)
 
 
+def test_run_equals_plain_python(spark):
+    """Every stage again, row by row; only the fitted models are shared."""
+    table, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in table.collect()]
+    model = toxicity.fit(table, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    rows = [r for r in rows if test_others.brute_score(model, r[1]) < toxicity.THRESHOLD]
+
+    good = quality.fit(table.where(F.col("doc_id").isin([r[0] for r in rows])), labels)
+    rows = [r for r, (_, _, p) in zip(rows, test_others.brute_quality([(t, s, lang) for _, t, s, lang in rows], good)) if p >= quality.THRESHOLD]
+
+    first = {i for i, _, _, kept in test_neardup.brute([r[:2] for r in rows], 5, 80) if kept}
+    rows = [r for r in rows if r[0] in first]
+
+    hashed = {r["doc_id"]: r["h"] for r in table.select("doc_id", F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string")).alias("h")).collect()}
+    lines = {}
+    for i, _, s, _ in rows:
+        lines.setdefault(s, []).append((hashed[i], i))
+    names = sorted(lines)
+    weights = [Fraction(len(lines[s]) ** 0.5) for s in names]
+    due = {i: slot for s, own in zip(names, test_others.brute_schedule(weights, [len(lines[s]) for s in names])) for slot, (_, i) in zip(own, sorted(lines[s]))}
+
+    library = Tokenizer.from_file(WORD_VOCABULARY)
+    want = []
+    for i, t, _, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), due[i]))
+    got = corpus_pipeline.run(spark, FOLDER).collect()
+    assert [tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position")) for r in got] == sorted(want, key=lambda x: x[4])
+
+
+def test_run_leaves_one_table(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: {n for n in os.listdir(folder) if n.split("-")[0] in ("pipeline", "neardup", "quality", "toxicity")}
+    before = held()
+    corpus_pipeline.run(spark, FOLDER)
+    assert len(held() - before) == 1
+
+
 def test_run_follows_the_mix(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:3]:
