@@ -52,9 +52,14 @@ def _suppression(staged: DataFrame, suppressed: DataFrame, key: str, source) ->
 
 def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str], hash_column: str | None = "content_hash") -> DataFrame:
     """The merged table with ``action``. A staged row updates its match when the content hashes differ, or, without
-    them, when any other column does (null-safe); it is inserted when nothing matches. One full join on the keys, null keys apart."""
+    them, when any other column does (null-safe); it is inserted when nothing matches. One full join on the keys, null keys
+    apart. Several staged rows of one key are an error, since no order between them is known."""
     columns = target.columns
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.select(*columns).withColumn("_s", F.lit(True)).alias("s")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    once = F.when(known & (F.count("*").over(Window.partitionBy(*keys)) > 1), F.raise_error(F.concat_ws(" ", F.lit("several staged rows have the key"), *(F.col(k).cast("string") for k in keys))).cast("boolean")).otherwise(True)
+    t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.select(*columns).withColumn("_s", once).alias("s")
     on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     if hash_column in columns:
         changed = F.coalesce(F.col(f"t.{hash_column}") != F.col(f"s.{hash_column}"), F.lit(False))

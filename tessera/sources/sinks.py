@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.dml import INSERTED, UPDATED, last_wins, suppress, suppressed_rows, upsert
-from tessera.sources.readers import exists
 
 
 @dataclass
@@ -25,40 +25,135 @@ class Counts:
         return self.staged - self.suppressed - self.inserted - self.updated
 
 
+class Conflict(RuntimeError):
+    """Another writer published a version in the meantime."""
+
+
+class Damaged(RuntimeError):
+    """Versions are there and no pointer to any of them."""
+
+
 @dataclass
 class ParquetTable:
-    """A table as versions beside each other; a pointer file names the current one, so readers never see half a write."""
+    """A table in buckets by the hash of its keys. Every write puts the buckets that changed into a folder of its own and
+    publishes them by a pointer: a small file with the folder of each bucket, named by a number that counts up. Pointers
+    are created and never replaced, so a writer that dies leaves the last version as it was, of two writers one fails,
+    and readers never see half a write. The first pointer is the empty table, made before any data."""
 
     spark: SparkSession
     path: str
     schema: T.StructType
     keys: list[str]
-
-    def _pointer(self) -> str | None:
-        if not exists(self.spark, f"{self.path}/CURRENT"):
+    buckets: int = 16
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs()
+        return sorted(x.getPath().getName() for x in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
+
+    def _load(self, number: str) -> dict[str, str] | None:
+        """Folders by bucket; None where the writer died before it wrote them."""
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/pointers/{number}"))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"]
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """The last number given away, and the last version that was published."""
+        numbers = [n for n in self._names(f"{self.path}/pointers") if n.isdigit()]
+        for number in reversed(numbers):
+            found = self._load(number)
+            if found is not None:
+                return int(numbers[-1]), found
+        if self._names(f"{self.path}/versions"):
+            raise Damaged(f"{self.path} has versions and no pointer")
+        return -1, {}
+
+    def _publish(self, number: int, buckets: dict[str, str]) -> None:
+        fs, path = self._fs()
+        name = path(f"{self.path}/pointers/{number:012d}")
+        try:
+            stream = fs.create(name, False)
+        except Exception as e:
+            if fs.exists(name):
+                raise Conflict(f"{self.path} was written by someone else") from e
+            raise
+        try:
+            stream.write(bytearray(json.dumps(buckets, sort_keys=True).encode()))
+        finally:
+            stream.close()
+
+    def _read(self, buckets: dict[str, str]) -> DataFrame:
+        folders = [f"{self.path}/versions/{f}" for f in sorted(set(buckets.values()))]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        version = self._pointer()
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self._read(self._state()[1])
 
-    def write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def upsert(self, staged: DataFrame, hash_column: str | None = "content_hash", suppressed: DataFrame | None = None, key: str | None = None, source: Column | str | None = None, order: str | None = None) -> Counts:
-        """Merge staged rows and count what happened. A second run of the same rows changes nothing and writes nothing."""
+        """Merge staged rows and count what happened. A second run of the same rows changes nothing. Staged rows are read
+        once into the folder of the new version; only buckets that they touch are joined, and only those that changed are
+        published. Several staged rows of one key are an error unless ``order`` says which is the last."""
+        number, now = self._state()
+        if number < 0:
+            number = 0
+            self._publish(0, {})
+        fs, path = self._fs()
+        version = f"v-{uuid.uuid4().hex}"
+        held = f"{self.path}/staging/{version}"
         rows = last_wins(staged, self.keys, [order]) if order else staged
-        blocked = suppressed_rows(rows, suppressed, key, source).count() if suppressed is not None else 0
-        merged = upsert(self.read(), suppress(rows, suppressed, key, source) if suppressed is not None else rows, self.keys, hash_column)
-        done = {r["action"]: r["n"] for r in merged.groupBy("action").agg(F.count("*").alias("n")).collect()}
-        out = Counts(rows.count(), blocked, done.get(INSERTED, 0), done.get(UPDATED, 0))
-        if out.inserted or out.updated:
-            self.write(merged)
+        rows.select(*self.schema.fieldNames()).withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(held)
+        try:
+            taken = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(held)
+            counted = taken.groupBy("_bucket").agg(F.count("*").alias("n")).collect()
+            out = Counts(sum(r["n"] for r in counted))
+            if suppressed is not None:
+                out.suppressed = suppressed_rows(taken, suppressed, key, source).count()
+                taken = suppress(taken, suppressed, key, source)
+            touched = {str(r["_bucket"]): now[str(r["_bucket"])] for r in counted if str(r["_bucket"]) in now}
+            merged = upsert(self._read(touched), taken.drop("_bucket"), self.keys, hash_column)
+            merged.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(f"{self.path}/versions/{version}")
+            made = self.spark.read.parquet(f"{self.path}/versions/{version}")
+            done = made.groupBy("_bucket", "action").agg(F.count("*").alias("n")).collect() if counted else []
+            out.inserted, out.updated = (sum(r["n"] for r in done if r["action"] == a) for a in (INSERTED, UPDATED))
+            changed = {str(r["_bucket"]): f"{version}/_bucket={r['_bucket']}" for r in done if r["action"] in (INSERTED, UPDATED)}
+            if changed:
+                self._publish(number + 1, now | changed)
+            else:
+                fs.delete(path(f"{self.path}/versions/{version}"), True)
+        finally:
+            fs.delete(path(held), True)
         return out
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete folders that none of the last ``keep`` published versions reads. Not for use beside running writers."""
+        numbers = [n for n in self._names(f"{self.path}/pointers") if n.isdigit()]
+        states = {n: s for n in numbers if (s := self._load(n)) is not None}
+        last = list(states)[-keep:]
+        used = {folder for n in last for folder in states[n].values()}
+        fs, path = self._fs()
+        for n in numbers:
+            if n < last[0]:
+                fs.delete(path(f"{self.path}/pointers/{n}"), True)
+        for version in self._names(f"{self.path}/versions"):
+            for bucket in self._names(f"{self.path}/versions/{version}"):
+                if bucket.startswith("_bucket=") and f"{version}/{bucket}" not in used:
+                    fs.delete(path(f"{self.path}/versions/{version}/{bucket}"), True)
+            if not any(u.startswith(f"{version}/") for u in used):
+                fs.delete(path(f"{self.path}/versions/{version}"), True)
+
 
 @dataclass
 class NullSink:
@@ -76,10 +171,13 @@ def sink_all(sinks: dict[str, ParquetTable], tables: dict[str, DataFrame], **opt
     return {n: sinks[n].upsert(tables[n], **options) for n in sorted(tables) if tables[n].head(1)}
 
 
-def chunked(df: DataFrame, rows: int = 50_000) -> list[DataFrame]:
-    """Parts of a load by the hash of its rows, of about so many rows: each is merged by itself."""
+def chunked(df: DataFrame, folder: str, rows: int = 50_000) -> list[DataFrame]:
+    """Parts of a load by the hash of its rows, of about so many rows, each to be merged by itself. The load is written to
+    ``folder`` once, a folder for each part, so that a part is read alone."""
     parts = max(1, -(-df.count() // rows))
-    return [df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i) for i in range(parts)]
+    df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")).write.mode("overwrite").partitionBy("_part").parquet(folder)
+    back = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(folder)
+    return [back.where(F.col("_part") == i).drop("_part") for i in range(parts)]
 
 
 def advance(cursors: DataFrame, source: str, value: str | None, status: str, error: str | None = None) -> DataFrame:

@@ -143,6 +143,8 @@ def test_search(spark):
     assert hits[0]["matched"][0]["field"] == "one_liner" and hits[0]["matched"][0]["snippet"].startswith("Tactile")
     for m in hits[0]["matched"]:
         assert all(m["snippet"][a:b] for a, b in m["ranges"])
+    stored = search.with_tokens(df, fields)
+    assert search.search(stored, fields, "tactile robots").select("id", "relevance").collect() == [(h["id"], h["relevance"]) for h in hits]
     assert [h["id"] for h in search.search(df, fields, "  the ").collect()] == [1, 2, 3]
     assert [h["id"] for h in search.search(df, fields, "", where=search.passes(sectors=["ROBOTICS"], min_score=75)).collect()] == [1]
     assert [h["id"] for h in search.search(df, fields, "", where=search.passes(tiers=["untiered"])).collect()] == [2]

@@ -125,7 +125,7 @@ def test_sinks(spark, tmp_path):
     dry = sinks.NullSink()
     dry.upsert("t", rows)
     assert dry.calls == [("t", 4)]
-    parts = sinks.chunked(rows, 2)
+    parts = sinks.chunked(rows, str(tmp_path / "parts"), 2)
     assert sum(p.count() for p in parts) == 4
     cursors = spark.createDataFrame([("a", "5", "ok", None), ("b", "1", "ok", None)], "source string, cursor string, status string, error string")
     moved = sinks.advance(cursors, "a", "9", "ok")
@@ -133,6 +133,50 @@ def test_sinks(spark, tmp_path):
     assert {(r["source"], r["cursor"], r["status"], len(r["error"] or "")) for r in failed.collect()} == {("a", "9", "error", 1000), ("b", "1", "ok", 0)}
 
 
+def test_a_write_that_dies_leaves_the_table(spark, tmp_path, monkeypatch):
+    table = catalog.parse("CREATE TABLE t (id BIGINT, v STRING, PRIMARY KEY (id))")["t"]
+    make = lambda *r: spark.createDataFrame(list(r), table.schema)
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys, buckets=4)
+    content = lambda: sorted(map(tuple, t.read().collect()))
+    t.upsert(make((1, "a"), (2, "b"), (3, "c")))
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:  # between the data and the pointer
+        m.setattr(sinks.ParquetTable, "_publish", dies)
+        with pytest.raises(OSError):
+            t.upsert(make((1, "z"), (9, "y")))
+    assert content() == [(1, "a"), (2, "b"), (3, "c")]
+    open(tmp_path / "t" / "pointers" / "000000000002", "w").close()  # within the pointer
+    assert content() == [(1, "a"), (2, "b"), (3, "c")]
+    t.upsert(make((1, "z")))
+    assert content() == [(1, "z"), (2, "b"), (3, "c")]
+    with pytest.raises(sinks.Conflict):
+        t._publish(3, {})
+    with pytest.raises(Exception, match="several staged rows"):
+        t.upsert(make((5, "a"), (5, "b")))
+    assert content() == [(1, "z"), (2, "b"), (3, "c")]
+    before = set((tmp_path / "t" / "versions").iterdir())
+    assert t.upsert(make((1, "z"))).skipped_unchanged == 1 and set((tmp_path / "t" / "versions").iterdir()) == before
+    t.vacuum(1)
+    assert content() == [(1, "z"), (2, "b"), (3, "c")] and len(list((tmp_path / "t" / "pointers").glob("[0-9]*"))) == 1
+    for f in (tmp_path / "t" / "pointers").iterdir():
+        f.unlink()
+    with pytest.raises(sinks.Damaged):
+        t.read()
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    table = catalog.parse("CREATE TABLE t (id BIGINT, v STRING, PRIMARY KEY (id))")["t"]
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys, buckets=8)
+    t.upsert(spark.range(200).select("id", F.lit("a").alias("v")))
+    first = t._state()[1]
+    t.upsert(spark.createDataFrame([(7, "b")], table.schema))
+    second = t._state()[1]
+    assert len(first) == 8 and sum(first[k] != second[k] for k in first) == 1 and t.read().count() == 200 and t.read().where("v = 'b'").count() == 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     source = str(tmp_path / "in")
