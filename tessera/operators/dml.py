@@ -6,6 +6,7 @@ Every function returns the new version of a table (or only its changed rows); th
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,6 +134,31 @@ def suppression_rows(subjects: DataFrame, source: Column, key: str) -> DataFrame
     return subjects.select(source.alias("source"), key_hash(subjects[key]).alias("key_hash")).distinct()
 
 
+@dataclass
+class Erasure:
+    """What an erasure changes: tables without the subjects, and what remains of them."""
+
+    tables: dict[str, DataFrame]
+    suppressed: DataFrame  # source, key_hash
+    tombstones: DataFrame  # subject_id, erased_at
+    audit: DataFrame  # table, rows taken out
+
+
+def erasure_plan(tables: dict[str, DataFrame], keys: dict[str, Sequence[str]], subjects: DataFrame, key: str, source: Column, subject_id: str, erased_at: Column) -> Erasure:
+    """The whole plan from one list of subjects: every table without them, their keys as hashes, a tombstone a subject, and the
+    number of rows that each table loses."""
+    audit = None
+    for name, columns in keys.items():
+        df, hit = tables[name], F.lit(False)
+        for i, c in enumerate(columns):
+            df = df.join(subjects.select(F.col(key).alias(c)).distinct().withColumn(f"_hit{i}", F.lit(True)), c, "left")
+            hit = hit | F.coalesce(f"_hit{i}", F.lit(False))
+        counted = df.agg(F.count_if(hit).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        audit = counted if audit is None else audit.unionByName(counted)
+    tombstones = subjects.select(F.col(subject_id).alias("subject_id")).distinct().withColumn("erased_at", erased_at)
+    return Erasure(erase(tables, keys, subjects, key), suppression_rows(subjects, source, key), tombstones, audit)
+
+
 def backfill(facts: DataFrame, links: DataFrame, on: str, value: str) -> DataFrame:
     """Facts whose cached ``value`` differs from their active link's, with the new value: changed rows only."""
     new = links.where(F.col("status") == "active").select(on, F.col(value).alias("_new"))
