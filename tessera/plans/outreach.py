@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.documents import uncited
 from tessera.functions.ids import content_hash, key_hash
+from tessera.operators.dml import append_latest
 from tessera.operators.relational import alias_lookup
 
 
@@ -47,6 +49,22 @@ def raised_school_tiers(features: DataFrame, interviews: DataFrame, institutions
     return everyone.select("person_id", F.when(F.col("_tier").isNull(), F.col("features")).otherwise(raised).alias("features"))
 
 
+def interview_gate(tokens: DataFrame, interviews: DataFrame, now: Column) -> DataFrame:
+    """Interviews whose token's hash is asked for (column ``token``), with ``gate``: expired, closed, needs_consent or ready."""
+    asked = tokens.select(key_hash(F.col("token")).alias("token_hash")).distinct()
+    gate = F.when(F.col("expires_at") <= now, "expired").when(F.col("status") != "open", "closed").when(F.col("consent_at").isNull(), "needs_consent").otherwise("ready")
+    return interviews.join(asked, "token_hash").withColumn("gate", gate)
+
+
+def memo_rows(answers: DataFrame, repaired: DataFrame, history: DataFrame) -> DataFrame:
+    """The memo history with a new latest row for each venture whose memo holds: every bullet cites a source or names its
+    gap. ``answers`` and ``repaired``: venture_id, memo_id, memo as JSON text; a repaired memo counts where the first does not hold."""
+    good = lambda df: df.where(F.size(uncited(F.try_parse_json("memo"))) == 0)
+    first = good(answers)
+    second = good(repaired).join(first.select("venture_id"), "venture_id", "left_anti")
+    return append_latest(history, first.unionByName(second), ["venture_id"])
+
+
 def confirmed_traction(interviews: DataFrame) -> DataFrame:
     """Ventures whose interview claims traction."""
     claims = F.from_json(F.get_json_object("extracted", "$.traction_claims"), "array<string>")

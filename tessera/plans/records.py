@@ -159,3 +159,40 @@ def raw_rows(df: DataFrame, key: str, payload: str, scraped_at: Column, ingested
     """Rows as they land: key, payload as variant, hash of its canonical form, times."""
     parsed = F.try_parse_json(payload)
     return df.where(parsed.isNotNull()).select(key, parsed.alias("payload"), F.sha2(F.to_json(parsed), 256).alias("content_hash"), scraped_at.alias("scraped_at"), ingested_at.alias("ingested_at"))
+
+
+# Words that stand for no value.
+JUNK = ("", "-", "n/a", "na", "none", "null", "unknown")
+
+
+def clean_projects(df: DataFrame, key: str) -> DataFrame:
+    """Project rows of payloads: the team with its author counted (unknown without a team), junk as null, times without
+    zone as UTC."""
+    team = path("payload", "$.team", "array<variant>")
+    title = F.trim(path("payload", "$.title"))
+    return df.select(key, F.when(team.isNotNull(), F.size(team) + 1).alias("team_size"), F.when(~F.lower(title).isin(*JUNK), title).alias("title"), F.try_to_timestamp(path("payload", "$.submittedAt")).alias("submitted_at"))
+
+
+def with_contributions(persons: DataFrame, contributions: DataFrame, key: str, order: str) -> DataFrame:
+    """Persons with ``contributions``, their rows in order; an empty list where there is none."""
+    rest = [order, *(c for c in contributions.columns if c not in (key, order))]
+    lists = contributions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("contributions"))
+    out = persons.join(lists, key, "left")
+    return out.withColumn("contributions", F.coalesce("contributions", F.array().cast(out.schema["contributions"].dataType)))
+
+
+def cv_rows(cvs: DataFrame) -> DataFrame:
+    """(user_id, payload, raw_answer, text_hash, n_chars) of CVs: user_id, text, answer. A raw answer is kept only where it
+    does not parse."""
+    answer = text.unfence(F.col("answer"))
+    return cvs.select("user_id", answer["parsed"].alias("payload"), answer["raw"].alias("raw_answer"), F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"))
+
+
+def discovered(searches: list[DataFrame], node: str, order: str) -> DataFrame:
+    """Rows of several searches as one, the first sight of each node: by search, then by ``order``."""
+    out = None
+    for i, df in enumerate(searches):
+        part = df.withColumn("_search", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    rest = [c for c in out.columns if c not in (node, "_search")]
+    return out.groupBy(node).agg(F.min_by(F.struct(*rest), F.struct("_search", order)).alias("r")).select(node, "r.*")

@@ -6,7 +6,7 @@ confidence, kinds) and are then laid out in columns; a category without score st
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +86,34 @@ def ideal_match(members: DataFrame, features: DataFrame, targets: dict[str, floa
     return _team(members, rows.select("person_id", (100 * weighted_mean(scores, ws)).alias("s")), "ideal_match")
 
 
+#: Scorers by category: from the inputs of a run (members, features, facts, targets and so on, by name) to long score rows.
+SCORERS: dict[str, Callable[[dict], DataFrame]] = {
+    "individual_experience": lambda run: experience(run["members"], run["features"]),
+    "schools": lambda run: schools(run["members"], run["features"]),
+    "prior_collaboration": lambda run: prior_collaboration(run["members"], run["facts"]),
+    "ideal_match": lambda run: ideal_match(run["members"], run["features"], run["targets"], run.get("target_weights", {}), run.get("vectors"), run.get("ideal")),
+}
+
+
+def scripted(category: str) -> Callable[[dict], DataFrame]:
+    """A scorer that takes scores from a table of answers (venture_id, category, score) in ``run["answers"]``."""
+    return lambda run: run["answers"].where(F.col("category") == category).select("venture_id", "category", "score", F.array(F.lit("answers")).alias("kinds"))
+
+
+for _category in CATEGORIES:
+    SCORERS.setdefault(_category, scripted(_category))
+
+
+def run_scorers(names: Sequence[str], run: dict) -> DataFrame:
+    """Scores of several categories, long. A score outside 0 to 100 is an error."""
+    out = None
+    for name in names:
+        part = SCORERS[name](run)
+        out = part if out is None else out.unionByName(part)
+    bad = ~F.col("score").between(0, 100)
+    return out.withColumn("score", F.when(bad, F.raise_error(F.concat(F.lit("score out of range: "), "category")).cast("double")).otherwise(F.col("score").cast("double")))
+
+
 def coverage(members: DataFrame, features: DataFrame) -> DataFrame:
     """(venture_id, category, coverage): share of the needed features that the members have."""
     need = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(k).alias("key")) for c, keys in REQUIRED.items() for k in keys))
@@ -97,8 +125,9 @@ def coverage(members: DataFrame, features: DataFrame) -> DataFrame:
 def stage_a(ventures: DataFrame, scores: DataFrame, covered: DataFrame, weights: DataFrame, scored_at: Column) -> DataFrame:
     """One row a venture: a column a category, final score, confidence and tier. ``weights``: one row of w_<category>."""
     long = scores.join(covered, ["venture_id", "category"], "left")
-    pivoted = long.groupBy("venture_id").pivot("category", list(CATEGORIES)).agg(F.first("score").alias("score"), F.first("coverage").alias("coverage"), F.first("kinds").alias("kinds"))
-    rows = ventures.select("venture_id").join(pivoted, "venture_id", "left").crossJoin(F.broadcast(weights.limit(1)))  # one row
+    pivoted = long.groupBy("venture_id").pivot("category", list(CATEGORIES)).agg(F.max("score").alias("score"), F.max("coverage").alias("coverage"), F.max("kinds").alias("kinds"))
+    one = weights.agg(F.max(F.struct(*sorted(weights.columns))).alias("w")).select("w.*")  # one row, the greatest if there are several
+    rows = ventures.select("venture_id").join(pivoted, "venture_id", "left").crossJoin(F.broadcast(one))
     s = [F.col(f"{c}_score") for c in CATEGORIES]
     w = [F.coalesce(F.col(f"w_{c}").cast("double"), F.lit(0.0)) for c in CATEGORIES]
     final = F.round(F.coalesce(weighted_mean(s, w), F.lit(0.0)), 1)
@@ -133,6 +162,26 @@ def pool(candidates: DataFrame, sectors: Sequence[str], regions: Sequence[str],
     return out.select("venture_id", (F.size("exclusion_reasons") == 0).alias("included"), "exclusion_reasons", "funding_signal")
 
 
+def pool_candidates(ventures: DataFrame, projects: DataFrame, companies: DataFrame) -> DataFrame:
+    """Ventures with what a thesis looks at: their project by anchor, their company by anchor or else by the project's
+    site, the texts of the project, and the country of a registered company. projects: project_id, homepage_url, texts;
+    companies: company_id, anchor_id, website_url, the first (by id) of a site."""
+    repo = projects.select(F.col("project_id").alias("anchor_id"), F.lit("github_repo").alias("anchor_type"), url_key(F.col("homepage_url")).alias("_site"), "texts")
+    firm = companies.select("anchor_id", F.lit("company").alias("anchor_type"), F.col("company_id").alias("_own"))
+    sites = companies.groupBy(url_key(F.col("website_url")).alias("_site")).agg(F.min("company_id").alias("_by_site"))
+    rows = ventures.join(repo, ["anchor_type", "anchor_id"], "left").join(firm, ["anchor_type", "anchor_id"], "left").join(sites, "_site", "left")
+    company = F.coalesce("_own", "_by_site")
+    texts = F.filter(F.coalesce("texts", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    return rows.select(*ventures.columns, company.alias("company_id"), F.when(company.isNotNull(), "CH").alias("country_code"), texts.alias("texts"))
+
+
+def showcase_members(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of showcase projects who are resolved persons, each once, with equal weights; the author counts as founder.
+    members: project_id, user_id, is_author; links: user_id, person_id."""
+    once = members.join(links, "user_id").groupBy("project_id", "person_id").agg(F.max(F.coalesce("is_author", F.lit(False))).alias("is_founder_guess"))
+    return once.select("project_id", "person_id", F.round(F.lit(1.0) / F.count("*").over(Window.partitionBy("project_id")), 4).alias("weight"), F.when(F.col("is_founder_guess"), "founder").otherwise("team").alias("role_hint"), "is_founder_guess")
+
+
 def funding_signal(probes: DataFrame, filings: DataFrame, known_funded: DataFrame, verdicts: DataFrame) -> DataFrame:
     """confirmed_funded by a filing or the list of funded names; else what a verdict says of a text with funding words
     (``suspected`` without verdict); else none_found. ``filings``: uid, sub_rubric, text. ``probes``: venture_id, uid, company_name, text."""

@@ -50,3 +50,22 @@ def person_signals(persons: DataFrame, links: DataFrame, contributions: DataFram
     wrote = facts("authorship", authorships, publications.select("publication_id", "title", "citation_count", "published_at"), "publication_id", "title", F.col("author_position"), F.col("citation_count"), F.col("published_at"))
     leads = facts("officer", officers, companies.select("company_id", "name"), "company_id", "name", F.col("role_norm"), none, F.col("registered_at"))
     return made.unionByName(wrote).unionByName(leads)
+
+
+def bundles(members: DataFrame, features: DataFrame) -> DataFrame:
+    """(venture_id, members): each venture with its members, the weightiest first (unknown weight counts as 0), and their features."""
+    rows = members.join(features.select("person_id", "features"), "person_id", "left")
+    item = F.struct((-F.coalesce("weight", F.lit(0.0))).alias("o"), "person_id", "weight", F.map_entries(F.coalesce("features", F.create_map().cast("map<string,double>"))).alias("f"))
+    sorted_items = F.transform(F.sort_array(F.collect_list(item)), lambda x: F.struct(x["person_id"].alias("person_id"), x["weight"].alias("weight"), F.map_from_entries(x["f"]).alias("features")))
+    return rows.groupBy("venture_id").agg(sorted_items.alias("members"))
+
+
+def latest_memo(memos: DataFrame) -> DataFrame:
+    """The newest memo of each venture; an unknown time counts as the oldest."""
+    order = F.struct(F.coalesce("created_at", F.lit("")), "memo_id")
+    return memos.groupBy("venture_id").agg(F.max_by(F.struct(*(c for c in memos.columns if c != "venture_id")), order).alias("m")).select("venture_id", "m.*")
+
+
+def score_history(scores: DataFrame, key: str, at: str) -> DataFrame:
+    """All scores, the newest first within a key."""
+    return scores.orderBy(key, F.desc_nulls_last(at))
