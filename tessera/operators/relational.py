@@ -27,6 +27,12 @@ def good_and_rejected(df: DataFrame, valid: Column, reason: Column) -> tuple[Dat
     return df.where(ok), df.where(~ok).withColumn("reason", reason)
 
 
+def rejects(df: DataFrame, source: Column, natural_key: Column, reason: Column) -> DataFrame:
+    """Rows that did not pass as (source, natural_key, reason, row as JSON), one for each source and key: the last by reason."""
+    rows = df.select(source.alias("source"), natural_key.cast("string").alias("natural_key"), reason.alias("reason"), F.to_json(F.struct(*df.columns)).alias("payload"))
+    return rows.groupBy("source", "natural_key").agg(F.max(F.struct("reason", "payload")).alias("r")).select("source", "natural_key", "r.reason", "r.payload")
+
+
 def reasons(checks: Sequence[tuple[str, Column]]) -> Column:
     """Names of the checks that fail, in order; a check that is null does not fail."""
     return F.filter(F.array(*(F.when(failed, F.lit(name)) for name, failed in checks)), lambda x: x.isNotNull())
@@ -55,6 +61,11 @@ def wire(df: DataFrame, json_columns: Sequence[str] = (), drop: Sequence[str] =
     return df.select(*(F.to_json(c).alias(c) if c in json_columns else F.col(c) for c in df.columns if c not in drop))
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """A table as one column of JSON rows, unknown values included."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def leading_columns(columns: Sequence[str], most: int = 8, ids: int = 2) -> list[str]:
     """Columns worth showing: few ids, then the named ones first."""
     first = [c for c in columns if any(x in c for x in ("name", "title", "status", "score"))]

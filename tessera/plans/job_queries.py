@@ -92,18 +92,18 @@ def z26_bundles(t: Tables) -> DataFrame:
     return out.select("venture_id", F.size("members").cast("long").alias("n"), F.get("members", F.lit(0))["person_id"].alias("first"), F.size(F.filter("members", lambda m: F.array_contains(F.map_keys(m["features"]), "school_tier"))).cast("long").alias("with_school"))
 
 
-# Contributions: orders to projects (customers of one nation), shares by price.
-_CONTRIB = "c AS (SELECT c_nationkey AS project_id, o_custkey AS person_id, count(*) AS commit_count, sum(o_totalprice) / sum(sum(o_totalprice)) OVER (PARTITION BY c_nationkey) AS share FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"
+# Contributions: orders as commits to 997 projects, shares by price.
+_CONTRIB = "c AS (SELECT o_orderkey % 997 AS project_id, o_custkey AS person_id, sum(o_orderkey % 13) AS commit_count, sum(o_totalprice) / sum(sum(o_totalprice)) OVER (PARTITION BY o_orderkey % 997) AS share FROM orders GROUP BY 1, 2)"
 
 
 def _contributions(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = t.orders.where("o_orderkey % 7 = 0").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("project_id"), F.col("o_custkey").alias("person_id")).agg(F.count("*").alias("commit_count"), F.sum("o_totalprice").alias("x"))
+    rows = t.orders.groupBy((F.col("o_orderkey") % 997).alias("project_id"), F.col("o_custkey").alias("person_id")).agg(F.sum(F.col("o_orderkey") % 13).alias("commit_count"), F.sum("o_totalprice").alias("x"))
     return rows.withColumn("contribution_share", F.col("x") / F.sum("x").over(Window.partitionBy("project_id"))).drop("x")
 
 
-_REPO = f"""WITH {_CONTRIB}, k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY round(share, 9) DESC, person_id) AS n FROM c WHERE share >= 0.10 OR (share >= 0.05 AND commit_count >= 10) OR (project_id % 3 = 0 AND share >= 0.02 AND commit_count >= 2 AND share >= 0.10)),
+_REPO = f"""WITH {_CONTRIB}, k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY round(share, 9) DESC, person_id) AS n FROM c WHERE share >= 0.10 OR (share >= 0.05 AND commit_count >= 10)),
 re AS (SELECT project_id, person_id, round(share / sum(share) OVER (PARTITION BY project_id), 4) AS weight FROM k WHERE n <= 8)"""
 
 
@@ -129,10 +129,10 @@ def z19_officers(t: Tables) -> DataFrame:
 
 @query(_REPO + f""", {_OFFICERS}, j AS (SELECT coalesce(re.project_id, om.company_id) AS key, coalesce(re.person_id, om.person_id) AS person_id, coalesce(re.weight, om.weight) AS w, re.weight IS NULL AS added, CASE WHEN om.is_founder_guess THEN om.role_hint WHEN re.weight IS NULL THEN om.role_hint ELSE 'maintainer' END AS role_hint, coalesce(om.is_founder_guess, false) AS is_founder_guess FROM re FULL JOIN om ON re.project_id = om.company_id AND re.person_id = om.person_id),
 s AS (SELECT *, CASE WHEN bool_or(added) OVER (PARTITION BY key) THEN round(w / sum(w) OVER (PARTITION BY key), 4) ELSE w END AS weight FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY weight DESC, person_id) AS n FROM s)
-SELECT key AS team, person_id, role_hint, is_founder_guess, weight FROM n WHERE n <= 8""")
+SELECT key AS team, person_id, role_hint, is_founder_guess, round(weight, 2) AS weight FROM n WHERE n <= 8""")
 def z20_merged_members(t: Tables) -> DataFrame:
     """Repository and company members as one team."""
-    return scoring.merged_members(scoring.repo_members(_contributions(t)).withColumnRenamed("project_id", "team"), scoring.officer_members(_officers(t)).withColumnRenamed("company_id", "team"), "team")
+    return scoring.merged_members(scoring.repo_members(_contributions(t)).withColumnRenamed("project_id", "team"), scoring.officer_members(_officers(t)).withColumnRenamed("company_id", "team"), "team").withColumn("weight", F.round("weight", 2))
 
 
 @query("""
@@ -148,13 +148,13 @@ def z22_showcase_members(t: Tables) -> DataFrame:
     return scoring.showcase_members(rows, links)
 
 
-_PROJECTS = "pj AS (SELECT c_nationkey AS project_id, 'repo' || c_nationkey AS name, 'https://www.site' || c_nationkey % 6 || '.org/' AS homepage_url, CASE WHEN c_nationkey % 4 = 0 THEN 'made by FIRM' || (c_nationkey + 1) % 25 || ' AG' ELSE 'tools' END AS description, c_nationkey % 5 / 5.0 AS venture_likeness, c_nationkey % 7 = 0 AS is_corporate_oss FROM customer GROUP BY ALL), co AS (SELECT s_nationkey AS company_id, 'Firm' || s_nationkey || ' AG' AS name, 'site' || s_nationkey % 11 || '.org' AS website_url, s_nationkey % 2 = 0 AS startup FROM supplier GROUP BY ALL)"
+_PROJECTS = "pj AS (SELECT n AS project_id, 'repo' || n AS name, 'https://www.site' || n % 6 || '.org/' AS homepage_url, CASE WHEN n % 4 = 0 THEN 'made by FIRM' || (n + 1) % 25 || ' AG' ELSE 'tools' END AS description, n % 5 / 5.0 AS venture_likeness, n % 7 = 0 AS is_corporate_oss FROM (SELECT DISTINCT o_orderkey % 997 AS n FROM orders)), co AS (SELECT s_nationkey AS company_id, 'Firm' || s_nationkey || ' AG' AS name, 'site' || s_nationkey % 11 || '.org' AS website_url, s_nationkey % 2 = 0 AS startup FROM supplier GROUP BY ALL)"
 
 
 def _projects(t: Tables) -> tuple[DataFrame, DataFrame]:
-    n, s = F.col("c_nationkey"), F.col("s_nationkey")
+    n, s = F.col("o_orderkey") % 997, F.col("s_nationkey")
     tag = lambda a, c, b: F.concat(F.lit(a), c.cast("string"), F.lit(b))
-    projects = t.customer.select(n.alias("project_id"), tag("repo", n, "").alias("name"), tag("https://www.site", n % 6, ".org/").alias("homepage_url"), F.when(n % 4 == 0, tag("made by FIRM", (n + 1) % 25, " AG")).otherwise("tools").alias("description"), (n % 5 / 5.0).alias("venture_likeness"), (n % 7 == 0).alias("is_corporate_oss")).distinct()
+    projects = t.orders.select(n.alias("project_id"), tag("repo", n, "").alias("name"), tag("https://www.site", n % 6, ".org/").alias("homepage_url"), F.when(n % 4 == 0, tag("made by FIRM", (n + 1) % 25, " AG")).otherwise("tools").alias("description"), (n % 5 / 5.0).alias("venture_likeness"), (n % 7 == 0).alias("is_corporate_oss")).distinct()
     companies = t.supplier.select(s.alias("company_id"), tag("Firm", s, " AG").alias("name"), tag("site", s % 11, ".org").alias("website_url"), F.lit("sells goods").alias("purpose"), F.when(s % 2 == 0, scoring.STARTUP).otherwise("other").alias("startup_likeness")).distinct()
     return projects, companies
 
@@ -237,7 +237,7 @@ def z36_question_plan(t: Tables) -> DataFrame:
 # ---- features -----------------------------------------------------------------------------------
 
 
-@query(f"""WITH c AS (SELECT o_custkey AS person_id, o_orderkey % 80 AS project_id, (o_orderkey % 90)::INT AS commits, (o_orderkey % 10) / 10.0 AS share, o_orderdate - INTERVAL 100 DAY AS first, o_orderdate AS last FROM orders), pj AS (SELECT p_partkey AS project_id, (p_partkey % 8 * 100)::INT AS stars FROM part WHERE p_partkey < 80),
+@query(f"""WITH c AS (SELECT o_custkey AS person_id, o_orderkey % 2000 AS project_id, (o_orderkey % 90)::INT AS commits, (o_orderkey % 10) / 10.0 AS share, o_orderdate - INTERVAL 100 DAY AS first, o_orderdate AS last FROM orders), pj AS (SELECT p_partkey AS project_id, (p_partkey % 8 * 100)::INT AS stars FROM part),
 cf AS (SELECT person_id, round(ln(1 + sum(stars * share)), 2) AS stars_weighted, sum(CASE WHEN last >= TIMESTAMP '2000-08-02' THEN commits END)::DOUBLE AS commits_12mo, max(CASE WHEN last >= TIMESTAMP '2000-08-02' THEN least(52.0, round(epoch(last - greatest(first, TIMESTAMP '2000-08-02')) / 604800, 1)) END)::DOUBLE AS active_weeks_12mo, bool_or(stars > 500 AND share >= 0.5) AS hit, max(last) AS last FROM c JOIN pj USING (project_id) GROUP BY 1),
 au AS (SELECT l_suppkey AS person_id, sum(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 30 ELSE 0 END)::DOUBLE AS citations_total, max(o_orderdate) AS paper FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
 of AS (SELECT s_suppkey AS person_id, s_suppkey % 4 = 1 AS founder, TIMESTAMP '2001-01-01' AS filed FROM supplier),
@@ -248,8 +248,8 @@ SELECT person_id, stars_weighted, commits_12mo, active_weeks_12mo, citations_tot
 def z17_person_features(t: Tables) -> DataFrame:
     """All features of persons from three fact tables, an institution list and overrides."""
     k = F.col("o_orderkey")
-    made = t.orders.select(F.col("o_custkey").alias("person_id"), (k % 80).alias("project_id"), (k % 90).cast("int").alias("commit_count"), (k % 10 / 10.0).alias("contribution_share"), (F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 100 DAYS")).alias("first_commit_at"), F.col("o_orderdate").cast("timestamp").alias("last_commit_at"))
-    projects = t.part.where("p_partkey < 80").select(F.col("p_partkey").alias("project_id"), (F.col("p_partkey") % 8 * 100).cast("int").alias("stars"))
+    made = t.orders.select(F.col("o_custkey").alias("person_id"), (k % 2000).alias("project_id"), (k % 90).cast("int").alias("commit_count"), (k % 10 / 10.0).alias("contribution_share"), (F.col("o_orderdate").cast("timestamp") - F.expr("INTERVAL 100 DAYS")).alias("first_commit_at"), F.col("o_orderdate").cast("timestamp").alias("last_commit_at"))
+    projects = t.part.select(F.col("p_partkey").alias("project_id"), (F.col("p_partkey") % 8 * 100).cast("int").alias("stars"))
     wrote = t.lineitem.select(F.col("l_suppkey").alias("person_id"), F.col("l_orderkey").alias("publication_id"))
     papers = t.orders.select(k.alias("publication_id"), F.when(k % 3 > 0, k % 30).alias("citation_count"), F.col("o_orderdate").cast("timestamp").alias("published_at"))
     led = t.supplier.select(F.col("s_suppkey").alias("person_id"), F.when(F.col("s_suppkey") % 4 == 1, "founder").otherwise("board").alias("role_norm"), F.lit("2001-01-01").cast("timestamp").alias("registered_at"))
@@ -261,10 +261,10 @@ def z17_person_features(t: Tables) -> DataFrame:
     return out.select("person_id", *(F.col("features")[c].alias(c) for c in ("stars_weighted", "commits_12mo", "active_weeks_12mo", "citations_total", "zero_to_one_flag", "school_tier", "recency_score", "graph_centrality")))
 
 
-@query("WITH c AS (SELECT o_custkey AS person_id, o_orderkey AS project_id FROM orders WHERE o_orderkey % 2 = 0), x AS (SELECT person_id, project_id, 'r' || project_id || '@' || s AS c, i FROM c, (VALUES (1, 'a'), (2, 'b'), (3, 'c')) v(i, s)), n AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY project_id, i) AS n FROM x) SELECT person_id, string_agg(c, ' ' ORDER BY n) AS sample FROM n WHERE n <= 20 GROUP BY 1")
+@query("WITH c AS (SELECT o_custkey AS person_id, o_orderkey AS project_id FROM orders), x AS (SELECT person_id, project_id, 'r' || project_id || '@' || s AS c, i FROM c, (VALUES (1, 'a'), (2, 'b'), (3, 'c')) v(i, s)), n AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY project_id, i) AS n FROM x) SELECT person_id, string_agg(c, ' ' ORDER BY n) AS sample FROM n WHERE n <= 20 GROUP BY 1")
 def z18_commit_sample(t: Tables) -> DataFrame:
     """Up to twenty repository@commit strings a person."""
-    made = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("project_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("full_name"), F.array(*map(F.lit, "abc")).alias("sample_commit_shas"))
+    made = t.orders.select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("project_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("full_name"), F.array(*map(F.lit, "abc")).alias("sample_commit_shas"))
     return features.commit_sample(made).select("person_id", F.array_join("sample", " ").alias("sample"))
 
 
@@ -482,11 +482,11 @@ def z38_revised(t: Tables) -> DataFrame:
     return outreach.revised(table, row, "profile_id", "version")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, o_custkey AS person_id FROM orders WHERE o_orderkey % 50 < 9), f AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 2 = 0 THEN 0.4 END AS tier FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT person_id, max(id % 4 * 0.25) AS t FROM i WHERE id % 4 < 3 GROUP BY 1)
+@query("""WITH i AS (SELECT o_orderkey AS id, o_custkey AS person_id FROM orders), f AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 2 = 0 THEN 0.4 END AS tier FROM customer WHERE c_custkey % 3 > 0), n AS (SELECT person_id, max(id % 4 * 0.25) AS t FROM i WHERE id % 4 < 3 GROUP BY 1)
 SELECT coalesce(f.person_id, n.person_id) AS person_id, CASE WHEN t IS NULL THEN tier ELSE greatest(coalesce(tier, 0), t) END::DOUBLE AS school_tier FROM f FULL JOIN n USING (person_id)""")
 def z31_interview_tiers(t: Tables) -> DataFrame:
     """School tiers that interviews raise."""
-    talks = t.orders.where("o_orderkey % 50 < 9").select(F.col("o_custkey").alias("person_id"), F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Inst "), (F.col("o_orderkey") % 4).cast("string")).alias("institution"))).alias("education"))).alias("extracted"))
+    talks = t.orders.select(F.col("o_custkey").alias("person_id"), F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Inst "), (F.col("o_orderkey") % 4).cast("string")).alias("institution"))).alias("education"))).alias("extracted"))
     bags = t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("person_id"), F.map_filter(F.create_map(F.lit("school_tier"), F.when(F.col("c_custkey") % 2 == 0, F.lit(0.4))), lambda _, v: v.isNotNull()).alias("features"))
     schools = t.region.where("r_regionkey < 3").select(F.concat(F.lit("inst "), F.col("r_regionkey").cast("string")).alias("name"), F.array().cast("array<string>").alias("aliases"), (F.col("r_regionkey") * 25.0).alias("score"))
     out = outreach.raised_school_tiers(bags, talks, schools)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import random
@@ -79,6 +80,70 @@ def retry_wait(attempt: int, status: int, headers: dict[str, str], now: float, j
     return min(LONGEST_WAIT, 2.0 ** (attempt - 1) + (jitter.random() if jitter else 0.0))
 
 
+def all_pages(fetch: Callable[[int], tuple[int, list]], size: int, attempts: int = 3) -> Iterator[dict]:
+    """Items of all pages. ``fetch`` gives (total, items) of a page, from 0 on; a page that is empty although the total says
+    more is asked for again, ``attempts`` times in all, and is then an error."""
+    page, seen = 0, 0
+    while True:
+        for _ in range(attempts):
+            total, items = fetch(page)
+            if items or seen >= total:
+                break
+        else:
+            raise ConnectionError(f"page {page} stays empty: {seen} of {total}")
+        yield from items
+        seen, page = seen + len(items), page + 1
+        if seen >= total or len(items) < size:
+            return
+
+
+def unless_unchanged(held: tuple[str, str] | None, call: Callable[[str | None], tuple[int, str | None, str | None]]) -> tuple[str | None, str | None]:
+    """(etag, body) of a request that names the etag of what is held; where nothing changed (304) what is held stays."""
+    status, etag, body = call(held[0] if held else None)
+    return held if status == 304 and held else (etag, body)
+
+
+class SearchSource(DataSource):
+    """``spark.read.format("search")``: a search over creation dates, replayed from JSON lines in a folder a day
+    (``day=2024-01-31``), as a partitioned write leaves them. Options: path, schema, first, last, and field and least (such as stars and 10). The dates
+    are bisected until each window holds fewer results than a query can page through; a window is a partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "search"
+
+    def schema(self) -> str:
+        return self.options["schema"]
+
+    def reader(self, schema) -> DataSourceReader:
+        return SearchReader(self.options, [f.name for f in schema.fields])
+
+
+class SearchReader(DataSourceReader):
+    def __init__(self, options, names: list[str]):
+        self.folder, self.names = options["path"], names
+        self.first, self.last = date.fromisoformat(options["first"]), date.fromisoformat(options["last"])
+        self.field, self.least = options.get("field", ""), float(options.get("least", "0"))
+        self.most, self.page = int(options.get("most", str(MOST_RESULTS))), int(options.get("page", "100"))
+
+    def _found(self, first: date, last: date) -> list[dict]:
+        """What the service would find, ordered by date and then as listed."""
+        out = []
+        for i in range((last - first).days + 1):
+            for path in sorted(glob.glob(os.path.join(self.folder, f"day={first + timedelta(days=i)}", "*.json"))):
+                with open(path, encoding="utf-8") as f:
+                    out += [x for x in map(json.loads, filter(str.strip, f)) if not self.field or (x.get(self.field) or 0) >= self.least]
+        return out
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((a, b)) for a, b, _ in bisect_windows(self.first, self.last, lambda a, b: len(self._found(a, b)), self.most)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        found = self._found(*partition.value)
+        for item in all_pages(lambda n: (len(found), found[n * self.page : (n + 1) * self.page]), self.page):
+            yield tuple(item.get(n) for n in self.names)
+
+
 class ReplaySource(DataSource):
     """``spark.read.format("replay").option("path", folder).option("schema", ddl)``: one partition a response file, one
     row an item of its ``items`` list (or of the file's own list)."""

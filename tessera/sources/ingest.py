@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.feeds import batches
+from tessera.sources.feeds import batches, split_on_failure
 from tessera.sources.sinks import Counts, ParquetTable
 
 
@@ -21,16 +21,17 @@ def pending(wanted: DataFrame, done: DataFrame, key: str, most: int | None = Non
     return left if most is None else left.orderBy(key).limit(most)
 
 
-def batched_lookup(keys: DataFrame, key: str, call: Callable[[list], dict], size: int, single: Callable[[object], object] | None = None) -> DataFrame:
+def batched_lookup(keys: DataFrame, key: str, call: Callable[[list], dict], size: int, single: Callable[[object], object] | None = None, failed: type[Exception] | None = None, enabled: bool = True) -> DataFrame:
     """(key, payload, found): one call a batch of keys, then one a key for what the batch missed. ``call`` gives payloads by
-    key; it runs on the executors, a partition's keys at a time, and holds one batch in memory."""
+    key; it runs on the executors, a partition's keys at a time, and holds one batch in memory. A batch that fails with
+    ``failed`` is asked for in halves. Without access (``enabled`` false) nothing is asked and nothing comes out."""
     kind = keys.schema[key].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for batch in batches(part[key].tolist(), size):
-                got = call(batch)
+                got = dict(split_on_failure(batch, lambda ks: list(call(ks).items()), failed)) if failed else call(batch)
                 for k in batch:
                     value = got.get(k)
                     if value is None and single is not None:
@@ -38,7 +39,21 @@ def batched_lookup(keys: DataFrame, key: str, call: Callable[[list], dict], size
                     rows.append((k, value, value is not None))
             yield pd.DataFrame(rows, columns=[key, "payload", "found"])
 
-    return keys.select(key).mapInPandas(run, f"`{key}` {kind}, payload string, found boolean")
+    return (keys if enabled else keys.limit(0)).select(key).mapInPandas(run, f"`{key}` {kind}, payload string, found boolean")
+
+
+def sweep(people: DataFrame, project: str, detail: Callable[[list], dict], size: int = 1) -> DataFrame:
+    """One detail for each distinct project that a list of people names."""
+    return batched_lookup(people.where(F.col(project).isNotNull()).select(project).distinct(), project, detail, size)
+
+
+def fetch_chain(explicit: DataFrame, found: DataFrame, stored: DataFrame, hydrate: Callable[[list], dict], logins: Callable[[Column], Column], profile: Callable[[list], dict], failed: type[Exception] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(repositories, profiles): keys given or discovered, without those stored, ten a call; then the distinct logins that
+    their payloads name, fifty a call. All are columns ``key``."""
+    wanted = explicit.select("key").union(found.select("key"))
+    repositories = batched_lookup(pending(wanted, stored, "key"), "key", hydrate, 10, failed=failed)
+    core = repositories.where("found").select(F.explode(logins(F.col("payload"))).alias("key")).distinct().orderBy("key")
+    return repositories, batched_lookup(core, "key", profile, 50, failed=failed)
 
 
 def match_rate(looked_up: DataFrame) -> DataFrame:
