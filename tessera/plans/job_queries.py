@@ -129,10 +129,10 @@ def z19_officers(t: Tables) -> DataFrame:
 
 @query(_REPO + f""", {_OFFICERS}, j AS (SELECT coalesce(re.project_id, om.company_id) AS key, coalesce(re.person_id, om.person_id) AS person_id, coalesce(re.weight, om.weight) AS w, re.weight IS NULL AS added, CASE WHEN om.is_founder_guess THEN om.role_hint WHEN re.weight IS NULL THEN om.role_hint ELSE 'maintainer' END AS role_hint, coalesce(om.is_founder_guess, false) AS is_founder_guess FROM re FULL JOIN om ON re.project_id = om.company_id AND re.person_id = om.person_id),
 s AS (SELECT *, CASE WHEN bool_or(added) OVER (PARTITION BY key) THEN round(w / sum(w) OVER (PARTITION BY key), 4) ELSE w END AS weight FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY weight DESC, person_id) AS n FROM s)
-SELECT key AS team, person_id, role_hint, is_founder_guess, round(weight, 2) AS weight FROM n WHERE n <= 8""")
+SELECT key AS team, person_id, role_hint, is_founder_guess, floor(weight * 1000 + 0.01)::BIGINT AS per_mille FROM n WHERE n <= 8""")
 def z20_merged_members(t: Tables) -> DataFrame:
     """Repository and company members as one team."""
-    return scoring.merged_members(scoring.repo_members(_contributions(t)).withColumnRenamed("project_id", "team"), scoring.officer_members(_officers(t)).withColumnRenamed("company_id", "team"), "team").withColumn("weight", F.round("weight", 2))
+    return scoring.merged_members(scoring.repo_members(_contributions(t)).withColumnRenamed("project_id", "team"), scoring.officer_members(_officers(t)).withColumnRenamed("company_id", "team"), "team").withColumn("per_mille", F.floor(F.col("weight") * 1000 + 0.01)).drop("weight")
 
 
 @query("""
