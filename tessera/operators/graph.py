@@ -72,8 +72,10 @@ def neighbours(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def ring(near: DataFrame) -> DataFrame:
-    """(node, other) at exactly two hops: neighbours of neighbours without the neighbours and the node."""
-    two = near.select("node", F.col("other").alias("mid")).join(near.select(F.col("node").alias("mid"), "other"), "mid").select("node", "other").where("node <> other").distinct()
+    """(node, other) at exactly two hops: neighbours of neighbours without the neighbours and the node. The pairs around a node
+    with a large part of all edges are made in many tasks."""
+    ways = near.select("node", F.col("other").alias("mid"))
+    two = join_split(ways, near.select(F.col("node").alias("mid"), "other"), "mid", "node", heavy_keys(ways, "mid")).select("node", "other").where("node <> other").distinct()
     return two.join(near, ["node", "other"], "left_anti")
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.functions.ids import joined_id, uuid5
 from tessera.functions.text import jaro_winkler, login_is_name, profile_url_key
 from tessera.operators.graph import components
-from tessera.operators.relational import equal_pairs, overlap_pairs, union_of_pairs
+from tessera.operators.relational import equal_pairs, global_rank, overlap_pairs, union_of_pairs
+from tessera.operators.skew import stars
 
 # Methods in order of priority, with the confidence of each.
 METHODS = (("D1", "det_orcid", 0.99), ("D2", "det_email", 0.98), ("D7", "det_linkedin", 0.97), ("D3", "det_website", 0.95), ("D4", "det_handle", 0.95), ("D5", "det_crosslink", 0.92), ("D8", "det_team", 0.90), ("D6", "det_name_org", 0.85))
@@ -55,19 +56,28 @@ def with_methods(matches: DataFrame) -> DataFrame:
 # ---- rules ------------------------------------------------------------------------------------
 
 
-def identifier_rules(records: DataFrame) -> DataFrame:
-    """(left, right, rule, evidence) of shared identifiers: one equality join for each rule, never one with OR."""
+def identifier_rules(records: DataFrame, every_pair: bool = True) -> DataFrame:
+    """(left, right, rule, evidence) of shared identifiers: one equality join for each rule, never one with OR. Without
+    ``every_pair`` each group gets a star from its smallest record, which connects the same records with a row a member,
+    so that an identifier which very many records share makes no pairs."""
     r = records.withColumn("_linkedin", profile_url_key(F.col("linkedin_url"))).withColumn("_handle_url", F.concat(F.lit("github.com/"), F.lower("github_login")))
 
     def by(column: str) -> DataFrame:
-        return equal_pairs(r, "record_id", [column]).select("left", "right", F.col(column).alias("evidence"))
+        found = equal_pairs(r, "record_id", [column]) if every_pair else stars(r, "record_id", [column])
+        return found.select("left", "right", F.col(column).alias("evidence"))
 
     owner = r.where("github_login is not null").select(F.col("record_id").alias("x"), F.col("_handle_url").alias("evidence"))
     holder = r.where("website_url_norm is not null").select(F.col("record_id").alias("y"), F.col("website_url_norm").alias("evidence"))
     crossed = owner.join(holder, "evidence").where("x <> y").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "evidence")
+    mails = overlap_pairs(r, "record_id", "email_norms").select("left", "right", F.col("shared").alias("evidence"))
+    if not every_pair:
+        flat = r.select("record_id", F.explode("email_norms").alias("evidence"))
+        mails = stars(flat, "record_id", ["evidence"]).groupBy("left", "right").agg(F.min("evidence").alias("evidence"))
+        ends = owner.toDF("record_id", "evidence").unionByName(holder.toDF("record_id", "evidence"))
+        crossed = stars(ends.join(owner.select("evidence").intersect(holder.select("evidence")), "evidence"), "record_id", ["evidence"]).select("left", "right", "evidence")
     rules = {
         "D1": by("orcid"),
-        "D2": overlap_pairs(r, "record_id", "email_norms").select("left", "right", F.col("shared").alias("evidence")),
+        "D2": mails,
         "D7": by("_linkedin"),
         "D3": by("website_url_norm"),
         "D4": by("twitter_handle").unionByName(crossed).groupBy("left", "right").agg(F.min("evidence").alias("evidence")),
@@ -121,14 +131,19 @@ def artifact_candidates(links: DataFrame, left_members: DataFrame, right_members
 # ---- probabilistic linkage ---------------------------------------------------------------------
 
 
-def blocked_pairs(records: DataFrame) -> DataFrame:
-    """Candidate pairs of four blocking rules, each once."""
+def blocking_rules(records: DataFrame) -> dict[str, DataFrame]:
+    """Candidate pairs of four blocking rules, by name. Pairs of a large block are made in many tasks."""
     r = records.withColumn("_initial", F.substring("first_name", 1, 1)).withColumn("_plain", F.replace(F.col("name_norm"), F.lit(" "), F.lit("")))
-    rules = [equal_pairs(r, "record_id", k).select("left", "right") for k in (["last_name"], ["email_domain"], ["_initial", "org_norm"])]
+    rules = {n: equal_pairs(r, "record_id", k, split=True).select("left", "right") for n, k in (("surname", ["last_name"]), ("domain", ["email_domain"]), ("initial", ["_initial", "org_norm"]))}
     login = r.where("github_login is not null").select(F.col("record_id").alias("x"), F.col("github_login").alias("k"))
     plain = r.where("_plain <> ''").select(F.col("record_id").alias("y"), F.col("_plain").alias("k"))
-    rules.append(login.join(plain, "k").where("x <> y").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")))
-    return reduce(DataFrame.union, rules).distinct()
+    rules["login"] = login.join(plain, "k").where("x <> y").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
+    return rules
+
+
+def blocked_pairs(records: DataFrame) -> DataFrame:
+    """Candidate pairs of all blocking rules, each once."""
+    return reduce(DataFrame.union, blocking_rules(records).values()).distinct()
 
 
 def bayes_weight(level: Column, m: tuple, u: tuple) -> Column:
@@ -177,12 +192,40 @@ def level_name(level: Column, top: int) -> Column:
     return F.when(level.isNull(), "null").when(level == top, "exact").when(level > 0, "partial").otherwise("mismatch")
 
 
-def estimate_u(records: DataFrame, column: str, most: int = 100_000) -> DataFrame:
-    """Share of random pairs that agree on a column, from each record and one other by hash order: a bounded sample,
-    the records with the smallest hashes."""
-    sample = records.select("record_id", column).where(F.col(column).isNotNull()).withColumn("_h", F.xxhash64("record_id")).orderBy("_h").limit(most)
-    shifted = sample.withColumn("_other", F.lead(column).over(Window.orderBy("_h"))).where("_other is not null")
-    return shifted.agg(F.avg((F.col(column) == F.col("_other")).cast("double")).alias("u"))
+def random_pairs(records: DataFrame, pairs: int = 1_000_000) -> DataFrame:
+    """(left, right) of so many draws from all records, by hashes of the draw's number; draws of one record twice are left out."""
+    numbered = global_rank(records.select("record_id"), [F.xxhash64("record_id"), F.col("record_id")], "n")
+    count = F.lit(records.count())
+    draws = records.sparkSession.range(pairs).select(*((F.pmod(F.xxhash64("id", F.lit(side)), count) + 1).alias(side) for side in ("l", "r"))).where("l <> r")
+    a, b = numbered.select(F.col("record_id").alias("x"), F.col("n").alias("l")), numbered.select(F.col("record_id").alias("y"), F.col("n").alias("r"))
+    return draws.join(a, "l").join(b, "r").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
+
+
+def level_shares(levels: DataFrame, columns: dict[str, int]) -> dict[str, tuple]:
+    """Share of each level, highest first, among the pairs for which a comparison is known. ``columns``: number of levels."""
+    r = levels.agg(*(F.count_if(F.col(c) == k - 1 - i).alias(f"{c}_{i}") for c, k in columns.items() for i in range(k))).first()
+    out = {}
+    for c, k in columns.items():
+        got = [max(r[f"{c}_{i}"], 0.5) for i in range(k)]
+        out[c] = tuple(x / sum(got) for x in got)
+    return out
+
+
+#: Comparisons, their levels, and the blocking rules that fix them, whose pairs say nothing about them.
+COMPARISONS = {"g_name": (5, ("surname", "login", "initial")), "g_email": (5, ("domain",)), "g_org": (2, ("initial",)), "g_country": (2, ()), "g_keywords": (3, ())}
+
+
+def train(records: DataFrame, pairs: int = 1_000_000, rounds: int = 5) -> dict[str, tuple[tuple, tuple]]:
+    """(m, u) of each comparison: u from random pairs, m by EM over the pairs of each blocking rule, leaving out what the rule
+    fixes, as the mean over the rules."""
+    u = level_shares(compare(random_pairs(records, pairs), records), {c: k for c, (k, _) in COMPARISONS.items()})
+    start = {"g_name": NAME_M, "g_email": EMAIL_M, "g_org": ORG_M, "g_country": COUNTRY_M, "g_keywords": KEYWORDS_M}
+    found: dict[str, list[tuple]] = {c: [] for c in COMPARISONS}
+    for rule, candidates in blocking_rules(records).items():
+        free = {c: (tuple(x / sum(start[c]) for x in (*start[c], *[0.01] * (k - len(start[c])))), u[c]) for c, (k, fixed) in COMPARISONS.items() if rule not in fixed}
+        for c, m in expectation_maximisation(compare(candidates.distinct(), records), free, rounds=rounds).items():
+            found[c].append(m)
+    return {c: (tuple(sum(level) / len(ms) for level in zip(*ms)), u[c]) for c, ms in found.items()}
 
 
 def expectation_maximisation(levels: DataFrame, columns: dict[str, tuple[tuple, tuple]], prior: float = PRIOR, rounds: int = 5) -> dict[str, tuple]:

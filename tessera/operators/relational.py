@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import ensure_checkpoint_folder
+from tessera.operators.skew import heavy_keys, join_split
 
 # ---- projections and filters --------------------------------------------------------------------
 
@@ -91,9 +92,14 @@ def union_of_pairs(rules: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def equal_pairs(df: DataFrame, key: str, on: Sequence[str]) -> DataFrame:
-    """(left, right) of rows that agree on all of ``on``, nulls apart, left < right."""
+def equal_pairs(df: DataFrame, key: str, on: Sequence[str], split: bool = False) -> DataFrame:
+    """(left, right) of rows that agree on all of ``on``, nulls apart, left < right. With ``split`` the pairs of a group with a
+    large part of all rows are made in many tasks. Where only components matter, ``skew.stars`` makes a row a member."""
     slim = df.select(F.col(key).alias("_k"), *on).dropna(subset=list(on))
+    if split:
+        packed = slim.select("_k", F.struct(*on).alias("_on"))
+        heavy = heavy_keys(packed, "_on")
+        return join_split(packed.toDF("left", "_on"), packed.toDF("right", "_on"), "_on", "left", heavy).where("left < right").select("left", "right", "_on.*")
     a, b = slim.withColumnRenamed("_k", "left"), slim.withColumnRenamed("_k", "right")
     return a.join(b, list(on)).where("left < right").select("left", "right", *on)
 
@@ -125,11 +131,12 @@ def first_wins_by(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def artifact_pairs(members: DataFrame, artifact: str, person: str) -> DataFrame:
-    """Pairs of distinct persons on one artifact, smaller id first, with the artifact and both sides' columns (a_, b_)."""
+    """Pairs of distinct persons on one artifact, smaller id first, with the artifact and both sides' columns (a_, b_). The
+    pairs of an artifact with a large part of all members are made in many tasks."""
     rest = [c for c in members.columns if c not in (artifact, person)]
     a = members.select(artifact, F.col(person).alias("person_a"), *(F.col(c).alias(f"a_{c}") for c in rest))
     b = members.select(artifact, F.col(person).alias("person_b"), *(F.col(c).alias(f"b_{c}") for c in rest))
-    return a.join(b, artifact).where("person_a < person_b")
+    return join_split(a, b, artifact, "person_a", heavy_keys(members, artifact)).where("person_a < person_b")
 
 
 # ---- folds ------------------------------------------------------------------------------------

@@ -154,6 +154,13 @@ def g10_clusters(t: Tables) -> DataFrame:
     return identity.clusters(records(t), _matches(t)).select("record_id", "source", "component", "kept")
 
 
+@query(_PLACED + "SELECT * FROM placed")
+def g10_clusters_of_stars(t: Tables) -> DataFrame:
+    """The same clusters from a star a group instead of all pairs."""
+    matches = identity.with_methods(identity.identifier_rules(records(t), every_pair=False))
+    return identity.clusters(records(t), matches).select("record_id", "source", "component", "kept")
+
+
 _BEST = f""", ends AS (SELECT l AS record_id, * FROM rules UNION ALL SELECT r, * FROM rules),
 best AS (SELECT record_id, first({_METHOD} ORDER BY {_ORDER}, l, r) AS method, first({_SURE} ORDER BY {_ORDER}, l, r) AS confidence, first(evidence ORDER BY {_ORDER}, l, r) AS evidence FROM ends GROUP BY record_id)"""
 _LINKS = _PLACED + _BEST + f""", gr AS (SELECT p.*, CASE WHEN kept THEN component ELSE record_id END AS grp, person_id FROM placed p JOIN r USING (record_id)),

@@ -25,7 +25,7 @@ def resolve(records: DataFrame, active: DataFrame, candidates: DataFrame, teams:
     """``records`` as in operators.identity, with full_name, affiliation_raw, location_raw, last_seen_at. ``active``: links
     that hold (record_id, person_id). ``candidates``: left, right, evidence from linked artifacts. ``verdicts``: left, right, verdict."""
     ensure_checkpoint_folder(records)
-    rules = identity.identifier_rules(records).unionByName(identity.crosslink_matches(candidates, records))
+    rules = identity.identifier_rules(records, every_pair=False).unionByName(identity.crosslink_matches(candidates, records))
     if teams is not None:
         rules = rules.unionByName(teams)
     review_only = identity.name_org_pairs(records)

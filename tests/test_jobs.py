@@ -192,3 +192,18 @@ def test_company_matches(spark):
     assert again.first()["status"] == "contacted"
     profiles = spark.createDataFrame([(1, False), (2, None), (3, True)], "k long, is_active boolean")
     assert scoring.first_active(profiles, "k").first()["k"] == 2
+
+
+def test_training_of_linkage(spark):
+    from tessera.operators import identity
+    from tessera.plans import identity_queries
+    from tessera.plans.registry import Tables
+
+    records = identity_queries.records(Tables(spark, "/root/testdata/sf0.001")).drop("person_id")
+    drawn = identity.random_pairs(records, 3000)
+    assert 2900 < drawn.count() <= 3000 and drawn.where("left >= right").count() == 0
+    got = identity.train(records, 3000, 2)
+    for name, (levels, _) in identity.COMPARISONS.items():
+        m, u = got[name]
+        assert len(m) == len(u) == levels and sum(m) == pytest.approx(1) and sum(u) == pytest.approx(1)
+    assert got["g_name"][0][0] > got["g_name"][1][0] and got["g_email"][0][0] > got["g_email"][1][0]
