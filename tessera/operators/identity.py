@@ -201,6 +201,13 @@ def random_pairs(records: DataFrame, pairs: int = 1_000_000) -> DataFrame:
     return draws.join(a, "l").join(b, "r").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
 
+def estimate_u(records: DataFrame, column: str, pairs: int = 1_000_000) -> DataFrame:
+    """Share of random pairs that agree on a column, where both sides know it."""
+    value = records.select("record_id", column)
+    joined = random_pairs(records, pairs).join(value.toDF("left", "_a"), "left").join(value.toDF("right", "_b"), "right")
+    return joined.agg(F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("u"))
+
+
 def level_shares(levels: DataFrame, columns: dict[str, int]) -> dict[str, tuple]:
     """Share of each level, highest first, among the pairs for which a comparison is known. ``columns``: number of levels."""
     r = levels.agg(*(F.count_if(F.col(c) == k - 1 - i).alias(f"{c}_{i}") for c, k in columns.items() for i in range(k))).first()
