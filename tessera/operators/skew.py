@@ -9,6 +9,11 @@ HEAVY_KEYS, HEAVY_ROWS = 10_000, 100
 PARTS = 64  # parts that the rows of a heavy key are dealt into
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` to be sent to all workers if it has at most so many rows, which are counted first; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def heavy_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys with more than HEAVY_ROWS rows and more than a HEAVY_KEYS-th of all rows. There are fewer than HEAVY_KEYS of
     them, whatever the table, so they may be sent to all workers."""

@@ -15,6 +15,7 @@ from tessera.functions.ids import uuid5
 from tessera.functions.numbers import closeness, collaboration_score, confidence, diversity, dot, in_regions, mean_and_best, weighted_mean
 from tessera.functions.text import org_key, partial_ratio, snippet, strip_legal_form, url_key
 from tessera.operators.relational import global_rank, reasons, with_share
+from tessera.operators.skew import small
 
 # Categories in order; parts of experience; weight of the best school; features that each category needs; the gate.
 CATEGORIES = ("individual_experience", "schools", "network_ties", "prior_collaboration", "problem_realness", "product_defensibility", "market", "traction", "ideal_match")
@@ -197,7 +198,7 @@ def funding_signal(probes: DataFrame, filings: DataFrame, known_funded: DataFram
 def gaps(ventures: DataFrame, catalog: DataFrame, answered: DataFrame, weights: dict[str, float], most: int = 8) -> DataFrame:
     """Open questions of each venture by weight of the category times importance. ``catalog``: field, category, importance, position (such as QUESTIONS)."""
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    asked = ventures.select("venture_id").crossJoin(F.broadcast(catalog))  # a fixed list of questions
+    asked = ventures.select("venture_id").crossJoin(small(catalog))  # a fixed list of questions
     left = asked.join(answered.select("venture_id", "field").distinct(), ["venture_id", "field"], "left_anti")
     value = F.coalesce(table[F.col("category")], F.lit(0.0)) * F.col("importance")
     w = Window.partitionBy("venture_id").orderBy(value.desc(), "position")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import dot
 from tessera.operators.relational import left_flagged, symmetric
+from tessera.operators.skew import small
 
 SIGNAL = ("person_id", "signal_type", "artifact_id", "artifact_name", "role", "magnitude", "confidence", "source_url", "occurred_at")
 
@@ -31,10 +32,10 @@ def person_network(edges: DataFrame) -> DataFrame:
 
 
 def person_similarity(vectors: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(person_id, profile_id, domain_fit) against the active profiles, which are few."""
+    """(person_id, profile_id, domain_fit) against the active profiles: every pair is the result that is wanted."""
     ideal = profiles.where("is_active").select("profile_id", F.col("embedding").alias("_ideal"))
     known = vectors.where("embedding is not null")
-    return known.crossJoin(F.broadcast(ideal)).select("person_id", "profile_id", dot(F.col("embedding"), F.col("_ideal")).alias("domain_fit"))
+    return known.crossJoin(small(ideal)).select("person_id", "profile_id", dot(F.col("embedding"), F.col("_ideal")).alias("domain_fit"))
 
 
 def person_signals(persons: DataFrame, links: DataFrame, contributions: DataFrame, projects: DataFrame, authorships: DataFrame, publications: DataFrame, officers: DataFrame, companies: DataFrame) -> DataFrame:
