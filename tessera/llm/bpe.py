@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_rows
 
 WORD_END = chr(0xE000)  # stands for the word-end mark inside the transducer
-CACHED_WORDS = 300_000  # pre-tokens, and stretches without white space, remembered by a worker
+CACHED_WORDS = 100_000  # pre-tokens, and stretches without white space, remembered by a worker
 CACHED_PAIRS = 200_000  # token pairs whose verdict a worker remembers
 LONG_WORD = 64  # longer pre-tokens are not remembered
 PIECE = 1 << 16  # characters of a text, or ids, that go out together

@@ -39,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Within the block Spark sends at most BATCH_ROWS rows to a Python worker at a time; then the session is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _OPEN: list[list[str]] = []  # paths written since each open ``temporary`` began
 
 
@@ -47,7 +59,8 @@ def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     lost executors, and makes later column pruning possible. ``temporary`` leaves it alone where ``keep`` is set."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     if _OPEN and not keep:
         _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

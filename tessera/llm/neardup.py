@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_stored, map_rows, shared_dir, stored
 from tessera.operators import graph
-from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, join_split
+from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, heavy_keys, join_split
 
 SYMBOLS, BITS = 6, 16  # values in a chunk, bits of a value
 MISS = 1e-6
@@ -162,7 +162,8 @@ def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame, words: int)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+    """The pairs (a, b) whose full sets are alike enough. A hub is in very many pairs, which are dealt over tasks, so that no
+    task holds its set that often. ``pairs`` are a stored table."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
 
@@ -181,7 +182,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(j)
             yield [a, b]
 
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), "a long, b long", rows)
+    half = join_split(pairs, left, "a", "b", heavy_keys(pairs, "a"))
+    return map_rows(join_split(half, right, "b", "a", heavy_keys(pairs, "b")).select("a", "b", "set_a", "set_b"), "a long, b long", rows)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -249,14 +251,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     y = prefix.where("active").withColumn("band", F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1 + 1e-6)))).alias("y")
     need = f"ceil({percent} * (x.n + y.n) / {100.0 + percent})"
     more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n and 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {need}"))
-    second = confirm(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sets, percent)
+    close = stored(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "neardup-close")
+    second = confirm(close, sets, percent)
 
     # Components of representatives, then of all ids.
     apart = components(reps.select(F.col("rep").alias("id")).distinct(), first.union(second))
     final = stored(_with_members(apart, reps, signed), "neardup-components")
     label = F.when(F.col("id").isNotNull(), F.coalesce("label", "id"))
     out = stored(signed.select("id", "n").join(final, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept")), "neardup-result")
-    for done in (signed, reps, shared, met, pairs, sets, first, labels, role, prefix, final):
+    for done in (signed, reps, shared, met, pairs, sets, first, labels, role, prefix, close, final):
         drop_stored(done)
     return out
 

@@ -39,7 +39,7 @@ SWAP_LETTERS, FUZZY_LETTERS, FUZZY_SHARE = 4, 5, 0.05
 STEMS = range(4, 9)
 WINDOW = 6  # words on either side of a hit
 THRESHOLD = 0.7
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 # Insults known beforehand, in four languages.
 INSULTS = """idiot moron stupid imbecile cretin loser scum trash worthless pathetic disgusting clown dumbass scumbag jerk
