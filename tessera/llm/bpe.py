@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import map_rows
 
 WORD_END = chr(0xE000)  # stands for the word-end mark inside the transducer
-CACHED_WORDS = 100_000  # pre-tokens, and stretches without white space, remembered by a worker
+CACHED_WORDS = 200_000  # pre-tokens remembered by a worker
+CACHED_CHUNKS = 60_000  # stretches without white space remembered by a worker
 CACHED_PAIRS = 200_000  # token pairs whose verdict a worker remembers
 LONG_WORD = 64  # longer pre-tokens are not remembered
 PIECE = 1 << 16  # characters of a text, or ids, that go out together
@@ -265,7 +266,7 @@ class Tokenizer:
         packed = self.old_chunks.get(chunk)
         if packed is None:
             packed = b"".join(self.word(m[0]) for m in self.pattern_for(chunk).finditer(chunk))
-        if len(self.chunks) >= CACHED_WORDS:  # two generations: what is used again is kept
+        if len(self.chunks) >= CACHED_CHUNKS:  # two generations: what is used again is kept
             self.old_chunks, self.chunks = self.chunks, {}
         self.chunks[chunk] = packed
         return packed
