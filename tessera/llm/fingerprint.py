@@ -91,14 +91,34 @@ def _numbered(hashes: np.ndarray) -> np.ndarray:
     return hashes + times * _ODD[0]
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Positional likeness of two sets of anchors, (positions, hashes) each."""
-    n, m = len(a[0]), len(b[0])
+class Anchors:
+    """The anchors of a text: positions and hashes, and the keys and positions in order of the keys, made once for all comparisons."""
+
+    def __init__(self, data: bytes):
+        self.positions, self.hashes = syncmers(data)
+        self._sorted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    @property
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self._sorted is None:
+            keys = _numbered(self.hashes)
+            order = np.argsort(keys)
+            self._sorted = keys[order], self.positions[order], order
+        return self._sorted
+
+
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Positional likeness of two sets of anchors."""
+    n, m = len(a.positions), len(b.positions)
     if not n or not m:
         return float(n == m)
-    _, i, j = np.intersect1d(_numbered(a[1]), _numbered(b[1]), assume_unique=True, return_indices=True)
+    keys, positions, order = a.sorted
+    others, places, _ = b.sorted
+    at = np.searchsorted(others, keys)
+    at[at == m] = 0
+    met = others[at] == keys
     shift = np.full(n + 2, np.iinfo(np.int64).max)
-    shift[i + 1] = b[0][j] - a[0][i]
+    shift[order[met] + 1] = places[at[met]] - positions[met]
     own = shift[1:-1]
     counted = (own != np.iinfo(np.int64).max) & ((own == shift[:-2]) | (own == shift[2:]) | (min(n, m) == 1))
     both = int(np.count_nonzero(counted))
@@ -163,14 +183,14 @@ def edited_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
             out = []
             for part, halo, k, t in zip(batch["part"], batch["halo"], batch["k"], batch["t"]):
                 t = t or ""
-                found = syncmers(t.encode("utf-8"))
+                found = Anchors(t.encode("utf-8"))
                 if held is not None:
                     before, own, sketch = held[1:]
                     q = len(before) // 4
                     edited = (before[: len(before) - q] + t[:q]).encode("utf-8")
-                    changed = syncmers(edited)
-                    out.append((held[0], len(before), hashlib.sha256(edited).hexdigest(), sketch, write(bins_of(changed[1])), likeness(own, changed), likeness(own, found)))
-                held = None if halo else (k, t, found, write(bins_of(found[1])))
+                    changed = Anchors(edited)
+                    out.append((held[0], len(before), hashlib.sha256(edited).hexdigest(), sketch, write(bins_of(changed.hashes)), likeness(own, changed), likeness(own, found)))
+                held = None if halo else (k, t, found, write(bins_of(found.hashes)))
             yield list(zip(*out)) if out else [[] for _ in range(7)]
 
     return map_rows(dealt, f"{key} {df.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", rows)
