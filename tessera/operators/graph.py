@@ -2,48 +2,60 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import edge_decay
-from tessera.operators.skew import heavy_keys, join_dealt, join_split
+from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, heavy_keys, join_split
+from tessera.operators.storage import drop, shared_folder, stored
 
 
 def ensure_checkpoint_folder(df: DataFrame) -> None:
-    """Checkpoints go to ``spark.checkpoint.dir``; only on one machine does a temporary folder do instead."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tessera-")
-    context.setCheckpointDir(found)
+    """Checkpoints go to the folder that driver and executors share."""
+    shared_folder(df.sparkSession)
+
+
+def _by_degree(left: DataFrame, right: DataFrame, key: str, by: str, heavy: DataFrame | None) -> DataFrame:
+    return left.join(right, key) if heavy is None else join_split(left, right.select(*right.columns), key, by, heavy.toDF(key))
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable. Each round takes the least label around and then the label's
-    label, so rounds grow with the logarithm of the longest path; checkpoints cut the lineage. Nothing is collected. Nodes
-    of very many edges, and labels of very many nodes, are split over tasks."""
-    ensure_checkpoint_folder(edges)
+    """(node, component): the smallest node reachable.
+
+    Random contraction: each round orders the nodes anew by a hash, every node goes to the first node within two hops, and
+    edges are rewritten between those. Whatever the graph, at most three quarters of the nodes are expected to be left
+    after a round (a third on a path, one of a star), so rounds grow with the logarithm of the nodes, and tables shrink
+    as fast. Labels then go back through the rounds. Every table is stored; nothing is collected. Nodes of very many edges
+    are split over tasks."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = both.union(both.select(F.col("y"), F.col("x"))).distinct().checkpoint()
-    hubs = heavy_keys(both, "y").checkpoint()
-    labels = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("label")).checkpoint()
-    while True:
-        near = join_split(both, labels.select(F.col("x").alias("y"), "label"), "y", "x", hubs).groupBy("x").agg(F.min("label").alias("m"))
-        stepped = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        # Only labels that have a smaller label themselves matter: fewer each round.
-        over = stepped.where("label <> x").select(F.col("x").alias("label"), F.col("label").alias("up")).join(stepped.select("label").distinct(), "label")
-        new = join_dealt(stepped, over, "label", "x", how="left").select("x", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
-        settled = new.where("label <> old").limit(1).count() == 0
-        labels = new.select("x", "label")
-        if settled:
-            break
-    return nodes.select(F.col(node)).distinct().join(labels.withColumnRenamed("x", node), node, "left").select(node, F.coalesce("label", F.col(node)).alias("component"))
+    left = stored(both.union(both.select(F.col("y"), F.col("x"))).distinct(), "components-edges")
+    rounds: list[tuple[DataFrame, DataFrame]] = []
+    while total := left.count():
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        around = stored(left.groupBy("x").agg(F.min(place("y")).alias("m"), F.count("*").alias("n")).select("x", F.least("m", place("x")).alias("m"), "n"), "components-around")
+        heavy = around.where(F.col("n") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select("x")
+        heavy = None if heavy.isEmpty() else heavy
+        first = _by_degree(left, around.select(F.col("x").alias("y"), "m"), "y", "x", heavy).groupBy("x").agg(F.min("m").alias("m"))
+        chosen = stored(first.select("x", F.col("m.v").alias("to")), "components-round")
+        lows = chosen.withColumn("low", F.col("x")) if not rounds else chosen.join(rounds[-1][1].select(F.col("to").alias("x"), "low"), "x")
+        low = stored(lows.groupBy("to").agg(F.min("low").alias("low"), F.count("*").alias("n")), "components-low")
+        rounds.append((chosen, low))
+        moved = _by_degree(left, chosen.withColumnRenamed("to", "u"), "x", "y", heavy)
+        moved = _by_degree(moved, chosen.select(F.col("x").alias("y"), F.col("to").alias("v")), "y", "x", heavy).where("u <> v")
+        left, before = stored(moved.select(F.col("u").alias("x"), F.col("v").alias("y")).distinct(), "components-edges"), left
+        drop(before, around)
+    drop(left)
+    labels = None
+    for chosen, low in reversed(rounds):
+        known = low.select("to", "low") if labels is None else low.join(labels.withColumnRenamed("x", "to"), "to", "left").select("to", F.coalesce("label", "low").alias("low"))
+        many = low.where(F.col("n") > max(HEAVY_ROWS, chosen.count() // HEAVY_KEYS)).select("to")
+        named = stored(_by_degree(chosen, known, "to", "x", None if many.isEmpty() else many).select("x", F.col("low").alias("label")), "components-labels")
+        drop(chosen, low, *([] if labels is None else [labels]))
+        labels = named
+    found = nodes.select(F.col(node)).distinct()
+    if labels is None:
+        return found.withColumn("component", F.col(node))
+    return found.join(labels.withColumnRenamed("x", node), node, "left").select(node, F.coalesce("label", F.col(node)).alias("component"))
 
 
 def collaboration_edges(pairs: DataFrame, kind: str, now: Column, artifact: str, start: str = "start", end: str = "end") -> DataFrame:

@@ -32,11 +32,6 @@ def join_split(left: DataFrame, right: DataFrame, key: str, by: str, heavy: Data
     return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
-def join_dealt(left: DataFrame, right: DataFrame, key: str, by: str, parts: int = 16, how: str = "inner") -> DataFrame:
-    """The same with every key dealt into ``parts``: for a ``right`` of few rows, where heavy keys are not worth finding."""
-    return left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [key, "_part"], how).drop("_part")
-
-
 def stars(df: DataFrame, key: str, on: list[Column | str]) -> DataFrame:
     """(left, right) from the smallest key of each group of rows that agree on ``on`` to each other key of it: as
     connected as all pairs of the group, and one row a member. Groups are split where they are heavy."""
