@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from tessera.functions.numbers import edge_decay
 from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, heavy_keys, join_split
 from tessera.operators.storage import drop, shared_folder, stored
 
+REMNANT = 50_000  # edges (each both ways) that one task settles
+
 
 def ensure_checkpoint_folder(df: DataFrame) -> None:
     """Checkpoints go to the folder that driver and executors share."""
@@ -19,31 +22,56 @@ def _by_degree(left: DataFrame, right: DataFrame, key: str, by: str, heavy: Data
     return left.join(right, key) if heavy is None else join_split(left, right.select(*right.columns), key, by, heavy.toDF(key))
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """(x, to) of at most REMNANT edges: the smallest node reachable, by merging sets in one task."""
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        up = {x: x for x in part["x"]}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for x, y in zip(part["x"], part["y"]):
+            x, y = sorted((top(x), top(y)))
+            up[y] = x
+        return pd.DataFrame({"x": list(up), "to": [top(x) for x in up]})
+
+    kind = edges.schema["x"].dataType.simpleString()
+    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(merge, f"x {kind}, to {kind}")
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable.
 
     Random contraction: each round orders the nodes anew by a hash, every node goes to the first node within two hops, and
     edges are rewritten between those. Whatever the graph, at most three quarters of the nodes are expected to be left
     after a round (a third on a path, one of a star), so rounds grow with the logarithm of the nodes, and tables shrink
-    as fast. Labels then go back through the rounds. Every table is stored; nothing is collected. Nodes of very many edges
-    are split over tasks."""
+    as fast. What is left of them is settled in one task once it has at most REMNANT edges, whatever the graph was. Labels
+    then go back through the rounds. Every table is stored; nothing is collected. Nodes of very many edges are split over
+    tasks."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     left = stored(both.union(both.select(F.col("y"), F.col("x"))).distinct(), "components-edges")
     rounds: list[tuple[DataFrame, DataFrame]] = []
     while total := left.count():
-        place = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        around = stored(left.groupBy("x").agg(F.min(place("y")).alias("m"), F.count("*").alias("n")).select("x", F.least("m", place("x")).alias("m"), "n"), "components-around")
-        heavy = around.where(F.col("n") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select("x")
-        heavy = None if heavy.isEmpty() else heavy
-        first = _by_degree(left, around.select(F.col("x").alias("y"), "m"), "y", "x", heavy).groupBy("x").agg(F.min("m").alias("m"))
-        chosen = stored(first.select("x", F.col("m.v").alias("to")), "components-round")
+        if total <= REMNANT:
+            chosen, moved, around = stored(_settled(left), "components-round"), left.where("false"), None
+        else:
+            place = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+            around = stored(left.groupBy("x").agg(F.min(place("y")).alias("m"), F.count("*").alias("n")).select("x", F.least("m", place("x")).alias("m"), "n"), "components-around")
+            heavy = around.where(F.col("n") > max(HEAVY_ROWS, total // HEAVY_KEYS)).select("x")
+            heavy = None if heavy.isEmpty() else heavy
+            first = _by_degree(left, around.select(F.col("x").alias("y"), "m"), "y", "x", heavy).groupBy("x").agg(F.min("m").alias("m"))
+            chosen = stored(first.select("x", F.col("m.v").alias("to")), "components-round")
+            moved = _by_degree(left, chosen.withColumnRenamed("to", "u"), "x", "y", heavy)
+            moved = _by_degree(moved, chosen.select(F.col("x").alias("y"), F.col("to").alias("v")), "y", "x", heavy).where("u <> v")
+            moved = moved.select(F.col("u").alias("x"), F.col("v").alias("y")).distinct()
         lows = chosen.withColumn("low", F.col("x")) if not rounds else chosen.join(rounds[-1][1].select(F.col("to").alias("x"), "low"), "x")
         low = stored(lows.groupBy("to").agg(F.min("low").alias("low"), F.count("*").alias("n")), "components-low")
         rounds.append((chosen, low))
-        moved = _by_degree(left, chosen.withColumnRenamed("to", "u"), "x", "y", heavy)
-        moved = _by_degree(moved, chosen.select(F.col("x").alias("y"), F.col("to").alias("v")), "y", "x", heavy).where("u <> v")
-        left, before = stored(moved.select(F.col("u").alias("x"), F.col("v").alias("y")).distinct(), "components-edges"), left
-        drop(before, around)
+        left, before = stored(moved, "components-edges"), left
+        drop(before, *([around] if around else []))
     drop(left)
     labels = None
     for chosen, low in reversed(rounds):
