@@ -82,7 +82,7 @@ def marks(digests: DataFrame, blocks: int) -> DataFrame:
 def repeated_bits(marked: DataFrame) -> DataFrame:
     """(block, words): the bits of each block that were marked at least twice, as 64-bit words; blocks without any are left out."""
 
-    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         seen, twice = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
         for once, more in zip(group["once"], group["more"]):
             at = np.frombuffer(once, np.uint16)

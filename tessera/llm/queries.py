@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, fingerprint, html, mixing, neardup, quality, tiff, toxicity, warc
+from tessera.llm import bpe, centroids, chat, exact, fingerprint, html, mixing, negatives, neardup, quality, tiff, toxicity, warc
 from tessera.llm.common import table
 
 #: The tokenizer file that the encoding queries use.
@@ -102,9 +102,62 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of texts that differ in white space only."""
+    return exact.mark(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+OP11_SQL = """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents),
+k AS (SELECT doc_id, text_sha256, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector against all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors of 64 components after ten rounds."""
+    return centroids.with_digest(*centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+def _op13_sql(rounds: int = centroids.ROUNDS) -> str:
+    """The rounds one after another: nearest centroids, then exact floors of their sums."""
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS m FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c}}) AS b FROM v, c{i} GROUP BY vec_id, v)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(x.m, o.m) AS m FROM c{i} o LEFT JOIN m{i} x ON x.c = o.c)""")
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, b.c::INT AS cluster, b.d AS distance, sum(b.d) OVER (PARTITION BY b.c)::BIGINT AS cluster_inertia, sum(b.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} ON c{rounds}.c = b.c"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op6_quality, op7_syncmers, op8_mixing, op9_toxicity, op10_chat)}
+    return {f.__name__: f for f in (op1_html, op2_tiff_media, op3_warc, op4_bpe, op5_neardup, op6_quality, op7_syncmers, op8_mixing, op9_toxicity, op10_chat, op11_exact, op12_negatives, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_neardup": OP5_SQL}
+    return {"op3_warc": OP3_SQL, "op5_neardup": OP5_SQL, "op11_exact": OP11_SQL, "op12_negatives": OP12_SQL, "op13_centroids": OP13_SQL}
