@@ -135,7 +135,7 @@ def _ranks(pieces: DataFrame) -> DataFrame:
 
     The reply order is a list of tokens: a piece is entered (kind 0), then, if branches answer its last message, left
     (kind 1) after them. Every token knows its follower; pointer jumping sums the messages from a token to the end."""
-    pieces = pieces.checkpoint()
+    pieces = stored(pieces, "chat-list")
     openers = pieces.where("opens").select("conv", F.col("piece").alias("turn"), "p")
     siblings = _running(openers, F.col("turn"), "prior", strict=True, keys=("conv", "p")).select("conv", "p", F.col("turn").alias("b"), "prior").checkpoint()
     ends = pieces.where("answered").select("conv", F.col("last").alias("p"), F.col("piece").alias("out"))
@@ -148,10 +148,14 @@ def _ranks(pieces: DataFrame) -> DataFrame:
     after = F.coalesce(token(F.col("next"), 0), token(F.col("sibling"), 0), token(F.col("out"), 1))
     enter = known.select("conv", token(F.col("piece"), 0).alias("token"), F.coalesce(token(F.col("down"), 0), after).alias("to"), F.col("n").cast("long").alias("rest"))
     leave = known.where("answered").select("conv", token(F.col("piece"), 1).alias("token"), after.alias("to"), F.lit(0).cast("long").alias("rest"))
-    tokens = enter.unionByName(leave).checkpoint()
+    # Stored, not checkpointed: a checkpoint keeps the estimated size, which a join with itself squares each round.
+    tokens = stored(enter.unionByName(leave), "chat-tokens")
     while tokens.where("to is not null").limit(1).count():
+        before = tokens
         ahead = tokens.select("conv", F.col("token").alias("to"), F.col("to").alias("beyond"), F.col("rest").alias("more"))
-        tokens = tokens.join(ahead, ["conv", "to"], "left").select("conv", "token", F.col("beyond").alias("to"), (F.col("rest") + F.coalesce("more", F.lit(0))).alias("rest")).checkpoint()
+        tokens = tokens.join(ahead, ["conv", "to"], "left").select("conv", "token", F.col("beyond").alias("to"), (F.col("rest") + F.coalesce("more", F.lit(0))).alias("rest"))
+        tokens = stored(tokens, "chat-tokens")
+        drop_stored(before)
     total = pieces.groupBy("conv").agg(F.sum("n").alias("total"))
     return tokens.where("token.kind = 0").join(total, "conv").select("conv", F.col("token.turn").alias("piece"), (F.col("total") - F.col("rest")).alias("start"))
 

@@ -9,9 +9,12 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.operators.relational import running_total
+
 #: Rows and bytes of an Arrow batch that are turned into Python values at a time. Spark itself bounds the bytes of the
 #: batches that it sends to a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -111,3 +114,23 @@ def map_rows(df: DataFrame, schema: str | T.StructType, rows: Callable[[Iterator
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, want)
+
+
+def absent(df: DataFrame, name: str) -> str:
+    """``name``, or with lines before it a name like it that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def is_whole(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, T.IntegralType)
+
+
+def with_numbers(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ids that are not whole numbers replaced by their ranks, from 1; (rank, id) of each)."""
+    ids = stored(running_total(df.select(F.col(f"`{key}`").alias("id")).where("id is not null").distinct(), [F.col("id")], F.lit(1), "rank").select("rank", "id"), "ids")
+    number = absent(df, "_rank")
+    there = ids.select(F.col("rank").alias(number), F.col("id").alias(f"{number}_of"))
+    joined = df.join(there, F.col(f"`{key}`") == F.col(f"{number}_of"), "left")
+    return joined.select(*(F.col(number).cast("long").alias(c) if c == key else F.col(f"`{c}`") for c in df.columns)), ids

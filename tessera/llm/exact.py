@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_stored, map_rows, stored
+from tessera.llm.common import absent, drop_stored, map_rows, stored
 from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, join_split
 
 BITS, MAX_BITS, PROBES = 16, 1 << 28, 3
@@ -130,12 +130,14 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they are. Texts do not move, but for rows that share
     both id and text with the row that stays."""
-    marked = mark(docs, key, text).select(F.col(key).alias("_exact_id"), F.col("text_sha256").alias("_exact_sha"), "kept", "group_size")
-    spread = marked.where("group_size > 1").groupBy("_exact_id", "_exact_sha").agg(F.count("*").alias("_exact_n"), F.max("kept").alias("_exact_kept"))
-    spread = stored(spread.where("not _exact_kept or _exact_n > 1"), "exact-changed")
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_exact_id")) & (F.sha2(normalised(F.col(f"`{text}`")), 256) == F.col("_exact_sha"))
+    an_id, sha, n, stays = (absent(docs, f"_exact_{c}") for c in ("id", "sha", "n", "stays"))
+    marked = mark(docs, key, text).where("group_size > 1").select(F.col(key).alias(an_id), F.col("text_sha256").alias(sha), "kept")
+    spread = marked.groupBy(an_id, sha).agg(F.count("*").alias(n), F.max("kept").alias(stays))
+    spread = stored(spread.where(f"not {stays} or {n} > 1"), "exact-changed")
+    same = F.col(f"`{key}`").eqNullSafe(F.col(an_id)) & (F.sha2(normalised(F.col(f"`{text}`")), 256) == F.col(sha))
     rest = docs.join(spread, same, "left_anti")
-    again = spread.where("_exact_kept")
+    again = spread.where(stays)
     if again.isEmpty():
         return rest
-    return rest.unionByName(docs.join(again, same).dropDuplicates(["_exact_id", "_exact_sha"]).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    longest = F.row_number().over(Window.partitionBy(an_id, sha).orderBy(F.desc(F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))))))
+    return rest.unionByName(docs.join(again, same).withColumn(n, longest).where(F.col(n) == 1).select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -10,7 +10,8 @@ sketch of fixed size: the smallest anchor hash of each of ``BINS`` bins.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, and two empty ones are alike (1.0);
 a text shorter than a k-mer is one anchor; a lone anchor needs no neighbour; equal texts have equal fingerprints
-and a likeness of 1.0. Rows with equal ids follow each other in order of their texts; a null id comes first.
+and a likeness of 1.0. Rows with equal ids follow each other in order of their texts; a null id comes first. Ids that are not
+whole numbers follow each other in their own order.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import is_whole, map_rows, with_numbers
 
 K, S = 12, 5
 BINS, HEX = 64, 6
@@ -175,6 +176,10 @@ def _part(o: Column, cuts: list[int]) -> tuple[Column, Column]:
 def edited_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, whose last quarter (in code points, rounded
     down) is replaced by the start of the next text."""
+    if not is_whole(df, key):
+        ranked, ids = with_numbers(df.select(key, text), key)
+        named = edited_pairs(ranked, key, text).join(ids, F.col(f"`{key}`") == F.col("rank"), "left")
+        return named.select(F.col("id").alias(key), *(c for c in named.columns if c not in (key, "rank", "id")))
     dealt = by_neighbour(df, key, text)
 
     def rows(parts):

@@ -117,20 +117,20 @@ def plan(counts: dict, weights: dict, block: int | None = None) -> Schedule:
 
 
 def numbered(df: DataFrame, source: str, key: str) -> tuple[DataFrame, dict]:
-    """``df`` with ``_rank``, the place of a row in its source by the hash of its key, and the rows of each source, of which
-    the driver holds one number each. Sources are cut into buckets by hash, numbered by themselves and then offset, so
-    no source is handled whole."""
-    sizes = df.groupBy(df[source].alias("_s")).agg(F.count("*").alias("_n"))
-    counts = {r["_s"]: r["_n"] for r in sizes.collect()}
-    h = F.xxhash64(F.lit("mix"), df[key].cast("string"))
-    spread = sizes.select("_s", F.ceil(F.col("_n") / ROWS_A_BUCKET).alias("_spread"))
-    marked = df.join(F.broadcast(spread) if len(counts) <= BROADCAST_SOURCES else spread, df[source].eqNullSafe(F.col("_s"))).drop("_s").withColumn("_h", h)
-    marked = marked.withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.col("_spread")).cast("int")).drop("_spread")
-    groups = marked.groupBy(F.col(source).alias("_s"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-    offsets = groups.withColumn("_before", F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_s", "_b", F.coalesce("_before", F.lit(0)).alias("_before"))
-    within = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(source, "_bucket").orderBy("_h", key)) - 1)
-    joined = within.join(offsets, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_h", "_bucket", "_s", "_b", "_before"), counts
+    """(row, source, rank): each row of ``df`` as a struct, so that no name of its columns matters, with its place in its
+    source by the hash of its key; and the rows of each source, of which the driver holds one number each. Sources are
+    cut into buckets by hash, numbered by themselves and then offset, so no source is handled whole."""
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), df[source].alias("source"), df[key].alias("key"))
+    sizes = packed.groupBy("source").agg(F.count("*").alias("n"))
+    counts = {r["source"]: r["n"] for r in sizes.collect()}
+    spread = sizes.select(F.col("source").alias("s"), F.ceil(F.col("n") / ROWS_A_BUCKET).alias("spread"))
+    marked = packed.join(F.broadcast(spread) if len(counts) <= BROADCAST_SOURCES else spread, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", F.xxhash64(F.lit("mix"), F.col("key").cast("string")))
+    marked = marked.withColumn("bucket", F.pmod(F.xxhash64("h"), F.col("spread")).cast("int")).drop("spread")
+    groups = marked.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.count("*").alias("n"))
+    offsets = groups.withColumn("before", F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select("s", "b", F.coalesce("before", F.lit(0)).alias("before"))
+    within = marked.withColumn("rank", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "key")) - 1)
+    joined = within.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return joined.select("row", "source", (F.col("rank") + F.col("before")).alias("rank")), counts
 
 
 def root_weights(counts: dict) -> dict:
@@ -154,9 +154,9 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights=root
             out.append((at, slot, planned.before(slot) + rest))
         return pd.DataFrame(out, columns=["block", "slot", "position"])
 
-    placed = ranked.withColumn("_at", place(F.col(source).cast("string"), F.col("_rank")))
+    placed = ranked.select("row", place(F.col("source").cast("string"), F.col("rank")).alias("at"))
     made = {f"{prefix}{c}": c for c in ("block", "slot", "position")}
-    return placed.select(*(c for c in df.columns if c not in made), *(F.col(f"_at.{c}").alias(name) for name, c in made.items()))
+    return placed.select(*(F.col(f"row.`{c}`") for c in df.columns if c not in made), *(F.col(f"at.{c}").alias(name) for name, c in made.items()))
 
 
 def in_order(mixed: DataFrame, position: str = "position") -> DataFrame:

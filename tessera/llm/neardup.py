@@ -11,14 +11,14 @@
 4. Buckets that then still hold several components are settled exactly: members outside a bucket's largest
    component meet those members of other components that share one of their rarest shingles and are of a like size
    (prefix, position and length filters), and those pairs are confirmed on full sets.
-5. Components come from repeated minimum labels with pointer jumping, cut by checkpoints.
+5. Components come from random contraction (``operators.graph``), whose tables shrink each round.
 
 Buckets, classes, labels and nodes with a large part of all rows are split over tasks. Only the result stays in the
 shared folder.
 
 Defined results: texts without words have empty sets, are linked with nothing and are components of their own;
 fewer words than a shingle make one shingle; rows that share an id are one document, linked by each of its
-texts; a row without id gets no component (null) and is kept; an empty table gives an empty result.
+texts; a row without id gets no component (null) and is kept; ids that are not whole numbers are ordered as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_stored, map_rows, shared_dir, stored
+from tessera.llm.common import absent, drop_stored, is_whole, map_rows, shared_dir, stored, with_numbers
 from tessera.operators import graph
 from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, heavy_keys, join_split
 
@@ -213,6 +213,12 @@ def explode_sets(sets: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``key``, n_shingles, component_id, kept."""
+    if not is_whole(docs, key):
+        ranked, ids = with_numbers(docs.select(key, text), key)
+        linked = link(ranked, key, text, words, percent)
+        a, b = (ids.select(F.col("rank").alias(c), F.col("id").alias(f"{c}_id")) for c in ("k", "component"))
+        named = linked.toDF("k", "n_shingles", "component", "kept").join(a, "k", "left").join(b, "component", "left")
+        return named.select(F.col("k_id").alias(key), "n_shingles", F.col("component_id"), "kept")
     chunks = chunks_for(percent)
     signed = stored(signatures(docs, key, text, words, chunks), "neardup-signatures")
     classes = signed.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
@@ -281,6 +287,7 @@ def _with_members(labels: DataFrame, reps: DataFrame, signed: DataFrame) -> Data
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the smallest id."""
-    gone = stored(link(docs, key, text, words, percent).where("not kept").select(F.col(key).alias("_gone")).distinct(), "neardup-gone")
+    name = absent(docs, "_gone")
+    gone = stored(link(docs, key, text, words, percent).where("not kept").select(F.col(key).alias(name)).distinct(), "neardup-gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == gone[name], "left_anti")

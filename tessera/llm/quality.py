@@ -145,26 +145,29 @@ def score(docs: DataFrame, model: Model, host: Column, path: Column, text: str =
     its path without the document) and ``posterior``, which replace columns of these names; ``prefix`` goes before
     theirs. Sums by path are taken before the shuffle, so one large host costs no more than others."""
     names = docs.columns if keep is None else keep
-    read = docs.select(*(F.col(f"`{c}`") for c in names), host.cast("string").alias("_host"), path.cast("string").alias("_path"), evidence(docs, model, text).alias("_z"))
-    marked = stored(read, "quality-evidence").withColumn("_soft", 1 / (1 + F.exp(-F.col("_z"))))
-    narrow = stored(marked.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_soft").alias("good")), "quality-sites")
-    hosts = narrow.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    row = F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.lit(None).cast("struct<none: int>")
+    marked = stored(docs.select(row.alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), evidence(docs, model, text).alias("z")), "quality-evidence").withColumn("soft", 1 / (1 + F.exp(-F.col("z"))))
+    narrow = stored(marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("soft").alias("good")), "quality-sites")
+    hosts = narrow.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     rate, strength = _strength(hosts)
     _, inner = _strength(narrow)
-    above = hosts.select(F.col("_host").alias("_h"), F.col("n").alias("_host_n"), F.col("good").alias("_host_good"))
-    sites = narrow.join(above, F.col("_host").eqNullSafe(F.col("_h"))).select("_h", F.col("_path").alias("_p"), F.col("n").alias("_n"), F.col("good").alias("_good"), "_host_n", "_host_good")
+    above = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
+    sites = narrow.join(above, F.col("host").eqNullSafe(F.col("h"))).select("h", F.col("path").alias("p"), "n", "good", "host_n", "host_good")
     few = narrow.limit(GROUPS_BROADCAST + 1).count() <= GROUPS_BROADCAST
-    joined = marked.join(F.broadcast(sites) if few else sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    joined = marked.join(F.broadcast(sites) if few else sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     # Sums without the document itself; rounding must not take them below 0.
-    without = lambda total: F.greatest(F.lit(0.0), F.col(total) - F.col("_soft"))
-    of_host = (without("_host_good") + strength * rate) / (F.col("_host_n") - 1 + strength)
-    out = joined.withColumn("_rate", (without("_good") + inner * of_host) / (F.col("_n") - 1 + inner))
-    odds = F.log(F.col("_rate") / (1 - F.col("_rate"))) - math.log(rate / (1 - rate))
-    made = {f"{prefix}evidence": F.col("_z"), f"{prefix}site_rate": F.col("_rate"), f"{prefix}posterior": 1 / (1 + F.exp(-(F.col("_z") + odds)))}
-    return out.select(*(F.col(f"`{c}`") for c in names if c not in made), *(c.alias(name) for name, c in made.items()))
+    without = lambda total: F.greatest(F.lit(0.0), F.col(total) - F.col("soft"))
+    of_host = (without("host_good") + strength * rate) / (F.col("host_n") - 1 + strength)
+    out = joined.withColumn("rate", (without("good") + inner * of_host) / (F.col("n") - 1 + inner))
+    odds = F.log(F.col("rate") / (1 - F.col("rate"))) - math.log(rate / (1 - rate))
+    made = {f"{prefix}evidence": F.col("z"), f"{prefix}site_rate": F.col("rate"), f"{prefix}posterior": 1 / (1 + F.exp(-(F.col("z") + odds)))}
+    return out.select(*(F.col(f"row.`{c}`") for c in names if c not in made), *(c.alias(name) for name, c in made.items()))
 
 
 def keep_good(docs: DataFrame, model: Model, host: Column, path: Column, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches the threshold, with their own columns only."""
-    columns = docs.columns
-    return score(docs, model, host, path, text, "_quality_").where(F.col("_quality_posterior") >= threshold).select(*(F.col(f"`{c}`") for c in columns))
+    prefix = "_quality_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    kept = score(docs, model, host, path, text, prefix).where(F.col(f"{prefix}posterior") >= threshold)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -35,7 +35,7 @@ LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS, LEAST_SIGMAS = 4, 0.008, 2.5, 4.0
 #: Misspellings are looked for of words of FUZZY_LETTERS or more (of SWAP_LETTERS or more by changed places only)
 #: that are known insults or occur in FUZZY_SHARE of the toxic texts.
 SWAP_LETTERS, FUZZY_LETTERS, FUZZY_SHARE = 4, 5, 0.05
-#: Lengths of stems that are tried besides whole words.
+#: Lengths of stems that are tried besides whole words, unless ``fit`` is given others.
 STEMS = range(4, 9)
 WINDOW = 6  # words on either side of a hit
 THRESHOLD = 0.7
@@ -227,6 +227,7 @@ def _select(counts: dict[tuple[str, bool], list[int]], n_toxic: int, n_clean: in
     """Terms with their log-odds: well supported, rare in clean texts; a stem goes where it adds texts to its
     words, and a longer stem goes where a shorter one is as pure."""
     found = []
+    lengths = sorted({len(term) for (term, whole) in counts if not whole})
     for key, (t, c) in counts.items():
         if t < max(LEAST_TEXTS, LEAST_SHARE * n_toxic):
             continue
@@ -244,7 +245,7 @@ def _select(counts: dict[tuple[str, bool], list[int]], n_toxic: int, n_clean: in
             best = max((n for w, (n, _) in words.items() if w.startswith(term)), default=0)
             if t < 1.3 * best + 2:  # one word makes nearly all of it
                 continue
-            if any(term[:k] in stems and stems[term[:k]][1] <= c and stems[term[:k]][0] >= t for k in range(STEMS[0], len(term))):
+            if any(term[:k] in stems and stems[term[:k]][1] <= c and stems[term[:k]][0] >= t for k in lengths if k < len(term)):
                 continue
         out[term, whole] = min(6.0, odds)
     return out
@@ -283,9 +284,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 300
     return [float(w[0]), *(float(v) for v in w[1:] / scale)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", stems: range = STEMS) -> Model:
     """Fit on labelled rows: at most SAMPLE a class, by the checksum of the id. Only texts and labels are used. All labelled
-    texts are counted, so that scores do not depend on whether SAMPLE was reached."""
+    texts are counted, so that scores do not depend on whether SAMPLE was reached. Words of any length may be terms; of
+    stems the lengths ``stems`` are tried."""
     marked = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).groupBy("k").agg(F.max("y").alias("y"))
     order = F.crc32(F.col("k").cast("string"))
     picked = None
@@ -297,12 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     # Two times SAMPLE ids at most are sent to the workers; equal texts count once.
     sample = stored(texts.join(F.broadcast(picked), "k").groupBy(F.xxhash64("t").alias("h"), "y").agg(F.min("t").alias("t"), F.min("k").alias("k")).select("t", "y", F.expr("cast(crc32(cast(k as string)) div 3 % 2 as int)").alias("fold")), "toxicity-sample")
     try:
-        return _fit(sample, {r["y"]: r["n"] for r in every.collect()})
+        return _fit(sample, {r["y"]: r["n"] for r in every.collect()}, stems)
     finally:
         drop_stored(sample)
 
 
-def _fit(sample: DataFrame, every: dict[int, int]) -> Model:
+def _fit(sample: DataFrame, every: dict[int, int], stems: range = STEMS) -> Model:
     """``every``: texts of each class among all labelled rows."""
     sizes = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
 
@@ -311,8 +313,8 @@ def _fit(sample: DataFrame, every: dict[int, int]) -> Model:
         for part in parts:
             for t, y, fold in zip(part["t"], part["y"], part["fold"]):
                 words = set(_WORD.findall(t.lower()))
-                found = {(w, True) for w in words if 3 <= len(w) <= 30 and not w.isdigit()}
-                found |= {(w[:n], False) for w in words for n in STEMS if len(w) > n}
+                found = {(w, True) for w in words if w[0] not in QUOTES and not w.isdigit()}
+                found |= {(w[:n], False) for w in words for n in stems if len(w) > n}
                 seen[fold, y].update(found)
         out = [(term, whole, fold, y, n) for (fold, y), c in seen.items() for (term, whole), n in c.items()]
         yield list(zip(*out)) if out else [[] for _ in range(5)]

@@ -108,3 +108,27 @@ def test_extra_columns_stay(spark):
 @pytest.mark.parametrize("module", [toxicity, quality, neardup, mixing])
 def test_results_are_described(module):
     assert "Defined results" in module.__doc__
+
+
+def test_names_do_not_clash(spark):
+    """Columns named like the operators' own."""
+    names = [f"{p}{c}" for p in ("", "_") for c in ("h", "s", "n", "b", "z", "gone", "soft", "host", "path", "rank", "row", "bucket", "before", "spread", "source_1", "key", "good", "rate", "k", "t", "id", "quality_posterior", "mix_position")]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("*", *(f"{i} as {n}" for i, n in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        before = docs.columns
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == before and docs.count()
+    assert {r["z"] for r in docs.select("z").collect()} == {names.index("z")}
+
+
+def test_ids_may_be_names(spark):
+    from tessera.llm import fingerprint
+
+    texts = ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten", "something else altogether that is long enough"]
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id string, text string")
+    linked = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.link(df).collect()}
+    assert linked == {"d0": ("d0", True), "d1": ("d0", False), "d2": ("d2", True), None: (None, True)}
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df.dropna()).collect()) == ["d0", "d2"]
+    numbered = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [r[1:] for r in sorted(map(tuple, fingerprint.edited_pairs(numbered, "doc_id", "text").collect()))]
+    assert [r[1:] for r in sorted(map(tuple, fingerprint.edited_pairs(df.dropna(), "doc_id", "text").collect()))] == want
