@@ -51,31 +51,48 @@ def _suppression(staged: DataFrame, suppressed: DataFrame, key: str, source) ->
     return match
 
 
-def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str], hash_column: str | None = "content_hash") -> DataFrame:
-    """The merged table with ``action``. A staged row updates its match when the content hashes differ, or, without
-    them, when any other column does (null-safe); it is inserted when nothing matches. One full join on the keys, null keys
-    apart. Several staged rows of one key are an error, since no order between them is known."""
-    columns = target.columns
+def _once(keys: Sequence[str]) -> Column:
+    """True; an error where several rows have one (known) key, since no order between them is known."""
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    once = F.when(known & (F.count("*").over(Window.partitionBy(*keys)) > 1), F.raise_error(F.concat_ws(" ", F.lit("several staged rows have the key"), *(F.col(k).cast("string") for k in keys))).cast("boolean")).otherwise(True)
-    t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.select(*columns).withColumn("_s", once).alias("s")
-    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
-    if hash_column in columns:
-        changed = F.coalesce(F.col(f"t.{hash_column}") != F.col(f"s.{hash_column}"), F.lit(False))
-    else:
-        rest = [c for c in columns if c not in keys]
-        same = F.lit(True)
-        for c in rest:
+    message = F.concat_ws(" ", F.lit("several staged rows have the key"), *(F.col(k).cast("string") for k in keys))
+    return F.when(known & (F.count("*").over(Window.partitionBy(*keys)) > 1), F.raise_error(message).cast("boolean")).otherwise(True)
+
+
+def _differs(target: DataFrame, staged: DataFrame, keys: Sequence[str], hash_column: str | None) -> Column:
+    """Whether row ``s`` is another than ``t``: by content hash where there is one, else by any other column, null-safe."""
+    if hash_column in target.columns:
+        return F.coalesce(F.col(f"t.{hash_column}") != F.col(f"s.{hash_column}"), F.lit(False))
+    same = F.lit(True)
+    for c in target.columns:
+        if c not in keys:
             same = same & comparable(target, c, "t").eqNullSafe(comparable(staged, c, "s"))
-        changed = ~same
+    return ~same
+
+
+def upsert(target: DataFrame, staged: DataFrame, keys: Sequence[str], hash_column: str | None = "content_hash") -> DataFrame:
+    """The merged table with ``action``. A staged row updates its match when the two differ; it is inserted when nothing
+    matches. One full join on the keys, null keys apart. Several staged rows of one key are an error."""
+    columns = target.columns
+    t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.select(*columns).withColumn("_s", _once(keys)).alias("s")
+    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
+    changed = _differs(target, staged, keys, hash_column)
     action = F.when(F.col("t._t").isNull(), INSERTED).when(F.col("s._s").isNotNull() & changed, UPDATED).otherwise(UNCHANGED)
     joined = t.join(s, on, "full").withColumn("action", action)
     take_new = F.col("action").isin(INSERTED, UPDATED)
     return joined.select(*(F.when(take_new, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns), "action")
 
 
+def changes(target: DataFrame, staged: DataFrame, keys: Sequence[str], hash_column: str | None = "content_hash") -> DataFrame:
+    """The staged rows that an upsert would insert or change, with ``action``: the delta alone. ``target`` needs the keys and
+    the content hash, or all columns where there is none."""
+    t, s = target.withColumn("_t", F.lit(True)).alias("t"), staged.withColumn("_s", _once(keys)).alias("s")
+    action = F.when(F.col("t._t").isNull(), INSERTED).when(_differs(target, staged, keys, hash_column), UPDATED)
+    joined = s.join(t, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "left").withColumn("action", action)
+    return joined.where(F.col("s._s") & F.col("action").isNotNull()).select(*(F.col(f"s.{c}") for c in staged.columns), "action")
+
+
 def upsert_counts(target: DataFrame, staged: DataFrame, keys: Sequence[str], hash_column: str | None = "content_hash", suppressed: DataFrame | None = None, key: str | None = None, source=None) -> DataFrame:
     """One row: staged, suppressed, inserted, updated, skipped_unchanged."""
     guarded = suppress(staged, suppressed, key, source) if suppressed is not None else staged

@@ -136,7 +136,7 @@ def test_sinks(spark, tmp_path):
 def test_a_write_that_dies_leaves_the_table(spark, tmp_path, monkeypatch):
     table = catalog.parse("CREATE TABLE t (id BIGINT, v STRING, PRIMARY KEY (id))")["t"]
     make = lambda *r: spark.createDataFrame(list(r), table.schema)
-    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys, buckets=4)
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys)
     content = lambda: sorted(map(tuple, t.read().collect()))
     t.upsert(make((1, "a"), (2, "b"), (3, "c")))
 
@@ -167,14 +167,70 @@ def test_a_write_that_dies_leaves_the_table(spark, tmp_path, monkeypatch):
         t.read()
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+def _bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_a_scattered_upsert_writes_its_rows_only(spark, tmp_path):
+    """A thousandth of all keys, all over the table: at most a hundredth of its bytes are written."""
+    table = catalog.parse("CREATE TABLE t (id BIGINT, v STRING, content_hash STRING, PRIMARY KEY (id))")["t"]
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys, rows_a_file=50_000)
+    rows = lambda df, tag: df.select("id", F.sha2(F.concat(F.col("id").cast("string"), F.lit(tag)), 256).alias("v"), F.sha2(F.lit(tag), 256).alias("content_hash"))
+    assert t.upsert(rows(spark.range(200_000), "a")).inserted == 200_000
+    before = _bytes(tmp_path / "t")
+    assert t.upsert(rows(spark.range(0, 200_000, 1000), "b")).updated == 200
+    assert _bytes(tmp_path / "t") - before <= 0.01 * before
+    assert t.read().count() == 200_000 and t.read().where(F.col("content_hash") == F.sha2(F.lit("b"), 256)).count() == 200
+    # Ranges: an upsert of few neighbouring keys reads one file of the base, and a reader joins that file alone.
+    t.compact()
+    files = list(t._state()[1][0]["files"])
+    assert 4 <= len(files) <= 5 and t.upsert(rows(spark.range(10, 20), "c")).updated == 10
+    held = t._state()[1][0]["files"]
+    assert sum(sinks._meet(r, [10, 19, 10]) for r in held.values()) == 1
+    assert t.read().count() == 200_000 and t._merged(t._state()[1], [10, 19, 10]).count() < 60_000
+
+
+def test_layers_equal_a_plain_merge(spark, tmp_path):
+    """Many upserts with new, changed and same rows: as a dictionary does; layers are put together on the way."""
+    import random
+
+    rng = random.Random(5)
+    table = catalog.parse("CREATE TABLE t (id BIGINT, name STRING, v STRING, PRIMARY KEY (id, name))")["t"]
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys, rows_a_file=40, layers=3)
+    held, most = {}, 0
+    for step in range(9):
+        new = {(rng.randrange(120 if step else 400), rng.choice("ab")): rng.choice("xyz") for _ in range(300 if step == 0 else 12)}
+        done = t.upsert(spark.createDataFrame([(*k, v) for k, v in new.items()], table.schema))
+        assert (done.inserted, done.updated) == (sum(k not in held for k in new), sum(k in held and held[k] != v for k, v in new.items()))
+        held |= new
+        assert {(r["id"], r["name"]): r["v"] for r in t.read().collect()} == held and t.read().count() == len(held)
+        most = max(most, len(t._state()[1]))
+    assert most <= 3
+    t.compact()
+    t.vacuum(1)
+    assert len(t._state()[1]) == 1 == len(list((tmp_path / "t" / "versions").iterdir())) and t.read().count() == len(held)
+
+
+def test_rows_without_key_and_other_kinds_of_keys(spark, tmp_path):
+    table = catalog.parse("CREATE TABLE t (d DATE, v STRING, PRIMARY KEY (d))")["t"]
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys)
+    make = lambda *r: spark.createDataFrame(list(r), "d string, v string").withColumn("d", F.col("d").cast("date"))
+    t.upsert(make(("2024-01-01", "a"), (None, "n"), ("2024-01-02", "b")))
+    t.upsert(make(("2024-01-02", "B"), (None, "n")))
+    assert sorted((str(r["d"]), r["v"]) for r in t.read().collect()) == [("2024-01-01", "a"), ("2024-01-02", "B"), ("None", "n"), ("None", "n")]
+
+
+def test_a_compaction_beside_a_writer_gives_way(spark, tmp_path):
     table = catalog.parse("CREATE TABLE t (id BIGINT, v STRING, PRIMARY KEY (id))")["t"]
-    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys, buckets=8)
-    t.upsert(spark.range(200).select("id", F.lit("a").alias("v")))
-    first = t._state()[1]
-    t.upsert(spark.createDataFrame([(7, "b")], table.schema))
-    second = t._state()[1]
-    assert len(first) == 8 and sum(first[k] != second[k] for k in first) == 1 and t.read().count() == 200 and t.read().where("v = 'b'").count() == 1
+    t = sinks.ParquetTable(spark, str(tmp_path / "t"), table.schema, table.keys)
+    t.upsert(spark.createDataFrame([(i, "a") for i in range(50)], table.schema))
+    t.upsert(spark.createDataFrame([(1, "b")], table.schema))
+    number, layers = t._state()
+    t.upsert(spark.createDataFrame([(2, "c")], table.schema))
+    before = set((tmp_path / "t" / "versions").iterdir())
+    with pytest.raises(sinks.Conflict):
+        t._compact(number, layers, 0)
+    assert set((tmp_path / "t" / "versions").iterdir()) == before and {r["v"] for r in t.read().collect()} == {"a", "b", "c"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
