@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import edge_decay
 from tessera.operators.skew import HEAVY_KEYS, HEAVY_ROWS, heavy_keys, join_split
+from tessera.operators.order import running_total
 from tessera.operators.storage import drop, shared_folder, stored
 
 REMNANT = 50_000  # edges (each both ways) that one task settles
@@ -119,10 +120,31 @@ def ring(near: DataFrame) -> DataFrame:
     return two.join(near, ["node", "other"], "left_anti")
 
 
+def numbered(near: DataFrame) -> DataFrame:
+    """(node, number): nodes from 1 on, nodes with a common smallest neighbour side by side, so that what is around a node has
+    numbers close together."""
+    first = near.groupBy("node").agg(F.min("other").alias("first")).select("node", F.least("node", "first").alias("first"))
+    return running_total(first, [F.col("first"), F.col("node")], F.lit(1), "number").select("node", "number")
+
+
+def reached(near: DataFrame) -> DataFrame:
+    """(node, reached): how many others lie within two hops, exactly, without a row for each of them. A node's neighbours and
+    itself are bits of a few bitmaps (one for each 32,768 numbers that it touches); bitmaps of neighbours are put together
+    by OR, on the map side first, and their bits counted."""
+    named = stored(numbered(near), "reach-numbers")
+    other = near.join(named.withColumnRenamed("node", "other"), "other").select("node", "number")
+    around = other.unionByName(named)
+    balls = stored(around.groupBy("node", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")), "reach-balls")
+    ways = near.select("node", F.col("other").alias("mid"))
+    met = join_split(ways, balls.withColumnRenamed("node", "mid"), "mid", "node", heavy_keys(ways, "mid"))
+    whole = met.groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return whole.groupBy("node").agg((F.sum(F.bitmap_count("bits")) - 1).alias("reached"))
+
+
 def centrality(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:
     """Share of the other nodes of the graph within two hops, rounded to 4; 0.0 (not null) for a node without edges."""
-    near = neighbours(edges, a, b)
-    reach = near.union(ring(near)).groupBy(F.col("node").alias(node)).agg(F.count("*").alias("reached"))
+    near = stored(neighbours(edges, a, b), "reach-neighbours")
+    reach = reached(near).withColumnRenamed("node", node)
     size = near.agg(F.count_distinct("node").alias("n"))
     joined = nodes.select(node).join(reach, node, "left").crossJoin(F.broadcast(size))  # one row
     return joined.select(node, F.round(F.when(F.col("n") > 1, F.coalesce("reached", F.lit(0)) / (F.col("n") - 1)).otherwise(0.0), 4).alias("centrality"))

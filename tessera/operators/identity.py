@@ -17,6 +17,7 @@ from tessera.functions.text import jaro_winkler, login_is_name, profile_url_key
 from tessera.operators.graph import components
 from tessera.operators.relational import equal_pairs, global_rank, overlap_pairs, union_of_pairs
 from tessera.operators.skew import stars
+from tessera.operators.storage import stored
 
 # Methods in order of priority, with the confidence of each.
 METHODS = (("D1", "det_orcid", 0.99), ("D2", "det_email", 0.98), ("D7", "det_linkedin", 0.97), ("D3", "det_website", 0.95), ("D4", "det_handle", 0.95), ("D5", "det_crosslink", 0.92), ("D8", "det_team", 0.90), ("D6", "det_name_org", 0.85))
@@ -155,8 +156,8 @@ def bayes_weight(level: Column, m: tuple, u: tuple) -> Column:
     return out.otherwise(0.0)
 
 
-def compare(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Comparison levels of each pair, null where a side is unknown."""
+def compare(pairs: DataFrame, records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Comparison levels of each pair, null where a side is unknown; the columns ``keep`` of ``pairs`` stay."""
     slim = records.select("record_id", "name_norm", F.get("email_norms", F.lit(0)).alias("email"), "org_norm", "country_code", F.when(F.size("keywords") > 0, F.col("keywords")).alias("keywords"))
     a, b = (slim.select(F.col("record_id").alias(k), *(F.col(c).alias(f"{k[0]}_{c}") for c in slim.columns if c != "record_id")) for k in ("left", "right"))
     p = pairs.join(a, "left").join(b, "right")
@@ -164,7 +165,7 @@ def compare(pairs: DataFrame, records: DataFrame) -> DataFrame:
     p = p.withColumn("_n", jaro_winkler(n1, n2)).withColumn("_e", jaro_winkler(e1, e2)).withColumn("_u", jaro_winkler(F.split_part(e1, F.lit("@"), F.lit(1)), F.split_part(e2, F.lit("@"), F.lit(1))))
     shared = F.size(F.array_intersect("l_keywords", "r_keywords"))
     return p.select(
-        "left", "right", "l_org_norm",
+        "left", "right", *keep, "l_org_norm",
         F.when(n1.isNull() | n2.isNull(), None).when(n1 == n2, 4).when(F.col("_n") >= NAME_LEVELS[0], 3).when(F.col("_n") >= NAME_LEVELS[1], 2).when(F.col("_n") >= NAME_LEVELS[2], 1).otherwise(0).alias("g_name"),
         F.when(e1.isNull() | e2.isNull(), None).when(e1 == e2, 4).when(F.split_part(e1, F.lit("@"), F.lit(1)) == F.split_part(e2, F.lit("@"), F.lit(1)), 3).when(F.col("_e") >= EMAIL_LEVEL, 2).when(F.col("_u") >= EMAIL_LEVEL, 1).otherwise(0).alias("g_email"),
         F.when(F.col("l_org_norm").isNull() | F.col("r_org_norm").isNull(), None).when(F.col("l_org_norm") == F.col("r_org_norm"), 1).otherwise(0).alias("g_org"),
@@ -193,10 +194,11 @@ def level_name(level: Column, top: int) -> Column:
 
 
 def random_pairs(records: DataFrame, pairs: int = 1_000_000) -> DataFrame:
-    """(left, right) of so many draws from all records, by hashes of the draw's number; draws of one record twice are left out."""
-    numbered = global_rank(records.select("record_id"), [F.xxhash64("record_id"), F.col("record_id")], "n")
-    count = F.lit(records.count())
-    draws = records.sparkSession.range(pairs).select(*((F.pmod(F.xxhash64("id", F.lit(side)), count) + 1).alias(side) for side in ("l", "r"))).where("l <> r")
+    """(left, right) of so many draws from all records, by digests of the draw's number; draws of one record twice are left out."""
+    numbered = stored(global_rank(records.select("record_id"), [F.col("record_id")], "n"), "linkage-numbers")
+    count = F.lit(max(1, numbered.count()))
+    drawn = lambda side: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(side))), 1, 15), 16, 10).cast("long") % count + 1
+    draws = records.sparkSession.range(pairs).select(drawn("l").alias("l"), drawn("r").alias("r")).where("l <> r")
     a, b = numbered.select(F.col("record_id").alias("x"), F.col("n").alias("l")), numbered.select(F.col("record_id").alias("y"), F.col("n").alias("r"))
     return draws.join(a, "l").join(b, "r").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
@@ -208,47 +210,79 @@ def estimate_u(records: DataFrame, column: str, pairs: int = 1_000_000) -> DataF
     return joined.agg(F.avg((F.col("_a") == F.col("_b")).cast("double")).alias("u"))
 
 
-def level_shares(levels: DataFrame, columns: dict[str, int]) -> dict[str, tuple]:
-    """Share of each level, highest first, among the pairs for which a comparison is known. ``columns``: number of levels."""
-    r = levels.agg(*(F.count_if(F.col(c) == k - 1 - i).alias(f"{c}_{i}") for c, k in columns.items() for i in range(k))).first()
+#: Comparisons, their levels, and the blocking rules that fix them, whose pairs say nothing about them.
+COMPARISONS = {"g_name": (5, ("surname", "login", "initial")), "g_email": (5, ("domain",)), "g_org": (2, ("initial",)), "g_country": (2, ()), "g_keywords": (3, ())}
+RULES = ("surname", "domain", "initial", "login")
+
+
+def random_patterns(records: DataFrame, pairs: int = 1_000_000) -> DataFrame:
+    """(levels of all comparisons, pairs): how many random pairs show each pattern of levels."""
+    return compare(random_pairs(records, pairs), records).groupBy(*COMPARISONS).agg(F.count("*").alias("pairs"))
+
+
+def patterns(records: DataFrame) -> DataFrame:
+    """(rule, levels of all comparisons, pairs): how many pairs of each blocking rule show each pattern. A pair that several
+    rules find is compared once. There are at most 6 x 6 x 3 x 3 x 4 patterns a rule, whatever the records."""
+    found = union_of_pairs(blocking_rules(records)).groupBy("left", "right").agg(*(F.bool_or(F.col("rule") == r).alias(r) for r in RULES))
+    levels = compare(found, records, RULES)
+    counts = levels.groupBy(*RULES, *COMPARISONS).agg(F.count("*").alias("pairs"))
+    by_rule = F.explode(F.filter(F.array(*(F.when(F.col(r), r) for r in RULES)), lambda x: x.isNotNull())).alias("rule")
+    return counts.select(by_rule, *COMPARISONS, "pairs").groupBy("rule", *COMPARISONS).agg(F.sum("pairs").alias("pairs"))
+
+
+def level_shares(counted: list, columns: dict[str, int]) -> dict[str, tuple]:
+    """Share of each level, highest first, among the pairs for which a comparison is known. ``counted``: patterns with their
+    pairs; ``columns``: number of levels."""
     out = {}
     for c, k in columns.items():
-        got = [max(r[f"{c}_{i}"], 0.5) for i in range(k)]
+        got = [max(sum(r["pairs"] for r in counted if r[c] == k - 1 - i), 0.5) for i in range(k)]
         out[c] = tuple(x / sum(got) for x in got)
     return out
 
 
-#: Comparisons, their levels, and the blocking rules that fix them, whose pairs say nothing about them.
-COMPARISONS = {"g_name": (5, ("surname", "login", "initial")), "g_email": (5, ("domain",)), "g_org": (2, ("initial",)), "g_country": (2, ()), "g_keywords": (3, ())}
+def level_share_table(counted: DataFrame) -> DataFrame:
+    """(comparison, level, pairs, share) of patterns with their pairs, for the pairs for which a comparison is known."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("comparison"), F.col(c).alias("level")) for c in COMPARISONS))).alias("x")
+    by = counted.select(each, "pairs").select("x.*", "pairs").where("level is not null").groupBy("comparison", "level").agg(F.sum("pairs").alias("pairs"))
+    return by.withColumn("share", F.col("pairs") / F.sum("pairs").over(Window.partitionBy("comparison")))
 
 
 def train(records: DataFrame, pairs: int = 1_000_000, rounds: int = 5) -> dict[str, tuple[tuple, tuple]]:
     """(m, u) of each comparison: u from random pairs, m by EM over the pairs of each blocking rule, leaving out what the rule
-    fixes, as the mean over the rules."""
-    u = level_shares(compare(random_pairs(records, pairs), records), {c: k for c, (k, _) in COMPARISONS.items()})
+    fixes, as the mean over the rules. Pairs are compared once; what EM needs of them is the table of their patterns."""
+    u = level_shares(random_patterns(records, pairs).collect(), {c: k for c, (k, _) in COMPARISONS.items()})
     start = {"g_name": NAME_M, "g_email": EMAIL_M, "g_org": ORG_M, "g_country": COUNTRY_M, "g_keywords": KEYWORDS_M}
     found: dict[str, list[tuple]] = {c: [] for c in COMPARISONS}
-    for rule, candidates in blocking_rules(records).items():
+    seen = patterns(records).collect()
+    for rule in RULES:
         free = {c: (tuple(x / sum(start[c]) for x in (*start[c], *[0.01] * (k - len(start[c])))), u[c]) for c, (k, fixed) in COMPARISONS.items() if rule not in fixed}
-        for c, m in expectation_maximisation(compare(candidates.distinct(), records), free, rounds=rounds).items():
+        for c, m in em_of_patterns([r for r in seen if r["rule"] == rule], free, rounds=rounds).items():
             found[c].append(m)
     return {c: (tuple(sum(level) / len(ms) for level in zip(*ms)), u[c]) for c, ms in found.items()}
 
 
 def expectation_maximisation(levels: DataFrame, columns: dict[str, tuple[tuple, tuple]], prior: float = PRIOR, rounds: int = 5) -> dict[str, tuple]:
-    """m of each comparison by EM over pairs; u stays. The driver sees one row of sums a round."""
+    """m of each comparison by EM over compared pairs, of which one count a pattern is taken; u stays."""
+    return em_of_patterns(levels.groupBy(*columns).agg(F.count("*").alias("pairs")).collect(), columns, prior, rounds)
+
+
+def em_of_patterns(counted: list, columns: dict[str, tuple[tuple, tuple]], prior: float = PRIOR, rounds: int = 5) -> dict[str, tuple]:
     m = {c: v[0] for c, v in columns.items()}
-    for _ in range(rounds):
-        weight = F.lit(math.log2(prior / (1 - prior)))
-        for c, (_, u) in columns.items():
-            weight = weight + bayes_weight(F.col(c), m[c], u)
-        p = levels.withColumn("_p", 1 / (1 + F.pow(F.lit(2.0), -weight)))
-        sums = p.agg(F.avg("_p").alias("prior"), *(F.sum(F.when(F.col(c) == len(m[c]) - 1 - i, F.col("_p")).otherwise(0.0)).alias(f"{c}_{i}") for c in columns for i in range(len(m[c])))).first()
-        if sums["prior"] is None:
-            return m
-        prior = min(0.999, max(1e-9, sums["prior"]))
-        for c in columns:
-            got = [max(sums[f"{c}_{i}"], 1e-6) for i in range(len(m[c]))]
+    total = sum(r["pairs"] for r in counted)
+    for _ in range(rounds if total else 0):
+        sums = {c: [0.0] * len(v) for c, v in m.items()}
+        expected = 0.0
+        for r in counted:
+            weight = math.log2(prior / (1 - prior))
+            at = {c: len(m[c]) - 1 - r[c] for c in columns if r[c] is not None}
+            weight += sum(math.log2(m[c][i] / columns[c][1][i]) for c, i in at.items())
+            p = r["pairs"] / (1 + 2.0**-weight)
+            expected += p
+            for c, i in at.items():
+                sums[c][i] += p
+        prior = min(0.999, max(1e-9, expected / total))
+        for c, got in sums.items():
+            got = [max(x, 1e-6) for x in got]
             m[c] = tuple(x / sum(got) for x in got)
     return m
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import ensure_checkpoint_folder
+from tessera.operators.order import global_rank, page, running_total  # noqa: F401
 from tessera.operators.skew import heavy_keys, join_split
 
 # ---- projections and filters --------------------------------------------------------------------
@@ -180,24 +180,6 @@ def profile(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
 # ---- windows and order ------------------------------------------------------------------------
 
 
-def running_total(df: DataFrame, order: Sequence[Column], amount: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``amount`` up to each row in ``order``, over the whole table and without one task that sees it all:
-    ranges of the order are summed by themselves and then offset by the sums before them, one row a range. The ranges are
-    checkpointed, so a lost executor cannot draw them anew between the two steps."""
-    ensure_checkpoint_folder(df)
-    ranged = df.withColumn("_amount", amount).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
-    sums = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
-    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.sum("_amount").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # One row a range: as many as there are partitions.
-    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_amount", "_inside", "_before")
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """``df`` with its place in ``order``, from 1 on; the order should be total."""
-    return running_total(df, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))
-
-
 def with_share(df: DataFrame, value: str, name: str, within: Sequence[str] = ()) -> DataFrame:
     """``df`` with the share of known values (of the groups ``within``) at or below the row's own; null stays null.
     Rows are counted by value first, so the running sum is over distinct values only."""
@@ -245,10 +227,6 @@ def ranked(df: DataFrame, score: str, tie: str, most: int | None = None) -> Data
     return out if most is None else out.limit(most)
 
 
-def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int = 20) -> DataFrame:
-    return df.orderBy(*order).offset(number * size).limit(size)
-
-
 def rank_changes(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """Ranks by two scores and the places gained."""
     first = global_rank(df, [F.desc_nulls_last(before), F.col(key)], "rank_before")

@@ -124,14 +124,18 @@ def _level(g: str, m: tuple, u: tuple) -> str:
 
 
 _N, _E, _U = "jaro_winkler_similarity(n1, n2)", "jaro_winkler_similarity(e1, e2)", "jaro_winkler_similarity(u1, u2)"
-_LINKAGE = _R + f""",
-z AS (SELECT *, replace(name_norm, ' ', '') AS plain, substr(first_name, 1, 1) AS initial, email_norms[1] AS e, split_part(email_norms[1], '@', 1) AS local FROM r),
-b AS (SELECT a.record_id AS l, b.record_id AS r FROM z a JOIN z b ON a.last_name = b.last_name AND a.record_id < b.record_id UNION SELECT a.record_id, b.record_id FROM z a JOIN z b ON a.email_domain = b.email_domain AND a.record_id < b.record_id
- UNION SELECT a.record_id, b.record_id FROM z a JOIN z b ON a.initial = b.initial AND a.org_norm = b.org_norm AND a.record_id < b.record_id UNION SELECT least(a.record_id, b.record_id), greatest(a.record_id, b.record_id) FROM z a JOIN z b ON a.github_login = b.plain AND a.record_id <> b.record_id),
+_Z = """,
+z AS (SELECT *, replace(name_norm, ' ', '') AS plain, substr(first_name, 1, 1) AS initial, email_norms[1] AS e, split_part(email_norms[1], '@', 1) AS local FROM r)"""
+_LEVELS = f""",
 j AS (SELECT l, b.r, x.name_norm AS n1, y.name_norm AS n2, x.e AS e1, y.e AS e2, x.local AS u1, y.local AS u2, x.org_norm AS o1, y.org_norm AS o2, x.country_code AS c1, y.country_code AS c2, x.keywords AS k1, y.keywords AS k2 FROM b JOIN z x ON x.record_id = l JOIN z y ON y.record_id = b.r),
 g AS (SELECT l, r, o1, CASE WHEN n1 = n2 THEN 4 WHEN {_N} >= 0.92 THEN 3 WHEN {_N} >= 0.88 THEN 2 WHEN {_N} >= 0.70 THEN 1 ELSE 0 END AS g_name,
  CASE WHEN e1 IS NULL OR e2 IS NULL THEN NULL WHEN e1 = e2 THEN 4 WHEN u1 = u2 THEN 3 WHEN {_E} >= 0.88 THEN 2 WHEN {_U} >= 0.88 THEN 1 ELSE 0 END AS g_email,
- (o1 = o2)::INT AS g_org, (c1 = c2)::INT AS g_country, CASE WHEN k1 IS NULL OR k2 IS NULL THEN NULL WHEN len(list_intersect(k1, k2)) >= 3 THEN 2 WHEN len(list_intersect(k1, k2)) >= 1 THEN 1 ELSE 0 END AS g_keywords FROM j),
+ (o1 = o2)::INT AS g_org, (c1 = c2)::INT AS g_country, CASE WHEN k1 IS NULL OR k2 IS NULL THEN NULL WHEN len(list_intersect(k1, k2)) >= 3 THEN 2 WHEN len(list_intersect(k1, k2)) >= 1 THEN 1 ELSE 0 END AS g_keywords FROM j)"""
+_BY_RULE = """,
+br AS (SELECT 'surname' AS rule, a.record_id AS l, b.record_id AS r FROM z a JOIN z b ON a.last_name = b.last_name AND a.record_id < b.record_id UNION SELECT 'domain', a.record_id, b.record_id FROM z a JOIN z b ON a.email_domain = b.email_domain AND a.record_id < b.record_id
+ UNION SELECT 'initial', a.record_id, b.record_id FROM z a JOIN z b ON a.initial = b.initial AND a.org_norm = b.org_norm AND a.record_id < b.record_id UNION SELECT 'login', least(a.record_id, b.record_id), greatest(a.record_id, b.record_id) FROM z a JOIN z b ON a.github_login = b.plain AND a.record_id <> b.record_id),
+b AS (SELECT DISTINCT l, r FROM br)"""
+_LINKAGE = _R + _Z + _BY_RULE + _LEVELS + f""",
 f AS (SELECT org_norm AS o1, count(*) / (SELECT count(*) FROM r WHERE org_norm IS NOT NULL) AS tf FROM r WHERE org_norm IS NOT NULL GROUP BY 1),
 s AS (SELECT g.*, 1 / (1 + pow(2.0, -({math.log2(identity.PRIOR / (1 - identity.PRIOR))!r} + {_level('g_name', identity.NAME_M, identity.NAME_U)} + {_level('g_email', identity.EMAIL_M, identity.EMAIL_U)} + {_level('g_org', identity.ORG_M, identity.ORG_U)} + {_level('g_country', identity.COUNTRY_M, identity.COUNTRY_U)} + {_level('g_keywords', identity.KEYWORDS_M, identity.KEYWORDS_U)}
  + CASE WHEN g_org = 1 THEN log2({identity.ORG_U[0]} / tf) ELSE 0 END))) AS probability FROM g LEFT JOIN f USING (o1)),
@@ -144,6 +148,27 @@ def g04_linkage(t: Tables) -> DataFrame:
     return identity.linkage(records(t)).withColumn("probability", F.round("probability", 6)).withColumn("email_label", identity.level_name(F.col("g_email"), 4))
 
 
+_DRAWS = 100_000
+
+
+@query(_R + _Z + f""",
+rn AS (SELECT record_id, row_number() OVER (ORDER BY record_id) AS n FROM r),
+d AS (SELECT ('0x' || substr(md5(i || 'l'), 1, 15))::BIGINT % (SELECT count(*) FROM r) + 1 AS dl, ('0x' || substr(md5(i || 'r'), 1, 15))::BIGINT % (SELECT count(*) FROM r) + 1 AS dr FROM range({_DRAWS}) t(i)),
+b AS (SELECT least(x.record_id, y.record_id) AS l, greatest(x.record_id, y.record_id) AS r FROM d JOIN rn x ON x.n = dl JOIN rn y ON y.n = dr WHERE dl <> dr)""" + _LEVELS + """,
+u AS (SELECT 'g_name' AS comparison, g_name AS level FROM g UNION ALL SELECT 'g_email', g_email FROM g UNION ALL SELECT 'g_org', g_org FROM g UNION ALL SELECT 'g_country', g_country FROM g UNION ALL SELECT 'g_keywords', g_keywords FROM g),
+k AS (SELECT comparison, level, count(*) AS pairs FROM u WHERE level IS NOT NULL GROUP BY comparison, level)
+SELECT comparison, level, pairs, round(pairs / sum(pairs) OVER (PARTITION BY comparison), 9) AS share FROM k""")
+def g05_random_agreement(t: Tables) -> DataFrame:
+    """u of linkage: shares of the levels among random pairs of all records (G5; the number of draws is a parameter)."""
+    return identity.level_share_table(identity.random_patterns(records(t), _DRAWS)).withColumn("share", F.round("share", 9))
+
+
+@query(_R + _Z + _BY_RULE + _LEVELS + " SELECT rule, g_name, g_email, g_org, g_country, g_keywords, count(*) AS pairs FROM br JOIN g ON g.l = br.l AND g.r = br.r GROUP BY ALL")
+def g05_patterns(t: Tables) -> DataFrame:
+    """What EM needs of the pairs of each blocking rule: how many show each pattern of levels."""
+    return identity.patterns(records(t))
+
+
 _COMPONENTS = ", e AS (SELECT l AS x, r AS y FROM rules UNION SELECT r, l FROM rules), w(id, m) AS (SELECT record_id, record_id FROM r UNION SELECT e.y, w.m FROM w JOIN e ON e.x = w.id WHERE w.m < e.y), c AS (SELECT id AS record_id, min(m) AS component FROM w GROUP BY id)"
 _PLACED = _RULES.replace("WITH r", "WITH RECURSIVE r") + _COMPONENTS + ", placed AS (SELECT record_id, source, component, row_number() OVER (PARTITION BY component, source ORDER BY record_id) = 1 AS kept FROM r JOIN c USING (record_id))"
 

@@ -241,10 +241,12 @@ def z36_question_plan(t: Tables) -> DataFrame:
 cf AS (SELECT person_id, round(ln(1 + sum(stars * share)), 2) AS stars_weighted, sum(CASE WHEN last >= TIMESTAMP '2000-08-02' THEN commits END)::DOUBLE AS commits_12mo, max(CASE WHEN last >= TIMESTAMP '2000-08-02' THEN least(52.0, round(epoch(last - greatest(first, TIMESTAMP '2000-08-02')) / 604800, 1)) END)::DOUBLE AS active_weeks_12mo, bool_or(stars > 500 AND share >= 0.5) AS hit, max(last) AS last FROM c JOIN pj USING (project_id) GROUP BY 1),
 au AS (SELECT l_suppkey AS person_id, sum(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 30 ELSE 0 END)::DOUBLE AS citations_total, max(o_orderdate) AS paper FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
 of AS (SELECT s_suppkey AS person_id, s_suppkey % 4 = 1 AS founder, TIMESTAMP '2001-01-01' AS filed FROM supplier),
+nb AS (SELECT x.c_custkey AS x, y.c_custkey AS y FROM customer x JOIN customer y ON x.c_custkey + 1 = y.c_custkey AND x.c_custkey % 5 > 0 UNION SELECT y.c_custkey, x.c_custkey FROM customer x JOIN customer y ON x.c_custkey + 1 = y.c_custkey AND x.c_custkey % 5 > 0),
+ce AS (SELECT x AS person_id, round(count(*) / ((SELECT count(DISTINCT x) FROM nb) - 1.0), 4) AS centrality FROM (SELECT p.x, q.y FROM nb p JOIN nb q ON p.y = q.x WHERE p.x <> q.y UNION SELECT x, y FROM nb) GROUP BY x),
 p AS (SELECT c_custkey AS person_id, CASE WHEN c_custkey % 9 = 0 THEN 'Founder of it' END AS headline, c_nationkey AS school FROM customer),
-j AS (SELECT p.*, cf.* EXCLUDE (person_id), au.* EXCLUDE (person_id), of.* EXCLUDE (person_id) FROM p LEFT JOIN cf USING (person_id) LEFT JOIN au USING (person_id) LEFT JOIN of USING (person_id))
+j AS (SELECT p.*, cf.* EXCLUDE (person_id), au.* EXCLUDE (person_id), of.* EXCLUDE (person_id), centrality FROM p LEFT JOIN cf USING (person_id) LEFT JOIN au USING (person_id) LEFT JOIN of USING (person_id) LEFT JOIN ce USING (person_id))
 SELECT person_id, stars_weighted, commits_12mo, active_weeks_12mo, citations_total, CASE WHEN coalesce(founder, false) OR headline IS NOT NULL OR coalesce(hit, false) THEN 1.0 END::DOUBLE AS zero_to_one_flag, CASE WHEN person_id % 50 = 0 THEN 0.11 WHEN school < 10 THEN school / 10.0 END::DOUBLE AS school_tier,
- round(pow(0.5, greatest(0, date_diff('day', greatest(last, paper, filed)::DATE, DATE '2001-08-02')) / 90.0), 2) AS recency_score, 0.0::DOUBLE AS graph_centrality FROM j""")
+ CASE WHEN greatest(last, paper, filed) IS NOT NULL THEN round(pow(0.5, greatest(0, date_diff('day', greatest(last, paper, filed)::DATE, DATE '2001-08-02')) / 90.0), 2) END AS recency_score, coalesce(centrality, 0)::DOUBLE AS graph_centrality FROM j""")
 def z17_person_features(t: Tables) -> DataFrame:
     """All features of persons from three fact tables, an institution list and overrides."""
     k = F.col("o_orderkey")
@@ -256,7 +258,8 @@ def z17_person_features(t: Tables) -> DataFrame:
     persons = t.customer.select(F.col("c_custkey").alias("person_id"), F.when(F.col("c_custkey") % 9 == 0, "Founder of it").alias("headline"), F.concat(F.lit("Schöol "), F.col("c_nationkey").cast("string")).alias("affiliation"))
     schools = t.nation.where("n_nationkey < 10").select(F.concat(F.lit("school "), F.col("n_nationkey").cast("string")).alias("name"), F.array(F.concat(F.lit("s"), F.col("n_nationkey").cast("string"))).alias("aliases"), (F.col("n_nationkey") * 10.0).alias("score"))
     over = t.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("person_id"), F.create_map(F.lit("school_tier"), F.lit(0.11)).alias("features"))
-    edges = t.customer.where("c_custkey < 0").select(F.col("c_custkey").alias("person_a"), F.col("c_custkey").alias("person_b"))
+    after = t.customer.select(F.col("c_custkey").alias("person_b"))
+    edges = t.customer.where("c_custkey % 5 > 0").select(F.col("c_custkey").alias("person_a")).join(after, F.expr("person_a + 1 = person_b"))
     out = features.person_features(persons, made, projects, wrote, papers, led, edges, schools, F.lit("2001-08-02").cast("timestamp"), overrides=over)
     return out.select("person_id", *(F.col("features")[c].alias(c) for c in ("stars_weighted", "commits_12mo", "active_weeks_12mo", "citations_total", "zero_to_one_flag", "school_tier", "recency_score", "graph_centrality")))
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, numbers, text
 from tessera.operators import dml, graph, identity, relational, search, validation
+from tessera.operators.order import Pages, medians
+from tessera.operators.storage import shared_folder
 from tessera.plans import scoring
 from tessera.plans.registry import Tables, query
 
@@ -362,7 +366,10 @@ SELECT event_type, count(*) AS total, count(*) FILTER (value > 10) AS high, roun
 """)
 def q24_profile(t: Tables) -> DataFrame:
     """Conditional counts, mean, exact median, mean and best."""
-    return t.events.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", F.lit(0.5)).alias("middle"), numbers.mean_and_best(F.avg("value"), F.max("value")).alias("blend"))
+    rows = t.events.select("event_type", "value")
+    middle = medians(rows, "event_type", "value", "middle").withColumnRenamed("event_type", "_type")
+    told = rows.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 10).alias("high"), F.round(F.avg("value"), 6).alias("mean"), numbers.mean_and_best(F.avg("value"), F.max("value")).alias("blend"))
+    return told.join(middle, F.col("event_type").eqNullSafe(F.col("_type")), "left").select("event_type", "total", "high", "mean", "middle", "blend")
 
 
 @query("""
@@ -493,6 +500,15 @@ def o5_top(t: Tables) -> DataFrame:
     return relational.ranked(t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 500)
 
 
+@query("SELECT p AS page, c_custkey, c_acctbal FROM (SELECT *, ((row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) // 20)::INT AS p FROM customer) WHERE p IN (0, 2, (SELECT (count(*) - 1) // 20 FROM customer))")
+def o10_deep_pages(t: Tables) -> DataFrame:
+    """The first, the third and the last page of a table laid out in ranges (O10; the pages are the feature)."""
+    rows = t.customer.select("c_custkey", "c_acctbal")
+    pages = Pages.lay(rows, ["c_acctbal", "c_custkey"], f"{shared_folder(t.spark)}/o10-{uuid.uuid4().hex}", rows_a_range=400)
+    wanted = sorted({0, 2, max(0, (rows.count() - 1) // 20)})
+    return reduce(DataFrame.unionByName, (pages.page(n).select(F.lit(n).alias("page"), "c_custkey", "c_acctbal") for n in wanted))
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 20 OFFSET 40")
 def o10_page(t: Tables) -> DataFrame:
     """The third page of twenty (O10; the limit is the feature)."""

@@ -207,3 +207,30 @@ def test_training_of_linkage(spark):
         m, u = got[name]
         assert len(m) == len(u) == levels and sum(m) == pytest.approx(1) and sum(u) == pytest.approx(1)
     assert got["g_name"][0][0] > got["g_name"][1][0] and got["g_email"][0][0] > got["g_email"][1][0]
+
+
+def test_em_over_patterns_equals_em_over_pairs(spark):
+    """Sufficient statistics: the same m as a plain EM that looks at every pair in every round."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    pairs = [(rng.choice([None, 0, 1, 2, 3, 4]), rng.choice([0, 1, None])) for _ in range(500)]
+    m = {"g_name": list(identity.NAME_M), "g_country": list(identity.COUNTRY_M)}
+    u = {"g_name": identity.NAME_U, "g_country": identity.COUNTRY_U}
+    prior = identity.PRIOR
+    for _ in range(4):
+        sums, expected = {c: [0.0] * len(v) for c, v in m.items()}, 0.0
+        for pair in pairs:
+            at = {c: len(m[c]) - 1 - x for c, x in zip(m, pair) if x is not None}
+            odds = prior / (1 - prior) * math.prod(m[c][i] / u[c][i] for c, i in at.items())
+            p = odds / (1 + odds)
+            expected += p
+            for c, i in at.items():
+                sums[c][i] += p
+        prior = expected / len(pairs)
+        m = {c: [x / sum(v) for x in v] for c, v in sums.items()}
+    levels = spark.createDataFrame(pairs, "g_name int, g_country int")
+    got = identity.expectation_maximisation(levels, {c: ((identity.NAME_M, identity.COUNTRY_M)[i], u[c]) for i, c in enumerate(m)}, rounds=4)
+    assert all(abs(a - b) < 1e-9 for c in m for a, b in zip(m[c], got[c]))
+    assert identity.em_of_patterns([], {"g_name": (identity.NAME_M, identity.NAME_U)}) == {"g_name": identity.NAME_M}
