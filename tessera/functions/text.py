@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -108,6 +108,7 @@ def login_is_name(login: Column, name: Column) -> Column:
 # ---- similarity ---------------------------------------------------------------------------------
 
 
+@lru_cache(1 << 16)  # pairs of a block repeat their names
 def jaro_winkler_of(a: str, b: str) -> float:
     """Jaro similarity, raised by a common prefix of up to four letters where it exceeds 0.7."""
     if a == b:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, numbers, text
-from tessera.operators import dml, graph, identity, relational, search, validation
+from tessera.operators import dml, graph, identity, relational, search, similar, validation
 from tessera.operators.order import Pages, medians
 from tessera.operators.storage import shared_folder
 from tessera.plans import scoring
@@ -685,6 +685,16 @@ def q10_jaro_winkler(t: Tables) -> DataFrame:
     return pairs.select("l", "r", F.round(text.jaro_winkler("l", "r"), 6).alias("similarity"))
 
 
+@query("""
+WITH n AS (SELECT DISTINCT p_brand || ' ' || p_name AS x FROM part UNION SELECT DISTINCT p_name || ' ' || p_brand FROM part WHERE p_partkey % 3 = 0)
+SELECT a.x AS l, b.x AS r, round(jaro_winkler_similarity(a.x, b.x), 6) AS similarity FROM n a JOIN n b ON a.x < b.x WHERE jaro_winkler_similarity(a.x, b.x) >= 0.92
+""")
+def q10_similar_names(t: Tables) -> DataFrame:
+    """All names of a similarity of 0.92 or more, by an index instead of blocks."""
+    names = t.part.select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).union(t.part.where("p_partkey % 3 = 0").select(F.concat_ws(" ", "p_name", "p_brand")))
+    return similar.similar_names(names, 0.92).select("l", "r", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""
 SELECT page_id, array_to_string(list_distinct_ordered, '|') AS hosts, n FROM (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS list_distinct_ordered, len(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS n FROM pages)
 """)
