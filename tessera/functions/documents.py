@@ -1,11 +1,9 @@
-"""Payload contracts: a subset of JSON Schema, citations of memos, verdicts; and a deterministic embedding."""
+"""Payload contracts: JSON Schema as expressions, citations of memos, verdicts; and a deterministic embedding."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,9 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-
 def inline(schema, root=None):
     """A schema with its local ``$ref`` replaced by what they point to."""
     root = schema if root is None else root
@@ -31,65 +26,123 @@ def inline(schema, root=None):
     return {k: inline(v, root) for k, v in schema.items() if k not in ("$defs", "definitions")}
 
 
-def _is(value, kind: str) -> bool:
-    if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
-    return isinstance(value, _TYPES[kind])
+#: What ``schema_of_variant`` says of values of each JSON Schema type.
+_KINDS = {"object": ("OBJECT",), "array": ("ARRAY",), "string": ("STRING",), "boolean": ("BOOLEAN",), "null": ("VOID",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")}
 
 
-def errors(value, schema: dict, at: str = "$") -> Iterator[str]:
-    """What a value has against a schema: types, enums, ranges, lengths, patterns, required and further properties, items."""
-    kinds = schema.get("type")
-    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        yield f"{at}: not of type {kinds}"
-        return
-    if "const" in schema and value != schema["const"]:
-        yield f"{at}: not {schema['const']!r}"
-    if "enum" in schema and value not in schema["enum"]:
-        yield f"{at}: not one of {schema['enum']}"
-    if _is(value, "number"):
-        for word, bad in (("minimum", lambda x: value < x), ("maximum", lambda x: value > x), ("exclusiveMinimum", lambda x: value <= x), ("exclusiveMaximum", lambda x: value >= x)):
-            if word in schema and bad(schema[word]):
-                yield f"{at}: {word} {schema[word]}"
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _starts(kind: Column, names: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for n in names:
+        out = out | kind.startswith(n)
+    return out
+
+
+def _has_type(v: Column, kind: Column, name: str) -> Column:
+    if name == "integer":
+        x = F.try_variant_get(v, "$", "double")
+        return _starts(kind, _KINDS["number"]) & (x % 1 == 0)
+    return _starts(kind, _KINDS[name])
+
+
+def _equals(v: Column, kind: Column, value) -> Column:
+    """Whether a variant is a JSON value: numbers by value, a boolean is no number."""
+    if value is None:
+        return _starts(kind, _KINDS["null"])
+    if isinstance(value, bool):
+        return _starts(kind, _KINDS["boolean"]) & (F.try_variant_get(v, "$", "boolean") == value)
+    if isinstance(value, (int, float)):
+        return _starts(kind, _KINDS["number"]) & (F.try_variant_get(v, "$", "double") == float(value))
     if isinstance(value, str):
-        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)):
-            yield f"{at}: length"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            yield f"{at}: pattern"
-    if isinstance(value, list):
-        if len(value) < schema.get("minItems", 0) or len(value) > schema.get("maxItems", len(value)):
-            yield f"{at}: number of items"
-        for i, x in enumerate(value):
-            yield from errors(x, schema.get("items", {}), f"{at}[{i}]")
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        yield from (f"{at}: {k} is missing" for k in schema.get("required", ()) if k not in value)
-        for k, x in value.items():
-            if k in known:
-                yield from errors(x, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                yield f"{at}: {k} is not known"
-            elif isinstance(schema.get("additionalProperties"), dict):
-                yield from errors(x, schema["additionalProperties"], f"{at}.{k}")
+        return _starts(kind, _KINDS["string"]) & (F.try_variant_get(v, "$", "string") == value)
+    return F.to_json(v) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def _said(at: Column, wrong: Column, what: str) -> Column:
+    """An array with the message where ``wrong`` holds."""
+    return F.when(F.coalesce(wrong, F.lit(False)), F.array(F.concat(at, F.lit(f": {what}")))).otherwise(_none())
+
+
+def compiled(schema: dict | bool, v: Column, at: Column) -> Column:
+    """The errors of a variant against a schema without references, as one array expression."""
+    if schema is True or schema == {}:
+        return _none()
+    if schema is False:
+        return _said(at, F.lit(True), "nothing is allowed")
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    found: list[Column] = []
+    if "const" in schema:
+        found.append(_said(at, ~_equals(v, kind, schema["const"]), f"not {schema['const']!r}"))
+    if "enum" in schema:
+        listed = F.lit(False)
+        for x in schema["enum"]:
+            listed = listed | _equals(v, kind, x)
+        found.append(_said(at, ~listed, f"not one of {schema['enum']}"))
+    number = F.when(_starts(kind, _KINDS["number"]), F.try_variant_get(v, "$", "double"))
+    for word, bad in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x), ("multipleOf", lambda x: number % x != 0)):
+        if word in schema:
+            found.append(_said(at, bad(float(schema[word])), f"{word} {schema[word]}"))
+    string = F.when(_starts(kind, _KINDS["string"]), F.try_variant_get(v, "$", "string"))
+    if "minLength" in schema or "maxLength" in schema:
+        found.append(_said(at, (F.length(string) < schema.get("minLength", 0)) | (F.length(string) > schema.get("maxLength", 2**31 - 1)), "length"))
+    if "pattern" in schema:
+        found.append(_said(at, ~string.rlike(schema["pattern"]), "pattern"))
+    items = F.when(_starts(kind, _KINDS["array"]), F.try_variant_get(v, "$", "array<variant>"))
+    if "minItems" in schema or "maxItems" in schema:
+        found.append(_said(at, (F.size(items) < schema.get("minItems", 0)) | (F.size(items) > schema.get("maxItems", 2**31 - 1)), "number of items"))
+    if "items" in schema:
+        found.append(F.coalesce(F.flatten(F.transform(items, lambda x, i: compiled(schema["items"], x, F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))))), _none()))
+    if any(w in schema for w in ("required", "properties", "patternProperties", "additionalProperties")):
+        known, by_pattern, rest = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
+        fields = F.when(_starts(kind, _KINDS["object"]), F.try_variant_get(v, "$", "map<string,variant>"))
+        for k in schema.get("required", ()):
+            found.append(_said(at, ~F.map_contains_key(fields, k), f"{k} is missing"))
+        for k, sub in known.items():
+            found.append(F.when(F.coalesce(F.map_contains_key(fields, k), F.lit(False)), compiled(sub, F.element_at(fields, k), F.concat(at, F.lit(f".{k}")))).otherwise(_none()))
+        entries = F.map_entries(fields)
+        below = lambda e: F.concat(at, F.lit("."), e["key"])
+        for pattern, sub in by_pattern.items():
+            found.append(F.coalesce(F.flatten(F.transform(F.filter(entries, lambda e: e["key"].rlike(pattern)), lambda e: compiled(sub, e["value"], below(e)))), _none()))  # noqa: B023
+
+        def further(e: Column) -> Column:
+            out = ~e["key"].isin(*known) if known else F.lit(True)
+            for pattern in by_pattern:
+                out = out & ~e["key"].rlike(pattern)
+            return out
+
+        if rest is False:
+            found.append(F.coalesce(F.transform(F.filter(entries, further), lambda e: F.concat(at, F.lit(": "), e["key"], F.lit(" is not known"))), _none()))
+        elif isinstance(rest, dict) and rest:
+            found.append(F.coalesce(F.flatten(F.transform(F.filter(entries, further), lambda e: compiled(rest, e["value"], below(e)))), _none()))
+    for sub in schema.get("allOf", ()):
+        found.append(compiled(sub, v, at))
+    holds = lambda subs: sum((F.when(F.size(compiled(s, v, at)) == 0, 1).otherwise(0) for s in subs), F.lit(0))
+    if "anyOf" in schema:
+        found.append(_said(at, holds(schema["anyOf"]) == 0, "holds for none of anyOf"))
+    if "oneOf" in schema:
+        found.append(_said(at, holds(schema["oneOf"]) != 1, "does not hold for one of oneOf"))
+    if "not" in schema:
+        found.append(_said(at, F.size(compiled(schema["not"], v, at)) == 0, "holds for what it must not"))
+    out = F.concat(*found) if found else _none()
+    kinds = schema.get("type")
+    if kinds is None:
+        return out
+    right = F.lit(False)
+    for k in [kinds] if isinstance(kinds, str) else kinds:
+        right = right | _has_type(v, kind, k)
+    return F.when(F.coalesce(right, F.lit(False)), out).otherwise(_said(at, F.lit(True), f"not of type {kinds}"))
 
 
 def payload_errors(payload: Column, schema: dict) -> Column:
-    """Errors of a JSON text against a schema, as an array; empty when it holds, null for null."""
-    whole = inline(schema)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def check(s: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            try:
-                return list(errors(json.loads(text), whole))
-            except ValueError:
-                return ["$: not JSON"]
-
-        return s.map(one)
-
-    return check(payload)
+    """Errors of a JSON text against a schema, as a sorted array; empty when it holds, null for null. The schema is compiled to
+    one expression over a variant: types, constants, enums, bounds, lengths, patterns, items, required, known, pattern
+    and further properties, all, any, one and none of several schemas, local references."""
+    v = F.try_parse_json(payload)
+    found = F.array_sort(compiled(inline(schema), v, F.lit("$")))
+    return F.when(payload.isNotNull(), F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(found))
 
 
 def uncited(memo: Column) -> Column:
