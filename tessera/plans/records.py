@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text
-from tessera.functions.ids import record_id
-from tessera.operators.relational import first_known, ordered_union
+from tessera.functions.ids import entity_id, record_id
+from tessera.operators.relational import first_known, ordered_union, typed
 
 # Places by which a country is known, the marker and form of persons in gazette texts, addresses in comments.
 PLACES = {"basel": "CH", "bern": "CH", "berlin": "DE", "geneva": "CH", "germany": "DE", "lausanne": "CH", "munich": "DE", "switzerland": "CH", "zug": "CH", "zurich": "CH"}
@@ -196,3 +197,51 @@ def discovered(searches: list[DataFrame], node: str, order: str) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     rest = [c for c in out.columns if c not in (node, "_search")]
     return out.groupBy(node).agg(F.min_by(F.struct(*rest), F.struct("_search", order)).alias("r")).select(node, "r.*")
+
+
+# The columns of a project row, in order, whatever platform it comes from.
+PROJECT = """project_id string, repo_id string, full_name string, name string, owner_login string, is_org_owned boolean, description string, summary_ai string, market_tags array<string>, usp_notes string, primary_language string, languages map<string,double>, topics array<string>, stars int, forks int, license string, homepage_url string, source_platform string, github_url string, structured variant, event_title string, challenge_title string, is_winner boolean, arxiv_ids_in_readme array<string>, funding_signals array<string>, is_corporate_oss boolean, is_academic boolean, venture_likeness double, contributor_count int, created_at_source timestamp, pushed_at timestamp, ai_model_version string, source_url string, scraped_at timestamp, updated_at timestamp"""
+# The columns of a showcase payload that a project row takes as they are, and their places.
+SHOWCASE = {"name": "title", "description": "summary", "market_tags": "tags", "topics": "techStack", "homepage_url": "demoUrl", "event_title": "eventTitle", "challenge_title": "challengeTitle", "is_winner": "winner", "usp_notes": "structured.usp"}
+
+
+def _fields(ddl: str) -> list[T.StructField]:
+    return T._parse_datatype_string(ddl).fields
+
+
+def project_rows(df: DataFrame, payload: str, platform: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(full project rows, rejects) of a platform's payloads (a variant beside source_url and scraped_at): columns that the platform
+    does not know are null in their own type, values of another type too; payloads that are no object with an id are rejected."""
+    v = F.col(payload)
+    key = F.coalesce(typed(v, "$.id", "string"), typed(v, "$.id", "bigint").cast("string"))
+    texts = lambda place: F.filter(F.transform(F.try_variant_get(v, f"$.{place}", "array<variant>"), lambda x: typed(x, "$", "string")), lambda x: x.isNotNull())
+    known = {name: texts(place) if name in ("market_tags", "topics") else typed(v, f"$.{place}", "boolean" if name == "is_winner" else "string") for name, place in SHOWCASE.items()}
+    people = F.try_variant_get(v, "$.team", "array<variant>")
+    known |= {
+        "project_id": entity_id("project", key), "source_platform": F.lit(platform), "github_url": text.url_key(typed(v, "$.githubUrl", "string")), "structured": F.try_variant_get(v, "$.structured", "variant"),
+        "contributor_count": F.size(people), "created_at_source": F.try_to_timestamp(typed(v, "$.createdAt", "string")), "source_url": F.col("source_url"), "scraped_at": F.col("scraped_at"), "updated_at": now,
+    }
+    good = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & key.isNotNull()
+    rows = df.where(good).select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields(PROJECT)))
+    return rows, df.where(~good).withColumn("reason", F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "no id").otherwise("no object"))
+
+
+#: What matching reads of a record, whichever store it comes from.
+VIEW = "record_id string, source string, source_key string, full_name string, name_norm string, first_name string, last_name string, email_norms array<string>, email_domain string, orcid string, github_login string, website_url_norm string, linkedin_url string, twitter_handle string, affiliation_raw string, org_norm string, location_raw string, country_code string, keywords array<string>, bio string, avatar_url string, cv_url string, bronze_ref string, last_seen_at string"
+
+
+def record_view(df: DataFrame) -> DataFrame:
+    """Records as matching reads them: missing columns null, lists never null and without null elements, ids and times as text
+    (empty where unknown; times in ISO form with their offset)."""
+    out = []
+    for f in _fields(VIEW):
+        have = df.schema[f.name].dataType if f.name in df.columns else None
+        c = F.col(f.name) if have is not None else F.lit(None)
+        if isinstance(f.dataType, T.ArrayType):
+            c = F.coalesce(F.filter(c, lambda x: x.isNotNull()) if isinstance(have, T.ArrayType) else F.lit(None).cast(f.dataType), F.array().cast(f.dataType))
+        elif f.name == "last_seen_at":
+            c = F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx") if isinstance(have, (T.TimestampType, T.TimestampNTZType)) else c.cast("string"), F.lit(""))
+        elif f.name in ("record_id", "source", "source_key"):
+            c = F.coalesce(c.cast("string"), F.lit(""))
+        out.append(c.cast(f.dataType).alias(f.name))
+    return df.select(*out)

@@ -123,7 +123,7 @@ def z04_fetch_chain(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part")
 def s20_replay(t: Tables) -> DataFrame:
-    """Paged JSON responses replayed."""
+    """Items out of paged JSON responses that are kept as text files."""
     where = _folder(t, "s20")
     pages = t.part.groupBy((F.col("p_partkey") % 7).alias("page")).agg(F.collect_list(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).alias("items"))
     pages.select(F.to_json(F.struct("items")).alias("value")).repartition(7).write.text(where)
@@ -207,12 +207,10 @@ def p07_active(t: Tables) -> DataFrame:
     return team.agg(F.count("*").alias("k")).select(F.lit("active").alias("kind"), "k").unionByName(scoring.first_active(flags, "k").select(F.lit("first").alias("kind"), "k"))
 
 
-@query("SELECT 'lineitem' AS t, 'l_orderkey,l_partkey' AS c")
+@query("SELECT l_orderkey, l_partkey, l_linestatus, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def p13_leading_columns(t: Tables) -> DataFrame:
-    """Columns worth showing of a wide table: few ids, then the rest up to eight."""
-    names = ["l_orderkey_id", "l_partkey_id", "l_suppkey_id"]
-    found = [c.removesuffix("_id") for c in relational.leading_columns(names)]
-    return t.region.limit(1).select(F.lit("lineitem").alias("t"), F.lit(",".join(found)).alias("c"))
+    """The columns worth showing of a wide table: two ids, named ones, then the rest up to eight."""
+    return t.lineitem.select(*relational.leading_columns(t.lineitem.columns))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'cached ' || c_nationkey ELSE 'made prompt ' || c_nationkey END AS answer FROM customer")

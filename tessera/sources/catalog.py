@@ -87,12 +87,28 @@ def parse(ddl: str, **values: str) -> dict[str, Table]:
     return tables
 
 
-def apply(spark: SparkSession, text: str, **values: str) -> int:
-    """Run the statements of a DDL text in order; how many ran."""
+@dataclass
+class Applied:
+    ran: int = 0
+    skipped: int = 0  # constraints that were there already
+
+
+def apply(spark: SparkSession, text: str, known: dict[str, Table] | None = None, **values: str) -> int | Applied:
+    """Run the statements of a DDL text in order; how many ran. With a registry of ``known`` tables, constraints are added to
+    it, since Parquet tables hold none: one of a name that is there already changes nothing."""
     statements = render(text, **values)
+    done = Applied()
     for s in statements:
-        spark.sql(s)
-    return len(statements)
+        m = re.match(r"(?is)alter\s+table\s+([\w.]+)\s+add\s+constraint\s+(\w+)\s+check\s*\((.*)\)$", s)
+        if known is None or m is None:
+            spark.sql(s)
+        elif m[2] in known[m[1]].checks:
+            done.skipped += 1
+            continue
+        else:
+            known[m[1]].checks[m[2]] = m[3].strip()
+        done.ran += 1
+    return done.ran if known is None else done
 
 
 @dataclass
