@@ -129,16 +129,18 @@ def numbered(near: DataFrame) -> DataFrame:
 
 def reached(near: DataFrame) -> DataFrame:
     """(node, reached): how many others lie within two hops, exactly, without a row for each of them. A node's neighbours and
-    itself are bits of a few bitmaps (one for each 32,768 numbers that it touches); bitmaps of neighbours are put together
-    by OR, on the map side first, and their bits counted."""
+    itself are bits of a bitmap that is kept as its words of 64 numbers which are not empty; bitmaps of neighbours are put
+    together word by word, on the map side first, and their bits counted. As neighbours have numbers close together, a word
+    stands for many of them."""
     named = stored(numbered(near), "reach-numbers")
     other = near.join(named.withColumnRenamed("node", "other"), "other").select("node", "number")
-    around = other.unionByName(named)
-    balls = stored(around.groupBy("node", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")), "reach-balls")
+    bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
+    words = other.unionByName(named).groupBy("node", F.expr("number div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    balls = stored(words, "reach-balls")
     ways = near.select("node", F.col("other").alias("mid"))
     met = join_split(ways, balls.withColumnRenamed("node", "mid"), "mid", "node", heavy_keys(ways, "mid"))
-    whole = met.groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return whole.groupBy("node").agg((F.sum(F.bitmap_count("bits")) - 1).alias("reached"))
+    whole = met.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    return whole.groupBy("node").agg((F.sum(F.bit_count("bits")) - 1).alias("reached"))
 
 
 def centrality(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -> DataFrame:

@@ -88,7 +88,7 @@ def identifier_rules(records: DataFrame, every_pair: bool = True) -> DataFrame:
 
 def name_org_pairs(records: DataFrame) -> DataFrame:
     """Same name and organisation, both known. Only for review."""
-    return equal_pairs(records, "record_id", ["name_norm", "org_norm"]).select("left", "right", F.concat_ws(" @ ", "name_norm", "org_norm").alias("evidence"), F.lit("D6").alias("rule"))
+    return equal_pairs(records, "record_id", ["name_norm", "org_norm"], split=True).select("left", "right", F.concat_ws(" @ ", "name_norm", "org_norm").alias("evidence"), F.lit("D6").alias("rule"))
 
 
 def crosslink_matches(candidates: DataFrame, records: DataFrame) -> DataFrame:

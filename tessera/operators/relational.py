@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.order import global_rank, page, running_total  # noqa: F401
 from tessera.operators.skew import heavy_keys, join_split
+from tessera.operators.storage import stored
 
 # ---- projections and filters --------------------------------------------------------------------
 
@@ -97,7 +98,7 @@ def equal_pairs(df: DataFrame, key: str, on: Sequence[str], split: bool = False)
     large part of all rows are made in many tasks. Where only components matter, ``skew.stars`` makes a row a member."""
     slim = df.select(F.col(key).alias("_k"), *on).dropna(subset=list(on))
     if split:
-        packed = slim.select("_k", F.struct(*on).alias("_on"))
+        packed = stored(slim.select("_k", F.struct(*on).alias("_on")), "pairs")  # read three times
         heavy = heavy_keys(packed, "_on")
         return join_split(packed.toDF("left", "_on"), packed.toDF("right", "_on"), "_on", "left", heavy).where("left < right").select("left", "right", "_on.*")
     a, b = slim.withColumnRenamed("_k", "left"), slim.withColumnRenamed("_k", "right")
@@ -133,6 +134,7 @@ def first_wins_by(df: DataFrame, key: str, order: str) -> DataFrame:
 def artifact_pairs(members: DataFrame, artifact: str, person: str) -> DataFrame:
     """Pairs of distinct persons on one artifact, smaller id first, with the artifact and both sides' columns (a_, b_). The
     pairs of an artifact with a large part of all members are made in many tasks."""
+    members = stored(members, "members")  # read three times
     rest = [c for c in members.columns if c not in (artifact, person)]
     a = members.select(artifact, F.col(person).alias("person_a"), *(F.col(c).alias(f"a_{c}") for c in rest))
     b = members.select(artifact, F.col(person).alias("person_b"), *(F.col(c).alias(f"b_{c}") for c in rest))

@@ -59,20 +59,24 @@ def candidates(names: DataFrame, threshold: float) -> DataFrame:
     shared by very many, are met in many tasks."""
     if not LEAST <= threshold <= 1:
         raise ValueError(f"thresholds from {LEAST} to 1 only")
-    cut = stored(names.where("name <> ''").select("name").distinct().withColumn("letters", letters(F.col("name"))), "similar-letters")
+    cut = names.where("name <> ''").select("name").distinct().withColumn("letters", letters(F.col("name")))
+    cut = stored(cut.withColumn("id", F.monotonically_increasing_id()), "similar-letters")
     rare = stored(cut.select(F.explode("letters").alias("x")).groupBy("x").agg(F.count("*").alias("df")), "similar-rarity")  # one row a letter and occurrence
-    ranked = cut.select("name", F.explode("letters").alias("x")).join(rare, "x").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
-    slim = ranked.select("name", F.transform("s", lambda y: y["x"]).alias("sorted"), F.length("name").alias("n"))
-    keyed = stored(slim.select("name", "n", "sorted", F.explode(F.array_distinct(F.concat(*(_keys(F.col("sorted"), F.col("n"), F.col("name"), threshold, p) for p in (3, 4))))).alias("key")), "similar-keys")
-    a = keyed.select("key", F.col("name").alias("l"), F.col("n").alias("n"), F.col("sorted").alias("x"))
-    b = keyed.select("key", F.col("name").alias("r"), F.col("n").alias("k"), F.col("sorted").alias("y"))
-    met = join_split(a, b, "key", "l", heavy_keys(keyed, "key")).where("l < r")
-    shared = F.size(F.array_intersect("x", "y"))
+    ranked = cut.select("id", "name", F.explode("letters").alias("x")).join(rare, "x").groupBy("id", "name").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
+    slim = ranked.select("id", "name", F.transform("s", lambda y: y["x"]).alias("sorted"), F.length("name").alias("n"))
+    keys = F.array_distinct(F.concat(*(_keys(F.col("sorted"), F.col("n"), F.col("name"), threshold, p) for p in (3, 4))))
+    keyed = stored(slim.select("id", F.explode(keys).alias("key")), "similar-keys")
+    met = join_split(keyed.select("key", F.col("id").alias("a")), keyed.select("key", F.col("id").alias("b")), "key", "a", heavy_keys(keyed, "key")).where("a < b")
+    pairs = stored(met.select("a", "b").distinct(), "similar-met")  # a pair meets under several keys
+    side = lambda k, name, set_: cut.select(F.col("id").alias(k), F.col("name").alias(name), F.col("letters").alias(set_))
+    both = pairs.join(side("a", "p", "x"), "a").join(side("b", "q", "y"), "b")
+    shared, n, k = F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y")
     prefix = F.lit(0)
     for i in range(1, 5):
-        prefix = F.when(F.substring("l", 1, i) == F.substring("r", 1, i), i).otherwise(prefix)
-    most = (shared / F.col("n") + shared / F.col("k") + 1) / 3
-    return met.where(most + 0.1 * prefix * (1 - most) >= threshold - 1e-9).select("l", "r").distinct()
+        prefix = F.when(F.substring("p", 1, i) == F.substring("q", 1, i), i).otherwise(prefix)
+    most = (shared / n + shared / k + 1) / 3
+    near = both.where(most + 0.1 * prefix * (1 - most) >= threshold - 1e-9)
+    return near.select(F.least("p", "q").alias("l"), F.greatest("p", "q").alias("r"))
 
 
 def similar_names(names: DataFrame, threshold: float) -> DataFrame:

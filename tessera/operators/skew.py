@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.storage import stored
+
 HEAVY_KEYS, HEAVY_ROWS = 10_000, 100
 PARTS = 64  # parts that the rows of a heavy key are dealt into
 
@@ -36,5 +38,6 @@ def stars(df: DataFrame, key: str, on: list[Column | str]) -> DataFrame:
     """(left, right) from the smallest key of each group of rows that agree on ``on`` to each other key of it: as
     connected as all pairs of the group, and one row a member. Groups are split where they are heavy."""
     slim = df.select(F.col(key).alias("right"), F.struct(*on).alias("_on")).where(" and ".join(f"_on.{c} is not null" for c in on)).distinct()
+    slim = stored(slim, "stars")  # read three times
     centres = slim.groupBy("_on").agg(F.min("right").alias("left"), F.max("right").alias("_last")).where("left <> _last").drop("_last")
     return join_split(slim, centres, "_on", "right", heavy_keys(slim, "_on")).where("left <> right").select("left", "right", "_on.*")

@@ -13,6 +13,7 @@ from tessera.functions import ids, numbers, text
 from tessera.operators import dml, graph, identity, relational, search, similar, validation
 from tessera.operators.index import TextIndex
 from tessera.operators.order import Pages, medians
+from tessera.operators.skew import small
 from tessera.operators.storage import shared_folder
 from tessera.plans import scoring
 from tessera.plans.registry import Tables, query
@@ -33,7 +34,7 @@ def q01_ranked_pool(t: Tables) -> DataFrame:
     length = F.least(F.lit(1.0), F.col("n_chars") / 5000.0)
     score = numbers.weighted_mean([F.col("quality"), length], [F.lit(3.0), F.lit(1.0)])
     pool = t.documents.select("lang").distinct().where(F.col("lang").isin("en", "de"))
-    return relational.ranked(joined.join(F.broadcast(pool), "lang", "left_semi").select("doc_id", "lang", F.round(score, 6).alias("final_score")), "final_score", "doc_id")
+    return relational.ranked(joined.join(small(pool), "lang", "left_semi").select("doc_id", "lang", F.round(score, 6).alias("final_score")), "final_score", "doc_id")
 
 
 @query("""
@@ -93,7 +94,7 @@ FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (0, 1)) q
 def q04_profile_similarity(t: Tables) -> DataFrame:
     """Every vector against the active profiles: a fixed, small set on one side."""
     profiles = t.embeddings.where(F.col("vec_id").isin(0, 1)).select(F.col("vec_id").alias("profile"), F.col("embedding").alias("p"))
-    return t.embeddings.crossJoin(F.broadcast(profiles)).select("vec_id", "profile", F.round(numbers.dot(F.col("embedding"), F.col("p")), 6).alias("similarity"))
+    return t.embeddings.crossJoin(small(profiles)).select("vec_id", "profile", F.round(numbers.dot(F.col("embedding"), F.col("p")), 6).alias("similarity"))
 
 
 @query("""
@@ -153,7 +154,7 @@ def j26_dossier(t: Tables) -> DataFrame:
     """Left joins around one key, folded into lists."""
     orders = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count_distinct("o_orderkey").alias("orders"), F.array_join(F.sort_array(F.collect_set("o_orderpriority")), ",").alias("priorities"))
     places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
-    return t.customer.join(orders, "c_custkey", "left").join(F.broadcast(places), "c_nationkey", "left").select("c_custkey", "c_name", F.coalesce("orders", F.lit(0)).alias("orders"), "priorities", "nation", "region")
+    return t.customer.join(orders, "c_custkey", "left").join(small(places), "c_nationkey", "left").select("c_custkey", "c_name", F.coalesce("orders", F.lit(0)).alias("orders"), "priorities", "nation", "region")
 
 
 @query("""

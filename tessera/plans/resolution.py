@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import identity
 from tessera.operators.graph import collaboration_edges, ensure_checkpoint_folder
 from tessera.operators.relational import artifact_pairs
+from tessera.operators.storage import stored
 
 
 @dataclass
@@ -28,11 +29,11 @@ def resolve(records: DataFrame, active: DataFrame, candidates: DataFrame, teams:
     rules = identity.identifier_rules(records, every_pair=False).unionByName(identity.crosslink_matches(candidates, records))
     if teams is not None:
         rules = rules.unionByName(teams)
-    review_only = identity.name_org_pairs(records)
+    review_only = stored(identity.name_org_pairs(records), "resolution-names")
     matches = identity.with_methods(rules.unionByName(review_only))
-    scored = identity.linkage(records)
+    scored = stored(identity.linkage(records), "resolution-scored")  # blocking and similarities once, whatever reads them
     linked = matches.where("auto").select("left", "right")
-    open_pairs = identity.undecided(scored, records, linked, active)
+    open_pairs = stored(identity.undecided(scored, records, linked, active), "resolution-open")
     likely = open_pairs.where("band = 'auto'").select("left", "right", F.lit("linkage").alias("rule"), F.round("probability", 4).cast("string").alias("evidence"), F.lit("linkage").alias("method"), F.col("probability").alias("confidence"), F.lit(True).alias("auto"))
     matches = matches.unionByName(likely.select(*matches.columns))
     if verdicts is not None:
