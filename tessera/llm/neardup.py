@@ -253,11 +253,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     prefix = stored(_prefix_rows(rest, df, percent).join(role, "id"), "neardup-prefixes")
     # Sets that are alike enough are of one size band or of neighbouring ones.
     size = F.log(F.col("n").cast("double")) / log(100 / percent)
-    x = prefix.withColumn("band", F.floor(size)).alias("x")
-    y = prefix.where("active").withColumn("band", F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1 + 1e-6)))).alias("y")
-    need = f"ceil({percent} * (x.n + y.n) / {100.0 + percent})"
-    more = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & F.expr(f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n and 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {need}"))
-    close = stored(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "neardup-close")
+    x = prefix.select(F.struct("s", F.floor(size).alias("band")).alias("k"), "id", "n", "pos", "label")
+    bands = F.explode(F.sequence(F.floor(size - 1 - 1e-6), F.floor(size + 1 + 1e-6)))
+    y = prefix.where("active").withColumn("band", bands).select(F.struct("s", "band").alias("k"), *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "pos", "label")))
+    need = f"ceil({percent} * (n + n_2) / {100.0 + percent})"
+    # A shingle that very many prefixes share is met in many tasks.
+    more = join_split(x, y, "k", "id", heavy_keys(x, "k")).where((F.col("label") != F.col("label_2")) & F.expr(f"100 * n >= {percent} * n_2 and 100 * n_2 >= {percent} * n and 1 + least(n - pos - 1, n_2 - pos_2 - 1) >= {need}"))
+    close = stored(more.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct(), "neardup-close")
     second = confirm(close, sets, percent)
 
     # Components of representatives, then of all ids.

@@ -159,3 +159,92 @@ def test_text_media(spark):
     assert rows[1]["n_bytes"] == 3 and rows[1]["payload_sha256"] == hashlib.sha256(want).hexdigest() and rows[1]["tail_crc32"] == zlib.crc32(want[-32:])
     assert rows[2][1:] == rows[3][1:] and rows[1][1:] == rows[4][1:] and rows[2]["payload_bytes"] == 576
     assert rows[5]["payload_bytes"] == 300_096
+
+
+def _plain_pages(media):
+    """(height, samples) of each page by the format's own rules: little-endian classic files, one byte a sample."""
+    at, out = struct.unpack_from("<I", media, 4)[0], []
+    while at:
+        count = struct.unpack_from("<H", media, at)[0]
+        tags = {}
+        for i in range(count):
+            tag, form, n, value = struct.unpack_from("<HHI4s", media, at + 2 + 12 * i)
+            size = {3: 2, 4: 4}[form]
+            raw = value[: n * size] if n * size <= 4 else media[struct.unpack("<I", value)[0] :][: n * size]
+            tags[tag] = struct.unpack(f"<{n}{'H' if form == 3 else 'I'}", raw)
+        at = struct.unpack_from("<I", media, at + 2 + 12 * count)[0]
+        width, height, kind = tags[256][0], tags[257][0], tags[259][0]
+        tiled = 324 in tags
+        across, down = (tags[322][0], tags[323][0]) if tiled else (width, tags[278][0])
+        canvas = [bytearray(width) for _ in range(height)]
+        columns = -(-width // across)
+        for i, (start, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279])):
+            left, top = i % columns * across, i // columns * down
+            rows = down if tiled else min(down, height - top)
+            data = bytearray(_plain_unpack(kind, media[start : start + size]))[: across * rows]
+            for r in range(rows):
+                line = data[r * across : (r + 1) * across]
+                if tags.get(317, (1,))[0] == 2:
+                    for x in range(1, len(line)):
+                        line[x] = (line[x] + line[x - 1]) & 255
+                if top + r < height:
+                    kept = min(across, width - left)
+                    canvas[top + r][left : left + kept] = line[:kept]
+        out.append((height, b"".join(canvas)))
+    return out
+
+
+def _plain_unpack(kind, data):
+    if kind == tiff.DEFLATE:
+        return zlib.decompress(data)
+    out = bytearray()
+    if kind == tiff.PACKBITS:
+        i = 0
+        while i < len(data):
+            n = data[i] - 256 if data[i] > 128 else data[i]
+            if data[i] == 128:
+                i += 1
+            elif n >= 0:
+                out += data[i + 1 : i + 2 + n]
+                i += n + 2
+            else:
+                out += data[i + 1 : i + 2] * (1 - n)
+                i += 2
+        return out
+    bits = "".join(f"{b:08b}" for b in data)
+    at, width, table, last = 0, 9, {}, b""
+    while at + width <= len(bits):
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = {i: bytes([i]) for i in range(256)}, 9, b""
+            continue
+        word = table[code] if code in table else last + last[:1]
+        out += word
+        if last:
+            table[len(table) + 2] = last + word[:1]
+        last, width = word, max(9, (len(table) + 2 + 1).bit_length())
+    return out
+
+
+def test_media_equal_a_plain_reader(spark):
+    """Every column of the operator by an independent reading of the stored bytes; all four layouts come up."""
+    texts = ["", "a", "é" * 3000, "word " * 900, "".join(chr(33 + i * i % 90) for i in range(5000)), "x" * 200_000, *(f"text {i} " * (i % 50) for i in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = set()
+    for r in tiff.text_media(df, "doc_id", "text").collect():
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        media = tiff.store(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        kinds.add(zlib.crc32(payload) % 4)
+        pages = _plain_pages(media)
+        assert b"".join(d for _, d in pages) == payload and r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["payload_bytes"] == len(payload) and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        mean = sum(payload) / len(payload)
+        spread = (sum(x * x for x in payload) / len(payload) - mean * mean) ** 0.5
+        bins = ",".join(str(sum(x // 16 == b for x in payload) * 1000 // len(payload)) for b in range(16))
+        named = dict(x.split("=") for x in r["feature"].split(";"))
+        assert (named["pages"], named["rows"], named["hist"]) == (str(len(pages)), str(sum(h for h, _ in pages)), bins)
+        assert abs(float(named["mean"]) - mean) < 1e-3 and abs(float(named["sd"]) - spread) < 1e-3
+    assert kinds == {0, 1, 2, 3}
