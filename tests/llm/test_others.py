@@ -293,7 +293,7 @@ def test_scores_equal_brute_force(spark):
 def test_terms_of_any_length(spark):
     """Words of one or of forty letters may be terms; lengths of stems are a parameter."""
     long = "zq" * 20
-    docs = [(i, f"{'ß' if i % 4 else long} plain words here {'ohneendingsxy' if i % 2 else 'ohneendingsab'}" if i % 3 == 0 else "plain words here and there") for i in range(300)]
+    docs = [(i, f"number{i} {'ß' if i % 4 else long} plain words here {'ohneendingsxy' if i % 2 else 'ohneendingsab'}" if i % 3 == 0 else f"plain words here and there {i}") for i in range(300)]
     df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int")
     found = toxicity.fit(df, labels).lexicon.weights
     assert ("ß", True) in found and (long, True) in found and not any(len(t) > 8 and not whole for t, whole in found)
