@@ -7,7 +7,7 @@ deterministic stand-in. Plans take it as an argument, so nothing here talks to a
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Protocol
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,28 +18,23 @@ from tessera.functions.text import first_line
 Model = Callable[[Column], Column]
 
 
+@runtime_checkable
 class Source(Protocol):
     """Rows by table since a cursor, as ``ingest.drain`` takes them."""
 
     def fetch(self, cursor: str | None) -> dict[str, DataFrame]: ...
 
 
+@runtime_checkable
 class Sink(Protocol):
     """Takes staged rows of one table."""
 
     def upsert(self, staged: DataFrame, **options: object) -> object: ...
 
 
-class Normaliser(Protocol):
-    """Raw rows to the observed columns of records."""
-
-    def __call__(self, raw: DataFrame) -> DataFrame: ...
-
-
-class Scorer(Protocol):
-    """Inputs of a run to long score rows (venture_id, category, score, kinds)."""
-
-    def __call__(self, run: dict) -> DataFrame: ...
+#: Raw rows to the observed columns of records; the inputs of a run to long score rows (venture_id, category, score, kinds).
+Normaliser = Callable[[DataFrame], DataFrame]
+Scorer = Callable[[dict], DataFrame]
 
 
 def hashed(size: int = 1024) -> Model:

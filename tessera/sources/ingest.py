@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.models import Sink, Source
 from tessera.sources.feeds import batches, split_on_failure
-from tessera.sources.sinks import Counts, ParquetTable
+from tessera.sources.sinks import Counts
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str, most: int | None = None) -> DataFrame:
@@ -60,9 +61,14 @@ def match_rate(looked_up: DataFrame) -> DataFrame:
     return looked_up.agg(F.count("*").alias("asked"), F.count_if("found").alias("found"), F.round(F.coalesce(F.avg(F.col("found").cast("double")), F.lit(0.0)), 4).alias("rate"))
 
 
-def drain(source: str, fetch: Callable[[str | None], dict[str, DataFrame]], tables: dict[str, ParquetTable], load: Callable[[str], str | None], save: Callable[[str, str | None, str, str | None], None], cursor: Callable[[dict[str, DataFrame]], str | None], **options) -> dict[str, Counts]:
+def drain(source: str, fetch: Source | Callable[[str | None], dict[str, DataFrame]], tables: dict[str, Sink], load: Callable[[str], str | None], save: Callable[[str, str | None, str, str | None], None], cursor: Callable[[dict[str, DataFrame]], str | None], **options) -> dict[str, Counts]:
     """Load the cursor, fetch, upsert every table that has rows, and save the new cursor. A failure saves the old one with
-    status ``error`` and is raised."""
+    status ``error`` and is raised. ``fetch`` is a source, or a function like its method; whatever takes staged rows may be a
+    table, a dry run too."""
+    wrong = [n for n, t in tables.items() if not isinstance(t, Sink)]
+    if wrong:
+        raise TypeError(f"no sinks: {wrong}")
+    fetch = fetch.fetch if isinstance(fetch, Source) else fetch
     old = load(source)
     try:
         rows = fetch(old)

@@ -267,6 +267,15 @@ def test_ingestion(spark, tmp_path):
     done = ingest.drain("s", lambda c: rows, {"t": t}, lambda s: saved.get(s, (None,))[0], lambda s, c, st, e: saved.__setitem__(s, (c, st, e)), lambda r: "7")
     assert done["t"].inserted == 1 and saved["s"] == ("7", "ok", None)
 
+    class Given:
+        def fetch(self, cursor):
+            return {"t": spark.createDataFrame([(2, cursor)], table.schema)}
+
+    again = ingest.drain("s", Given(), {"t": t}, lambda s: saved[s][0], lambda s, c, st, e: saved.__setitem__(s, (c, st, e)), lambda r: None)
+    assert again["t"].inserted == 1 and saved["s"] == ("7", "ok", None) and {r["v"] for r in t.read().collect()} == {"a", "7"}
+    with pytest.raises(TypeError):
+        ingest.drain("s", Given(), {"t": "no sink"}, lambda s: None, lambda *a: None, lambda r: None)
+
     def broken(_):
         raise RuntimeError("no answer")
 
