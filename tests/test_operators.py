@@ -159,3 +159,29 @@ def test_checks(spark):
     df = spark.createDataFrame([(1, "ok", 0.5, True), (1, "odd", 2.0, True), (2, None, None, False)], "id long, s string, x double, f boolean")
     checks = [validation.unique("u", df, ["id"]), validation.one_of("e", df, "s", ["ok"], "id"), validation.in_range("r", df, "x", 0, 1, "id"), validation.one_flagged("f", df, F.col("f"), ["id"]), validation.foreign_key("k", df, "id", spark.createDataFrame([(1,)], "p long"), "p"), validation.recomputed("c", df, "s", F.lit("ok"), "id")]
     assert dict(rows(validation.summary(checks, list("uerfkc") + ["none"]))) == {"u": 1, "e": 1, "r": 1, "f": 1, "k": 1, "c": 2, "none": 0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_heavy_keys_are_not_broadcast(spark):
+    """Copies of heavy rows look as small as the rows; they must not go through the driver."""
+    from tessera.operators.skew import heavy_keys, join_split
+
+    rows = spark.range(2_000).selectExpr("id", "id % 4 as k")
+    found = join_split(rows, rows.selectExpr("k", "id as other"), "k", "id", heavy_keys(rows, "k"))
+    assert _plan(found).count("SortMergeJoin") == 1 and found.count() == 4 * 500 * 500
+
+
+def test_records_of_pairs_are_not_broadcast(spark):
+    from tessera.operators import identity
+
+    held = "record_id string, name_norm string, email_norms array<string>, org_norm string, country_code string, keywords array<string>"
+    r = spark.createDataFrame([("a", "x y", ["x@y"], "o", "CH", ["k"]), ("b", "x z", None, "o", None, None)], held)
+    pairs = spark.createDataFrame([("a", "b")], "left string, right string")
+    assert "Broadcast" not in _plan(identity.compare(pairs, r)) and identity.compare(pairs, r).count() == 1
+    linked = spark.createDataFrame([], "left string, right string")
+    active = spark.createDataFrame([("a", "p")], "record_id string, person_id string")
+    open_ = identity.undecided(pairs, r, linked, active)
+    assert _plan(open_).count("SortMergeJoin") >= 2 and open_.count() == 1
