@@ -185,3 +185,24 @@ def test_records_of_pairs_are_not_broadcast(spark):
     active = spark.createDataFrame([("a", "p")], "record_id string, person_id string")
     open_ = identity.undecided(pairs, r, linked, active)
     assert _plan(open_).count("SortMergeJoin") >= 2 and open_.count() == 1
+
+
+def test_graphs_of_groups_equal_graphs_of_pairs(spark):
+    members = spark.createDataFrame([(i, g) for i in range(60) for g in {i // 7, 100 + i * i % 23, None if i % 5 else 200}], "node long, g long")
+    nodes = spark.range(70).withColumnRenamed("id", "node")
+    groups = graph.memberships(members, "node", ["g"])
+    edges = relational.equal_pairs(members, "node", ["g"]).select(F.col("left").alias("a"), F.col("right").alias("b"))
+    near = graph.neighbours(edges, "a", "b")
+    targets = nodes.where("node in (3, 40, 65)")
+    assert rows(graph.hops_by_groups(groups, targets)) == rows(graph.hops(near, targets))
+    assert rows(graph.degrees_by_groups(nodes, groups, "node")) == rows(graph.degrees(nodes, edges, "node", "a", "b"))
+    assert rows(graph.centrality_by_groups(nodes, groups, "node")) == rows(graph.centrality(nodes, edges, "node", "a", "b"))
+
+
+def test_a_large_group_makes_no_pairs(spark):
+    """Its 5 billion pairs would not end."""
+    groups = graph.memberships(spark.range(100_000).selectExpr("id", "1 as g"), "id", ["g"])
+    nodes = spark.range(100_001)
+    assert {r["degree"] for r in graph.degrees_by_groups(nodes, groups, "id").collect()} == {99_999, 0}
+    assert {r["centrality"] for r in graph.centrality_by_groups(nodes, groups, "id").collect()} == {1.0, 0.0}
+    assert graph.hops_by_groups(groups, spark.createDataFrame([(5,)], "node long")).where("hops = 1").count() == 99_999
