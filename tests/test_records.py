@@ -73,3 +73,17 @@ def test_commits_repositories_and_schools(spark):
     assert [r["full_name"] for r in records.repositories_of(pitched, "payload", "$.githubUrl").collect()] == ["a/b"]
     dump = raw(spark, "id long", [(1, {"id": "ror1", "types": ["education", "funder"], "names": [{"value": "ETH Zurich", "types": ["ror_display", "label"]}, {"value": "ETHZ", "types": ["acronym"]}], "locations": [{"geonames_details": {"country_code": "CH"}}]}), (2, {"id": "ror2", "types": ["company"], "names": []})])
     assert [tuple(r) for r in records.registered_schools(dump).collect()] == [("ror1", "ETH Zurich", ["ETHZ"], "CH")]
+
+
+def test_halves_are_cast_as_sql_casts(spark, tmp_path):
+    """Cents that end on a half go to the even number, as the cast of SQL takes them."""
+    import __spark_entry__
+
+    rows = [(1, 0, 50.0, "A"), (2, 0, 49.0, "A"), (3, 0, 150.0, "A"), (4, 0, 250.0, "A"), (5, 0, 199.0, "A")]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = __spark_entry__.queries()["q19_components"](spark, str(tmp_path)).collect()
+    assert {r["id"]: r["component"] for r in found} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+    pairs = __spark_entry__.queries()["q18_identity_rules"](spark, str(tmp_path)).where("rule = 'D1'").collect()
+    assert {(r["left"], r["right"]) for r in pairs} == {(1, 2), (3, 4), (3, 5), (4, 5)}
+    kept = __spark_entry__.queries()["g10_guard"](spark, str(tmp_path)).where("kept").collect()
+    assert {r["id"] for r in kept} == {1, 3}
