@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import ids, text
+from tessera.functions import ids, numbers, text
 from tessera.operators import relational
 from tessera.operators.order import global_rank
 from tessera.operators.storage import shared_folder
@@ -128,7 +128,7 @@ def z43_loaded(t: Tables) -> DataFrame:
     where, spec = _folder(t, "z43"), catalog.parse(_LOADED)
     given = {
         "ventures": t.part.select(F.col("p_partkey").alias("venture_id"), F.col("p_name").alias("name"), F.lit("open").alias("status")),
-        "scores": t.orders.select(F.col("o_orderkey").alias("score_id"), F.col("o_orderkey").alias("venture_id"), F.round(F.col("o_totalprice") / 1000, 3).alias("final_score"), (F.col("o_orderkey") % 2 == 0).alias("is_latest")),
+        "scores": t.orders.select(F.col("o_orderkey").alias("score_id"), F.col("o_orderkey").alias("venture_id"), numbers.rounded(F.col("o_totalprice") / 1000, 3).alias("final_score"), (F.col("o_orderkey") % 2 == 0).alias("is_latest")),
         "members": t.customer.select(F.col("c_nationkey").cast("long").alias("venture_id"), F.col("c_custkey").alias("person_id")),
         "persons": t.customer.select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("full_name"), F.when(F.col("c_acctbal") >= 0, "active").otherwise("merged").alias("status")),
     }
@@ -139,7 +139,7 @@ def z43_loaded(t: Tables) -> DataFrame:
     first, again = (sinks.sink_all(stores, held) for _ in range(2))
     table = {n: s.read() for n, s in stores.items()}
     ranked = views.ranked_ventures(table["ventures"], table["scores"]).where("final_score is not null")
-    ranked = global_rank(ranked, [F.desc_nulls_last("final_score"), F.col("venture_id")], "n").select(F.lit("ranked").alias("view"), "n", F.concat_ws(" ", "name", F.round("final_score", 1).cast("string"), "status").alias("line"))
+    ranked = global_rank(ranked, [F.desc_nulls_last("final_score"), F.col("venture_id")], "n").select(F.lit("ranked").alias("view"), "n", F.concat_ws(" ", "name", numbers.rounded(F.col("final_score"), 1).cast("string"), "status").alias("line"))
     team = global_rank(views.venture_team(table["members"], table["persons"]), [F.col("full_name"), F.col("person_id")], "n").select(F.lit("team").alias("view"), "n", F.concat_ws(" ", "full_name", F.col("venture_id").cast("string")).alias("line"))
     told = [("inserted", sum(c.inserted for c in first.values())), ("again", sum(c.inserted + c.updated for c in again.values()))]
     counts = (t.region.limit(1).select(F.lit(k).alias("view"), F.lit(1).alias("n"), F.lit(str(x)).alias("line")) for k, x in told)

@@ -100,3 +100,9 @@ def test_numbers(spark):
     assert one(spark, numbers.institution_score(F.lit(None).cast("double"), F.col("a")), a=1.0) == 35.0
     assert one(spark, numbers.closeness(F.col("a"), F.lit(2.0)), a=1.0) == 0.5
     assert one(spark, numbers.diversity(F.array(F.lit("x"), F.lit("y"))), a=1.0) == 1.0
+
+
+def test_rounding_is_that_of_the_reference(spark):
+    values = [258481.5, 32072.5, 130232.5, 259421.5, 75462.5, 0.5, -258481.5, 1.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(numbers.rounded(F.col("v") / 1000, 3).alias("r")).collect()
+    assert [r["r"] for r in got] == [duckdb.execute("SELECT round(?::DOUBLE / 1000, 3)", [v]).fetchone()[0] for v in values]
