@@ -206,3 +206,21 @@ def test_a_large_group_makes_no_pairs(spark):
     assert {r["degree"] for r in graph.degrees_by_groups(nodes, groups, "id").collect()} == {99_999, 0}
     assert {r["centrality"] for r in graph.centrality_by_groups(nodes, groups, "id").collect()} == {1.0, 0.0}
     assert graph.hops_by_groups(groups, spark.createDataFrame([(5,)], "node long")).where("hops = 1").count() == 99_999
+
+
+def test_first_matches_are_matches_and_connect_the_same(spark):
+    """One row a member gives the same components and the same first match of every record as all pairs do."""
+    from tessera.operators import identity
+
+    def row(i):
+        shared = [f"m{j}" for j in {i % 9, i * i % 13, i // 4} if (i + j) % 3]
+        site = f"github.com/g{i * 5 % 6}" if i % 3 == 0 else f"s{i % 7}" if i % 3 == 1 else None
+        return (f"r{i:03}", shared, f"o{i % 17}" if i % 4 == 0 else None, f"g{i % 6}" if i % 2 == 0 else None, site, f"https://linkedin.com/in/u{i // 6}" if i % 5 == 0 else None, f"t{i % 8}" if i % 7 == 0 else None)
+
+    r = spark.createDataFrame([row(i) for i in range(60)], "record_id string, email_norms array<string>, orcid string, github_login string, website_url_norm string, linkedin_url string, twitter_handle string")
+    every, few = (identity.with_methods(identity.identifier_rules(r, every_pair=e)) for e in (True, False))
+    assert set(rows(few.select("left", "right", "rule"))) <= set(rows(every.select("left", "right", "rule")))
+    assert rows(identity.best_incident(few)) == rows(identity.best_incident(every))
+    linked = [m.select(F.col("left").alias("a"), F.col("right").alias("b")) for m in (every, few)]
+    whole, star = (rows(graph.components(r, x, "record_id")) for x in linked)
+    assert whole == star
