@@ -234,3 +234,10 @@ def test_em_over_patterns_equals_em_over_pairs(spark):
     got = identity.expectation_maximisation(levels, {c: ((identity.NAME_M, identity.COUNTRY_M)[i], u[c]) for i, c in enumerate(m)}, rounds=4)
     assert all(abs(a - b) < 1e-9 for c in m for a, b in zip(m[c], got[c]))
     assert identity.em_of_patterns([], {"g_name": (identity.NAME_M, identity.NAME_U)}) == {"g_name": identity.NAME_M}
+
+
+def test_vectors_are_not_broadcast(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["n09_embeddings"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
