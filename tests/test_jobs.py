@@ -241,3 +241,14 @@ def test_vectors_are_not_broadcast(spark):
 
     found = __spark_entry__.queries()["n09_embeddings"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_by_code_are_not_grouped(spark):
+    """Reasons in order, several URLs of one project, and no grouping over the pairs."""
+    projects = spark.createDataFrame([(1, "u1", ["a1"], None), (1, "u2", None, None), (2, "u3", None, None), (3, None, ["a2"], None)], "project_id long, repo_url_norm string, arxiv_ids_in_readme array<string>, homepage_norm string")
+    papers = spark.createDataFrame([(10, "a1", ["u1", "u2"]), (11, "a2", ["u2", "u1", "u2"]), (12, "a3", None)], "publication_id long, arxiv_id string, code_url_norms array<string>")
+    archive = spark.createDataFrame([("u1", "a2", 0), ("u3", "a3", 0)], "repo_url_norm string, arxiv_id string, position int")
+    firms = spark.createDataFrame([], "company_id long, website_norm string")
+    found, _ = identity.crosslinks(projects, papers, archive, firms)
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert {tuple(r) for r in found.collect()} == {(1, 10, "readme a1"), (1, 11, "code u1"), (2, 12, "archive u3"), (3, 11, "readme a2")} and found.count() == 4
