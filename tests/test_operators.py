@@ -224,3 +224,20 @@ def test_first_matches_are_matches_and_connect_the_same(spark):
     linked = [m.select(F.col("left").alias("a"), F.col("right").alias("b")) for m in (every, few)]
     whole, star = (rows(graph.components(r, x, "record_id")) for x in linked)
     assert whole == star
+
+
+def test_reviews_in_groups_equal_reviews_of_pairs(spark):
+    """Persons with several records in a group, anchored and not, and ties of scores; pairs are neither grouped nor shuffled."""
+    from tessera.operators import identity
+
+    r = spark.createDataFrame([(f"r{i:03}", f"p{i * i % 23}" if i % 11 else None, f"o{i % 3}" if i % 7 else None, i) for i in range(120)], "record_id string, person_id string, org_norm string, n long")
+    anchored = r.where("n % 4 = 1").select("record_id").unionByName(r.where("n = 5").select("record_id"))
+    score = lambda a, b: F.round((a("n") * 3 + b("n")) % 10 / 10, 2)
+    method = lambda a, b: F.when(a("n") % 2 == 0, "x").otherwise("y")
+    pairs = relational.equal_pairs(r, "record_id", ["org_norm"]).join(r.selectExpr("record_id as left", "n as a"), "left").join(r.selectExpr("record_id as right", "n as b"), "right")
+    pairs = pairs.select("left", "right", score(lambda _: F.col("a"), lambda _: F.col("b")).alias("score"), method(lambda _: F.col("a"), lambda _: F.col("b")).alias("method"))
+    got = identity.reviews_in_groups(r, ["org_norm"], anchored, score, method)
+    want = identity.reviews(pairs, r.select("record_id", "person_id"), anchored)
+    assert rows(got) == rows(want.select(*got.columns)) and got.count() > 500
+    plan = _plan(got)
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
