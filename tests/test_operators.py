@@ -241,3 +241,29 @@ def test_reviews_in_groups_equal_reviews_of_pairs(spark):
     assert rows(got) == rows(want.select(*got.columns)) and got.count() > 500
     plan = _plan(got)
     assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_pairs_by_handles_are_not_grouped(spark):
+    """Each pair once with its smallest evidence, whichever of three ways finds it, without a group a pair."""
+    from tessera.operators import identity
+
+    made = [(f"r{i:03}", f"t{i % 5}" if i % 3 == 0 else None, f"u{i * 7 % 9}" if i % 4 else None, f"u{i * i % 11}" if i % 5 else None) for i in range(90)]
+    got = identity._handle_pairs(spark.createDataFrame(made, "record_id string, t string, h string, w string"))
+    want = {}
+    for a, t1, h1, w1 in made:
+        for b, t2, h2, w2 in made:
+            said = [x for x, y in ((t1, t2), (h1, w2), (h2, w1)) if x is not None and x == y]
+            if a < b and said:
+                want[a, b] = min(said)
+    assert rows(got) == sorted((a, b, e) for (a, b), e in want.items()) and {e[0] for e in want.values()} == {"t", "u"}
+    plan = _plan(got)
+    assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_tasks_take_a_bounded_number_of_rows(spark):
+    from tessera.operators import skew
+
+    df = spark.range(1_000).selectExpr("id", "id % 100 as k")
+    assert skew.in_parts(df, ["k"], 1_000, 100).rdd.getNumPartitions() == 10
+    assert skew.in_parts(df, ["k"], 1_000).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    assert skew.copied_rows(df, "k", spark.createDataFrame([(3,), (200,)], "k long")) == 1_000 + 10 * (skew.PARTS - 1)
