@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.search import CAP, PAIR_BONUS, alike, passes_text, snippets, tokenise, with_tokens
+from tessera.operators.search import CAP, PAIR_BONUS, alike, best_first, passes_text, snippets, tokenise, with_tokens
 from tessera.operators.skew import small
 
 DOCUMENTS_A_BLOCK = 1024
@@ -113,4 +113,4 @@ class TextIndex:
         found = self.hits(query, allowed) if k is None else self.best(query, k, allowed)
         hits = kept.join(found.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key")).drop("_key").orderBy(F.desc("relevance"), F.desc_nulls_last(score), key)
         hits = hits if k is None else hits.limit(k)
-        return with_tokens(hits, fields).withColumn("matched", snippets(query)).drop("_fields").orderBy(F.desc("relevance"), F.desc_nulls_last(score), key)
+        return best_first(with_tokens(hits, fields).withColumn("matched", snippets(query)).drop("_fields"), score, key, kept.count() if k is None else k)

@@ -267,3 +267,16 @@ def test_tasks_take_a_bounded_number_of_rows(spark):
     assert skew.in_parts(df, ["k"], 1_000, 100).rdd.getNumPartitions() == 10
     assert skew.in_parts(df, ["k"], 1_000).rdd.getNumPartitions() == df.rdd.getNumPartitions()
     assert skew.copied_rows(df, "k", spark.createDataFrame([(3,), (200,)], "k long")) == 1_000 + 10 * (skew.PARTS - 1)
+
+
+def test_texts_of_a_small_file_are_searched_once_in_many_tasks(spark, monkeypatch):
+    """Rows are dealt before the search and before the sort, which reads its rows twice."""
+    df = spark.range(1_000).selectExpr("id", "if(id % 3 = 0, 'tactile robots', 'x') as name", "1.0D as final_score").coalesce(1)
+    fields = [("name", "name", 3.0)]
+    want = [tuple(r) for r in search.search(df, fields, "tactile robots").collect()]
+    monkeypatch.setattr(search, "TEXTS", 100)
+    hits = search.search(df, fields, "tactile robots")
+    plan = _plan(hits)
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("REPARTITION_BY_NUM") == 2
+    assert plan.index("rangepartitioning") < plan.index("REPARTITION_BY_NUM") < plan.index("ArrowEvalPython") < plan.rindex("REPARTITION_BY_NUM")
+    assert [tuple(r) for r in hits.collect()] == want and len(want) == 334
