@@ -280,3 +280,28 @@ def test_texts_of_a_small_file_are_searched_once_in_many_tasks(spark, monkeypatc
     assert plan.count("ArrowEvalPython") == 1 and plan.count("REPARTITION_BY_NUM") == 2
     assert plan.index("rangepartitioning") < plan.index("REPARTITION_BY_NUM") < plan.index("ArrowEvalPython") < plan.rindex("REPARTITION_BY_NUM")
     assert [tuple(r) for r in hits.collect()] == want and len(want) == 334
+
+
+def test_shared_counts_are_grouped_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from tessera.operators import skew
+
+    made = [(g, i * i % 97) for i in range(600) for g in (i // 4, i // 4, 900 if i % 2 else None)]
+    want = Counter(p for g in {g for g, _ in made if g is not None} for p in combinations(sorted({i for h, i in made if h == g}), 2))
+    members = spark.createDataFrame(made, "g long, i long")
+    for most in (skew.PART_ROWS, 100):
+        monkeypatch.setattr(skew, "PART_ROWS", most)
+        edges, pairs = relational.shared_counts(members, "g", "i")
+        assert {(a, b): n for a, b, n in rows(edges)} == want and pairs == sum(want.values())
+    assert f", {-(-pairs // 100)}), REPARTITION_BY_NUM" in _plan(edges)
+
+
+def test_heavy_keys_by_buckets(spark, monkeypatch):
+    from tessera.operators import skew
+
+    df = spark.range(3_000).selectExpr("if(id % 3 = 0, id % 5, id) as k").unionByName(spark.range(500).selectExpr("cast(null as long) as k"))
+    for buckets in (skew.BUCKETS, 7):
+        monkeypatch.setattr(skew, "BUCKETS", buckets)
+        assert {r["k"] for r in skew.heavy_keys(df, "k").collect()} == {0, 1, 2, 3, 4, None}
