@@ -7,18 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import in_parts
+
 
 def _violations(df: DataFrame, name: str, key: Column) -> DataFrame:
     return df.select(F.lit(name).alias("check"), key.cast("string").alias("key"))
 
 
 def foreign_key(name: str, child: DataFrame, column: str, parent: DataFrame, target: str) -> DataFrame:
-    lost = child.where(F.col(column).isNotNull()).join(parent.select(F.col(target).alias(column)).distinct(), column, "left_anti")
+    """Rows whose parent is not there. Both sides are dealt by key into parts of a bounded number of rows; of a part the parents'
+    keys are held, and children, of which a key may have very many, pass by."""
+    held, known = child.select(column).where(F.col(column).isNotNull()), parent.select(F.col(target).alias(column))
+    rows = max(held.count(), known.count())
+    lost = in_parts(held, [column], rows).join(in_parts(known, [column], rows).hint("shuffle_hash"), column, "left_anti")
     return _violations(lost, name, F.col(column))
 
 
 def unique(name: str, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    twice = df.groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1")
+    """Keys that several rows have. Most have one, so rows are dealt by key before they are counted."""
+    slim = df.select(*columns)
+    twice = in_parts(slim, list(columns), slim.count()).groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1")
     return _violations(twice, name, F.concat_ws("/", *columns))
 
 

@@ -305,3 +305,19 @@ def test_heavy_keys_by_buckets(spark, monkeypatch):
     for buckets in (skew.BUCKETS, 7):
         monkeypatch.setattr(skew, "BUCKETS", buckets)
         assert {r["k"] for r in skew.heavy_keys(df, "k").collect()} == {0, 1, 2, 3, 4, None}
+
+
+def test_constraints_are_checked_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """Keys are neither gathered before they are dealt nor sorted, and a child's heavy key is no burden."""
+    from tessera.operators import skew
+
+    monkeypatch.setattr(skew, "PART_ROWS", 100)
+    child = spark.range(1_000).selectExpr("id", "case when id % 2 = 0 then -1 when id % 10 = 1 then null else id % 300 end as p")
+    parent = spark.range(200).selectExpr("if(id = 7, null, id) as k").unionByName(spark.range(50).selectExpr("id as k"))
+    lost, twice = validation.foreign_key("f", child, "p", parent, "k"), validation.unique("u", child, ["p"])
+    plan, plan_twice = _plan(lost), _plan(twice)
+    want = [p for p in (-1 if i % 2 == 0 else None if i % 10 == 1 else i % 300 for i in range(1_000)) if p is not None and not 0 <= p < 200]
+    assert sorted(r["key"] for r in lost.collect()) == sorted(map(str, want))
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert sorted(r["key"] for r in twice.collect()) == sorted({"", *(str(p) for p in (-1, *range(300)) if sum((-1 if i % 2 == 0 else None if i % 10 == 1 else i % 300) == p for i in range(1_000)) > 1)})
+    assert plan_twice.rindex("HashAggregate") < plan_twice.index("REPARTITION_BY_NUM")
