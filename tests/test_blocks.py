@@ -79,3 +79,14 @@ def test_shares_are_rounded_as_databases_do(spark):
     values = [0.0, 1.0, 0.1234565, 0.12345649999, 2.5e-6, 0.5, 0.9999995, 1 / 3]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded_share(F.col("x"), 6)).collect()]
     assert got == [np.floor(v * 1e6 + 0.5) / 1e6 for v in values]
+
+
+@pytest.mark.parametrize("members", [4, 1_000])
+def test_patterns_are_counted_where_pairs_are_made(spark, members):
+    found = blocks.counted_patterns(spark.createDataFrame(_people(), HELD), identity.NAME_LEVELS, identity.EMAIL_LEVEL, members=members)
+    got = Counter()
+    for r in found.collect():
+        got[tuple(r[x] for x in blocks.RULES), tuple(r[x] for x in blocks.LEVELS)] += r["pairs"]
+    assert got == Counter(_want().values())
+    plan = identity.patterns(spark.createDataFrame(_people(), HELD))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") and "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
