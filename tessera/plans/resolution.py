@@ -31,9 +31,9 @@ def resolve(records: DataFrame, active: DataFrame, candidates: DataFrame, teams:
         rules = rules.unionByName(teams)
     review_only = stored(identity.name_org_pairs(records), "resolution-names")
     matches = identity.with_methods(rules.unionByName(review_only))
-    scored = stored(identity.linkage(records), "resolution-scored")  # blocking and similarities once, whatever reads them
     linked = matches.where("auto").select("left", "right")
-    open_pairs = stored(identity.undecided(scored, records, linked, active), "resolution-open")
+    open_pairs = identity.undecided_linkage(records, linked, active).where("band <> 'drop'")
+    open_pairs = stored(open_pairs, "resolution-open")  # blocking and similarities once, whatever reads them
     likely = open_pairs.where("band = 'auto'").select("left", "right", F.lit("linkage").alias("rule"), F.round("probability", 4).cast("string").alias("evidence"), F.lit("linkage").alias("method"), F.col("probability").alias("confidence"), F.lit(True).alias("auto"))
     matches = matches.unionByName(likely.select(*matches.columns))
     if verdicts is not None:

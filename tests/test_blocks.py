@@ -90,3 +90,15 @@ def test_patterns_are_counted_where_pairs_are_made(spark, members):
     assert got == Counter(_want().values())
     plan = identity.patterns(spark.createDataFrame(_people(), HELD))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapGroupsInArrow") and "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
+
+
+def test_settled_pairs_are_left_out_where_pairs_are_made(spark):
+    people = spark.createDataFrame(_people(), HELD)
+    linked = people.where("org_norm = 'o' and country_code = 'CH' and last_name = 'li'").selectExpr("min(record_id) over () as left", "record_id as right").where("left < right")
+    active = people.where("last_name = 'meier'").selectExpr("record_id", "'p' as person_id")
+    got = identity.undecided_linkage(people, linked, active)
+    want = identity.undecided(identity.linkage(people), people, linked, active)
+    assert sorted(map(tuple, got.select("left", "right", "band").collect())) == sorted(map(tuple, want.select("left", "right", "band").collect()))
+    assert 0 < got.count() < len(_want())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("FlatMapGroupsInArrow")]
