@@ -243,6 +243,17 @@ def test_reviews_in_groups_equal_reviews_of_pairs(spark):
     assert "Aggregate" not in plan[: plan.index("SortMergeJoin")]
 
 
+def test_rows_of_a_group_are_copied_to_as_many_parts_as_it_needs(spark):
+    """A group of 1,200 rows needs 3 parts, not 64: its copies are what reviews shuffle and keep on disk."""
+    from tessera.operators import skew
+
+    rows_ = spark.range(1_200).selectExpr("id", "id % 2 as k").withColumn("k", F.when(F.col("id") < 1_150, 7).otherwise(F.col("k")))
+    heavy, dealt = skew.heavy_keys(rows_, "k"), skew.parts_of_pairs(1_150)
+    assert [skew.parts_of_pairs(n) for n in (0, 1, 500, 501, 10**9)] == [1, 1, 1, 2, skew.PARTS] and dealt == 3
+    assert skew.copied_rows(rows_, "k", heavy, dealt) == 1_200 + 2 * 1_150
+    assert skew.join_split(rows_, rows_.selectExpr("k", "id as other"), "k", "id", heavy, dealt=dealt).count() == 1_150**2 + 2 * 25**2
+
+
 def test_pairs_by_handles_are_not_grouped(spark):
     """Each pair once with its smallest evidence, whichever of three ways finds it, without a group a pair."""
     from tessera.operators import identity
