@@ -252,3 +252,22 @@ def test_pairs_by_code_are_not_grouped(spark):
     found, _ = identity.crosslinks(projects, papers, archive, firms)
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
     assert {tuple(r) for r in found.collect()} == {(1, 10, "readme a1"), (1, 11, "code u1"), (2, 12, "archive u3"), (3, 11, "readme a2")} and found.count() == 4
+
+
+def test_tasks_follow_the_pairs_by_code(spark, monkeypatch):
+    """1,000 projects of one URL and 800 papers make 800,000 pairs, in as many tasks as these take, not as the rows do; pairs of
+    sides with several URLs beside them count by the first that both have."""
+    import re
+
+    from tessera.operators import skew
+
+    monkeypatch.setattr(skew, "PART_ROWS", 2_000)
+    projects = spark.range(1_000).selectExpr("id as project_id", "'u' as repo_url_norm", "cast(null as array<string>) as arxiv_ids_in_readme", "cast(null as string) as homepage_norm")
+    projects = projects.unionByName(spark.range(5, 10).selectExpr("id as project_id", "'t' as repo_url_norm", "array('a7') as arxiv_ids_in_readme", "cast(null as string) as homepage_norm"))
+    papers = spark.range(800).selectExpr("id as publication_id", "'a' || id as arxiv_id", "case when id % 100 = 0 then array('u', 't') else array('u') end as code_url_norms")
+    archive, firms = (spark.createDataFrame([], x) for x in ("repo_url_norm string, arxiv_id string, position int", "company_id long, website_norm string"))
+    found, _ = identity.crosslinks(projects, papers, archive, firms)
+    dealt = re.findall(r"RepartitionByExpression \[.*\], (\d+)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert max(map(int, dealt), default=0) >= 1_000 * 800 // skew.PART_PAIRS // 2_000
+    got = dict(found.groupBy("evidence").count().collect())
+    assert got == {"readme a7": 5, "code t": 40, "code u": 800_000 - 5 - 40}
